@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_windows", "q_intervals"]
+MODULES = ["q_windows", "q_intervals", "q_aggregates"]
 
 
 def load_all():
