@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_windows", "q_intervals", "q_aggregates"]
+MODULES = ["q_windows", "q_intervals", "q_aggregates", "q_relational"]
 
 
 def load_all():
