@@ -97,10 +97,13 @@ def json_field(c, path: str) -> Column:
     return F.coalesce(F.get_json_object(s, path), F.get_json_object(inner, path))
 
 
-def pub_date(c, today, fmt: str = "EEE, dd MMM yyyy HH:mm:ss") -> Column:
-    """parse a publication date, default ``today``."""
+def pub_date(c, today, fmt: str = "dd MMM yyyy HH:mm:ss") -> Column:
+    """parse an RSS publication date (``Tue, 05 Mar 2024 10:00:00``),
+    default ``today``.  The weekday name is dropped before parsing (Spark
+    parses no weekday names)."""
     t = F.to_date(today) if isinstance(today, Column) else F.lit(today).cast("date")
-    return F.coalesce(F.to_date(F.try_to_timestamp(_c(c), F.lit(fmt))), t)
+    body = F.regexp_replace(_c(c), r"^\s*[A-Za-z]{3},\s*", "")
+    return F.coalesce(F.to_date(F.try_to_timestamp(body, F.lit(fmt))), t)
 
 
 def coalesce_text(*cols) -> Column:
