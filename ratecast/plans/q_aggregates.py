@@ -407,7 +407,7 @@ def q_bias_corrections(spark, sf):
 
 @query("bias_corrected_mae", f"""WITH {PRED_CTE}, {_BC}
 SELECT round(avg(abs(p.pred_slot - p.actual)), 6) AS mae_before,
-  round(avg(abs(p.pred_slot + coalesce(greatest(least(c.bias, 0.3), -0.3), 0) - p.actual)), 6) AS mae_after
+  round(avg(abs(p.pred_slot + CASE WHEN c.bias IS NULL THEN 0 ELSE greatest(least(c.bias, 0.3), -0.3) END - p.actual)), 6) AS mae_after
 FROM pred p LEFT JOIN cells c USING (event_type, dow)""")
 def q_bias_corrected_mae(spark, sf):
     from ratecast.operators import joins as J

@@ -300,7 +300,7 @@ def q_in_set(spark, sf):
 @query("apply_corrections", f"""WITH {PRED_CTE},
 cells AS (SELECT event_type, dow, avg(actual - pred_slot) AS bias FROM pred GROUP BY event_type, dow
   HAVING count(*) >= 30 AND abs(avg(actual - pred_slot)) >= 0.1)
-SELECT p.event_id, round(p.pred_slot + coalesce(greatest(least(c.bias, 0.3), -0.3), 0), 6) AS pred_corrected
+SELECT p.event_id, round(p.pred_slot + CASE WHEN c.bias IS NULL THEN 0 ELSE greatest(least(c.bias, 0.3), -0.3) END, 6) AS pred_corrected
 FROM pred p LEFT JOIN cells c USING (event_type, dow)""")
 def q_apply_corrections(spark, sf):
     p = predictions(spark, sf)
