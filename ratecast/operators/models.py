@@ -1,14 +1,28 @@
 """Baselines and MLlib models (survey M1-M20, M25, M27, M30-M32).
 
 Fits are distributed MLlib jobs over cached, assembled feature vectors;
-scoring is a ``transform`` (JVM-side), never a Python UDF.
+scoring is a ``transform`` (JVM-side), never a Python UDF.  Evaluation
+is one aggregate per model over a long (model, pred) table.
 """
 
 from __future__ import annotations
 
+import random
+import time
+from collections.abc import Callable, Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
+                                VectorAssembler)
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
+                                   RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratecast.operators import aggregates as A
+from ratecast.operators.windows import global_index
+
 
 def constant_baselines(df: DataFrame, actual: str, train_mean: str) -> DataFrame:
     """M2: MAE of the train-mean constant, of zero, and of the oracle
@@ -18,3 +32,364 @@ def constant_baselines(df: DataFrame, actual: str, train_mean: str) -> DataFrame
     one = df.agg(F.avg(F.abs(F.col(train_mean) - a)).alias("global"), F.avg(F.abs(F.lit(0.0) - a)).alias("zero"),
                  F.avg(F.abs(oracle - a)).alias("oracle"))
     return one.selectExpr("stack(3, 'global', `global`, 'zero', `zero`, 'oracle', `oracle`) AS (model, mae)")
+
+
+# M1 ----------------------------------------------------------------------------
+def preprocessor(num: Sequence[str], bools: Sequence[str] = (), cats: Sequence[str] = (),
+                 scale: bool = True, out: str = "features") -> Pipeline:
+    """Median-impute + standardise numerics, booleans as 0/1 (null -> 0),
+    categoricals indexed (unseen levels kept as an extra index that the
+    encoder drops, i.e. all-zero like an ignoring one-hot) and one-hot."""
+    stages = []
+    imp = [f"_imp_{c}" for c in num]
+    if num:
+        stages.append(Imputer(strategy="median", inputCols=list(num), outputCols=imp))
+        stages.append(VectorAssembler(inputCols=imp, outputCol="_num", handleInvalid="keep"))
+        if scale:
+            stages.append(StandardScaler(inputCol="_num", outputCol="_num_s", withMean=True, withStd=True))
+    if bools:
+        sel = ", ".join(f"CAST(coalesce(`{b}`, false) AS DOUBLE) AS `_b_{b}`" for b in bools)
+        stages.append(SQLTransformer(statement=f"SELECT *, {sel} FROM __THIS__"))
+    oh = []
+    if cats:
+        idx = [f"_idx_{c}" for c in cats]
+        oh = [f"_oh_{c}" for c in cats]
+        stages.append(StringIndexer(inputCols=list(cats), outputCols=idx, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=True, handleInvalid="keep"))
+    parts = ([("_num_s" if scale else "_num")] if num else []) + [f"_b_{b}" for b in bools] + oh
+    stages.append(VectorAssembler(inputCols=parts, outputCol=out))
+    return Pipeline(stages=stages)
+
+
+# M4-M6 ---------------------------------------------------------------------------
+MODEL_REGISTRY: dict[str, Callable[..., object]] = {
+    "ridge": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01), elasticNetParam=0.0),
+    "lasso": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01), elasticNetParam=1.0),
+    "elasticnet": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01),
+                                                       elasticNetParam=0.5),
+    "huber": lambda label, **kw: LinearRegression(labelCol=label, loss="huber", regParam=kw.get("reg", 0.01)),
+    "decision_tree": lambda label, **kw: DecisionTreeRegressor(labelCol=label, maxDepth=kw.get("depth", 6), seed=42),
+    "random_forest": lambda label, **kw: RandomForestRegressor(labelCol=label, numTrees=kw.get("trees", 40),
+                                                               maxDepth=kw.get("depth", 8), seed=42),
+    "gbt": lambda label, **kw: GBTRegressor(labelCol=label, maxIter=kw.get("iters", 30), maxDepth=kw.get("depth", 4),
+                                            stepSize=kw.get("step", 0.1), seed=42),
+}
+
+
+def register_model(name: str, factory: Callable[..., object]) -> None:
+    MODEL_REGISTRY[name] = factory
+
+
+def make_model(name: str, label: str, **params):
+    return MODEL_REGISTRY[name](label, **params)
+
+
+def fit_predict(est, prep: PipelineModel, train: DataFrame, test: DataFrame, out: str = "pred"):
+    """Fit on preprocessed train, score test; returns (model, scored test)."""
+    model = est.fit(prep.transform(train))
+    scored = model.transform(prep.transform(test)).withColumnRenamed("prediction", out)
+    return model, scored
+
+
+def compare_models(train: DataFrame, test: DataFrame, label: str, id_col: str, num, bools, cats,
+                   names: Sequence[str], params: dict | None = None):
+    """M12 over a registry: one shared preprocessing fit, every model fit
+    on the same cached train vectors, failures isolated per model.
+    Returns (metrics DF, long predictions DF, fit seconds dict)."""
+    prep = preprocessor(num, bools, cats).fit(train)
+    tr = prep.transform(train).select(id_col, label, "features").cache()
+    te = prep.transform(test).select(id_col, label, "features").cache()
+    preds, secs = None, {}
+    for n in names:
+        try:
+            t0 = time.time()
+            m = make_model(n, label, **(params or {}).get(n, {})).fit(tr)
+            secs[n] = time.time() - t0
+            p = m.transform(te).select(id_col, label, F.lit(n).alias("model"), F.col("prediction").alias("pred"))
+            preds = p if preds is None else preds.unionByName(p)
+        except Exception as e:  # noqa: BLE001 - a failing model must not stop the others
+            secs[n] = f"failed: {type(e).__name__}"
+    metrics = A.metrics(preds, label, "pred", by=["model"])
+    return metrics, preds, secs
+
+
+# M14 ---------------------------------------------------------------------------
+def feature_names(df_with_features: DataFrame, col: str = "features") -> list[str]:
+    meta = df_with_features.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
+    slots = sorted((a["idx"], a["name"]) for group in meta.values() for a in group)
+    return [n for _, n in slots]
+
+
+def importance(model, names: Sequence[str]) -> list[tuple[str, float]]:
+    """Tree importances or |coefficients| by slot name (small: one value
+    per feature slot)."""
+    if hasattr(model, "featureImportances"):
+        vals = model.featureImportances.toArray()
+    else:
+        vals = [abs(x) for x in model.coefficients.toArray()]
+    return sorted(zip(names, map(float, vals)), key=lambda x: -x[1])
+
+
+# M13 ---------------------------------------------------------------------------
+def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: str, date: str, num, bools, cats,
+                       by: Sequence[str] = (), cal_frac: float = 0.15, alpha: float = 0.2, model: str = "gbt"):
+    """Split-conformal 80% interval: fit on the earlier train part, take
+    per-segment residual quantiles as the raw P10/P90, then widen each side
+    by max(0, upper quantile of its signed misses) measured on the last
+    ``cal_frac`` of train (by date).  Returns coverage before/after."""
+    from ratecast.operators.windows import date_cut
+    cut = date_cut(train, date, cal_frac)
+    fit_part = train.where(F.to_date(date) < cut)
+    cal = train.where(F.to_date(date) >= cut)
+    prep = preprocessor(num, bools, cats).fit(fit_part)
+    m = make_model(model, label).fit(prep.transform(fit_part))
+
+    def score(df):
+        return m.transform(prep.transform(df)).withColumnRenamed("prediction", "pred").drop("features")
+    fitted = score(fit_part).withColumn("_res", F.col(label) - F.col("pred"))
+    lo_q, hi_q = alpha / 2, 1 - alpha / 2
+    res_q = fitted.groupBy(*by).agg(F.percentile("_res", lo_q).alias("_rlo"), F.percentile("_res", hi_q).alias("_rhi"))
+
+    def band(df):
+        s = score(df)
+        if by:
+            s = s.join(res_q, list(by), "left")
+        else:  # one global pair of quantiles: scalar subqueries
+            s = s.withColumn("_rlo", res_q.select("_rlo").scalar()).withColumn("_rhi", res_q.select("_rhi").scalar())
+        return s.withColumn("low", F.col("pred") + F.col("_rlo")).withColumn("high", F.col("pred") + F.col("_rhi"))
+    c = band(cal)
+    off_lo = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col("low") - F.col(label), 1 - alpha))).scalar()
+    off_hi = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col(label) - F.col("high"), 1 - alpha))).scalar()
+    t = band(test).withColumn("low_c", F.col("low") - off_lo).withColumn("high_c", F.col("high") + off_hi)
+    y = F.col(label)
+    return t.agg(F.count("*").alias("n"),
+                 F.avg(y.between(F.col("low"), F.col("high")).cast("double")).alias("coverage_raw"),
+                 F.avg(y.between(F.col("low_c"), F.col("high_c")).cast("double")).alias("coverage_conformal"),
+                 F.avg(F.col("high_c") - F.col("low_c")).alias("mean_width"))
+
+
+# M20 ---------------------------------------------------------------------------
+def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequence[str], chunk, num, bools, cats,
+                   fracs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), model: str = "gbt", plateau: float = 0.003):
+    """Fit on the earliest fraction of train (by the total order) and score
+    test; ``plateau`` marks the last gain below the threshold."""
+    n = train.agg(F.count("*")).first()[0]
+    indexed = global_index(train, order, chunk, out="_rn").cache()
+    rows = []
+    for f in fracs:
+        part = indexed.where(F.col("_rn") <= int(n * f)).drop("_rn")
+        prep = preprocessor(num, bools, cats).fit(part)
+        m = make_model(model, label).fit(prep.transform(part))
+        p = m.transform(prep.transform(test))
+        mae = p.agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+        rows.append((float(f), int(n * f), float(mae)))
+    indexed.unpersist()
+    out = train.sparkSession.createDataFrame(rows, "frac double, n_train long, mae double")
+    last_gain = rows[-2][2] - rows[-1][2] if len(rows) > 1 else 0.0
+    return out.withColumn("plateau", F.lit(bool(last_gain < plateau)))
+
+
+# M25 ---------------------------------------------------------------------------
+def cluster_errors(df: DataFrame, vec: str, err: str, q: float = 0.7, k: int = 5, seed: int = 42) -> DataFrame:
+    """KMeans (k clusters) on the rows whose |error| is in the top 1-q."""
+    thr = df.agg(F.percentile(F.abs(F.col(err)), q)).scalar()
+    hard = df.where(F.abs(F.col(err)) >= thr)
+    model = KMeans(k=k, seed=seed, featuresCol=vec, predictionCol="cluster").fit(hard)
+    return model.transform(hard)
+
+
+# M27 ---------------------------------------------------------------------------
+def fit_additive(daily: DataFrame, date: str, value: str, regressors: Sequence[str], cut, k: int = 3,
+                 period: float = 7.0):
+    """Daily additive model: linear trend + Fourier weekly terms + regressors,
+    least squares (normal equations); returns (scored test days, coefficients)."""
+    from ratecast.functions.scalars import fourier
+    start = daily.agg(F.min(date)).scalar()
+    d = daily.withColumn("t", F.datediff(F.col(date), start).cast("double"))
+    for name, c in fourier("t", period, k, prefix="w").items():
+        d = d.withColumn(name, c)
+    feats = ["t"] + [f"w_sin{i}" for i in range(1, k + 1)] + [f"w_cos{i}" for i in range(1, k + 1)] + list(regressors)
+    d = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(d)
+    tr, te = d.where(F.col(date) < cut), d.where(F.col(date) >= cut)
+    m = LinearRegression(labelCol=value, solver="normal", regParam=0.0).fit(tr)
+    coefs = dict(zip(feats, map(float, m.coefficients.toArray())))
+    coefs["intercept"] = float(m.intercept)
+    return m.transform(te).withColumnRenamed("prediction", "pred"), coefs
+
+
+# M32 ---------------------------------------------------------------------------
+def series_baselines(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], split: str,
+                     span: int = 4) -> DataFrame:
+    """Per series: on its test rows predict the train mean, the last train
+    value, and the EMA of the train values (as of the train end)."""
+    from ratecast.operators.windows import ema
+    tr = df.where(F.col(split) == "train")
+    e = ema(tr, key, value, order, span=span, out="_ema_prev", frame=100)
+    # EMA through the last train row = fold the last value into the previous EMA
+    a = 2.0 / (span + 1)
+    last = (e.groupBy(*key).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("_ema_prev").alias("e")),
+                                         F.struct(*[F.col(c) for c in order])).alias("_l"),
+                                F.avg(value).alias("pred_mean")))
+    last = last.select(*key, "pred_mean", F.col("_l.v").alias("pred_last"),
+                       F.coalesce(F.col("_l.e") * (1 - a) + F.col("_l.v") * a, F.col("_l.v")).alias("pred_ema"))
+    return df.where(F.col(split) == "test").join(last, list(key), "inner")
+
+
+# M8-M11, M15-M19 ---------------------------------------------------------------------
+def routed(train: DataFrame, test: DataFrame, flag: str, label: str, num, bools, cats, min_rows: int = 50,
+           model: str = "gbt") -> DataFrame:
+    """A flagged-rows expert and a routine expert; with fewer than
+    ``min_rows`` flagged train rows the flagged rows use the routine model."""
+    f = F.coalesce(F.col(flag), F.lit(False))
+    base_tr = train.where(~f)
+    prep = preprocessor(num, bools, cats).fit(train)
+    routine = make_model(model, label).fit(prep.transform(base_tr))
+    n_flag = train.where(f).count()
+    expert = make_model(model, label).fit(prep.transform(train.where(f))) if n_flag >= min_rows else routine
+    a = routine.transform(prep.transform(test.where(~f)))
+    b = expert.transform(prep.transform(test.where(f)))
+    return a.unionByName(b).withColumnRenamed("prediction", "pred").drop("features")
+
+
+def experts(train: DataFrame, test: DataFrame, by: str, label: str, num, bools, cats, min_train: int = 100,
+            min_test: int = 10, model: str = "gbt") -> DataFrame:
+    """Per segment, an expert fit on that segment vs the central
+    model; segments below the size limits are skipped."""
+    prep = preprocessor(num, bools, cats).fit(train)
+    central = make_model(model, label).fit(prep.transform(train))
+    sizes = (train.groupBy(by).agg(F.count("*").alias("ntr"))
+             .join(test.groupBy(by).agg(F.count("*").alias("nte")), by)
+             .where((F.col("ntr") >= min_train) & (F.col("nte") >= min_test)))
+    segs = [r[0] for r in sizes.select(by).collect()]  # the segment list: one value per segment
+    rows = []
+    e = F.avg(F.abs(F.col("prediction") - F.col(label)))
+    for s in segs:
+        tr_s, te_s = train.where(F.col(by) == s), test.where(F.col(by) == s)
+        ex = make_model(model, label).fit(prep.transform(tr_s))
+        mc = central.transform(prep.transform(te_s)).agg(e).first()[0]
+        me = ex.transform(prep.transform(te_s)).agg(e).first()[0]
+        rows.append((str(s), float(mc), float(me)))
+    return train.sparkSession.createDataFrame(rows, "segment string, mae_central double, mae_expert double")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, label: str, cols: Sequence[str], id_col: str,
+                           repeats: int = 3, seed: int = 42) -> DataFrame:
+    """Per column, MAE increase when the column is permuted.  The
+    permutation pairs each row's position in id order with its position in
+    a seeded hash order (two distributed row indexes + an equi join)."""
+    from ratecast.operators.topk import mix_hash
+    base = model.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+    chunk = F.pmod(F.col(id_col), F.lit(64))  # any deterministic split works for the id-order index
+    pos = global_index(df.withColumn("_c", chunk), ["_c", id_col], F.col("_c"), out="_p").drop("_c")
+    rows = []
+    for c in cols:
+        deltas = []
+        for r in range(repeats):
+            h = pos.withColumn("_h", mix_hash(F.col(id_col), seed + r))
+            hpos = global_index(h.withColumn("_hc", F.pmod(F.col("_h"), F.lit(64))), ["_hc", "_h", id_col],
+                                F.col("_hc"), out="_p").select("_p", F.col(c).alias("_v"))
+            perm = pos.join(hpos, "_p").drop(c).withColumnRenamed("_v", c).drop("_p")
+            mae = model.transform(perm).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+            deltas.append(mae - base)
+        mean = sum(deltas) / len(deltas)
+        sd = (sum((d - mean) ** 2 for d in deltas) / len(deltas)) ** 0.5
+        rows.append((c, float(mean), float(sd)))
+    return df.sparkSession.createDataFrame(rows, "feature string, mae_increase double, std double")
+
+
+def partial_dependence(model: PipelineModel, df: DataFrame, col: str, grid: int = 40) -> DataFrame:
+    """Mean prediction with ``col`` set to each of ``grid`` values
+    spanning its range (each row fans out to exactly ``grid`` copies)."""
+    lo = df.agg(F.min(col)).scalar()
+    hi = df.agg(F.max(col)).scalar()
+    g = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    g = g.withColumn(col, (lo + (hi - lo) * F.col("_g") / (grid - 1)).cast(df.schema[col].dataType))
+    return model.transform(g).groupBy("_g", col).agg(F.avg("prediction").alias("mean_pred")).withColumnRenamed("_g", "grid")
+
+
+def counterfactual(model: PipelineModel, df: DataFrame, neutral: dict, by: str, id_col: str) -> DataFrame:
+    """Re-score with columns set to neutral values; mean change by group."""
+    a = model.transform(df).select(id_col, by, F.col("prediction").alias("p0"))
+    cf = df
+    for c, v in neutral.items():
+        cf = cf.withColumn(c, F.lit(v).cast(df.schema[c].dataType))
+    b = model.transform(cf).select(id_col, F.col("prediction").alias("p1"))
+    return a.join(b, id_col).groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("p0") - F.col("p1")).alias("boost"))
+
+
+def local_effects(model: PipelineModel, train: DataFrame, rows: DataFrame, cols: Sequence[str], id_col: str,
+                  top: int = 3) -> DataFrame:
+    """For each given row, replace one numeric at a time by its train
+    median and report the largest prediction changes."""
+    meds = train.agg(*[F.median(c).alias(c) for c in cols]).first()
+    variants = None
+    for c in cols:
+        v = rows.withColumn(c, F.lit(meds[c]).cast(rows.schema[c].dataType)).withColumn("feature", F.lit(c))
+        variants = v if variants is None else variants.unionByName(v)
+    base = model.transform(rows).select(id_col, F.col("prediction").alias("p0"))
+    alt = model.transform(variants).select(id_col, "feature", F.col("prediction").alias("p1"))
+    eff = alt.join(base, id_col).withColumn("contribution", F.col("p0") - F.col("p1"))
+    from ratecast.operators.windows import top_n_per_group
+    return top_n_per_group(eff, [id_col], [F.abs(F.col("contribution")).desc(), F.col("feature")], top, out="rank")
+
+
+def ablation(train: DataFrame, test: DataFrame, label: str, configs: dict, model: str = "gbt") -> DataFrame:
+    """The same model on alternative feature sets (name -> (num, bools, cats))."""
+    rows = []
+    for name, (num, bools, cats) in configs.items():
+        prep = preprocessor(num, bools, cats).fit(train)
+        m = make_model(model, label).fit(prep.transform(train))
+        mae = m.transform(prep.transform(test)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+        rows.append((name, float(mae)))
+    return train.sparkSession.createDataFrame(rows, "config string, mae double")
+
+
+def time_fold_frames(df: DataFrame, order, chunk, k: int):
+    from ratecast.operators.windows import time_folds
+    f = time_folds(df, order, chunk, k).cache()
+    return [(f.where((F.col("fold") == i) & (F.col("role") == "train")).drop("fold", "role"),
+             f.where((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")) for i in range(1, k + 1)]
+
+
+def random_search(train: DataFrame, label: str, order, chunk, num, bools, cats, grid: dict, n_iter: int = 3,
+                  k: int = 3, model: str = "random_forest", seed: int = 42) -> DataFrame:
+    """M9: sampled parameter sets scored by mean MAE over expanding
+    time-ordered folds."""
+    rnd = random.Random(seed)
+    combos = [{p: rnd.choice(v) for p, v in grid.items()} for _ in range(n_iter)]
+    folds = time_fold_frames(train, order, chunk, k)
+    rows = []
+    for params in combos:
+        maes = []
+        for tr, te in folds:
+            prep = preprocessor(num, bools, cats).fit(tr)
+            m = make_model(model, label, **params).fit(prep.transform(tr))
+            maes.append(m.transform(prep.transform(te)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0])
+        rows.append((str(sorted(params.items())), float(sum(maes) / len(maes))))
+    return train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
+
+
+def stack(train: DataFrame, test: DataFrame, label: str, id_col: str, order, chunk, num, bools, cats,
+          bases: Sequence[str] = ("random_forest", "gbt"), k: int = 3) -> DataFrame:
+    """M8: a linear meta-model on out-of-fold base predictions (expanding
+    time folds), applied to base models refit on all of train."""
+    folds = time_fold_frames(train, order, chunk, k)
+    oof = None
+    for tr, te in folds:
+        prep = preprocessor(num, bools, cats).fit(tr)
+        cols = []
+        cur = prep.transform(te)
+        for b in bases:
+            m = make_model(b, label).fit(prep.transform(tr))
+            cur = m.transform(cur).withColumnRenamed("prediction", f"p_{b}")
+            cols.append(f"p_{b}")
+        part = cur.select(id_col, label, *cols)
+        oof = part if oof is None else oof.unionByName(part)
+    meta_in = VectorAssembler(inputCols=[f"p_{b}" for b in bases], outputCol="meta_x")
+    meta = LinearRegression(featuresCol="meta_x", labelCol=label).fit(meta_in.transform(oof))
+    prep = preprocessor(num, bools, cats).fit(train)
+    cur = prep.transform(test)
+    for b in bases:
+        m = make_model(b, label).fit(prep.transform(train))
+        cur = m.transform(cur).withColumnRenamed("prediction", f"p_{b}")
+    return meta.transform(meta_in.transform(cur)).select(id_col, label, F.col("prediction").alias("pred"))
