@@ -384,3 +384,17 @@ SELECT event_id, round(abs(pred_slot - actual), 6) AS err_a, round(abs(pred_user
 def q_compare_preds(spark, sf):
     p = J.compare_preds(predictions(spark, sf), "actual", "pred_slot", "pred_user", 0.02)
     return _r(p.select("event_id", "err_a", "err_b", "winner"))
+
+
+@query("fallback_lookup", f"""WITH {PRED_CTE}
+SELECT te.event_id, round(coalesce(l1.m1, l2.m2, (SELECT gm FROM gm)), 6) AS pred,
+  CAST(CASE WHEN l1.m1 IS NOT NULL THEN 0 WHEN l2.m2 IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS level
+FROM te LEFT JOIN l1 USING (event_type, dow, h) LEFT JOIN l2 USING (dow, h)""")
+def q_fallback_lookup(spark, sf):
+    """Most specific seen level (type x weekday x hour, then weekday x
+    hour), else the global train mean; ``level`` says which one answered."""
+    from ratecast.plans.predictions import SLOT_LEVELS, split_events
+    ev = split_events(spark, sf)
+    tr, te = ev.where(F.col("split") == "train"), ev.where(F.col("split") == "test")
+    r = J.cascade_mean(tr, te, SLOT_LEVELS, "value", out="pred", level_out="level")
+    return _r(r.select("event_id", "pred", F.col("level").cast("int")), "level")
