@@ -307,3 +307,36 @@ def q_stacking(spark, sf):
     tr, te = _parts(spark, sf)
     p = M.stack(tr, te, LABEL, "event_id", EV_ORDER, F.col("d"), NUM, BOOLS, CATS, k=3)
     return _r(A.metrics(p, LABEL, "pred"))
+
+
+# M26 ---------------------------------------------------------------------------
+@query("isolation_forest")
+def q_isolation_forest(spark, sf):
+    """Forest grown on train events (hour, weekday, second measure), test
+    rows scored; baseline MAE on anomalies vs normal rows, and the Spearman
+    correlation of the score with the absolute error."""
+    from ratecast.operators.anomaly import isolation_forest
+    from ratecast.operators.stats import spearman_vs
+    from ratecast.plans.predictions import predictions
+    cols = ["h", "dow", "k"]
+    ev = split_events(spark, sf)
+    tr = ev.where(F.col("split") == "train").select("event_id", *cols)
+    te = predictions(spark, sf).join(ev.select("event_id", "k"), "event_id")
+    scored = isolation_forest(tr, te, cols, "event_id", trees=200, sample=256, contamination=0.05)
+    scored = scored.withColumn("abs_err", F.abs(F.col("pred_slot") - F.col("actual")))
+    rho = spearman_vs(scored, "abs_err", ["anomaly_score"]).select("spearman").scalar()
+    g = scored.groupBy("is_anomaly").agg(F.count("*").alias("n"), F.avg("abs_err").alias("mae"),
+                                         F.avg("anomaly_score").alias("mean_score"))
+    return _r(g.withColumn("spearman_score_abs_err", rho))
+
+
+@query("embedding_anomalies")
+def q_embedding_anomalies(spark, sf):
+    """The same forest on the 64-float embedding vectors: anomaly share per label."""
+    from ratecast.operators.anomaly import isolation_forest
+    e = table(spark, sf, "embeddings")
+    cols = [f"e{i}" for i in range(64)]
+    x = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    s = isolation_forest(x, x, cols, "vec_id", trees=100, sample=256, contamination=0.05)
+    return _r(s.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("is_anomaly").cast("double")).alias("anomaly_share"),
+                                     F.avg("anomaly_score").alias("mean_score")))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratecast.functions import scalars as S
 from ratecast.functions import text as X
@@ -215,3 +216,56 @@ def test_histogram_last_bin_closed(spark):
 def test_poisson_weights_mean_one():
     t = ST.poisson1_thresholds()
     assert abs(t[0] - math.exp(-1)) < 1e-15 and t[-1] < 1.0
+
+
+def test_isolation_forest_flags_outliers(spark):
+    from ratecast.operators.anomaly import isolation_forest
+    rng = np.random.default_rng(7)
+    pts = rng.normal(size=(600, 2))
+    pts[:6] = [[8, 8], [-9, 7], [10, -10], [-8, -8], [12, 0], [0, -11]]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "a": pts[:, 0], "b": pts[:, 1]}))
+    s = isolation_forest(df, df, ["a", "b"], "id", trees=200, sample=128, contamination=0.02).toPandas()
+    s = s.sort_values("anomaly_score", ascending=False)
+    assert set(s["id"].head(4)) == {0, 1, 2, 3}  # the corner outliers rank first
+    normal = s[s["id"] >= 6]["anomaly_score"]
+    assert (s[s["id"] < 6]["anomaly_score"] > normal.quantile(0.95)).all()
+    assert s["is_anomaly"].mean() < 0.05
+
+
+def test_read_raw_csv_banner_and_required(spark, tmp_path):
+    from ratecast.sources import io as IO
+    p = tmp_path / "raw.csv"
+    p.write_text("Report exported 2026-03-01\nprogram,air_date,rating\nNews,2026-02-28,0.44\nLate,2026-02-28,\n")
+    schema = T.StructType([T.StructField("program", T.StringType()), T.StructField("air_date", T.DateType()),
+                           T.StructField("rating", T.DoubleType())])
+    df = IO.read_raw_csv(spark, str(p), schema, ["program", "air_date", "rating"], "program")
+    rows = sorted(df.collect(), key=lambda r: r.program)
+    assert [(r.program, r.rating) for r in rows] == [("Late", None), ("News", 0.44)]
+    try:
+        IO.read_raw_csv(spark, str(p), schema, ["program", "share"], "program")
+        raise AssertionError("missing column not detected")
+    except ValueError as e:
+        assert "share" in str(e)
+
+
+def test_constraint_report_counts(spark):
+    from ratecast.sources import io as IO
+    parent = spark.createDataFrame([(1,), (2,)], "pk long")
+    df = spark.createDataFrame([(1, 1, "a"), (1, 3, "z"), (None, 2, "a")], "k long, fk long, e string")
+    r = {x.constraint: x.n_violations for x in IO.constraint_report(
+        df, "t", not_null=["k"], unique=[["k"]], enums={"e": ["a"]}, fks=[("fk", parent, "pk")]).collect()}
+    assert r == {"t.k not null": 1, "t(k) unique": 1, "t.e in enum": 1, "t.fk -> parent": 1}
+
+
+def test_save_model_and_run_log(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from ratecast.operators.models import preprocessor
+    from ratecast.sources import io as IO
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (None, "a")], "x double, c string")
+    pm = preprocessor(["x"], [], ["c"]).fit(df)
+    IO.save_model(pm, {"version": 1}, str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m" / "model"))
+    assert back.transform(df).select("features").count() == 3
+    IO.append_run_log(spark, {"mae": 0.3}, str(tmp_path / "log"))
+    IO.append_run_log(spark, {"mae": 0.29}, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 2
