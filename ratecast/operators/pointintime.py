@@ -125,17 +125,23 @@ def point_in_time(requests: DataFrame, history: DataFrame, keysets: dict[str, tu
 def series_state(history: DataFrame, key: Sequence[str], date: str, value: str, order: Sequence[str],
                  span: int = 4, frame: int = 100) -> DataFrame:
     """W13 helper: per history row, the serving state *after* that row:
-    last two values, EMA (adjust=False) and mean of the last four."""
+    last two values, EMA (adjust=False) and mean of the last four, row
+    count and first date of the series.  Windows run per (key, day) with a
+    halo (hot-key safe); counts are two-level running totals."""
+    from ratecast.operators.windows import halo_window, running_totals
     a = 2.0 / (span + 1)
-    w = Window.partitionBy(*key).orderBy(*[F.col(c) for c in order])
-    wl = w.rowsBetween(-frame + 1, 0)
-    h = F.collect_list(F.col(value)).over(wl)
-    ema = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1), lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
-    return history.select(*key, F.to_date(date).alias("_d"), *[F.col(c) for c in order if c not in key],
-                          F.col(value).alias("s_lag_1"), F.lag(value, 1).over(w).alias("s_lag_2"),
-                          ema.alias("s_ema"), F.avg(value).over(w.rowsBetween(-3, 0)).alias("s_roll4"),
-                          F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s_n"),
-                          F.min(F.to_date(date)).over(Window.partitionBy(*key)).alias("s_first"))
+
+    def cols(w):
+        h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame + 1, 0))
+        ema = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1), lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
+        return {"s_lag_2": F.lag(value, 1).over(w), "s_ema": ema, "s_roll4": F.avg(value).over(w.rowsBetween(-3, 0))}
+    day = F.to_date(date)
+    st = halo_window(history, key, order, day, frame, cols)
+    st = running_totals(st, key, order, count_out="s_n", chunk=day, inclusive=True)
+    first = history.groupBy(*key).agg(F.min(day).alias("s_first"))
+    return (st.join(first, list(key), "left")
+            .select(*key, day.alias("_d"), *[F.col(c) for c in order if c not in key],
+                    F.col(value).alias("s_lag_1"), "s_lag_2", "s_ema", "s_roll4", "s_n", "s_first"))
 
 
 def series_features(requests: DataFrame, history: DataFrame, key: Sequence[str], target: str, date: str,
@@ -146,6 +152,11 @@ def series_features(requests: DataFrame, history: DataFrame, key: Sequence[str],
     key = list(key)
     st = series_state(history, key, date, value, order)
     cols = ["s_lag_1", "s_lag_2", "s_ema", "s_roll4", "s_n", "s_first"]
+    # only the last state of each (key, day) can answer an as-of lookup:
+    # reduce to one row per day first (map-side partial aggregation)
+    ordc0 = [c for c in order if c not in key]
+    last = F.max_by(F.struct(*cols, *ordc0), F.struct(*[F.col(c) for c in ordc0]))
+    st = st.groupBy(*key, "_d").agg(last.alias("_s")).select(*key, "_d", "_s.*")
     req = requests.withColumn("_rid", F.col(rid).cast("bigint"))
     ordc = [c for c in order if c not in key]
     a = req.select(*key, F.date_sub(F.to_date(target), 1).alias("_d"), F.lit(1).alias("_kind"), "_rid",

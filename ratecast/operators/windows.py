@@ -126,15 +126,51 @@ def lag_features(df: DataFrame, targets: Sequence[str], keysets: dict[str, Seque
     return out
 
 
+# ---------------------------------------------------------------------------
+# bounded-frame windows over hot keys: halo chunks
+# ---------------------------------------------------------------------------
+def halo_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, halo: int,
+                add_cols) -> DataFrame:
+    """Evaluate windows whose frame reaches at most ``halo`` rows back,
+    partitioned by (key, chunk) instead of by key alone.
+
+    Each chunk gets copies of the ``halo`` rows that precede it in its key
+    (taken from the last ``halo`` rows of earlier chunks -- a table of at
+    most #chunks x halo rows); the windows run per (key, chunk) over own +
+    halo rows ordered by the row's position in the key, and the halo copies
+    are dropped.  ``add_cols(window_spec)`` returns {name: window expr}.
+    """
+    keys = list(keys)
+    base = df.withColumn("_ck", chunk)
+    base = running_totals(base, keys, order, count_out="_pos", chunk=F.col("_ck"), inclusive=True)
+    ch = base.groupBy(*keys, "_ck").agg(F.min("_pos").alias("_start"), F.max("_pos").alias("_end"))
+    cand = (base.join(ch, [*keys, "_ck"]).where(F.col("_pos") > F.col("_end") - halo)
+            .drop("_start", "_end"))
+    tgt = ch.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_ck").alias("_tck"),
+                    F.col("_start").alias("_tstart"))
+    cond = [cand[k].eqNullSafe(tgt[f"_t_{k}"]) for k in keys]
+    cond += [cand["_pos"] < tgt["_tstart"], cand["_pos"] >= tgt["_tstart"] - halo]
+    halo_rows = (cand.join(tgt, cond).drop(*[f"_t_{k}" for k in keys], "_tstart")
+                 .withColumn("_halo", F.lit(True)))
+    own = base.withColumn("_tck", F.col("_ck")).withColumn("_halo", F.lit(False))
+    u = own.unionByName(halo_rows)
+    w = Window.partitionBy(*keys, "_tck").orderBy("_pos")
+    u = u.select("*", *[e.alias(n) for n, e in add_cols(w).items()])
+    return u.where(~F.col("_halo")).drop("_ck", "_tck", "_pos", "_halo")
+
+
 # ---------------------------------------------------------------------------
 # W4-W7, W9
 # ---------------------------------------------------------------------------
 def lags(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-         ks: Sequence[int] = (1, 2), prefix: str = "lag") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
-    for k in ks:
-        df = df.withColumn(f"{prefix}_{k}", F.lag(value, k).over(w))
-    return df
+         ks: Sequence[int] = (1, 2), prefix: str = "lag", chunk: Column | None = None) -> DataFrame:
+    """``lag(value, k)`` per key; with ``chunk`` the windows run per
+    (key, chunk) with a halo of max(ks) rows (hot-key safe)."""
+    def cols(w):
+        return {f"{prefix}_{k}": F.lag(value, k).over(w) for k in ks}
+    if chunk is not None:
+        return halo_window(df, keys, order, chunk, max(ks), cols)
+    return df.select("*", *[e.alias(n) for n, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
 
 
 # Contributions older than this many rows weigh (1-alpha)^N; for alpha=0.4
@@ -144,21 +180,30 @@ EMA_FRAME = 100
 
 
 def ema(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-        span: int = 4, out: str = "ema", frame: int = EMA_FRAME) -> DataFrame:
-    """EMA (adjust=False, alpha = 2/(span+1)) of the *previous* values."""
+        span: int = 4, out: str = "ema", frame: int = EMA_FRAME, chunk: Column | None = None) -> DataFrame:
+    """EMA (adjust=False, alpha = 2/(span+1)) of the *previous* values (T28);
+    with ``chunk`` evaluated per (key, chunk) with a ``frame``-row halo."""
     a = 2.0 / (span + 1)
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-frame, -1)
-    h = F.collect_list(F.col(value)).over(w)
-    fold = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1),
-                       lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
-    return df.withColumn(out, F.when(F.size(h) > 0, fold))
+
+    def cols(w):
+        h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame, -1))
+        fold = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1),
+                           lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
+        return {out: F.when(F.size(h) > 0, fold)}
+    if chunk is not None:
+        return halo_window(df, keys, order, chunk, frame, cols)
+    return df.select("*", *[e.alias(n) for n, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
 
 
 def rolling_prev(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-                 n: int = 4, out: str = "rolling_mean") -> DataFrame:
-    """Mean of the previous ``n`` values, at least one."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-n, -1)
-    return df.withColumn(out, F.avg(value).over(w))
+                 n: int = 4, out: str = "rolling_mean", chunk: Column | None = None) -> DataFrame:
+    """Mean of the previous ``n`` values, at least one (T29); with ``chunk``
+    evaluated per (key, chunk) with an ``n``-row halo."""
+    def cols(w):
+        return {out: F.avg(value).over(w.rowsBetween(-n, -1))}
+    if chunk is not None:
+        return halo_window(df, keys, order, chunk, n, cols)
+    return df.select("*", *[e.alias(k) for k, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
 
 
 def weeks_since_start(df: DataFrame, date: str, out: str = "weeks_since_start") -> DataFrame:

@@ -77,7 +77,7 @@ _WU = "(PARTITION BY user_id ORDER BY ts, event_id)"
 
 @query("lags", f"SELECT event_id, lag(value, 1) OVER {_WU} AS lag_1, lag(value, 2) OVER {_WU} AS lag_2 FROM {EV}")
 def q_lags(spark, sf):
-    r = W.lags(events(spark, sf), ["user_id"], "value", EV_ORDER, ks=(1, 2))
+    r = W.lags(events(spark, sf), ["user_id"], "value", EV_ORDER, ks=(1, 2), chunk=F.col("d"))
     return r.select("event_id", "lag_1", "lag_2")
 
 
@@ -87,14 +87,14 @@ _WP = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECED
 @query("ema", f"SELECT event_id, round(CASE WHEN count(*) OVER {_WP} > 0 THEN "
               f"list_reduce(list(value) OVER {_WP}, lambda a, x: a * 0.6 + x * 0.4) END, 6) AS ema FROM {EV}")
 def q_ema(spark, sf):
-    r = W.ema(events(spark, sf), ["user_id"], "value", EV_ORDER, span=4)
+    r = W.ema(events(spark, sf), ["user_id"], "value", EV_ORDER, span=4, chunk=F.col("d"))
     return r.select("event_id", r6("ema").alias("ema"))
 
 
 @query("rolling_prev", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id "
                        f"ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS rolling_mean FROM {EV}")
 def q_rolling_prev(spark, sf):
-    r = W.rolling_prev(events(spark, sf), ["user_id"], "value", EV_ORDER, n=4)
+    r = W.rolling_prev(events(spark, sf), ["user_id"], "value", EV_ORDER, n=4, chunk=F.col("d"))
     return r.select("event_id", r6("rolling_mean").alias("rolling_mean"))
 
 

@@ -269,3 +269,25 @@ def test_save_model_and_run_log(spark, tmp_path):
     IO.append_run_log(spark, {"mae": 0.3}, str(tmp_path / "log"))
     IO.append_run_log(spark, {"mae": 0.29}, str(tmp_path / "log"))
     assert spark.read.text(str(tmp_path / "log")).count() == 2
+
+
+def test_halo_windows_equal_plain_windows_on_hot_key(spark):
+    rng = np.random.default_rng(11)
+    n = 4000
+    keys = np.where(rng.random(n) < 0.7, "hot", rng.choice(["b", "c"], n))
+    # a few days with very few rows, so halos must reach back over several chunks
+    days = np.where(rng.random(n) < 0.97, rng.integers(0, 10, n), rng.integers(10, 40, n))
+    pdf = pd.DataFrame({"id": np.arange(n), "k": keys,
+                        "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(days * 86400 + rng.integers(0, 86400, n), unit="s"),
+                        "v": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf)
+    ch = F.to_date("ts")
+    order = ["ts", "id"]
+    plain = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5)), ["k"], "v", order, frame=20), ["k"], "v", order)
+    halo = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5), chunk=ch), ["k"], "v", order, frame=20, chunk=ch),
+                          ["k"], "v", order, chunk=ch)
+    a = plain.toPandas().sort_values("id").reset_index(drop=True)
+    b = halo.toPandas().sort_values("id").reset_index(drop=True)
+    assert len(a) == len(b) == n
+    for c in ["lag_1", "lag_2", "lag_5", "ema", "rolling_mean"]:
+        assert np.allclose(a[c].fillna(-999), b[c].fillna(-999)), c
