@@ -27,11 +27,18 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> Data
 
 def _quantile_chunk(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64) -> DataFrame:
     """Attach ``_chunk``: the index of the approximate-quantile piece each
-    value falls in (monotone in the value within a key)."""
+    value falls in (monotone in the value within a key).  The edges are a
+    bounded parameter (#keys x (pieces-1) numbers, one small aggregate job)
+    and are inlined as literals, so no join is needed."""
     qs = [i / pieces for i in range(1, pieces)]
-    edges = long.groupBy(key).agg(F.percentile_approx(value, qs, 10000).alias("_edges"))
-    j = long.join(F.broadcast(edges), key)  # one row per key: bounded by the number of features
-    return j.withColumn("_chunk", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    rows = long.groupBy(key).agg(F.percentile_approx(value, qs, 10000).alias("_e")).collect()
+    expr = None
+    for r in rows:
+        arr = F.array(*[F.lit(float(v)) for v in (r["_e"] or [])]) if r["_e"] else F.array().cast("array<double>")
+        c = F.size(F.filter(arr, lambda e: e < F.col(value)))
+        cond = F.col(key).eqNullSafe(F.lit(r[key]))
+        expr = F.when(cond, c) if expr is None else expr.when(cond, c)
+    return long.withColumn("_chunk", expr if expr is not None else F.lit(0))
 
 
 # M22 ---------------------------------------------------------------------------
