@@ -25,18 +25,25 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> Data
     return df.selectExpr(*[f"`{i}`" for i in ids], f"stack({len(cols)}, {st}) AS (feature, value)")
 
 
-def _quantile_chunk(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64) -> DataFrame:
-    """Attach ``_chunk``: the index of the approximate-quantile piece each
-    value falls in (monotone in the value within a key).  The edges are a
-    bounded parameter (#keys x (pieces-1) numbers, one small aggregate job)
-    and are inlined as literals, so no join is needed."""
+def quantile_edges(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64) -> dict:
+    """Approximate-quantile chunk edges per key: a bounded parameter
+    (#keys x (pieces-1) numbers) from one small aggregate job."""
     qs = [i / pieces for i in range(1, pieces)]
     rows = long.groupBy(key).agg(F.percentile_approx(value, qs, 10000).alias("_e")).collect()
+    return {r[key]: [float(v) for v in (r["_e"] or [])] for r in rows}
+
+
+def _quantile_chunk(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64,
+                    edges: dict | None = None) -> DataFrame:
+    """Attach ``_chunk``: the index of the approximate-quantile piece each
+    value falls in (monotone in the value within a key).  Edges are
+    inlined as literals, so no join is needed."""
+    edges = edges if edges is not None else quantile_edges(long, key, value, pieces)
     expr = None
-    for r in rows:
-        arr = F.array(*[F.lit(float(v)) for v in (r["_e"] or [])]) if r["_e"] else F.array().cast("array<double>")
+    for k, ev in edges.items():
+        arr = F.array(*[F.lit(v) for v in ev]) if ev else F.array().cast("array<double>")
         c = F.size(F.filter(arr, lambda e: e < F.col(value)))
-        cond = F.col(key).eqNullSafe(F.lit(r[key]))
+        cond = F.col(key).eqNullSafe(F.lit(k))
         expr = F.when(cond, c) if expr is None else expr.when(cond, c)
     return long.withColumn("_chunk", expr if expr is not None else F.lit(0))
 
@@ -108,24 +115,26 @@ def ks(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # A21 ---------------------------------------------------------------------------
-def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
     """Average rank (ties share the mean of their positions) of ``col``,
     attached to every row via a join on the value."""
     per = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").cast("double").alias("n"))
-    per = _quantile_chunk(per.withColumn("feature", F.lit(col)))
+    per = _quantile_chunk(per.withColumn("feature", F.lit(col)), edges=None if edges is None else {col: edges})
     cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=F.col("_chunk"))
     ranks = cum.select(F.col("value").alias(col), (F.col("_before") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranks, col, "left")
 
 
 def spearman_vs(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Spearman correlation of each column with ``target`` (rows where
-    both are non-null)."""
+    """Spearman correlation of each column with ``target`` (ranks over the
+    rows where both are non-null).  Chunk edges for every column come from
+    one job; they only spread work, so full-column edges serve every pair."""
+    edges = quantile_edges(to_long(df, [*cols, target]).where(F.col("value").isNotNull()))
     out = None
     for c in cols:
         x = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target))
         x = x.where(F.col(c).isNotNull() & F.col(target).isNotNull())
-        x = average_ranks(average_ranks(x, c, "_rc"), target, "_rt")
+        x = average_ranks(average_ranks(x, c, "_rc", edges.get(c, [])), target, "_rt", edges.get(target, []))
         r = x.agg(F.corr("_rc", "_rt").alias("spearman")).withColumn("feature", F.lit(c))
         out = r if out is None else out.unionByName(r)
     return out.select("feature", "spearman")

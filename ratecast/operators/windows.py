@@ -143,11 +143,14 @@ def halo_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     keys = list(keys)
     base = df.withColumn("_ck", chunk)
     base = running_totals(base, keys, order, count_out="_pos", chunk=F.col("_ck"), inclusive=True)
-    ch = base.groupBy(*keys, "_ck").agg(F.min("_pos").alias("_start"), F.max("_pos").alias("_end"))
-    cand = (base.join(ch, [*keys, "_ck"]).where(F.col("_pos") > F.col("_end") - halo)
-            .drop("_start", "_end"))
-    tgt = ch.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_ck").alias("_tck"),
-                    F.col("_start").alias("_tstart"))
+    # row numbers inside the chunk share the running totals' (key, chunk)
+    # partitioning: chunk starts and halo candidates need no join back
+    wc = Window.partitionBy(*keys, "_ck")
+    base = (base.withColumn("_rin", F.row_number().over(wc.orderBy(*_cols(order))))
+            .withColumn("_rdesc", F.row_number().over(wc.orderBy(*[c.desc() for c in _cols(order)]))))
+    cand = base.where(F.col("_rdesc") <= halo)  # at most `halo` rows per chunk
+    tgt = base.where(F.col("_rin") == 1).select(*[F.col(k).alias(f"_t_{k}") for k in keys],
+                                                 F.col("_ck").alias("_tck"), F.col("_pos").alias("_tstart"))
     cond = [cand[k].eqNullSafe(tgt[f"_t_{k}"]) for k in keys]
     cond += [cand["_pos"] < tgt["_tstart"], cand["_pos"] >= tgt["_tstart"] - halo]
     halo_rows = (cand.join(tgt, cond).drop(*[f"_t_{k}" for k in keys], "_tstart")
@@ -156,7 +159,7 @@ def halo_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     u = own.unionByName(halo_rows)
     w = Window.partitionBy(*keys, "_tck").orderBy("_pos")
     u = u.select("*", *[e.alias(n) for n, e in add_cols(w).items()])
-    return u.where(~F.col("_halo")).drop("_ck", "_tck", "_pos", "_halo")
+    return u.where(~F.col("_halo")).drop("_ck", "_tck", "_pos", "_halo", "_rin", "_rdesc")
 
 
 # ---------------------------------------------------------------------------
