@@ -61,6 +61,16 @@ def preprocessor(num: Sequence[str], bools: Sequence[str] = (), cats: Sequence[s
     return Pipeline(stages=stages)
 
 
+def sized(df: DataFrame, rows_per_partition: int = 2_000_000) -> DataFrame:
+    """Repartition training data to max(default parallelism, rows / target):
+    iterative learners run one job per round, so many tiny partitions cost
+    more than they parallelise, while large data still gets many tasks."""
+    import math
+    n = df.count()
+    dp = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(dp, math.ceil(n / rows_per_partition)))
+
+
 # M4-M6 ---------------------------------------------------------------------------
 MODEL_REGISTRY: dict[str, Callable[..., object]] = {
     "ridge": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01), elasticNetParam=0.0),
@@ -97,7 +107,7 @@ def compare_models(train: DataFrame, test: DataFrame, label: str, id_col: str, n
     on the same cached train vectors, failures isolated per model.
     Returns (metrics DF, long predictions DF, fit seconds dict)."""
     prep = preprocessor(num, bools, cats).fit(train)
-    tr = prep.transform(train).select(id_col, label, "features").cache()
+    tr = sized(prep.transform(train).select(id_col, label, "features")).cache()
     te = prep.transform(test).select(id_col, label, "features").cache()
     preds, secs = None, {}
     for n in names:

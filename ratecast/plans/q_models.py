@@ -48,7 +48,7 @@ def _parts(spark, sf):
 def _pipeline(train, model="gbt"):
     from pyspark.ml import Pipeline
     prep = M.preprocessor(NUM, BOOLS, CATS)
-    return Pipeline(stages=[prep, M.make_model(model, LABEL)]).fit(train)
+    return Pipeline(stages=[prep, M.make_model(model, LABEL)]).fit(M.sized(train).cache())
 
 
 # M1, M4-M6, M12 ------------------------------------------------------------------
