@@ -115,26 +115,43 @@ def ks(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # A21 ---------------------------------------------------------------------------
-def average_ranks(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
-    """Average rank (ties share the mean of their positions) of ``col``,
-    attached to every row via a join on the value."""
+def rank_table(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
+    """(value, average rank) for ``col``: ties share the mean of their
+    positions; computed on per-value counts with two-level prefix sums."""
     per = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").cast("double").alias("n"))
     per = _quantile_chunk(per.withColumn("feature", F.lit(col)), edges=None if edges is None else {col: edges})
     cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=F.col("_chunk"))
-    ranks = cum.select(F.col("value").alias(col), (F.col("_before") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(ranks, col, "left")
+    return cum.select(F.col("value").alias(col), (F.col("_before") + (F.col("n") + 1) / 2).alias(out))
+
+
+def average_ranks(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
+    """Attach the average rank of ``col`` to every row (join on the value)."""
+    return df.join(rank_table(df, col, out, edges), col, "left")
 
 
 def spearman_vs(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Spearman correlation of each column with ``target`` (ranks over the
     rows where both are non-null).  Chunk edges for every column come from
-    one job; they only spread work, so full-column edges serve every pair."""
+    one job (they only spread work, so full-column edges serve every pair).
+    When no involved column has nulls every pair ranks the same rows, so
+    each column -- the target included -- is ranked once."""
     edges = quantile_edges(to_long(df, [*cols, target]).where(F.col("value").isNotNull()))
+    nulls = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in [*cols, target]]))).first()[0]
+    if nulls == 0:
+        base = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*cols, target])])
+        # every rank table comes from the base rows, then one join per column
+        x = base.join(rank_table(base, target, "_rt", edges.get(target, [])), target, "left")
+        for i, c in enumerate(cols):
+            x = x.join(rank_table(base, c, f"_r{i}", edges.get(c, [])), c, "left")
+        one = x.agg(*[F.corr(f"_r{i}", "_rt").alias(f"_s{i}") for i in range(len(cols))])
+        st = ", ".join(f"'{c}', `_s{i}`" for i, c in enumerate(cols))
+        return one.selectExpr(f"stack({len(cols)}, {st}) AS (feature, spearman)")
     out = None
     for c in cols:
         x = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target))
         x = x.where(F.col(c).isNotNull() & F.col(target).isNotNull())
-        x = average_ranks(average_ranks(x, c, "_rc", edges.get(c, [])), target, "_rt", edges.get(target, []))
+        x = (x.join(rank_table(x, c, "_rc", edges.get(c, [])), c, "left")
+             .join(rank_table(x, target, "_rt", edges.get(target, [])), target, "left"))
         r = x.agg(F.corr("_rc", "_rt").alias("spearman")).withColumn("feature", F.lit(c))
         out = r if out is None else out.unionByName(r)
     return out.select("feature", "spearman")
