@@ -60,6 +60,16 @@ def tenant_rows(df: DataFrame, org: str, user_orgs: DataFrame, user_id, user_col
     return df.join(mine, org, "left_semi")
 
 
+def tenant_visibility(df: DataFrame, org: str, user_orgs: DataFrame, value: str, user_col: str = "user_id",
+                      org_col: str = "organization_id") -> DataFrame:
+    """P7 for every user at once: rows (and their total) each user may see.
+    Rows are aggregated per organisation first, then joined to users, so
+    no (user, row) pairs are ever formed."""
+    per_org = df.groupBy(F.col(org).alias(org_col)).agg(F.count("*").alias("n_visible"), F.sum(value).alias("total"))
+    return user_orgs.select(user_col, org_col).join(per_org, org_col, "left").select(
+        user_col, F.coalesce(F.col("n_visible"), F.lit(0)).cast("bigint").alias("n_visible"), "total")
+
+
 def tenant_insert_violations(df: DataFrame, org: str, user: str, user_orgs: DataFrame,
                              user_col: str = "user_id", org_col: str = "organization_id") -> DataFrame:
     """P7 insert rule as a report: rows whose org is not the inserting

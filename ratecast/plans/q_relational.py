@@ -192,6 +192,16 @@ def q_tenant_rows(spark, sf):
     return P.tenant_rows(o, "c_nationkey", orgs, 1).select("o_orderkey")
 
 
+@query("tenant_visibility", """SELECT c.c_custkey AS user_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n_visible, round(v.total, 6) AS total
+FROM customer c LEFT JOIN (SELECT c2.c_nationkey AS org, count(*) AS n, sum(o.o_totalprice) AS total FROM orders o
+  JOIN customer c2 ON o.o_custkey = c2.c_custkey GROUP BY 1) v ON v.org = c.c_nationkey""")
+def q_tenant_visibility(spark, sf):
+    c = table(spark, sf, "customer")
+    o = table(spark, sf, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    orgs = c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("organization_id"))
+    return _r(P.tenant_visibility(o, "c_nationkey", orgs, "o_totalprice"))
+
+
 @query("tenant_insert_violations", f"""SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
 WHERE NOT EXISTS (SELECT 1 FROM {_ORG} u WHERE u.user_id = o.o_custkey AND u.organization_id = s.s_nationkey)""")
