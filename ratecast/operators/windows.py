@@ -107,22 +107,32 @@ def lag_features(df: DataFrame, targets: Sequence[str], keysets: dict[str, Seque
                  order: Sequence[str], peers: Sequence[str] = (), peer_keyset: str | None = None,
                  chunk: Column | None = None) -> DataFrame:
     """Expanding means for every (target, keyset), plus per-peer
-    expanding means on ``peer_keyset`` and their row mean."""
+    expanding means on ``peer_keyset`` and their row mean.
+
+    One running-totals pass per keyset carries the sums of every target
+    (and peer) at once: the earlier-row count is shared, since nulls are
+    counted in it (T1)."""
     out = df
-    for t in targets:
-        for name, ks in keysets.items():
-            out = expanding_mean(out, ks, t, order, out=f"lag_{t}_{name}_mean",
-                                 out_n=f"lag_{t}_{name}_n", chunk=chunk)
+    peer_ks = peer_keyset or next(iter(keysets))
+    for name, ks in keysets.items():
+        vals = list(targets) + (list(peers) if peers and name == peer_ks else [])
+        if not vals:
+            continue
+        r = running_totals(out, ks, order, sums={f"_s_{name}_{v}": F.col(v) for v in vals},
+                           count_out=f"_n_{name}", chunk=chunk)
+        n = F.col(f"_n_{name}")
+        for v in vals:
+            mean = F.when(F.col(v).isNotNull() & (n > 0), div0(F.col(f"_s_{name}_{v}"), n))
+            if v in targets:
+                r = r.withColumn(f"lag_{v}_{name}_n", n).withColumn(f"lag_{v}_{name}_mean", mean)
+            if peers and name == peer_ks and v in peers:
+                r = r.withColumn(f"lag_peer_{v}_mean", mean)
+        out = r.drop(f"_n_{name}", *[f"_s_{name}_{v}" for v in vals])
     if peers:
-        ks = keysets[peer_keyset or next(iter(keysets))]
-        pcols = []
-        for p in peers:
-            c = f"lag_peer_{p}_mean"
-            out = expanding_mean(out, ks, p, order, out=c, out_n=None, chunk=chunk)
-            pcols.append(c)
+        pcols = [f"lag_peer_{p}_mean" for p in peers]
         s = sum(F.coalesce(F.col(c), F.lit(0.0)) for c in pcols)
-        n = sum(F.col(c).isNotNull().cast("int") for c in pcols)
-        out = out.withColumn("lag_peers_avg", F.when(n > 0, div0(s, n)))
+        k = sum(F.col(c).isNotNull().cast("int") for c in pcols)
+        out = out.withColumn("lag_peers_avg", F.when(k > 0, div0(s, k)))
     return out
 
 
