@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
 
+# A key's requests are spread over ceil(requests of the key / this) salt
+# buckets in as-of lookups (at most MAX_SALT).
+REQUESTS_PER_BUCKET = 200_000
+MAX_SALT = 64
+
+
+def salt_for(requests: DataFrame, keys: Sequence[str]) -> int:
+    """Salt buckets needed so no bucket holds more than REQUESTS_PER_BUCKET
+    requests of one key (one small aggregate over the requests)."""
+    import math
+    m = requests.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return int(min(MAX_SALT, max(1, math.ceil(m / REQUESTS_PER_BUCKET))))
+
 
 def daily_totals(history: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
     """Per (keys, day): sum, sum of squares and count of ``value``, plus
@@ -29,7 +42,7 @@ def daily_totals(history: DataFrame, keys: Sequence[str], date: str, value: str)
 
 
 def asof(requests: DataFrame, totals: DataFrame, keys: Sequence[str], at: Column, prefix: str,
-         rid: str = "request_id") -> DataFrame:
+         rid: str = "request_id", salt: int = 1) -> DataFrame:
     """Attach the running totals of ``totals`` as of date ``at`` (latest
     day <= at) for each request; zeros when there is none.
 
@@ -39,15 +52,20 @@ def asof(requests: DataFrame, totals: DataFrame, keys: Sequence[str], at: Column
     ``rid`` is unused here but kept for a uniform signature."""
     keys = list(keys)
     cs, cq, cn = f"{prefix}cs", f"{prefix}cq", f"{prefix}cn"
-    a = requests.withColumn("_asof_d", at).withColumn("_asof_kind", F.lit(1))
+    # salt: requests spread over SALT buckets by their id; the per-(key, day)
+    # totals (small) are replicated into every bucket
+    a = (requests.withColumn("_asof_d", at).withColumn("_asof_kind", F.lit(1))
+         .withColumn("_salt", F.pmod(F.xxhash64(F.col(rid)), F.lit(salt))))
     b = totals.select(*keys, F.col("_d").alias("_asof_d"), F.lit(0).alias("_asof_kind"),
                       F.col("cs").cast("double").alias(cs), F.col("cq").cast("double").alias(cq),
-                      F.col("cn").cast("bigint").alias(cn))
-    w = Window.partitionBy(*keys).orderBy("_asof_d", "_asof_kind").rowsBetween(Window.unboundedPreceding, 0)
+                      F.col("cn").cast("bigint").alias(cn),
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_salt"))
+    w = (Window.partitionBy(*keys, "_salt").orderBy("_asof_d", "_asof_kind")
+         .rowsBetween(Window.unboundedPreceding, 0))
     u = a.unionByName(b, allowMissingColumns=True)
     for c in (cs, cq, cn):
         u = u.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    out = u.where(F.col("_asof_kind") == 1).drop("_asof_kind", "_asof_d")
+    out = u.where(F.col("_asof_kind") == 1).drop("_asof_kind", "_asof_d", "_salt")
     for c in (cs, cq):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
     return out.withColumn(cn, F.coalesce(F.col(cn), F.lit(0)).cast("bigint"))
@@ -73,7 +91,8 @@ def asof_calendar(requests: DataFrame, totals: DataFrame, at: Column, prefix: st
 
 
 def window_stats(requests: DataFrame, history: DataFrame, req_keys: Sequence[str], hist_keys: Sequence[str],
-                 target: str, date: str, value: str, days: int | None, name: str, rid: str = "request_id") -> DataFrame:
+                 target: str, date: str, value: str, days: int | None, name: str, rid: str = "request_id",
+                 salt: int = 1) -> DataFrame:
     """Sum / count / sum of squares of history with matching key and date
     in [target - days, target) (or all dates before target when ``days``
     is None), as columns ``{name}_s``, ``{name}_n``, ``{name}_q``."""
@@ -84,7 +103,7 @@ def window_stats(requests: DataFrame, history: DataFrame, req_keys: Sequence[str
         tot = tot.drop("_one")
         look = lambda df, at, pre: asof_calendar(df, tot, at, pre)
     else:
-        look = lambda df, at, pre: asof(df, tot, req_keys, at, pre, rid)
+        look = lambda df, at, pre: asof(df, tot, req_keys, at, pre, rid, salt)
     r = look(requests, F.date_sub(t, 1), "_hi_")
     if days is None:
         r = r.withColumn("_lo_cs", F.lit(0.0)).withColumn("_lo_cq", F.lit(0.0)).withColumn("_lo_cn", F.lit(0))
@@ -112,8 +131,9 @@ def point_in_time(requests: DataFrame, history: DataFrame, keysets: dict[str, tu
     base_n = F.when(recent, F.col("_rec_n")).otherwise(F.col("_all_n"))
     r = r.withColumn("_base_mean", div0(base_s, base_n)).withColumn("_recent", recent)
     for name, (rk, hk) in keysets.items():
-        r = window_stats(r, h, rk, hk, target, date, value, days, f"_{name}r", rid)
-        r = window_stats(r, h, rk, hk, target, date, value, None, f"_{name}a", rid)
+        salt = salt_for(requests, rk)
+        r = window_stats(r, h, rk, hk, target, date, value, days, f"_{name}r", rid, salt)
+        r = window_stats(r, h, rk, hk, target, date, value, None, f"_{name}a", rid, salt)
         s = F.when(F.col("_recent"), F.col(f"_{name}r_s")).otherwise(F.col(f"_{name}a_s"))
         n = F.when(F.col("_recent"), F.col(f"_{name}r_n")).otherwise(F.col(f"_{name}a_n"))
         r = (r.withColumn(f"lag_{name}_n", n)
@@ -164,7 +184,10 @@ def series_features(requests: DataFrame, history: DataFrame, key: Sequence[str],
                    *[F.lit(None).cast(st.schema[c].dataType).alias(c) for c in cols])
     b = st.select(*key, "_d", F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_rid"), *ordc, *cols)
     a = a.select(*[F.col(c).cast(b.schema[c].dataType) if c in ordc else F.col(c) for c in a.columns])
-    w = Window.partitionBy(*key).orderBy("_d", "_kind", *ordc).rowsBetween(Window.unboundedPreceding, 0)
+    salt = salt_for(requests, key)
+    a = a.withColumn("_salt", F.pmod(F.xxhash64(F.col("_rid")), F.lit(salt)))
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    w = Window.partitionBy(*key, "_salt").orderBy("_d", "_kind", *ordc).rowsBetween(Window.unboundedPreceding, 0)
     # the whole state struct moves together (a row either has it or not)
     u = a.unionByName(b).withColumn("_st", F.when(F.col("_kind") == 0, F.struct(*cols)))
     u = u.select("_rid", "_kind", F.last("_st", ignorenulls=True).over(w).alias("_st"))

@@ -291,3 +291,22 @@ def test_halo_windows_equal_plain_windows_on_hot_key(spark):
     assert len(a) == len(b) == n
     for c in ["lag_1", "lag_2", "lag_5", "ema", "rolling_mean"]:
         assert np.allclose(a[c].fillna(-999), b[c].fillna(-999)), c
+
+
+def test_salted_asof_equals_unsalted(spark):
+    from ratecast.operators import pointintime as PT
+    rng = np.random.default_rng(3)
+    hist = pd.DataFrame({"k": rng.choice(["hot", "x"], 500, p=[0.9, 0.1]),
+                         "d": pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, 40, 500), unit="D"),
+                         "v": rng.normal(size=500)})
+    req = pd.DataFrame({"request_id": np.arange(300), "k": rng.choice(["hot", "x", "new"], 300),
+                        "target": pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, 45, 300), unit="D")})
+    h, r = spark.createDataFrame(hist), spark.createDataFrame(req)
+    tot = PT.daily_totals(h, ["k"], "d", "v")
+    at = F.date_sub(F.to_date("target"), 1)
+    a = PT.asof(r, tot, ["k"], at, "p_", salt=1).toPandas().sort_values("request_id").reset_index(drop=True)
+    b = PT.asof(r, tot, ["k"], at, "p_", salt=4).toPandas().sort_values("request_id").reset_index(drop=True)
+    assert (a["p_cn"] == b["p_cn"]).all() and np.allclose(a["p_cs"], b["p_cs"])
+    # brute force: count of history rows of the key dated before the target
+    exp = [int(((hist.k == k) & (hist.d < t)).sum()) for k, t in zip(req.k, req.target)]
+    assert list(a["p_cn"]) == exp
