@@ -180,3 +180,77 @@ def q_append_unseen(spark, sf):
   round(avg(value), 6) AS mean FROM {EV}""")
 def q_load_summary(spark, sf):
     return _r(IO.load_summary(events(spark, sf), "d", "value"))
+
+
+# S2 + F1-F9 + J4/J5: the ingest lifecycle end to end ---------------------------------
+RAW_COLS = ["program", "weekday", "air_date", "start_time", "duration", "rating", "share",
+            "comp_11", "comp_12", "comp_13", "comp_14"]
+_RAW_SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in ("rating", "share") or c.startswith("comp")
+                                          else T.StringType()) for c in RAW_COLS])
+
+
+def _raw_from_events(spark, sf):
+    """A raw broadcast log derived from every event (text times, hours 24/25)."""
+    from ratecast.functions.scalars import weekday_name
+    ev = _start_time(events(spark, sf))
+    mins = F.floor("value").cast("int")
+    return ev.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string"),
+                 F.when(F.col("event_type") == "view", F.lit(" ש.ח")).otherwise(F.lit(""))).alias("program"),
+        weekday_name("d").alias("weekday"), F.date_format("d", "yyyy-MM-dd").alias("air_date"), "start_time",
+        F.format_string("%02d:%02d:00", (mins / 60).cast("int"), mins % 60).alias("duration"),
+        (F.col("value") / 100).alias("rating"), (F.col("k") / 10).alias("share"),
+        (F.col("k") / 100).alias("comp_11"), (F.col("value") / 200).alias("comp_12"),
+        F.when(F.col("event_type") != "error", F.col("k") / 50).alias("comp_13"), F.lit(0.0).alias("comp_14"))
+
+
+_RAW_SQL_SRC = f"""(SELECT 'user-' || user_id || CASE WHEN event_type = 'view' THEN ' ש.ח' ELSE '' END AS program,
+  CAST(d AS VARCHAR) AS air_date, printf('%02d:%02d:%02d', h + CASE WHEN h < 2 THEN 24 ELSE 0 END, minute(ts),
+  CAST(floor(second(ts)) AS INTEGER)) AS start_time, CAST(floor(value) AS INTEGER) AS mins, value / 100 AS rating,
+  k / 100 AS comp_11, value / 200 AS comp_12, CASE WHEN event_type <> 'error' THEN k / 50 END AS comp_13,
+  0.0 AS comp_14, d FROM {EV})"""
+_PM4 = ("((coalesce(comp_11, 0) + coalesce(comp_12, 0) + coalesce(comp_13, 0) + coalesce(comp_14, 0)) / "
+        "nullif(CAST(comp_11 IS NOT NULL AS INT) + CAST(comp_12 IS NOT NULL AS INT) + CAST(comp_13 IS NOT NULL AS INT) "
+        "+ CAST(comp_14 IS NOT NULL AS INT), 0))")
+_HF = "CAST(floor((CAST(split_part(start_time, ':', 1) AS DOUBLE) * 60 + CAST(split_part(start_time, ':', 2) AS DOUBLE) + CAST(split_part(start_time, ':', 3) AS DOUBLE) / 60) / 60) AS INTEGER)"
+
+
+def _raw_ingest_sql():
+    from ratecast.functions.scalars import STATUS_DEFAULT_HE, STATUS_RULES_HE
+    from ratecast.plans.q_aggregates import _DP_SQL
+    status = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(program, '{n}')" for n in needles) + f" THEN '{lab}'"
+                                for needles, lab in STATUS_RULES_HE) + f" ELSE '{STATUS_DEFAULT_HE}' END"
+    sec = ("coalesce((SELECT string_agg(i.name, ' + ' ORDER BY i.ord) FROM " + IV + " i WHERE i.category IN "
+           "('security', 'political') AND i.end_date IS NOT NULL AND r.d BETWEEN i.start_date AND i.end_date), '—')")
+    return f"""SELECT program, CAST(air_date AS DATE) AS air_date, start_time,
+  round((mins // 60) * 60 + mins % 60, 6) AS duration_min, hf AS start_hour,
+  {_DP_SQL.replace('h ', 'hf ').replace('h>', 'hf>')} AS daypart,
+  coalesce(regexp_matches(program, 'ש\\.ח|לקט'), false) AS is_rerun,
+  trim(regexp_replace(program, '\\s*ש\\.ח\\s*$', '')) AS program_source,
+  round({_PM4}, 6) AS competitors_avg, round(rating - {_PM4}, 6) AS advantage,
+  round(coalesce(comp_11, 0) + coalesce(comp_12, 0) + coalesce(comp_13, 0) + coalesce(comp_14, 0) + rating, 6) AS hut_proxy,
+  0.65 AS reception_pct, round(rating / 0.65, 6) AS rating_adj, {status} AS status, {sec} AS tag_security
+FROM (SELECT *, {_HF} AS hf FROM {_RAW_SQL_SRC}) r"""
+
+
+@query("raw_ingest", _raw_ingest_sql())
+def q_raw_ingest(spark, sf):
+    """Raw CSV (every event as a broadcast row, text times) -> required-column
+    check -> derived features (F1-F9) -> interval tags.  The banner-line path
+    of the reader is covered by the unit tests."""
+    from ratecast.functions import scalars as S
+    from ratecast.plans.tables import intervals
+    path = IO.write_artifact(_raw_from_events(spark, sf), IO.scratch_path(spark, "raw_broadcasts"), "csv")
+    df = IO.read_raw_csv(spark, path, _RAW_SCHEMA, RAW_COLS, "program")
+    comps = ["comp_11", "comp_12", "comp_13", "comp_14"]
+    hf = S.hour_of("start_time", "floor")
+    rec = S.reception("air_date", "monthly_clamped")
+    out = df.select(
+        "program", F.to_date("air_date").alias("air_date"), "start_time",
+        S.hms_to_minutes("duration").alias("duration_min"), hf.alias("start_hour"), S.daypart(hf).alias("daypart"),
+        S.is_rerun("program").alias("is_rerun"), S.source_name("program").alias("program_source"),
+        S.peer_mean(comps).alias("competitors_avg"), S.advantage("rating", comps).alias("advantage"),
+        S.hut("rating", comps).alias("hut_proxy"), rec.alias("reception_pct"),
+        S.adjusted("rating", rec).alias("rating_adj"), S.status_of("program").alias("status"))
+    out = I.interval_tag(out, intervals(spark), "air_date", out="tag_security", mode="concat", cats=SEC_CATS)
+    return _r(out, "start_hour")
