@@ -408,3 +408,13 @@ def q_fallback_lookup(spark, sf):
     tr, te = ev.where(F.col("split") == "train"), ev.where(F.col("split") == "test")
     r = J.cascade_mean(tr, te, SLOT_LEVELS, "value", out="pred", level_out="level")
     return _r(r.select("event_id", "pred", F.col("level").cast("int")), "level")
+
+
+@query("worst_entities_per_model", f"""WITH {PRED_CTE},
+ent AS (SELECT model, user_id, count(*) AS n, avg(abs(pred - actual)) AS mae FROM plong GROUP BY model, user_id HAVING count(*) >= 5)
+SELECT model, user_id, CAST(n AS BIGINT) AS n, round(mae, 6) AS mae, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY mae DESC, user_id) AS rank FROM ent) WHERE rank <= 5""")
+def q_worst_entities_per_model(spark, sf):
+    """K4 (entities): per model the 5 series with the highest MAE among
+    those with at least 5 evaluated rows."""
+    return _r(K.worst_per_model(predictions_long(spark, sf), "actual", "user_id", 5, 5), "rank")
