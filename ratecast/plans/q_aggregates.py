@@ -539,3 +539,13 @@ def q_metric_delta(spark, sf):
     first = A.metrics(long.where(F.col("d") <= mid), "actual", "pred", by=["model"])
     second = A.metrics(long.where(F.col("d") > mid), "actual", "pred", by=["model"])
     return _r(A.metric_delta(first, second))
+
+
+@query("usage_top_programs", f"""SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM {EV}
+GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 5""")
+def q_usage_top_programs(spark, sf):
+    """The five most used series (by row count) with their mean; a
+    global top-k (per-partition top-k, then a merge)."""
+    from ratecast.operators.topk import n_extreme
+    g = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return _r(n_extreme(g, "n", 5, True, ["user_id"]))
