@@ -80,7 +80,7 @@ def restore_planes(planes: list[bytes], n: int, block: int = BLOCK, bits: bool =
 
 
 _CHUNK = "shard int, chunk int, first long, n_ids long, n_docs long, crc long, lengths binary, docs array<{kind}>, planes array<binary>"
-_HEAD = struct.Struct("<IB")
+_HEAD = "<IB"  # block size and whether the planes are bits
 
 
 def write_ids(docs: DataFrame, store: Scratch, name: str = "ids", vocabulary: str = VOCABULARY, end_id: int = END,
@@ -104,7 +104,7 @@ def write_ids(docs: DataFrame, store: Scratch, name: str = "ids", vocabulary: st
             all_ids = np.frombuffer(b"".join(ids), dtype=enc.dtype)
             lengths = np.array([len(x) // enc.dtype.itemsize for x in ids], dtype="<i8")
             planes = shuffle_planes(all_ids, block, bits)
-            body = _HEAD.pack(block, bits) + lengths.tobytes()
+            body = struct.pack(_HEAD, block, bits) + lengths.tobytes()
             out = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([len(all_ids)], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([zlib.crc32(b"".join(planes))], pa.int64()), pa.array([body], pa.binary()),
@@ -145,8 +145,8 @@ def read_ids(spark: SparkSession, store: Scratch, kind: str = "bigint", name: st
                 row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names) if c != "docs"}
                 if zlib.crc32(b"".join(row["planes"])) != row["crc"]:
                     raise ValueError(f"shard {row['shard']} chunk {row['chunk']}: checksum differs")
-                block, bits = _HEAD.unpack_from(row["lengths"])
-                lengths = np.frombuffer(row["lengths"], "<i8", offset=_HEAD.size)
+                block, bits = struct.unpack_from(_HEAD, row["lengths"])
+                lengths = np.frombuffer(row["lengths"], "<i8", offset=struct.calcsize(_HEAD))
                 ids = restore_planes(row["planes"], row["n_ids"], block, bool(bits))
                 ends = np.cumsum(lengths)
                 cut = [ids[b - n:b].tobytes() for b, n in zip(ends.tolist(), lengths.tolist())]

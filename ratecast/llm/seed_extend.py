@@ -58,12 +58,14 @@ def _windows(texts: list[bytes], span: int, k: int):
 
 def _ranges(doc, key, start, span):
     """Merge window starts into (doc, key, first word, end) ranges."""
+    if not len(doc):
+        return doc, key, start, start
     order = np.lexsort((start, key, doc))
     doc, key, start = doc[order], key[order], start[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + span)])[:len(doc)]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + span)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], key[first], start[first], (start[last] + span if len(last) else start[:0])
+    return doc[first], key[first], start[first], start[last] + span
 
 
 def _later(doc: np.ndarray, window: np.ndarray) -> np.ndarray:
