@@ -104,7 +104,7 @@ def components(edges: DataFrame, store: Scratch, label: str = "cc") -> DataFrame
 
 # --- words ----------------------------------------------------------------
 
-MEMO_MAX = 400_000  # entries of a worker's memory of word hashes; a full one starts anew
+MEMO_MAX = 200_000  # entries of a worker's memory of word hashes; a full one starts anew
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 

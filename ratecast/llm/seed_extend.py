@@ -32,7 +32,7 @@ from ratecast.llm.common import Scratch, gram_hashes, partitions, row_key, slice
 
 SPAN = 13
 GRAM = 5
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 TASK_ROWS = 4_000  # documents per reducing task
 
 

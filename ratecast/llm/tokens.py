@@ -10,13 +10,31 @@ A text that holds a special token's own string is encoded as a whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 
-MEMO_MAX = 800_000  # units a worker remembers; a full memory starts anew
+MEMO_MAX = 500_000  # units a worker remembers; a full memory keeps those of the texts at hand
 _ENCODERS: dict = {}
 
+# The split of the byte-level vocabularies, and the characters
+# on whose classes all regular expression engines agree.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile(r"[^\n!-~\u00a1-\u024f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte to letter of the byte-level alphabet: printable bytes stand for
+    themselves, the others for the letters from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Path of a public tokenizer file on this machine (driver or executor)."""
@@ -37,26 +55,27 @@ class Encoder:
         pre = str(self.lib.pre_tokenizer)
         self.cuts = "ByteLevel" in pre and "add_prefix_space=False" in pre and self.lib.normalizer is None
         self.after_blank: dict[str, bytes] = {}  # unit that a blank precedes, without it: ids with the blank
-        blank = "\u0120"                          # a blank in a byte-level vocabulary
-        self.starts = np.zeros(self.size, dtype=bool)
-        self.starts[[i for t, i in self.lib.get_vocab().items() if t.startswith(blank)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
     def _learn(self, units: list[str]) -> None:
-        """Encode units that have no white space at either end and no blank,
-        in one text; each begins with the one token that holds its blank."""
-        for i in range(0, len(units), 400):
-            some = units[i:i + 400]
-            ids = self._ids(" " + " ".join(some))
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(some):
-                raw, w = ids.tobytes(), self.dtype.itemsize
-                cut = [*(at * w).tolist(), len(raw)]
-                self.after_blank.update(zip(some, [raw[a:b] for a, b in zip(cut, cut[1:])]))
-            else:
-                self.after_blank.update((u, self._ids(" " + u).tobytes()) for u in some)
+        """Encode units that have no blank and no white space at their ends.
+        The split runs over many units at once (a unit begins where a piece
+        begins with a blank), and the library's model merges each distinct
+        piece; units with unusual characters go through the whole library."""
+        model = self.lib.model
+        unusual = set(filter(UNUSUAL.search, units))
+        self.after_blank.update((u, self._ids(" " + u).tobytes()) for u in unusual)
+        usual = [u for u in units if u not in unusual]
+        for i in range(0, len(usual), 20_000):
+            some = usual[i:i + 20_000]
+            pieces = SPLIT.findall(" " + " ".join(some))
+            ids = {p: np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], dtype=self.dtype).tobytes()
+                   for p in set(pieces)}
+            at = [j for j, p in enumerate(pieces) if p[0] == " "]
+            parts = [ids[p] for p in pieces]
+            self.after_blank.update(zip(some, [b"".join(parts[a:b]) for a, b in zip(at, [*at[1:], len(parts)])]))
 
     def _uneven(self, parts: list[str]) -> bytes:
         """A text with white space beside some of its blanks: cut at the others."""
@@ -76,32 +95,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        known, out, later = self.after_blank, [b""] * len(texts), []
+        whole = {i for i, t in enumerate(texts) if not self.cuts or any(s in t for s in self.special)}
+        parts = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
+        units: set[str] = set()
+        for p in parts:
+            units.update(p[1:])
+        known = self.after_blank
         if len(known) > MEMO_MAX:
-            known.clear()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.cuts or any(s in t for s in self.special):
-                out[i] = self._ids(t).tobytes()
-                continue
-            parts = t.split(" ")
-            if not parts[0] or parts[0][-1].isspace():
-                later.append((i, parts))
-                continue
-            try:
-                rest = b"".join([known[x] for x in parts[1:]])
-                out[i] = self._ids(parts[0]).tobytes() + rest
-            except KeyError:
-                later.append((i, parts))
-        new = {x for _, parts in later for x in parts[1:] if x not in known}
+            known = self.after_blank = {u: known[u] for u in units if u in known}
+        new = units.difference(known)
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
         self._learn(list(new - odd))
-        for i, parts in later:
-            if parts[0] and not parts[0][-1].isspace() and not odd.intersection(parts):
-                out[i] = self._ids(parts[0]).tobytes() + b"".join([known[x] for x in parts[1:]])
+        out = []
+        for i, (t, p) in enumerate(zip(texts, parts)):
+            if not t:
+                out.append(b"")
+            elif i in whole:
+                out.append(self._ids(t).tobytes())
+            elif not p[0] or p[0][-1].isspace() or (odd and not odd.isdisjoint(p)):
+                out.append(self._uneven(p))
             else:
-                out[i] = self._uneven(parts)
+                out.append(self._ids(p[0]).tobytes() + b"".join([known[x] for x in p[1:]]))
         return out
 
 
@@ -112,7 +126,7 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def batches_of_texts(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+def batches_of_texts(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
     """(first row, texts) of a batch in runs of at most ``most`` characters; null is empty."""
     run, first, held = [], 0, 0
     for i, t in enumerate(batch.column(column).to_pylist()):

@@ -32,6 +32,7 @@ from ratecast.llm.tokens import batches_of_texts, encoder
 
 CAPACITY = 2048
 END = 0
+BROADCAST_ROWS = 1_000_000  # counts per part and length (three numbers each) up to which they are broadcast
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -146,6 +147,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = slots(patterns(counts, capacity))
     before = per_part.select(F.col("length").alias("__l"), F.col("part").alias("__p"), F.coalesce(F.sum("n").over(
         W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    if per_part.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)  # else a shuffle join
     by_length: dict[int, list] = {}
     for size, a, b, s, o in table:
         by_length.setdefault(size, []).append((a, b, s, o))
