@@ -170,7 +170,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
              .where("doc_id is not null"))
     known = store.write(table.join(truth, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))),
                         "known")
-    sample = (known.where("half = 0").orderBy(F.xxhash64("doc_id", F.lit(11)), "key").limit(train_rows)
+    draw = F.xxhash64("doc_id", F.lit(11))
+    first = known.where("half = 0")
+    n = first.count()
+    if n > 2 * train_rows:  # thinned before it is ordered, so that few rows beyond the bound reach the driver
+        first = first.where(F.pmod(draw, F.lit(1 << 31)) < int((1 << 31) * 2 * train_rows / n))
+    sample = (first.orderBy(draw, "key").limit(train_rows)
               .select(*FEATURES, "good").toPandas())
     w = fit_score(sample[list(FEATURES)].to_numpy(float), sample["good"].to_numpy(float))
     logit = F.lit(float(w[0]))
