@@ -58,9 +58,8 @@ def text_date(c, today, weekdays: Sequence[str] = WEEKDAYS_HE) -> Column:
     for w in WORDS_NEXT:
         nxt = s.contains(w) if nxt is None else nxt | s.contains(w)
     dows = ["SU", "MO", "TU", "WE", "TH", "FR", "SA"]
-    # the source scans its weekday table Monday-first; keep that order
-    for i in [1, 2, 3, 4, 5, 6, 0]:
-        name = weekdays[i]
+    # of several weekday names the first from Sunday on counts
+    for i, name in enumerate(weekdays):
         e = e.when(s.contains(name) & (nxt | s.contains("ב" + name)), F.next_day(t, dows[i]))
     return e.otherwise(explicit_date(s))
 
@@ -83,10 +82,12 @@ def text_scenario(c, words: Sequence[str] = SCENARIO_WORDS) -> Column:
     return F.when(has_any(c, words), "special_event").otherwise("routine")
 
 
-def confidence(date_col, program_col) -> Column:
-    """confidence label from what could be parsed."""
-    return (F.when(date_col.isNotNull() & program_col.isNotNull(), "high")
-            .when(date_col.isNotNull() | program_col.isNotNull(), "medium").otherwise("low"))
+def confidence(c, program_col, weekdays: Sequence[str] = WEEKDAYS_HE) -> Column:
+    """high with a program and a day word (tomorrow, today, week or a
+    weekday), medium with a program alone, else low; a bare date counts for
+    neither."""
+    day = has_any(c, [WORD_TOMORROW, WORD_TODAY, WORD_WEEK, *weekdays])
+    return F.when(program_col.isNotNull() & day, "high").when(program_col.isNotNull(), "medium").otherwise("low")
 
 
 def json_field(c, path: str) -> Column:

@@ -74,8 +74,8 @@ def paired_means(df: DataFrame, entity: str, flag, value: str, min_n: int = 5) -
 
 
 def paired_delta(df: DataFrame, entity: str, flag, value: str, min_n: int = 5, top: int = 20) -> DataFrame:
-    """A5 table: the ``top`` entities by delta (ties by entity)."""
-    return paired_means(df, entity, flag, value, min_n).orderBy(F.col("delta").desc(), F.col(entity)).limit(top)
+    """A5 table: the ``top`` entities with most flagged rows (ties by entity)."""
+    return paired_means(df, entity, flag, value, min_n).orderBy(F.col("n_true").desc(), F.col(entity)).limit(top)
 
 
 def paired_summary(df: DataFrame, entity: str, flag, value: str, min_n: int = 5) -> DataFrame:
@@ -244,18 +244,20 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def binned(df: DataFrame, value: str, edges: Sequence[float], labels: Sequence[str] | None = None,
            right: bool = False, aggs: dict[str, Column] | None = None) -> DataFrame:
     """Explicit edges, ``[a, b)`` (or ``(a, b]`` with
-    ``right``); values outside all bins dropped."""
+    ``right``); a last edge of None opens the last bin upwards; values
+    outside all bins are dropped."""
     v = F.col(value)
-    expr = None
+
+    def inside(a, b):
+        above = v > a if right else v >= a
+        return above if b is None else above & (v <= b if right else v < b)
+    expr = order = None
     for i in range(len(edges) - 1):
         a, b = edges[i], edges[i + 1]
-        cond = (v > a) & (v <= b) if right else (v >= a) & (v < b)
-        lab = labels[i] if labels else f"{a}-{b}"
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    order = None
+        lab = labels[i] if labels else f"{a}+" if b is None else f"{a}-{b}"
+        expr = F.when(inside(a, b), F.lit(lab)) if expr is None else expr.when(inside(a, b), F.lit(lab))
     for i in range(len(edges) - 1):
-        a, b = edges[i], edges[i + 1]
-        cond = (v > a) & (v <= b) if right else (v >= a) & (v < b)
+        cond = inside(edges[i], edges[i + 1])
         order = F.when(cond, F.lit(i)) if order is None else order.when(cond, F.lit(i))
     base = [F.count("*").alias("n")] + [e.alias(k) for k, e in (aggs or {}).items()]
     return (df.withColumn("bin", expr).withColumn("bin_order", order.cast("bigint")).where(F.col("bin").isNotNull())
@@ -458,8 +460,10 @@ def usage(df: DataFrame, ts: str, kind: str, as_of, days: int = 7) -> DataFrame:
     return g.withColumn("total", total).withColumn("total_recent", total_recent)
 
 
-def sign_counts(df: DataFrame, err: str, category: str) -> DataFrame:
-    """under/over counts and per-category counts as ``cat:n`` text."""
+def sign_counts(df: DataFrame, err: str, category: str, id_col: str, n: int = 5) -> DataFrame:
+    """under/over counts and per-category counts as ``cat:n`` text, of
+    the ``n`` rows with the largest absolute error (ties by id)."""
+    df = df.orderBy(F.abs(F.col(err)).desc(), F.col(id_col)).limit(n)
     per = df.groupBy(category).agg(F.count("*").alias("_n"))
     cats = per.agg(F.array_join(F.array_sort(F.collect_list(
         F.concat(F.col(category).cast("string"), F.lit(":"), F.col("_n").cast("string")))), ",")).scalar()

@@ -51,12 +51,12 @@ def cascade_mean(train: DataFrame, test: DataFrame, levels: Sequence[Sequence[st
 
 def recent_weekday_mean(train: DataFrame, test: DataFrame, date: str, value: str, weeks: int = 8,
                         out: str = "pred") -> DataFrame:
-    """Mean of the same weekday over the last ``weeks`` weeks of
-    train, else the mean of those weeks."""
+    """Mean of the same weekday from ``weeks`` weeks before the last
+    train date on, that date included, else the mean of all train."""
     last = train.agg(F.max(F.to_date(date))).scalar()
-    recent = train.where(F.to_date(date) > F.date_sub(last, 7 * weeks))
+    recent = train.where(F.to_date(date) >= F.date_sub(last, 7 * weeks))
     by_dow = recent.groupBy(F.dayofweek(F.to_date(date)).alias("_dow")).agg(F.avg(value).alias("_m"))
-    g = recent.agg(F.avg(value)).scalar()
+    g = train.agg(F.avg(value)).scalar()
     res = test.withColumn("_dow", F.dayofweek(F.to_date(date))).join(by_dow, "_dow", "left")
     return res.withColumn(out, F.coalesce(F.col("_m"), g)).drop("_dow", "_m")
 

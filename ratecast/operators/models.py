@@ -142,10 +142,10 @@ def importance(model, names: Sequence[str]) -> list[tuple[str, float]]:
 
 # M13 ---------------------------------------------------------------------------
 def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: str, date: str, num, bools, cats,
-                       by: Sequence[str] = (), cal_frac: float = 0.15, alpha: float = 0.2, model: str = "gbt"):
+                       by: Sequence[str] = (), cal_frac: float = 0.15, alpha: float = 0.2, miss_q: float = 0.9, model: str = "gbt"):
     """Split-conformal 80% interval: fit on the earlier train part, take
     per-segment residual quantiles as the raw P10/P90, then widen each side
-    by max(0, upper quantile of its signed misses) measured on the last
+    by max(0, the ``miss_q`` quantile of its signed misses) measured on the last
     ``cal_frac`` of train (by date).  Returns coverage before/after."""
     from ratecast.operators.windows import date_cut
     cut = date_cut(train, date, cal_frac)
@@ -168,8 +168,8 @@ def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: st
             s = s.withColumn("_rlo", res_q.select("_rlo").scalar()).withColumn("_rhi", res_q.select("_rhi").scalar())
         return s.withColumn("low", F.col("pred") + F.col("_rlo")).withColumn("high", F.col("pred") + F.col("_rhi"))
     c = band(cal)
-    off_lo = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col("low") - F.col(label), 1 - alpha))).scalar()
-    off_hi = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col(label) - F.col("high"), 1 - alpha))).scalar()
+    off_lo = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col("low") - F.col(label), miss_q))).scalar()
+    off_hi = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col(label) - F.col("high"), miss_q))).scalar()
     t = band(test).withColumn("low_c", F.col("low") - off_lo).withColumn("high_c", F.col("high") + off_hi)
     y = F.col(label)
     return t.agg(F.count("*").alias("n"),
@@ -234,7 +234,7 @@ def series_baselines(df: DataFrame, key: Sequence[str], value: str, order: Seque
     value, and the EMA of the train values (as of the train end)."""
     from ratecast.operators.windows import ema
     tr = df.where(F.col(split) == "train")
-    e = ema(tr, key, value, order, span=span, out="_ema_prev", frame=100)
+    e = ema(tr, key, value, order, span=span, out="_ema_prev")
     # EMA through the last train row = fold the last value into the previous EMA
     a = 2.0 / (span + 1)
     last = (e.groupBy(*key).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("_ema_prev").alias("e")),

@@ -143,18 +143,19 @@ def point_in_time(requests: DataFrame, history: DataFrame, keysets: dict[str, tu
 
 
 def series_state(history: DataFrame, key: Sequence[str], date: str, value: str, order: Sequence[str],
-                 span: int = 4, frame: int = 100) -> DataFrame:
+                 span: int = 4) -> DataFrame:
     """W13 helper: per history row, the serving state *after* that row:
-    last two values, EMA (adjust=False) and mean of the last four, row
+    last two values (a series of one row gives it twice; nulls are left out), EMA (adjust=False) and mean of the last four, row
     count and first date of the series.  Windows run per (key, day) with a
     halo (hot-key safe); counts are two-level running totals."""
-    from ratecast.operators.windows import halo_window, running_totals
+    from ratecast.operators.windows import ema_frame, halo_window, running_totals
+    history, frame = history.where(F.col(value).isNotNull()), ema_frame(span)
     a = 2.0 / (span + 1)
 
     def cols(w):
         h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame + 1, 0))
         ema = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1), lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
-        return {"s_lag_2": F.lag(value, 1).over(w), "s_ema": ema, "s_roll4": F.avg(value).over(w.rowsBetween(-3, 0))}
+        return {"s_lag_2": F.coalesce(F.lag(value, 1).over(w), F.col(value)), "s_ema": ema, "s_roll4": F.avg(value).over(w.rowsBetween(-3, 0))}
     day = F.to_date(date)
     st = halo_window(history, key, order, day, frame, cols)
     st = running_totals(st, key, order, count_out="s_n", chunk=day, inclusive=True)

@@ -15,6 +15,7 @@ tiebreaker).  Scale notes:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,7 +70,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for n, e in sums.items():
         inner = inner.withColumn(f"_in_{n}", F.coalesce(F.sum(e).over(wi), F.lit(0.0)))
     inner = inner.withColumn("_in_n", F.count(F.lit(1)).over(wi))
-    j = inner.join(offs, on=[*keys, "_chunk"], how="left")
+    # null keys are keys like any other
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in [*keys, "_chunk"]]
+    offs = offs.select(*[F.col(k).alias(f"_j_{k}") for k in [*keys, "_chunk"]], *[c for c in offs.columns if c.startswith("_off_")])
+    j = inner.join(offs, on=same, how="left").drop(*[f"_j_{k}" for k in [*keys, "_chunk"]])
     for n in sums:
         j = j.withColumn(n, F.col(f"_in_{n}") + F.col(f"_off_{n}"))
     if count_out:
@@ -186,17 +190,19 @@ def lags(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
     return df.select("*", *[e.alias(n) for n, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
 
 
-# Contributions older than this many rows weigh (1-alpha)^N; for alpha=0.4
-# and N=100 that is 6e-23 relative, far below double precision, so the
-# bounded frame gives the same doubles as the full recursion.
-EMA_FRAME = 100
+def ema_frame(span: int) -> int:
+    """Rows after which a contribution, (1 - alpha)^rows, is below 1e-18
+    and so out of a double's reach: the frame gives what the full recursion
+    gives, for any span."""
+    a = 2.0 / (span + 1)
+    return 2 if a >= 1 else max(2, math.ceil(math.log(1e-18) / math.log1p(-a)))
 
 
 def ema(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-        span: int = 4, out: str = "ema", frame: int = EMA_FRAME, chunk: Column | None = None) -> DataFrame:
+        span: int = 4, out: str = "ema", chunk: Column | None = None) -> DataFrame:
     """EMA (adjust=False, alpha = 2/(span+1)) of the *previous* values (T28);
-    with ``chunk`` evaluated per (key, chunk) with a ``frame``-row halo."""
-    a = 2.0 / (span + 1)
+    with ``chunk`` evaluated per (key, chunk) with a halo of ``ema_frame`` rows."""
+    a, frame = 2.0 / (span + 1), ema_frame(span)
 
     def cols(w):
         h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame, -1))

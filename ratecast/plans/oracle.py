@@ -30,8 +30,7 @@ def norm(df: pd.DataFrame) -> pd.DataFrame:
         elif s.dtype.kind == "M":
             df[c] = s.map(lambda v: None if pd.isna(v) else (v.date().isoformat() if v == v.normalize()
                                                              else v.isoformat(sep=" ")))
-    df = df.astype(str)
-    return df.sort_values(list(df.columns)).reset_index(drop=True)
+    return df.astype(str)
 
 
 def duckdb_views(sf: str):
@@ -42,14 +41,41 @@ def duckdb_views(sf: str):
     return con
 
 
+RTOL, ATOL = 1e-9, 1e-9
+
+
+def _floats(df: pd.DataFrame) -> list[str]:
+    return [c for c in df.columns if df[c].dtype.kind == "f"
+            or (df[c].dtype == object and df[c].map(lambda v: isinstance(v, float)).any())]
+
+
 def compare(sp: pd.DataFrame, ora: pd.DataFrame) -> str | None:
-    """None when equal, else a short description of the first difference."""
+    """None when equal, else a short description of the first difference.
+    Doubles are compared unrounded, with a relative tolerance."""
     if sorted(sp.columns) != sorted(ora.columns):
         return f"columns differ: {sorted(sp.columns)} vs {sorted(ora.columns)}"
     if len(sp) != len(ora):
         return f"row counts differ: {len(sp)} vs {len(ora)}"
-    a, b = norm(sp), norm(ora)
-    if not a.equals(b):
-        i = int((a != b).any(axis=1).idxmax())
-        return f"values differ: {a.iloc[i].to_dict()} vs {b.iloc[i].to_dict()}"
+    loose = sorted(set(_floats(sp)) | set(_floats(ora)))
+    exact = [c for c in sorted(sp.columns) if c not in loose]
+
+    def ordered(raw):
+        # rows are matched by their exact columns, then by roughly rounded doubles
+        raw = raw[sorted(raw.columns)].reset_index(drop=True)
+        key = norm(raw)
+        for c in loose:
+            key[c] = pd.to_numeric(raw[c], errors="coerce").map(lambda v: f"{v:+.6e}")
+        at = key.sort_values(exact + loose).index
+        return raw.loc[at].reset_index(drop=True), key.loc[at].reset_index(drop=True)
+
+    (ra, ka), (rb, kb) = ordered(sp), ordered(ora)
+    if not ka[exact].equals(kb[exact]):
+        i = int((ka[exact] != kb[exact]).any(axis=1).idxmax())
+        return f"values differ: {ka.iloc[i].to_dict()} vs {kb.iloc[i].to_dict()}"
+    for c in loose:
+        x, y = (pd.to_numeric(r[c], errors="coerce").to_numpy(float) for r in (ra, rb))
+        bad = ~np.isclose(x, y, rtol=RTOL, atol=ATOL, equal_nan=True)
+        if bad.any():
+            i = int(np.flatnonzero(bad)[0])
+            return f"{c} differs in {int(bad.sum())} rows: {ka.iloc[i].to_dict()} vs {kb.iloc[i].to_dict()}"
     return None

@@ -46,13 +46,13 @@ gm AS (SELECT avg(value) AS gm FROM tr),
 l1 AS (SELECT event_type, dow, h, avg(value) AS m1 FROM tr GROUP BY event_type, dow, h),
 l2 AS (SELECT dow, h, avg(value) AS m2 FROM tr GROUP BY dow, h),
 um AS (SELECT user_id, avg(value) AS mu FROM tr GROUP BY user_id),
-rw AS (SELECT * FROM tr WHERE d > (SELECT max(d) FROM tr) - 56),
+rw AS (SELECT * FROM tr WHERE d >= (SELECT max(d) FROM tr) - 56),
 wk AS (SELECT dow AS wdow, avg(value) AS mw FROM rw GROUP BY dow),
 pred AS (SELECT te.event_id, te.user_id, te.event_type, te.d, te.h, te.dow, te.value AS actual,
         (SELECT gm FROM gm) AS pred_global,
         coalesce(l1.m1, l2.m2, (SELECT gm FROM gm)) AS pred_slot,
         coalesce(um.mu, (SELECT gm FROM gm)) AS pred_user,
-        coalesce(wk.mw, (SELECT avg(value) FROM rw)) AS pred_weekday
+        coalesce(wk.mw, (SELECT gm FROM gm)) AS pred_weekday
    FROM te LEFT JOIN l1 USING (event_type, dow, h) LEFT JOIN l2 USING (dow, h)
    LEFT JOIN um USING (user_id) LEFT JOIN wk ON wk.wdow = te.dow),
 plong AS (""" + " UNION ALL ".join(

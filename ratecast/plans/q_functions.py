@@ -30,7 +30,7 @@ _MIN_SQL = ("CAST(split_part(start_time, ':', 1) AS DOUBLE) * 60 + CAST(split_pa
             "+ CAST(split_part(start_time, ':', 3) AS DOUBLE) / 60")
 
 
-@query("hms_minutes", f"SELECT event_id, start_time, round({_MIN_SQL}, 6) AS minutes FROM {_STV}")
+@query("hms_minutes", f"SELECT event_id, start_time, ({_MIN_SQL}) AS minutes FROM {_STV}")
 def q_hms_minutes(spark, sf):
     e = _start_time(events(spark, sf))
     return _r(e.select("event_id", "start_time", S.hms_to_minutes("start_time").alias("minutes")))
@@ -80,14 +80,14 @@ _RD = "CAST(o_orderdate + INTERVAL 360 MONTH AS DATE)"
 
 
 @query("reception", f"""SELECT o_orderkey,
-  round(CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
-    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.90) END, 6) AS rec_clamped,
-  round(CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
-    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.95) END, 6) AS rec_extrapolated,
-  round(CASE WHEN {_RD} <= DATE '2025-05-01' THEN 0.65
-    ELSE round(least(0.65 + 0.25 * datediff('day', DATE '2025-05-01', {_RD}) / 364, 0.95), 3) END, 6) AS rec_daily,
-  round(o_totalprice / CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
-    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.90) END, 6) AS adjusted
+  (CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
+    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.90) END) AS rec_clamped,
+  (CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
+    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.95) END) AS rec_extrapolated,
+  (CASE WHEN {_RD} <= DATE '2025-05-01' THEN 0.65
+    ELSE round(least(0.65 + 0.25 * datediff('day', DATE '2025-05-01', {_RD}) / 364, 0.95), 3) END) AS rec_daily,
+  (o_totalprice / CASE WHEN datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) <= 0 THEN 0.65
+    ELSE least(0.65 + 0.25 * datediff('month', DATE '2025-05-01', date_trunc('month', {_RD})) / 11, 0.90) END) AS adjusted
 FROM orders""")
 def q_reception(spark, sf):
     o = table(spark, sf, "orders").withColumn("rd", F.add_months(F.to_date("o_orderdate"), 360))
@@ -109,9 +109,9 @@ _PEERS = ["l_quantity", "l_discount", "l_tax"]
 _PM = "((coalesce(l_quantity, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0)) / nullif(CAST(l_quantity IS NOT NULL AS INT) + CAST(l_discount IS NOT NULL AS INT) + CAST(l_tax IS NOT NULL AS INT), 0))"
 
 
-@query("peer_stats", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_PM}, 6) AS peer_mean,
-  round(l_extendedprice / 1000 - {_PM}, 6) AS advantage,
-  round(coalesce(l_quantity, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0) + l_extendedprice / 1000, 6) AS hut FROM lineitem""")
+@query("peer_stats", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ({_PM}) AS peer_mean,
+  (l_extendedprice / 1000 - {_PM}) AS advantage,
+  (coalesce(l_quantity, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0) + l_extendedprice / 1000) AS hut FROM lineitem""")
 def q_peer_stats(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("r", F.col("l_extendedprice") / 1000)
     return _r(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.peer_mean(_PEERS).alias("peer_mean"),
@@ -151,7 +151,7 @@ x AS (SELECT p.*, datediff('day', (SELECT max(d) FROM tr), p.d) AS days_ahead, c
       FROM pred p LEFT JOIN n USING (user_id)),
 y AS (SELECT *, greatest(CASE WHEN days_ahead > 0 THEN pred_slot * pow(1 + 0.01, least(days_ahead / 30.0, 6.0))
       ELSE pred_slot END, 0.0) AS adj FROM x)
-SELECT event_id, round(adj, 6) AS pred_adjusted, round(greatest(adj - 12.8, 0.0), 6) AS low, round(adj + 12.8, 6) AS high,
+SELECT event_id, (adj) AS pred_adjusted, (greatest(adj - 12.8, 0.0)) AS low, (adj + 12.8) AS high,
   CASE WHEN n_hist >= 20 THEN 'high' WHEN n_hist >= 5 THEN 'medium' ELSE 'cold_start' END AS reliability FROM y""")
 def q_forecast_adjust(spark, sf):
     ev = split_events(spark, sf)
@@ -178,8 +178,7 @@ def _text_date_sql(col):
     dows = ["SU", "MO", "TU", "WE", "TH", "FR", "SA"]
     parts = [f"WHEN contains({col}, '{X.WORD_TOMORROW}') THEN {t} + 1", f"WHEN contains({col}, '{X.WORD_TODAY}') THEN {t}",
              f"WHEN contains({col}, '{X.WORD_WEEK}') THEN {t} + 7", f"WHEN contains({col}, '{X.WORD_MONTH}') THEN {t} + 30"]
-    for i in [1, 2, 3, 4, 5, 6, 0]:
-        name = S.WEEKDAYS_HE[i]
+    for i, name in enumerate(S.WEEKDAYS_HE):
         parts.append(f"WHEN contains({col}, '{name}') AND ({nxt} OR contains({col}, 'ב{name}')) THEN "
                      f"{t} + CAST(CASE WHEN ({i} - dayofweek({t}) + 7) % 7 = 0 THEN 7 ELSE ({i} - dayofweek({t}) + 7) % 7 END AS INTEGER)")
     rx = r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})"
@@ -201,15 +200,14 @@ def _any_sql(col, words):
 
 @query("text_intent", f"""SELECT conv_id, turn, CASE WHEN {_any_sql('text', X.PROGRAM_WORDS)} THEN 'קבינט שישי' END AS program,
   CASE WHEN {_any_sql('text', X.SCENARIO_WORDS)} THEN 'special_event' ELSE 'routine' END AS scenario,
-  CASE WHEN dt IS NOT NULL AND {_any_sql('text', X.PROGRAM_WORDS)} THEN 'high'
-       WHEN dt IS NOT NULL OR {_any_sql('text', X.PROGRAM_WORDS)} THEN 'medium' ELSE 'low' END AS confidence
-FROM (SELECT *, CAST({_text_date_sql('trim(text)')} AS DATE) AS dt FROM conversations)""")
+  CASE WHEN {_any_sql('text', X.PROGRAM_WORDS)} AND {_any_sql('text', [X.WORD_TOMORROW, X.WORD_TODAY, X.WORD_WEEK, *S.WEEKDAYS_HE])} THEN 'high'
+       WHEN {_any_sql('text', X.PROGRAM_WORDS)} THEN 'medium' ELSE 'low' END AS confidence
+FROM conversations""")
 def q_text_intent(spark, sf):
     c = table(spark, sf, "conversations")
     prog = X.text_program("text")
-    dt = X.text_date("text", TODAY)
     return c.select("conv_id", "turn", prog.alias("program"), X.text_scenario("text").alias("scenario"),
-                    X.confidence(dt, prog).alias("confidence"))
+                    X.confidence("text", prog).alias("confidence"))
 
 
 @query("json_field", r"""SELECT event_id, json_extract_string(props, '$.k') AS k_plain,
@@ -235,8 +233,8 @@ def q_fmt(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.fmt_num("o_totalprice", 2).alias("amount_txt"))
 
 
-@query("math_fns", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(least(l_discount, 0.08), 0.02), 6) AS clipped,
-  round(ln(l_extendedprice), 6) AS log_price, round(abs(l_tax - l_discount), 6) AS abs_gap, round(sqrt(l_quantity), 6) AS sqrt_qty
+@query("math_fns", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (greatest(least(l_discount, 0.08), 0.02)) AS clipped,
+  (ln(l_extendedprice)) AS log_price, (abs(l_tax - l_discount)) AS abs_gap, (sqrt(l_quantity)) AS sqrt_qty
 FROM lineitem""")
 def q_math_fns(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -247,7 +245,7 @@ def q_math_fns(spark, sf):
 
 
 @query("fourier", "SELECT ds, " + ", ".join(
-    f"round(sin(2 * pi() * {k} / 7 * t), 6) AS f_sin{k}, round(cos(2 * pi() * {k} / 7 * t), 6) AS f_cos{k}" for k in (1, 2, 3))
+    f"(sin(2 * pi() * {k} / 7 * t)) AS f_sin{k}, (cos(2 * pi() * {k} / 7 * t)) AS f_cos{k}" for k in (1, 2, 3))
     + f" FROM (SELECT DISTINCT d AS ds, datediff('day', DATE '2024-01-01', d) AS t FROM {EV})")
 def q_fourier(spark, sf):
     days = events(spark, sf).select(F.col("d").alias("ds")).distinct().withColumn("t", F.datediff("ds", F.lit("2024-01-01")))
@@ -285,9 +283,9 @@ def q_link_items(spark, sf):
 
 
 @query("constant_baselines", f"""WITH {PRED_CTE}
-SELECT 'global' AS model, round(avg(abs(pred_global - actual)), 6) AS mae FROM pred
-UNION ALL SELECT 'zero', round(avg(abs(0 - actual)), 6) FROM pred
-UNION ALL SELECT 'oracle', round(avg(abs((SELECT avg(actual) FROM pred) - actual)), 6) FROM pred""")
+SELECT 'global' AS model, (avg(abs(pred_global - actual))) AS mae FROM pred
+UNION ALL SELECT 'zero', (avg(abs(0 - actual))) FROM pred
+UNION ALL SELECT 'oracle', (avg(abs((SELECT avg(actual) FROM pred) - actual))) FROM pred""")
 def q_constant_baselines(spark, sf):
     from ratecast.operators.models import constant_baselines
     return _r(constant_baselines(predictions(spark, sf), "actual", "pred_global"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratecast.operators import intervals as I
-from ratecast.plans.registry import query, r6
+from ratecast.plans.registry import query, measure
 from ratecast.plans.tables import EVENTS_SQL, INTERVALS_SQL, SEC_CATS, events, intervals
 
 EV, IV = EVENTS_SQL, INTERVALS_SQL
@@ -77,14 +77,14 @@ def q_range_self_count(spark, sf):
 
 
 @query("per_interval", f"""
-SELECT i.name, i.start_date, i.end_date, CAST(count(*) AS BIGINT) AS n, round(avg(e.value), 6) AS mean_value,
-       round(avg(e.k), 6) AS mean_k
+SELECT i.name, i.start_date, i.end_date, CAST(count(*) AS BIGINT) AS n, (avg(e.value)) AS mean_value,
+       (avg(e.k)) AS mean_k
 FROM {IV} i JOIN {EV} e ON {_ACTIVE}
 WHERE i.category IN {_SEC_LIST} GROUP BY i.name, i.start_date, i.end_date""")
 def q_per_interval(spark, sf):
     r = I.per_interval(events(spark, sf), intervals(spark), "d", ["value", "k"], cats=SEC_CATS)
     return r.select("name", "start_date", "end_date", F.col("n").cast("bigint"),
-                    r6("mean_value").alias("mean_value"), r6("mean_k").alias("mean_k"))
+                    measure("mean_value").alias("mean_value"), measure("mean_k").alias("mean_k"))
 
 
 @query("flagship", f"""
@@ -92,7 +92,7 @@ SELECT e.event_id, e.user_id, {_last_sql('season')} AS tag_season,
   CASE WHEN {_CONCAT_SQL} <> '—' THEN {_CONCAT_SQL} WHEN {_last_sql('holiday')} <> '—' THEN {_last_sql('holiday')}
        ELSE '—' END AS special_event,
   CAST(count(*) OVER w AS BIGINT) AS lag_n,
-  round(CASE WHEN e.value IS NOT NULL AND count(*) OVER w > 0 THEN coalesce(sum(e.value) OVER w, 0) / count(*) OVER w END, 6)
+  (CASE WHEN e.value IS NOT NULL AND count(*) OVER w > 0 THEN coalesce(sum(e.value) OVER w, 0) / count(*) OVER w END)
     AS lag_mean
 FROM {EV} e
 WINDOW w AS (PARTITION BY e.user_id ORDER BY e.ts, e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
@@ -104,4 +104,4 @@ def q_flagship(spark, sf):
     t = I.tag_events(ev, intervals(spark), "d", season=["season"], holiday=["holiday"], security=SEC_CATS)
     r = W.expanding_mean(t, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n", chunk=F.col("d"))
     return r.select("event_id", "user_id", "tag_season", "special_event", F.col("lag_n").cast("bigint"),
-                    r6("lag_mean").alias("lag_mean"))
+                    measure("lag_mean").alias("lag_mean"))

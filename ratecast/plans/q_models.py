@@ -110,7 +110,7 @@ def q_additive_daily(spark, sf):
 @query("series_baselines", f"""WITH {PRED_CTE},
 s AS (SELECT user_id, avg(value) AS pred_mean, arg_max(value, (ts, event_id)) AS pred_last,
       list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a * 0.6 + x * 0.4) AS pred_ema FROM tr GROUP BY user_id)
-SELECT te.event_id, round(s.pred_mean, 6) AS pred_mean, round(s.pred_last, 6) AS pred_last, round(s.pred_ema, 6) AS pred_ema
+SELECT te.event_id, (s.pred_mean) AS pred_mean, (s.pred_last) AS pred_last, (s.pred_ema) AS pred_ema
 FROM te JOIN s USING (user_id)""")
 def q_series_baselines(spark, sf):
     ev = split_events(spark, sf)
@@ -136,8 +136,8 @@ def _pit_sql(days, min_rows):
     for name, (rk, hk) in _PIT_KEYS.items():
         cond = " AND ".join(f"tr.{h} = q.{r}" for r, h in zip(rk, hk))
         parts.append(f"CAST((SELECT count(value) FROM tr WHERE {cond} AND {win}) AS BIGINT) AS lag_{name}_n")
-        parts.append(f"round(coalesce((SELECT avg(value) FROM tr WHERE {cond} AND {win}), "
-                     f"(SELECT avg(value) FROM tr WHERE {win})), 6) AS lag_{name}_mean")
+        parts.append(f"(coalesce((SELECT avg(value) FROM tr WHERE {cond} AND {win}), "
+                     f"(SELECT avg(value) FROM tr WHERE {win}))) AS lag_{name}_mean")
     return f"""WITH {PRED_CTE},
 rq AS (SELECT event_id AS request_id, user_id, d AS target, dow, h, event_type FROM te),
 q AS (SELECT rq.*, (SELECT count(*) FROM tr WHERE tr.d < rq.target AND tr.d >= rq.target - {days}) >= {min_rows} AS recent FROM rq)
@@ -153,10 +153,11 @@ def q_point_in_time(spark, sf):
 
 
 @query("series_features", f"""WITH {PRED_CTE},
-s AS (SELECT user_id, list(value ORDER BY ts DESC, event_id DESC) AS rv, min(d) AS first_d, count(*) AS n FROM tr GROUP BY user_id)
-SELECT te.event_id AS request_id, round(rv[1], 6) AS s_lag_1, round(rv[2], 6) AS s_lag_2,
-  round(list_reduce(list_reverse(rv[1:100]), lambda a, x: a * 0.6 + x * 0.4), 6) AS s_ema,
-  round(list_avg(rv[1:4]), 6) AS s_roll4,
+s AS (SELECT user_id, list(value ORDER BY ts DESC, event_id DESC) AS rv, min(d) AS first_d, count(*) AS n FROM tr
+      WHERE value IS NOT NULL GROUP BY user_id)
+SELECT te.event_id AS request_id, (rv[1]) AS s_lag_1, (coalesce(rv[2], rv[1])) AS s_lag_2,
+  (list_reduce(list_reverse(rv), lambda a, x: a * 0.6 + x * 0.4)) AS s_ema,
+  (list_avg(rv[1:4])) AS s_roll4,
   CAST(floor(datediff('day', first_d, te.d) / 7) AS BIGINT) AS weeks_since_start, CAST(coalesce(n, 0) AS BIGINT) AS n_hist
 FROM te LEFT JOIN s USING (user_id)""")
 def q_series_features(spark, sf):
@@ -170,7 +171,7 @@ def q_series_features(spark, sf):
 f AS (SELECT user_id, dow, h, count(value) AS fn, stddev_samp(value) AS fs FROM tr GROUP BY ALL),
 c AS (SELECT dow, h, count(value) AS cn, stddev_samp(value) AS cs FROM tr GROUP BY ALL)
 SELECT te.event_id AS request_id,
-  round(round(CASE WHEN coalesce(fn, 0) >= 5 THEN fs WHEN coalesce(cn, 0) >= 10 THEN cs ELSE 0.263 END * 1.28, 3), 6) AS half_width,
+  (round(CASE WHEN coalesce(fn, 0) >= 5 THEN fs WHEN coalesce(cn, 0) >= 10 THEN cs ELSE 0.263 END * 1.28, 3)) AS half_width,
   CAST(CASE WHEN coalesce(fn, 0) >= 5 THEN fn WHEN coalesce(cn, 0) >= 10 THEN cn ELSE 0 END AS BIGINT) AS n_used,
   CASE WHEN coalesce(fn, 0) >= 5 THEN 'entity_slot' WHEN coalesce(cn, 0) >= 10 THEN 'slot' ELSE 'default' END AS unc_source
 FROM te LEFT JOIN f USING (user_id, dow, h) LEFT JOIN c USING (dow, h)""")
@@ -234,7 +235,7 @@ def q_answer_questions(spark, sf):
     dt = X.text_date("text", "2026-06-01")
     prog = X.text_program("text")
     return c.select("conv_id", "turn", dt.alias("asked_date"), prog.alias("program"),
-                    X.text_scenario("text").alias("scenario"), X.confidence(dt, prog).alias("confidence"))
+                    X.text_scenario("text").alias("scenario"), X.confidence("text", prog).alias("confidence"))
 
 
 # M8-M11, M15-M19 ---------------------------------------------------------------------

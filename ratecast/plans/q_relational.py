@@ -24,7 +24,7 @@ def _top_err_sql(mode):
     order = {"abs": "abs(actual - pred_slot) DESC", "under": "actual - pred_slot DESC",
              "over": "actual - pred_slot ASC"}[mode]
     return f"""WITH {PRED_CTE}
-SELECT event_id, user_id, event_type, round(actual, 6) AS actual, round(pred_slot, 6) AS pred_slot,
+SELECT event_id, user_id, event_type, (actual) AS actual, (pred_slot) AS pred_slot,
   round(actual - pred_slot, 3) AS error, round(abs(actual - pred_slot), 3) AS abs_error
 FROM pred {where} ORDER BY {order}, event_id LIMIT 20"""
 
@@ -59,7 +59,7 @@ def q_order_by_list(spark, sf):
 
 @query("worst_per_model", f"""WITH {PRED_CTE},
 seg AS (SELECT model, h, count(*) AS n, avg(abs(pred - actual)) AS mae FROM plong GROUP BY model, h HAVING count(*) >= 5)
-SELECT model, h, CAST(n AS BIGINT) AS n, round(mae, 6) AS mae, CAST(rank AS INTEGER) AS rank FROM (
+SELECT model, h, CAST(n AS BIGINT) AS n, (mae) AS mae, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY model ORDER BY mae DESC, h) AS rank FROM seg) WHERE rank <= 3""")
 def q_worst_per_model(spark, sf):
     return _r(K.worst_per_model(predictions_long(spark, sf), "actual", "h", 3, 5), "rank")
@@ -117,7 +117,7 @@ def q_except_keys(spark, sf):
 
 
 @query("partition_by", """SELECT coalesce(o_totalprice > 200000, false) AS part, CAST(count(*) AS BIGINT) AS n,
-  round(sum(o_totalprice), 6) AS total FROM orders GROUP BY 1""")
+  (sum(o_totalprice)) AS total FROM orders GROUP BY 1""")
 def q_partition_by(spark, sf):
     hi, lo = U.partition_by(table(spark, sf, "orders"), F.col("o_totalprice") > 200000)
     a = hi.agg(F.lit(True).alias("part"), F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
@@ -192,7 +192,7 @@ def q_tenant_rows(spark, sf):
     return P.tenant_rows(o, "c_nationkey", orgs, 1).select("o_orderkey")
 
 
-@query("tenant_visibility", """SELECT c.c_custkey AS user_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n_visible, round(v.total, 6) AS total
+@query("tenant_visibility", """SELECT c.c_custkey AS user_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n_visible, (v.total) AS total
 FROM customer c LEFT JOIN (SELECT c2.c_nationkey AS org, count(*) AS n, sum(o.o_totalprice) AS total FROM orders o
   JOIN customer c2 ON o.o_custkey = c2.c_custkey GROUP BY 1) v ON v.org = c.c_nationkey""")
 def q_tenant_visibility(spark, sf):
@@ -224,14 +224,14 @@ def q_fill_constant(spark, sf):
     return P.fill_constant(_doc_labels(spark, sf), ["quality", "toxic"], -1).select("doc_id", "quality", "toxic")
 
 
-@query("median_impute", f"SELECT doc_id, round(coalesce(CAST(quality AS DOUBLE), (SELECT median(CAST(quality AS DOUBLE)) "
-                        f"FROM {_DOC_LABELS})), 6) AS quality FROM {_DOC_LABELS}")
+@query("median_impute", f"SELECT doc_id, (coalesce(CAST(quality AS DOUBLE), (SELECT median(CAST(quality AS DOUBLE)) "
+                        f"FROM {_DOC_LABELS}))) AS quality FROM {_DOC_LABELS}")
 def q_median_impute(spark, sf):
     return _r(P.median_impute(_doc_labels(spark, sf), ["quality"]).select("doc_id", "quality"))
 
 
-@query("nan_to_null", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_discount = 0 THEN NULL
-  ELSE l_tax / l_discount END, 6) AS tax_ratio FROM lineitem""")
+@query("nan_to_null", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (CASE WHEN l_discount = 0 THEN NULL
+  ELSE l_tax / l_discount END) AS tax_ratio FROM lineitem""")
 def q_nan_to_null(spark, sf):
     li = table(spark, sf, "lineitem")
     x = li.withColumn("tax_ratio", F.when(F.col("l_discount") == 0, F.lit(float("nan")))
@@ -253,13 +253,13 @@ def q_drop_leakage(spark, sf):
     return P.drop_leakage(t.select("event_id", "user_id", "event_type", "d", "h", "dow", "value", "k"), ["value", "k"])
 
 
-@query("with_error", f"WITH {PRED_CTE} SELECT event_id, round(pred_slot - actual, 6) AS prediction_error FROM pred")
+@query("with_error", f"WITH {PRED_CTE} SELECT event_id, (pred_slot - actual) AS prediction_error FROM pred")
 def q_with_error(spark, sf):
     return _r(P.with_error(predictions(spark, sf), "pred_slot", "actual").select("event_id", "prediction_error"))
 
 
 @query("backfill_actuals", f"""WITH {PRED_CTE}
-SELECT p.event_id, round(coalesce(CASE WHEN p.event_type = 'view' THEN p.actual END, e.value), 6) AS actual
+SELECT p.event_id, (coalesce(CASE WHEN p.event_type = 'view' THEN p.actual END, e.value)) AS actual
 FROM pred p LEFT JOIN events e ON e.event_id = p.event_id""")
 def q_backfill_actuals(spark, sf):
     p = predictions(spark, sf).withColumn("actual", F.when(F.col("event_type") == "view", F.col("actual")))
@@ -276,7 +276,7 @@ def q_lookup_inner(spark, sf):
     return J.lookup(li, o, "l_orderkey", "inner")
 
 
-@query("lookup_left", """SELECT c.c_custkey, CAST(s.n AS BIGINT) AS n_orders, round(s.total, 6) AS total
+@query("lookup_left", """SELECT c.c_custkey, CAST(s.n AS BIGINT) AS n_orders, (s.total) AS total
 FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) s
 ON c.c_custkey = s.o_custkey""")
 def q_lookup_left(spark, sf):
@@ -310,7 +310,7 @@ def q_in_set(spark, sf):
 @query("apply_corrections", f"""WITH {PRED_CTE},
 cells AS (SELECT event_type, dow, avg(actual - pred_slot) AS bias FROM pred GROUP BY event_type, dow
   HAVING count(*) >= 30 AND abs(avg(actual - pred_slot)) >= 0.1)
-SELECT p.event_id, round(p.pred_slot + CASE WHEN c.bias IS NULL THEN 0 ELSE greatest(least(c.bias, 0.3), -0.3) END, 6) AS pred_corrected
+SELECT p.event_id, (p.pred_slot + CASE WHEN c.bias IS NULL THEN 0 ELSE greatest(least(c.bias, 0.3), -0.3) END) AS pred_corrected
 FROM pred p LEFT JOIN cells c USING (event_type, dow)""")
 def q_apply_corrections(spark, sf):
     p = predictions(spark, sf)
@@ -320,7 +320,7 @@ def q_apply_corrections(spark, sf):
 
 @query("align_series", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS ds, avg(o_totalprice) AS v FROM orders GROUP BY 1),
 b AS (SELECT CAST(l_shipdate AS DATE) AS ds, avg(l_extendedprice) AS li_mean FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT a.ds, round(a.v, 6) AS v, round(b.li_mean, 6) AS li_mean FROM a LEFT JOIN b USING (ds)""")
+SELECT a.ds, (a.v) AS v, (b.li_mean) AS li_mean FROM a LEFT JOIN b USING (ds)""")
 def q_align_series(spark, sf):
     a = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ds")).agg(F.avg("o_totalprice").alias("v"))
     b = (table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
@@ -328,7 +328,7 @@ def q_align_series(spark, sf):
     return _r(J.align_series(a, b, "ds", "m", "li_mean"))
 
 
-@query("recent_weekday_mean", f"WITH {PRED_CTE} SELECT event_id, round(pred_weekday, 6) AS pred_weekday FROM pred")
+@query("recent_weekday_mean", f"WITH {PRED_CTE} SELECT event_id, (pred_weekday) AS pred_weekday FROM pred")
 def q_recent_weekday_mean(spark, sf):
     return _r(predictions(spark, sf).select("event_id", "pred_weekday"))
 
@@ -350,8 +350,8 @@ w AS (SELECT ds, v, last_value(CASE WHEN v IS NOT NULL THEN kd END IGNORE NULLS)
   last_value(v IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
   first_value(CASE WHEN v IS NOT NULL THEN kd END IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nd,
   first_value(v IGNORE NULLS) OVER (ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM j)
-SELECT ds, round(CASE WHEN v IS NOT NULL THEN v WHEN datediff('day', pd, nd) > 0 THEN
-  pv + (nv - pv) * datediff('day', pd, ds) / datediff('day', pd, nd) END, 6) AS v FROM w""")
+SELECT ds, (CASE WHEN v IS NOT NULL THEN v WHEN datediff('day', pd, nd) > 0 THEN
+  pv + (nv - pv) * datediff('day', pd, ds) / datediff('day', pd, nd) END) AS v FROM w""")
 def q_interpolate(spark, sf):
     c = (table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
          .groupBy(F.to_date("o_orderdate").alias("ds")).agg(F.avg("o_totalprice").alias("v")))
@@ -388,7 +388,7 @@ def q_count_mismatches(spark, sf):
 
 
 @query("compare_preds", f"""WITH {PRED_CTE}
-SELECT event_id, round(abs(pred_slot - actual), 6) AS err_a, round(abs(pred_user - actual), 6) AS err_b,
+SELECT event_id, (abs(pred_slot - actual)) AS err_a, (abs(pred_user - actual)) AS err_b,
   CASE WHEN abs(abs(pred_slot - actual) - abs(pred_user - actual)) < 0.02 THEN 'tie'
        WHEN abs(pred_slot - actual) < abs(pred_user - actual) THEN 'a' ELSE 'b' END AS winner FROM pred""")
 def q_compare_preds(spark, sf):
@@ -397,7 +397,7 @@ def q_compare_preds(spark, sf):
 
 
 @query("fallback_lookup", f"""WITH {PRED_CTE}
-SELECT te.event_id, round(coalesce(l1.m1, l2.m2, (SELECT gm FROM gm)), 6) AS pred,
+SELECT te.event_id, (coalesce(l1.m1, l2.m2, (SELECT gm FROM gm))) AS pred,
   CAST(CASE WHEN l1.m1 IS NOT NULL THEN 0 WHEN l2.m2 IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS level
 FROM te LEFT JOIN l1 USING (event_type, dow, h) LEFT JOIN l2 USING (dow, h)""")
 def q_fallback_lookup(spark, sf):
@@ -412,7 +412,7 @@ def q_fallback_lookup(spark, sf):
 
 @query("worst_entities_per_model", f"""WITH {PRED_CTE},
 ent AS (SELECT model, user_id, count(*) AS n, avg(abs(pred - actual)) AS mae FROM plong GROUP BY model, user_id HAVING count(*) >= 5)
-SELECT model, user_id, CAST(n AS BIGINT) AS n, round(mae, 6) AS mae, CAST(rank AS INTEGER) AS rank FROM (
+SELECT model, user_id, CAST(n AS BIGINT) AS n, (mae) AS mae, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY model ORDER BY mae DESC, user_id) AS rank FROM ent) WHERE rank <= 5""")
 def q_worst_entities_per_model(spark, sf):
     """K4 (entities): per model the 5 series with the highest MAE among

@@ -118,7 +118,7 @@ def q_upsert_latest(spark, sf):
 
 
 @query("append_prediction", f"""WITH {PRED_CTE}
-SELECT p.event_id, md5('user-' || p.user_id) AS program_id, round(p.pred_slot, 6) AS pred_slot FROM pred p
+SELECT p.event_id, md5('user-' || p.user_id) AS program_id, (p.pred_slot) AS pred_slot FROM pred p
 WHERE 'user-' || p.user_id IN (SELECT DISTINCT 'user-' || user_id FROM events)""")
 def q_append_prediction(spark, sf):
     progs, _ = _star(spark, sf)
@@ -136,7 +136,7 @@ def q_corrections_json(spark, sf):
 
 
 @query("corrections_roundtrip", f"""WITH {PRED_CTE}
-SELECT event_type, CAST(dow AS VARCHAR) AS dow, round(greatest(least(avg(actual - pred_slot), 0.3), -0.3), 6) AS correction
+SELECT event_type, CAST(dow AS VARCHAR) AS dow, (greatest(least(avg(actual - pred_slot), 0.3), -0.3)) AS correction
 FROM pred GROUP BY event_type, dow HAVING count(*) >= 30 AND abs(avg(actual - pred_slot)) >= 0.1""")
 def q_corrections_roundtrip(spark, sf):
     js = IO.corrections_to_json(_cells(spark, sf), ["event_type", "dow"], "correction")
@@ -177,7 +177,7 @@ def q_append_unseen(spark, sf):
 
 
 @query("load_summary", f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, min(d) AS first_date, max(d) AS last_date,
-  round(avg(value), 6) AS mean FROM {EV}""")
+  (avg(value)) AS mean FROM {EV}""")
 def q_load_summary(spark, sf):
     return _r(IO.load_summary(events(spark, sf), "d", "value"))
 
@@ -223,13 +223,13 @@ def _raw_ingest_sql():
     sec = ("coalesce((SELECT string_agg(i.name, ' + ' ORDER BY i.ord) FROM " + IV + " i WHERE i.category IN "
            "('security', 'political') AND i.end_date IS NOT NULL AND r.d BETWEEN i.start_date AND i.end_date), '—')")
     return f"""SELECT program, CAST(air_date AS DATE) AS air_date, start_time,
-  round((mins // 60) * 60 + mins % 60, 6) AS duration_min, hf AS start_hour,
+  ((mins // 60) * 60 + mins % 60) AS duration_min, hf AS start_hour,
   {_DP_SQL.replace('h ', 'hf ').replace('h>', 'hf>')} AS daypart,
   coalesce(regexp_matches(program, 'ש\\.ח|לקט'), false) AS is_rerun,
   trim(regexp_replace(program, '\\s*ש\\.ח\\s*$', '')) AS program_source,
-  round({_PM4}, 6) AS competitors_avg, round(rating - {_PM4}, 6) AS advantage,
-  round(coalesce(comp_11, 0) + coalesce(comp_12, 0) + coalesce(comp_13, 0) + coalesce(comp_14, 0) + rating, 6) AS hut_proxy,
-  0.65 AS reception_pct, round(rating / 0.65, 6) AS rating_adj, {status} AS status, {sec} AS tag_security
+  ({_PM4}) AS competitors_avg, (rating - {_PM4}) AS advantage,
+  (coalesce(comp_11, 0) + coalesce(comp_12, 0) + coalesce(comp_13, 0) + coalesce(comp_14, 0) + rating) AS hut_proxy,
+  0.65 AS reception_pct, (rating / 0.65) AS rating_adj, {status} AS status, {sec} AS tag_security
 FROM (SELECT *, {_HF} AS hf FROM {_RAW_SQL_SRC}) r"""
 
 

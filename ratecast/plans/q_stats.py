@@ -35,7 +35,7 @@ c AS (SELECT feature, bin, count_if(side = 'a') AS ca, count_if(side = 'b') AS c
 sp AS (SELECT feature, unnest(range(0, len(edges) - 1)) AS bin FROM ee WHERE len(edges) >= 3),
 f AS (SELECT sp.feature, sp.bin, coalesce(c.ca, 0) AS ca, coalesce(c.cb, 0) AS cb FROM sp LEFT JOIN c USING (feature, bin)),
 p AS (SELECT feature, ca / sum(ca) OVER (PARTITION BY feature) + 1e-6 AS pa, cb / sum(cb) OVER (PARTITION BY feature) + 1e-6 AS pb FROM f)
-SELECT feature, round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM p GROUP BY feature
+SELECT feature, (sum((pb - pa) * ln(pb / pa))) AS psi FROM p GROUP BY feature
 UNION ALL SELECT feature, 0.0 FROM ee WHERE len(edges) < 3""")
 def q_psi(spark, sf):
     ev = split_events(spark, sf)
@@ -54,7 +54,7 @@ cum AS (SELECT feature, sum(na) OVER w AS ca, sum(nb) OVER w AS cb, sum(na) OVER
         sum(nb) OVER (PARTITION BY feature) AS tb FROM c
         WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 d AS (SELECT feature, max(abs(ca / ta - cb / tb)) AS ks_stat, any_value(ta) AS ta, any_value(tb) AS tb FROM cum GROUP BY feature)
-SELECT feature, round(ks_stat, 6) AS ks_stat, round({_ksp_sql('(sqrt(ta * tb / (ta + tb)) * ks_stat)')}, 6) AS ks_p FROM d""")
+SELECT feature, (ks_stat) AS ks_stat, ({_ksp_sql('(sqrt(ta * tb / (ta + tb)) * ks_stat)')}) AS ks_p FROM d""")
 def q_ks(spark, sf):
     ev = split_events(spark, sf)
     tr, te = ev.where(F.col("split") == "train"), ev.where(F.col("split") == "test")
@@ -66,7 +66,7 @@ def _rank_sql(c):
 
 
 @query("spearman", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(corr(rc, rt), 6) AS spearman FROM (SELECT {_rank_sql(c)} AS rc, {_rank_sql('value')} AS rt "
+    f"SELECT '{c}' AS feature, (corr(rc, rt)) AS spearman FROM (SELECT {_rank_sql(c)} AS rc, {_rank_sql('value')} AS rt "
     f"FROM {EV} WHERE {c} IS NOT NULL AND value IS NOT NULL)" for c in ("k", "h")))
 def q_spearman(spark, sf):
     return _r(ST.spearman_vs(events(spark, sf), "value", ["k", "h"]))
@@ -82,9 +82,9 @@ _W = "CASE " + " ".join(f"WHEN {_U} < {t!r} THEN {k}" for k, t in enumerate(ST.p
 x AS (SELECT event_id, abs(pred_slot - actual) AS e, rep FROM pred, range(1, {_B + 1}) t(rep)),
 xw AS (SELECT rep, e, {_W} AS w FROM x),
 r AS (SELECT rep, sum(w * e) / sum(w) AS mae FROM xw GROUP BY rep)
-SELECT round(avg(mae), 6) AS boot_mean, round(quantile_cont(mae, 0.025), 6) AS ci_low,
-  round(quantile_cont(mae, 0.975), 6) AS ci_high, round(stddev_pop(mae), 6) AS std,
-  round((SELECT avg(abs(pred_slot - actual)) FROM pred), 6) AS point FROM r""")
+SELECT (avg(mae)) AS boot_mean, (quantile_cont(mae, 0.025)) AS ci_low,
+  (quantile_cont(mae, 0.975)) AS ci_high, (stddev_pop(mae)) AS std,
+  ((SELECT avg(abs(pred_slot - actual)) FROM pred)) AS point FROM r""")
 def q_bootstrap_mae(spark, sf):
     p = predictions(spark, sf).withColumn("err", F.col("pred_slot") - F.col("actual"))
     return _r(ST.bootstrap_mae(p, "err", "event_id", _B, 42))
@@ -94,7 +94,7 @@ def q_bootstrap_mae(spark, sf):
 o AS (SELECT row_number() OVER (ORDER BY v, event_id) AS i, v FROM r), n AS (SELECT count(*) AS n FROM r),
 m AS (SELECT i, v, CASE WHEN i = 1 THEN 1 - pow(0.5, 1 / n) WHEN i = n THEN pow(0.5, 1 / n)
         ELSE (i - 0.3175) / (n + 0.365) END AS p FROM o, n)
-SELECT CAST(i AS BIGINT) AS i, round(v, 6) AS sample, round({ST.norm_ppf_sql('p')}, 6) AS theoretical FROM m""")
+SELECT CAST(i AS BIGINT) AS i, (v) AS sample, ({ST.norm_ppf_sql('p')}) AS theoretical FROM m""")
 def q_qq_points(spark, sf):
     p = predictions(spark, sf).withColumn("resid", F.col("pred_slot") - F.col("actual"))
     return _r(ST.qq_points(p, "resid", "event_id"))
@@ -114,8 +114,8 @@ def _daily(spark, sf):
     return J.interpolate_daily(d, "ds", "v")
 
 
-@query("decompose_weekly", f"""WITH {_DEC} SELECT ds, round(observed, 6) AS observed, round(trend, 6) AS trend,
-  round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM dec""")
+@query("decompose_weekly", f"""WITH {_DEC} SELECT ds, (observed) AS observed, (trend) AS trend,
+  (seasonal) AS seasonal, (resid) AS resid FROM dec""")
 def q_decompose_weekly(spark, sf):
     return _r(ST.decompose_weekly(_daily(spark, sf), "ds", "v"))
 
@@ -123,9 +123,9 @@ def q_decompose_weekly(spark, sf):
 @query("decompose_strength", f"""WITH {_DEC},
 ok AS (SELECT * FROM dec WHERE resid IS NOT NULL),
 amp AS (SELECT dayofweek(ds) AS dw, avg(seasonal) AS s FROM dec GROUP BY 1)
-SELECT round(1 - var_samp(resid) / var_samp(trend + resid), 6) AS trend_strength,
-  round(1 - var_samp(resid) / var_samp(seasonal + resid), 6) AS seasonal_strength,
-  round((SELECT max(s) - min(s) FROM amp), 6) AS weekday_amplitude FROM ok""")
+SELECT (1 - var_samp(resid) / var_samp(trend + resid)) AS trend_strength,
+  (1 - var_samp(resid) / var_samp(seasonal + resid)) AS seasonal_strength,
+  ((SELECT max(s) - min(s) FROM amp)) AS weekday_amplitude FROM ok""")
 def q_decompose_strength(spark, sf):
     dec = ST.decompose_weekly(_daily(spark, sf), "ds", "v")
     return _r(ST.decomposition_strength(dec, "ds"))
@@ -134,10 +134,10 @@ def q_decompose_strength(spark, sf):
 @query("naive_daily", f"""WITH {PRED_CTE},
 dly AS (SELECT d AS ds, avg(value) AS v, dayofweek(d) AS dw FROM ev GROUP BY d),
 trd AS (SELECT * FROM dly WHERE ds < (SELECT cut FROM cutrow)), ted AS (SELECT * FROM dly WHERE ds >= (SELECT cut FROM cutrow)),
-rec AS (SELECT * FROM trd WHERE ds > (SELECT max(ds) FROM trd) - 56),
+rec AS (SELECT * FROM trd WHERE ds >= (SELECT max(ds) FROM trd) - 56),
 wkd AS (SELECT dw, avg(v) AS m FROM rec GROUP BY dw)
-SELECT 'global' AS model, round(avg(abs((SELECT avg(v) FROM trd) - v)), 6) AS mae FROM ted
-UNION ALL SELECT 'weekday', round(avg(abs(coalesce(wkd.m, (SELECT avg(v) FROM rec)) - ted.v)), 6) FROM ted LEFT JOIN wkd USING (dw)""")
+SELECT 'global' AS model, (avg(abs((SELECT avg(v) FROM trd) - v))) AS mae FROM ted
+UNION ALL SELECT 'weekday', (avg(abs(coalesce(wkd.m, (SELECT avg(v) FROM trd)) - ted.v))) FROM ted LEFT JOIN wkd USING (dw)""")
 def q_naive_daily(spark, sf):
     ev = split_events(spark, sf)
     d = ev.groupBy(F.col("d").alias("ds")).agg(F.avg("value").alias("v"), F.first("split").alias("split"))

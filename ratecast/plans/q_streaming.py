@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratecast.plans.registry import query, r6
+from ratecast.plans.registry import query, measure
 from ratecast.plans.tables import EVENTS_SQL, table
 from ratecast.streaming import incremental as S
 
@@ -24,12 +24,12 @@ _W = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDI
 
 
 @query("stream_expanding_mean", f"""SELECT event_id, user_id, CAST(count(*) OVER {_W} AS BIGINT) AS lag_n,
-  round(CASE WHEN value IS NOT NULL AND count(*) OVER {_W} > 0 THEN coalesce(sum(value) OVER {_W}, 0) / count(*) OVER {_W} END, 6)
+  (CASE WHEN value IS NOT NULL AND count(*) OVER {_W} > 0 THEN coalesce(sum(value) OVER {_W}, 0) / count(*) OVER {_W} END)
   AS lag_mean FROM events""")
 def q_stream_expanding_mean(spark, sf):
     st = S.stream_expanding_mean(_event_stream(spark, sf), "user_id", "value", ["ts", "event_id"], "event_id")
     res = S.run_to_table(spark, st, "expanding_mean")
-    return res.select("event_id", "user_id", "lag_n", r6("lag_mean").alias("lag_mean"))
+    return res.select("event_id", "user_id", "lag_n", measure("lag_mean").alias("lag_mean"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratecast.operators import windows as W
-from ratecast.plans.registry import query, r6
+from ratecast.plans.registry import query, measure
 from ratecast.plans.tables import EV_ORDER, EVENTS_SQL, events, table
 
 EV = EVENTS_SQL
@@ -14,15 +14,15 @@ EV = EVENTS_SQL
 def _em_sql(value: str, part: str, name: str) -> str:
     w = f"(PARTITION BY {part} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return (f"CAST(count(*) OVER {w} AS BIGINT) AS {name}_n, "
-            f"round(CASE WHEN {value} IS NOT NULL AND count(*) OVER {w} > 0 THEN "
-            f"coalesce(sum({value}) OVER {w}, 0) / count(*) OVER {w} END, 6) AS {name}_mean")
+            f"(CASE WHEN {value} IS NOT NULL AND count(*) OVER {w} > 0 THEN "
+            f"coalesce(sum({value}) OVER {w}, 0) / count(*) OVER {w} END) AS {name}_mean")
 
 
 @query("expanding_mean", f"SELECT event_id, user_id, {_em_sql('value', 'user_id', 'lag')} FROM {EV}")
 def q_expanding_mean(spark, sf):
     ev = events(spark, sf)
     r = W.expanding_mean(ev, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n", chunk=F.col("d"))
-    return r.select("event_id", "user_id", F.col("lag_n").cast("bigint"), r6("lag_mean").alias("lag_mean"))
+    return r.select("event_id", "user_id", F.col("lag_n").cast("bigint"), measure("lag_mean").alias("lag_mean"))
 
 
 _KEYSETS = {"user": ["user_id"], "slot": ["dow", "h"], "status_hour": ["event_type", "h"]}
@@ -37,7 +37,7 @@ def q_lag_features(spark, sf):
     cols = ["event_id"]
     for t in ("value", "k"):
         for n in _KEYSETS:
-            cols += [F.col(f"lag_{t}_{n}_n").cast("bigint"), r6(f"lag_{t}_{n}_mean").alias(f"lag_{t}_{n}_mean")]
+            cols += [F.col(f"lag_{t}_{n}_n").cast("bigint"), measure(f"lag_{t}_{n}_mean").alias(f"lag_{t}_{n}_mean")]
     return r.select(*cols)
 
 
@@ -59,17 +59,17 @@ def _li_em_sql(value, name):
 
 
 @query("peer_lags", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(
-    f"round(lag_peer_{p}_mean, 6) AS lag_peer_{p}_mean" for p in _PEERS)
-    + ", round((" + " + ".join(f"coalesce(lag_peer_{p}_mean, 0)" for p in _PEERS) + ") / nullif("
-    + " + ".join(f"CAST(lag_peer_{p}_mean IS NOT NULL AS INT)" for p in _PEERS) + ", 0), 6) AS lag_peers_avg"
+    f"(lag_peer_{p}_mean) AS lag_peer_{p}_mean" for p in _PEERS)
+    + ", ((" + " + ".join(f"coalesce(lag_peer_{p}_mean, 0)" for p in _PEERS) + ") / nullif("
+    + " + ".join(f"CAST(lag_peer_{p}_mean IS NOT NULL AS INT)" for p in _PEERS) + ", 0)) AS lag_peers_avg"
     + " FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(_li_em_sql(p, f"lag_peer_{p}_mean") for p in _PEERS)
     + " FROM lineitem)")
 def q_peer_lags(spark, sf):
     li = table(spark, sf, "lineitem")
     r = W.lag_features(li, [], {"slot": ["l_returnflag", "l_linestatus"]}, _LI_ORDER, peers=_PEERS,
                        chunk=F.to_date("l_shipdate"))
-    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[r6(f"lag_peer_{p}_mean").alias(f"lag_peer_{p}_mean")
-                                                    for p in _PEERS], r6("lag_peers_avg").alias("lag_peers_avg"))
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[measure(f"lag_peer_{p}_mean").alias(f"lag_peer_{p}_mean")
+                                                    for p in _PEERS], measure("lag_peers_avg").alias("lag_peers_avg"))
 
 
 _WU = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -84,18 +84,18 @@ def q_lags(spark, sf):
 _WP = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@query("ema", f"SELECT event_id, round(CASE WHEN count(*) OVER {_WP} > 0 THEN "
-              f"list_reduce(list(value) OVER {_WP}, lambda a, x: a * 0.6 + x * 0.4) END, 6) AS ema FROM {EV}")
+@query("ema", f"SELECT event_id, (CASE WHEN count(*) OVER {_WP} > 0 THEN "
+              f"list_reduce(list(value) OVER {_WP}, lambda a, x: a * 0.6 + x * 0.4) END) AS ema FROM {EV}")
 def q_ema(spark, sf):
     r = W.ema(events(spark, sf), ["user_id"], "value", EV_ORDER, span=4, chunk=F.col("d"))
-    return r.select("event_id", r6("ema").alias("ema"))
+    return r.select("event_id", measure("ema").alias("ema"))
 
 
-@query("rolling_prev", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id "
-                       f"ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS rolling_mean FROM {EV}")
+@query("rolling_prev", "SELECT event_id, (avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id "
+                       f"ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS rolling_mean FROM {EV}")
 def q_rolling_prev(spark, sf):
     r = W.rolling_prev(events(spark, sf), ["user_id"], "value", EV_ORDER, n=4, chunk=F.col("d"))
-    return r.select("event_id", r6("rolling_mean").alias("rolling_mean"))
+    return r.select("event_id", measure("rolling_mean").alias("rolling_mean"))
 
 
 @query("weeks_since_start", "SELECT o_orderkey, CAST(floor(datediff('day', (SELECT min(CAST(o_orderdate AS DATE)) "
@@ -140,21 +140,21 @@ gm AS (SELECT date_trunc('month', o_orderdate) AS mth, avg(o_totalprice) AS mv F
 gl AS (SELECT *, CAST(row_number() OVER (ORDER BY mth) - 1 AS DOUBLE) AS i FROM (SELECT * FROM gm ORDER BY mth DESC LIMIT 7)),
 g AS (SELECT CASE WHEN count(*) < 3 OR avg(mv) <= 0 THEN 0 ELSE greatest(least(regr_slope(mv, i) / avg(mv), 0.05), -0.05) END AS t FROM gl),
 n AS (SELECT o_custkey, count(*) AS nrows FROM orders GROUP BY 1)
-SELECT n.o_custkey, round(CASE WHEN n.nrows < 5 THEN (SELECT t FROM g) WHEN s.k < 3 OR s.mn <= 0 THEN 0
-       ELSE greatest(least(s.sl / s.mn, 0.05), -0.05) END, 6) AS trend
+SELECT n.o_custkey, (CASE WHEN n.nrows < 5 THEN (SELECT t FROM g) WHEN s.k < 3 OR s.mn <= 0 THEN 0
+       ELSE greatest(least(s.sl / s.mn, 0.05), -0.05) END) AS trend
 FROM n JOIN s USING (o_custkey)"""
 
 
 @query("trend_slope", _TREND_SQL)
 def q_trend_slope(spark, sf):
     r = W.trend(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
-    return r.select("o_custkey", r6("trend").alias("trend"))
+    return r.select("o_custkey", measure("trend").alias("trend"))
 
 
 @query("autocorr", f"""
 WITH s AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value - avg(value) OVER (PARTITION BY user_id) AS x FROM {EV}),
 k AS (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 11))
-SELECT k.lag, round(corr(a.x, b.x), 6) AS acf, round(1.96 / sqrt((SELECT count(x) FROM s)), 6) AS band
+SELECT k.lag, (corr(a.x, b.x)) AS acf, (1.96 / sqrt((SELECT count(x) FROM s))) AS band
 FROM k JOIN s a ON true JOIN s b ON b.i = a.i + k.lag GROUP BY k.lag""")
 def q_autocorr(spark, sf):
     from pyspark.sql import Window
@@ -162,7 +162,7 @@ def q_autocorr(spark, sf):
     ev = ev.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy("user_id")))
     idx = W.global_index(ev, EV_ORDER, F.col("d"), out="i")
     r = W.autocorr(idx, "x", "i", lags=10)
-    return r.select(F.col("lag").cast("int"), r6("acf").alias("acf"), r6("band").alias("band"))
+    return r.select(F.col("lag").cast("int"), measure("acf").alias("acf"), measure("band").alias("band"))
 
 
 @query("split_by_date", f"""

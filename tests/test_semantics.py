@@ -283,8 +283,8 @@ def test_halo_windows_equal_plain_windows_on_hot_key(spark):
     df = spark.createDataFrame(pdf)
     ch = F.to_date("ts")
     order = ["ts", "id"]
-    plain = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5)), ["k"], "v", order, frame=20), ["k"], "v", order)
-    halo = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5), chunk=ch), ["k"], "v", order, frame=20, chunk=ch),
+    plain = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5)), ["k"], "v", order), ["k"], "v", order)
+    halo = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5), chunk=ch), ["k"], "v", order, chunk=ch),
                           ["k"], "v", order, chunk=ch)
     a = plain.toPandas().sort_values("id").reset_index(drop=True)
     b = halo.toPandas().sort_values("id").reset_index(drop=True)
@@ -310,3 +310,40 @@ def test_salted_asof_equals_unsalted(spark):
     # brute force: count of history rows of the key dated before the target
     exp = [int(((hist.k == k) & (hist.d < t)).sum()) for k, t in zip(req.k, req.target)]
     assert list(a["p_cn"]) == exp
+
+
+def test_null_keys_keep_their_history_across_chunks(spark):
+    rows = [(None, day, i, float(10 * day + i)) for day in (1, 2, 3) for i in range(2)]
+    df = spark.createDataFrame(rows, "k string, d int, i int, v double")
+    for chunk in (None, F.col("d")):
+        r = W.expanding_mean(df, ["k"], "v", ["d", "i"], chunk=chunk).orderBy("d", "i").collect()
+        assert [x.lag_n for x in r] == [0, 1, 2, 3, 4, 5]
+        assert r[2].lag_mean == 10.5
+        lag = W.lags(df, ["k"], "v", ["d", "i"], (1,), chunk=chunk).orderBy("d", "i").collect()
+        assert [x.lag_1 for x in lag] == [None, 10.0, 11.0, 20.0, 21.0, 30.0]
+
+
+def test_ema_of_a_long_span_is_the_full_recursion(spark):
+    v = [float((i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame([(1, i, i // 50, x) for i, x in enumerate(v)], "k int, i int, c int, v double")
+    e, want = v[0], [None]
+    for x in v[1:]:
+        want.append(e)
+        e = e * (1 - 2 / 201) + x * 2 / 201
+    got = [r.ema for r in W.ema(df, ["k"], "v", ["i"], span=200, chunk=F.col("c")).orderBy("i").collect()]
+    assert got[0] is None and all(abs(a - b) < 1e-9 for a, b in zip(got[1:], want[1:]))
+
+
+def test_weekdays_sunday_first_and_confidence(spark):
+    days = X.WEEKDAYS_HE
+    texts = [f"{days[1]} {days[0]} {X.WORDS_NEXT[0]}", f"{X.PROGRAM_WORDS[0]} {X.WORD_TOMORROW}", f"{X.PROGRAM_WORDS[0]} 12/06/26", "12/06/26"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = df.select(X.text_date("t", "2026-06-01").alias("d"), X.confidence("t", X.text_program("t")).alias("c")).collect()
+    assert r[0].d == dt.date(2026, 6, 7)
+    assert [x.c for x in r[1:]] == ["high", "medium", "low"]
+
+
+def test_right_closed_and_open_bins(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 10.0, 10.5, 5000.0)], "v double")
+    got = {r.bin: r.n for r in A.binned(df, "v", [0, 10, 50, None], right=True).collect()}
+    assert got == {"0-10": 1, "10-50": 1, "50+": 1}
