@@ -15,7 +15,7 @@ Reading needs no shuffle: each chunk holds whole documents, and a shard's
 place among all ids is a prefix sum over the shards' totals.
 
 Defined cases: a null or empty text has the end id alone; rows without an
-id come first; rows that share an id are ordered by text; an empty table
+id come first; rows that share an id are ordered by a hash of their text; an empty table
 gives an empty file set and result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -90,7 +90,9 @@ def write_ids(docs: DataFrame, store: Scratch, name: str = "ids", vocabulary: st
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     n = partitions(spark, rows.select("doc_id").count(), SHARD_ROWS)
-    ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # a hash of the text parts rows that share an id, and keeps texts out of the sample that sets the ranges
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     arrow = ordered.schema["doc_id"].dataType
 
     def run(batches):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ class Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         pre = str(self.lib.pre_tokenizer)
         self.cuts = "ByteLevel" in pre and "add_prefix_space=False" in pre and self.lib.normalizer is None
+        self.pieces: dict[str, bytes] = {}       # piece of the split: ids
         self.after_blank: dict[str, bytes] = {}  # unit that a blank precedes, without it: ids with the blank
 
     def _ids(self, text: str) -> np.ndarray:
@@ -64,19 +66,34 @@ class Encoder:
         The split runs over many units at once (a unit begins where a piece
         begins with a blank), and the library's model merges each distinct
         piece; units with unusual characters go through the whole library."""
-        model = self.lib.model
         unusual = set(filter(UNUSUAL.search, units))
         self.after_blank.update((u, self._ids(" " + u).tobytes()) for u in unusual)
         usual = [u for u in units if u not in unusual]
         for i in range(0, len(usual), 20_000):
             some = usual[i:i + 20_000]
             pieces = SPLIT.findall(" " + " ".join(some))
-            ids = {p: np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], dtype=self.dtype).tobytes()
-                   for p in set(pieces)}
+            ids = self._merge(pieces)
             at = [j for j, p in enumerate(pieces) if p[0] == " "]
             parts = [ids[p] for p in pieces]
             self.after_blank.update(zip(some, [b"".join(parts[a:b]) for a, b in zip(at, [*at[1:], len(parts)])]))
 
+    def _merge(self, pieces: list[str]) -> dict[str, bytes]:
+        """A table that holds the ids of these pieces of the split."""
+        if len(self.pieces) > MEMO_MAX:
+            self.pieces.clear()
+        known, merge, code = self.pieces, self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for p in set(pieces).difference(known):
+            known[p] = array(code, [t.id for t in merge(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        return known
+
+    def _first(self, unit: str) -> bytes:
+        """Ids of a text's beginning, up to its first blank."""
+        if UNUSUAL.search(unit):
+            return self._ids(unit).tobytes()
+        pieces = SPLIT.findall(unit)
+        ids = self._merge(pieces)
+        return b"".join([ids[p] for p in pieces])
+
     def _uneven(self, parts: list[str]) -> bytes:
         """A text with white space beside some of its blanks: cut at the others."""
         runs = [parts[0]]
@@ -115,7 +132,7 @@ class Encoder:
             elif not p[0] or p[0][-1].isspace() or (odd and not odd.isdisjoint(p)):
                 out.append(self._uneven(p))
             else:
-                out.append(self._ids(p[0]).tobytes() + b"".join([known[x] for x in p[1:]]))
+                out.append(self._first(p[0]) + b"".join([known[x] for x in p[1:]]))
         return out
 
 
