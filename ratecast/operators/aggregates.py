@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
+from ratecast.operators.quantiles import group_quantiles, quantiles, with_quantiles
 
 
 def _c(c) -> Column:
@@ -25,11 +26,12 @@ def profile(df: DataFrame, by: Sequence, value: str, extra: Sequence[str] = (),
             pct_of_total: bool = False, median: bool = True) -> DataFrame:
     """n, mean, median of ``value`` and means of ``extra`` per group (null
     group kept); optional share of all rows (A7)."""
-    aggs = [F.count("*").alias("n"), F.avg(value).alias("mean")]
+    keys = df.select(*by).columns
+    rows = df.select(*by, F.col(value).alias("_value"), *[F.col(e).alias(f"_e_{e}") for e in extra])
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_value").alias("mean"),
+                                *[F.avg(f"_e_{e}").alias(f"mean_{e}") for e in extra])
     if median:
-        aggs.append(F.median(value).alias("median"))
-    aggs += [F.avg(e).alias(f"mean_{e}") for e in extra]
-    g = df.groupBy(*by).agg(*aggs)
+        g = with_quantiles(g, rows, keys, "_value", {"median": 0.5})
     if pct_of_total:
         total = df.agg(F.count("*")).scalar()
         g = g.withColumn("pct", F.col("n") * 100.0 / total)
@@ -49,9 +51,9 @@ def best_worst(prof: DataFrame, label: str, metric: str = "mean") -> DataFrame:
 # A4, A8 -----------------------------------------------------------------------
 def split_profile(df: DataFrame, flag, value: str) -> DataFrame:
     """A4: n, mean, median, sample std per flag value."""
-    return df.groupBy(_c(flag).alias("flag")).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"),
-        F.stddev_samp(value).alias("std"))
+    rows = df.select(_c(flag).alias("flag"), F.col(value).alias("_value"))
+    g = rows.groupBy("flag").agg(F.count("*").alias("n"), F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("std"))
+    return with_quantiles(g, rows, ["flag"], "_value", {"median": 0.5})
 
 
 def zero_rate(df: DataFrame, by, value: str) -> DataFrame:
@@ -81,8 +83,9 @@ def paired_delta(df: DataFrame, entity: str, flag, value: str, min_n: int = 5, t
 def paired_summary(df: DataFrame, entity: str, flag, value: str, min_n: int = 5) -> DataFrame:
     """A5 summary over *all* qualifying entities (not only the top rows)."""
     p = paired_means(df, entity, flag, value, min_n)
+    median, = quantiles(p, "delta", [0.5])
     return p.agg(F.count("*").alias("n_entities"), F.avg("delta").alias("mean_delta"),
-                 F.median("delta").alias("median_delta"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"))
+                 F.lit(median).cast("double").alias("median_delta"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"))
 
 
 # A6 ---------------------------------------------------------------------------
@@ -111,8 +114,8 @@ def monthly_top(df: DataFrame, date: str, entity: str, value: str, flag: Column
     formatted ``name (x.xx)``, and the count of flagged rows."""
     m = F.trunc(F.to_date(date), "month").alias("month")
     base = df.groupBy(m).agg(F.count("*").alias("n"), F.avg(value).alias("mean"),
-                             F.median(value).alias("median"),
                              F.count_if(flag if flag is not None else F.lit(False)).alias("n_flagged"))
+    base = with_quantiles(base, df.select(m, F.col(value).alias("_value")), ["month"], "_value", {"median": 0.5})
     ent = (df.groupBy(m, F.col(entity)).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"))
            .where(F.col("_n") >= min_n))
     top = ent.groupBy("month").agg(F.max_by(F.struct(F.col(entity).alias("e"), F.col("_m").alias("m")),
@@ -165,12 +168,18 @@ def column_profile(df: DataFrame, top: int = 3) -> DataFrame:
     """
     numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}
     types = dict(df.dtypes)
+    nums = [c for c in df.columns if types[c] in numeric]
+    medians = {}
+    if nums:  # one number per column
+        st = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in nums)
+        long = df.selectExpr(f"stack({len(nums)}, {st}) AS (column, value)")
+        medians = {r["column"]: r["q"][0] for r in group_quantiles(long, ["column"], "value", [0.5]).collect()}
     aggs = []
     for c in df.columns:
         aggs += [F.countDistinct(c).alias(f"{c}__u"), F.count_if(F.col(c).isNull()).alias(f"{c}__m")]
         if types[c] in numeric:
             x = F.col(c).cast("double")
-            aggs += [F.min(x).alias(f"{c}__min"), F.median(x).alias(f"{c}__med"), F.avg(x).alias(f"{c}__mean"),
+            aggs += [F.min(x).alias(f"{c}__min"), F.lit(medians.get(c)).cast("double").alias(f"{c}__med"), F.avg(x).alias(f"{c}__mean"),
                      F.stddev_samp(x).alias(f"{c}__std"), F.max(x).alias(f"{c}__max")]
         if types[c] == "boolean":
             aggs.append(F.avg(F.col(c).cast("double")).alias(f"{c}__true"))
@@ -200,27 +209,18 @@ def column_profile(df: DataFrame, top: int = 3) -> DataFrame:
 PCTS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
-def describe_pct(df: DataFrame, value: str, pcts: Sequence[float] = PCTS, exact: bool = True) -> DataFrame:
-    """Count, mean, std, min, max and linear-interpolated percentiles.
-
-    ``exact`` uses ``percentile`` (value->count map merged across
-    partitions: memory grows with distinct values, fine for rounded
-    measures); ``exact=False`` uses ``percentile_approx`` for
-    high-cardinality columns at scale.
-    """
-    if exact:
-        p = F.percentile(value, F.array(*[F.lit(x) for x in pcts]))
-    else:
-        p = F.percentile_approx(value, list(pcts), 100000)
-    one = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-                 F.min(value).alias("min"), F.max(value).alias("max"), p.alias("_p"))
-    return one.select("count", "mean", "std", "min", "max",
-                      *[F.col("_p")[i].alias(f"p{int(round(x * 100)):02d}") for i, x in enumerate(pcts)])
+def describe_pct(df: DataFrame, value: str, pcts: Sequence[float] = PCTS) -> DataFrame:
+    """Count, mean, std, min, max and linear-interpolated percentiles
+    (exact, see ``quantiles``)."""
+    found = quantiles(df, value, pcts)
+    return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+                  F.min(value).alias("min"), F.max(value).alias("max"),
+                  *[F.lit(v).cast("double").alias(f"p{int(round(x * 100)):02d}") for x, v in zip(pcts, found)])
 
 
 def extremes(df: DataFrame, value: str, id_col: str) -> DataFrame:
     """Zero count/share, rows at or above P99, the argmax row id."""
-    p99 = df.agg(F.percentile(value, 0.99)).scalar()
+    p99 = F.lit(quantiles(df, value, [0.99])[0]).cast("double")
     return df.agg(F.count_if(F.col(value) == 0).cast("bigint").alias("n_zero"),
                   (F.count_if(F.col(value) == 0) / F.count("*")).alias("zero_share"),
                   F.count_if(F.col(value) >= p99).cast("bigint").alias("n_ge_p99"),
@@ -289,10 +289,10 @@ def error_summary(df: DataFrame, actual: str, pred: str, tol: Sequence[float] =
     """Bias (pred - actual), share within each tolerance, error
     P10/P50/P90."""
     e = F.col(pred) - F.col(actual)
+    p10, p50, p90 = (F.lit(v).cast("double") for v in quantiles(df, e, [0.1, 0.5, 0.9]))
     return df.agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"),
                   *[F.avg((F.abs(e) <= t).cast("double")).alias(f"within_{str(t).replace('.', '_')}") for t in tol],
-                  F.percentile(e, 0.1).alias("err_p10"), F.percentile(e, 0.5).alias("err_p50"),
-                  F.percentile(e, 0.9).alias("err_p90"))
+                  p10.alias("err_p10"), p50.alias("err_p50"), p90.alias("err_p90"))
 
 
 def segment_errors(df: DataFrame, actual: str, pred: str, by, min_n: int = 0, sign: int = -1) -> DataFrame:
@@ -339,15 +339,25 @@ def family_summary(board: DataFrame, families: dict[str, str]) -> DataFrame:
 
 def difficulty(long: DataFrame, entity: str, actual: str, min_n: int = 5) -> DataFrame:
     """Per entity the MAE of every model, then across models: mean,
-    min, max, population std; entities with >= min_n rows."""
+    min, max, population std and their number; entities with >= min_n rows."""
     per = long.groupBy(entity, "model").agg(F.count("*").alias("_n"),
                                             F.avg(F.abs(F.col("pred") - F.col(actual))).alias("_mae"))
     return (per.groupBy(entity).agg(F.max("_n").alias("n"), F.avg("_mae").alias("mae_mean"),
                                     F.min("_mae").alias("mae_min"), F.max("_mae").alias("mae_max"),
-                                    F.stddev_pop("_mae").alias("mae_std"))
+                                    F.stddev_pop("_mae").alias("mae_std"), F.count("*").alias("n_models"))
             .where(F.col("n") >= min_n))
 
 
+def hardest(table: DataFrame, entity: str, k: int = 10) -> DataFrame:
+    """The ``k`` entities whose best model's MAE is highest (ties by entity)."""
+    return table.orderBy(F.col("mae_min").desc(), F.col(entity)).limit(k)
+
+
+def most_divergent(table: DataFrame, entity: str, k: int = 10) -> DataFrame:
+    """The ``k`` entities on which the models differ most (ties by entity)."""
+    return table.orderBy(F.col("mae_std").desc(), F.col(entity)).limit(k)
+
+
 # A29, A30 ---------------------------------------------------------------------
 def daily(df: DataFrame, date: str, means: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(F.to_date(date).alias("ds")).agg(
@@ -383,10 +393,12 @@ def bias_cells(df: DataFrame, keys: Sequence[str], actual: str, pred: str, min_n
 
 
 # A35 ---------------------------------------------------------------------------
-def cluster_summary(df: DataFrame, cluster: str, shares: dict[str, Column], modes: Sequence[str]) -> DataFrame:
-    """Per cluster n, share of rows meeting each predicate, and the most
-    frequent value of each ``modes`` column (ties: smallest value)."""
-    g = df.groupBy(cluster).agg(F.count("*").alias("n"),
+def cluster_summary(df: DataFrame, cluster: str, shares: dict[str, Column], modes: Sequence[str],
+                    means: dict[str, Column] | None = None) -> DataFrame:
+    """Per cluster n, means (error, bias, actual, ...), share of rows meeting
+    each predicate, and the most frequent value of each ``modes`` column
+    (ties: smallest value)."""
+    g = df.groupBy(cluster).agg(F.count("*").alias("n"), *[F.avg(m).alias(f"mean_{k}") for k, m in (means or {}).items()],
                                 *[F.avg(p.cast("double")).alias(f"share_{k}") for k, p in shares.items()])
     for m in modes:
         vc = df.groupBy(cluster, m).agg(F.count("*").alias("_c"))
@@ -434,6 +446,13 @@ def model_spread(df: DataFrame, preds: Sequence[str], out: str = "spread") -> Da
     return df.withColumn(out, F.sqrt(ss / (k - 1)))
 
 
+def status_bias(df: DataFrame, by: str, actual: str, pred: str) -> DataFrame:
+    """Per category n, bias and MAE of one model and the actual mean."""
+    e = F.col(pred) - F.col(actual)
+    return df.groupBy(by).agg(F.count(actual).alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"),
+                              F.avg(actual).alias("actual_mean"))
+
+
 def drift_pct(df: DataFrame, split: str, value: str, train: str = "train", test: str = "test") -> DataFrame:
     """(test mean - train mean) / train mean * 100, per value."""
     g = df.agg(F.avg(F.when(F.col(split) == train, F.col(value))).alias("train_mean"),

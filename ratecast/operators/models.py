@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratecast.operators import aggregates as A
+from ratecast.operators.quantiles import group_quantiles, quantiles
 from ratecast.operators.windows import global_index
 
 
@@ -158,18 +159,22 @@ def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: st
         return m.transform(prep.transform(df)).withColumnRenamed("prediction", "pred").drop("features")
     fitted = score(fit_part).withColumn("_res", F.col(label) - F.col("pred"))
     lo_q, hi_q = alpha / 2, 1 - alpha / 2
-    res_q = fitted.groupBy(*by).agg(F.percentile("_res", lo_q).alias("_rlo"), F.percentile("_res", hi_q).alias("_rhi"))
+    if by:
+        res_q = group_quantiles(fitted, by, "_res", [lo_q, hi_q], out="_q")
+        res_q = res_q.select(*by, F.col("_q")[0].alias("_rlo"), F.col("_q")[1].alias("_rhi"))
+    else:
+        whole = quantiles(fitted, "_res", [lo_q, hi_q])
 
     def band(df):
         s = score(df)
         if by:
             s = s.join(res_q, list(by), "left")
-        else:  # one global pair of quantiles: scalar subqueries
-            s = s.withColumn("_rlo", res_q.select("_rlo").scalar()).withColumn("_rhi", res_q.select("_rhi").scalar())
+        else:
+            s = s.withColumn("_rlo", F.lit(whole[0])).withColumn("_rhi", F.lit(whole[1]))
         return s.withColumn("low", F.col("pred") + F.col("_rlo")).withColumn("high", F.col("pred") + F.col("_rhi"))
     c = band(cal)
-    off_lo = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col("low") - F.col(label), miss_q))).scalar()
-    off_hi = c.agg(F.greatest(F.lit(0.0), F.percentile(F.col(label) - F.col("high"), miss_q))).scalar()
+    off_lo = max(0.0, quantiles(c, F.col("low") - F.col(label), [miss_q])[0] or 0.0)
+    off_hi = max(0.0, quantiles(c, F.col(label) - F.col("high"), [miss_q])[0] or 0.0)
     t = band(test).withColumn("low_c", F.col("low") - off_lo).withColumn("high_c", F.col("high") + off_hi)
     y = F.col(label)
     return t.agg(F.count("*").alias("n"),
@@ -179,12 +184,12 @@ def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: st
 
 
 # M20 ---------------------------------------------------------------------------
-def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequence[str], chunk, num, bools, cats,
+def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequence[str], num, bools, cats,
                    fracs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), model: str = "gbt", plateau: float = 0.003):
     """Fit on the earliest fraction of train (by the total order) and score
     test; ``plateau`` marks the last gain below the threshold."""
     n = train.agg(F.count("*")).first()[0]
-    indexed = global_index(train, order, chunk, out="_rn").cache()
+    indexed = global_index(train, order, out="_rn").cache()
     rows = []
     for f in fracs:
         part = indexed.where(F.col("_rn") <= int(n * f)).drop("_rn")
@@ -202,8 +207,8 @@ def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequenc
 # M25 ---------------------------------------------------------------------------
 def cluster_errors(df: DataFrame, vec: str, err: str, q: float = 0.7, k: int = 5, seed: int = 42) -> DataFrame:
     """KMeans (k clusters) on the rows whose |error| is in the top 1-q."""
-    thr = df.agg(F.percentile(F.abs(F.col(err)), q)).scalar()
-    hard = df.where(F.abs(F.col(err)) >= thr)
+    thr, = quantiles(df, F.abs(F.col(err)), [q])
+    hard = df.where(F.abs(F.col(err)) >= F.lit(thr).cast("double"))
     model = KMeans(k=k, seed=seed, featuresCol=vec, predictionCol="cluster").fit(hard)
     return model.transform(hard)
 
@@ -228,21 +233,23 @@ def fit_additive(daily: DataFrame, date: str, value: str, regressors: Sequence[s
 
 
 # M32 ---------------------------------------------------------------------------
-def series_baselines(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], split: str,
-                     span: int = 4) -> DataFrame:
-    """Per series: on its test rows predict the train mean, the last train
-    value, and the EMA of the train values (as of the train end)."""
-    from ratecast.operators.windows import ema
-    tr = df.where(F.col(split) == "train")
-    e = ema(tr, key, value, order, span=span, out="_ema_prev")
-    # EMA through the last train row = fold the last value into the previous EMA
-    a = 2.0 / (span + 1)
-    last = (e.groupBy(*key).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("_ema_prev").alias("e")),
-                                         F.struct(*[F.col(c) for c in order])).alias("_l"),
-                                F.avg(value).alias("pred_mean")))
-    last = last.select(*key, "pred_mean", F.col("_l.v").alias("pred_last"),
-                       F.coalesce(F.col("_l.e") * (1 - a) + F.col("_l.v") * a, F.col("_l.v")).alias("pred_ema"))
-    return df.where(F.col(split) == "test").join(last, list(key), "inner")
+def series_baselines(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], split: str, span: int = 4,
+                     min_history: int = 2, chunk=None) -> DataFrame:
+    """Per test row, from its own series: the train mean, the previous value
+    and the EMA of the previous values (one-step, so test rows use the test
+    rows before them).  Rows with fewer than ``min_history`` earlier rows are
+    left out, of the train means too; a missing previous value or EMA gives
+    the train mean, and a series without such train rows has no baseline.
+    ``chunk`` coarsens the order, as in ``windows.lags``."""
+    from ratecast.operators.windows import ema, lags, running_totals
+    x = running_totals(df, key, order, count_out="_seen", chunk=chunk)
+    x = lags(x, key, value, order, ks=(1,), prefix="_lag", chunk=chunk)
+    x = ema(x, key, value, order, span=span, out="_ema", chunk=chunk).where(F.col("_seen") >= min_history)
+    means = (x.where(F.col(split) == "train").groupBy(*[F.col(k).alias(f"_m_{k}") for k in key])
+             .agg(F.avg(value).alias("pred_mean")))
+    x = x.where(F.col(split) == "test").join(means, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in key])
+    x = x.withColumn("pred_last", F.coalesce("_lag_1", "pred_mean")).withColumn("pred_ema", F.coalesce("_ema", "pred_mean"))
+    return x.drop("_seen", "_lag_1", "_ema", *[f"_m_{k}" for k in key])
 
 
 # M8-M11, M15-M19 ---------------------------------------------------------------------
@@ -289,15 +296,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, label: str, cols
     a seeded hash order (two distributed row indexes + an equi join)."""
     from ratecast.operators.topk import mix_hash
     base = model.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
-    chunk = F.pmod(F.col(id_col), F.lit(64))  # any deterministic split works for the id-order index
-    pos = global_index(df.withColumn("_c", chunk), ["_c", id_col], F.col("_c"), out="_p").drop("_c")
+    pos = global_index(df, [id_col], out="_p")
     rows = []
     for c in cols:
         deltas = []
         for r in range(repeats):
-            h = pos.withColumn("_h", mix_hash(F.col(id_col), seed + r))
-            hpos = global_index(h.withColumn("_hc", F.pmod(F.col("_h"), F.lit(64))), ["_hc", "_h", id_col],
-                                F.col("_hc"), out="_p").select("_p", F.col(c).alias("_v"))
+            h = df.select(id_col, mix_hash(F.col(id_col), seed + r).alias("_h"), F.col(c).alias("_v"))
+            hpos = global_index(h, ["_h", id_col], out="_p").select("_p", "_v")
             perm = pos.join(hpos, "_p").drop(c).withColumnRenamed("_v", c).drop("_p")
             mae = model.transform(perm).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
             deltas.append(mae - base)
@@ -331,7 +336,8 @@ def local_effects(model: PipelineModel, train: DataFrame, rows: DataFrame, cols:
                   top: int = 3) -> DataFrame:
     """For each given row, replace one numeric at a time by its train
     median and report the largest prediction changes."""
-    meds = train.agg(*[F.median(c).alias(c) for c in cols]).first()
+    from ratecast.operators.stats import to_long
+    meds = dict.fromkeys(cols) | {r["feature"]: r["q"][0] for r in group_quantiles(to_long(train, cols), ["feature"], "value", [0.5]).collect()}
     variants = None
     for c in cols:
         v = rows.withColumn(c, F.lit(meds[c]).cast(rows.schema[c].dataType)).withColumn("feature", F.lit(c))
@@ -354,20 +360,20 @@ def ablation(train: DataFrame, test: DataFrame, label: str, configs: dict, model
     return train.sparkSession.createDataFrame(rows, "config string, mae double")
 
 
-def time_fold_frames(df: DataFrame, order, chunk, k: int):
+def time_fold_frames(df: DataFrame, order, k: int):
     from ratecast.operators.windows import time_folds
-    f = time_folds(df, order, chunk, k).cache()
+    f = time_folds(df, order, k).cache()
     return [(f.where((F.col("fold") == i) & (F.col("role") == "train")).drop("fold", "role"),
              f.where((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")) for i in range(1, k + 1)]
 
 
-def random_search(train: DataFrame, label: str, order, chunk, num, bools, cats, grid: dict, n_iter: int = 3,
+def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: dict, n_iter: int = 3,
                   k: int = 3, model: str = "random_forest", seed: int = 42) -> DataFrame:
     """M9: sampled parameter sets scored by mean MAE over expanding
     time-ordered folds."""
     rnd = random.Random(seed)
     combos = [{p: rnd.choice(v) for p, v in grid.items()} for _ in range(n_iter)]
-    folds = time_fold_frames(train, order, chunk, k)
+    folds = time_fold_frames(train, order, k)
     rows = []
     for params in combos:
         maes = []
@@ -379,11 +385,11 @@ def random_search(train: DataFrame, label: str, order, chunk, num, bools, cats,
     return train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
 
 
-def stack(train: DataFrame, test: DataFrame, label: str, id_col: str, order, chunk, num, bools, cats,
+def stack(train: DataFrame, test: DataFrame, label: str, id_col: str, order, num, bools, cats,
           bases: Sequence[str] = ("random_forest", "gbt"), k: int = 3) -> DataFrame:
     """M8: a linear meta-model on out-of-fold base predictions (expanding
     time folds), applied to base models refit on all of train."""
-    folds = time_fold_frames(train, order, chunk, k)
+    folds = time_fold_frames(train, order, k)
     oof = None
     for tr, te in folds:
         prep = preprocessor(num, bools, cats).fit(tr)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratecast.operators.quantiles import quantiles
+
 
 def project(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Keep, rename and order columns (``old -> new``)."""
@@ -85,13 +87,12 @@ def fill_constant(df: DataFrame, cols: Sequence[str], value) -> DataFrame:
 
 def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Coerce to double (bad text -> null), then fill nulls with the
-    exact column median (one scalar subquery per column)."""
+    exact column median."""
     out = df
     for c in cols:
         x = F.col(c).cast("string").try_cast("double") if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
         out = out.withColumn(c, x)
-        med = out.agg(F.median(c)).scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c), med))
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(quantiles(out, c, [0.5])[0]).cast("double")))
     return out
 
 

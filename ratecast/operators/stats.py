@@ -2,9 +2,9 @@
 
 Rank-based statistics (KS, Spearman, Q-Q) need positions in a sorted
 order.  They never sort raw rows in one task: values are first reduced
-to (key, value) counts, and prefix counts use the two-level scheme of
-``windows.running_totals`` with a monotone chunk taken from approximate
-quantile edges, so a feature's values are spread over many tasks.
+to (feature, value) counts, and prefix counts use the two-level scheme of
+``windows.running_totals`` over the pieces of ``windows.counted_pieces``,
+so a feature's values are spread over as many tasks as their number asks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
 from ratecast.operators.topk import mix_hash
-from ratecast.operators.windows import global_index, running_totals
+from ratecast.operators.quantiles import group_quantiles, quantiles
+from ratecast.operators.windows import counted_pieces, global_index, running_totals
 
 
 def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -25,29 +26,6 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> Data
     return df.selectExpr(*[f"`{i}`" for i in ids], f"stack({len(cols)}, {st}) AS (feature, value)")
 
 
-def quantile_edges(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64) -> dict:
-    """Approximate-quantile chunk edges per key: a bounded parameter
-    (#keys x (pieces-1) numbers) from one small aggregate job."""
-    qs = [i / pieces for i in range(1, pieces)]
-    rows = long.groupBy(key).agg(F.percentile_approx(value, qs, 10000).alias("_e")).collect()
-    return {r[key]: [float(v) for v in (r["_e"] or [])] for r in rows}
-
-
-def _quantile_chunk(long: DataFrame, key: str = "feature", value: str = "value", pieces: int = 64,
-                    edges: dict | None = None) -> DataFrame:
-    """Attach ``_chunk``: the index of the approximate-quantile piece each
-    value falls in (monotone in the value within a key).  Edges are
-    inlined as literals, so no join is needed."""
-    edges = edges if edges is not None else quantile_edges(long, key, value, pieces)
-    expr = None
-    for k, ev in edges.items():
-        arr = F.array(*[F.lit(v) for v in ev]) if ev else F.array().cast("array<double>")
-        c = F.size(F.filter(arr, lambda e: e < F.col(value)))
-        cond = F.col(key).eqNullSafe(F.lit(k))
-        expr = F.when(cond, c) if expr is None else expr.when(cond, c)
-    return long.withColumn("_chunk", expr if expr is not None else F.lit(0))
-
-
 # M22 ---------------------------------------------------------------------------
 def psi(train: DataFrame, test: DataFrame, cols: Sequence[str], bins: int = 10, min_rows: int = 50) -> DataFrame:
     """Population stability per feature: edges = distinct linear
@@ -58,7 +36,7 @@ def psi(train: DataFrame, test: DataFrame, cols: Sequence[str], bins: int = 10,
     qs = [i / bins for i in range(bins + 1)]
     a = to_long(train, cols).where(F.col("value").isNotNull()).withColumn("side", F.lit("a"))
     b = to_long(test, cols).where(F.col("value").isNotNull()).withColumn("side", F.lit("b"))
-    edges = a.groupBy("feature").agg(F.array_distinct(F.array_sort(F.percentile("value", qs))).alias("edges"))
+    edges = group_quantiles(a, ["feature"], "value", qs, out="edges").withColumn("edges", F.array_distinct(F.array_sort("edges")))
     sizes = (a.unionByName(b).groupBy("feature")
              .agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
              .where((F.col("na") >= min_rows) & (F.col("nb") >= min_rows)))
@@ -103,9 +81,9 @@ def ks(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
     cnt = (a.withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0))
            .unionByName(b.withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1)))
            .groupBy("feature", "value").agg(F.sum("_a").cast("double").alias("na"), F.sum("_b").cast("double").alias("nb")))
-    cnt = _quantile_chunk(cnt)
+    cnt, chunk = counted_pieces(cnt, ["feature", "value"])
     cum = running_totals(cnt, ["feature"], ["value"], sums={"ca": F.col("na"), "cb": F.col("nb")},
-                         chunk=F.col("_chunk"), inclusive=True)
+                         chunk=chunk, inclusive=True)
     tot = cnt.groupBy("feature").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     j = cum.join(tot, "feature")
     d = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))
@@ -115,43 +93,45 @@ def ks(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # A21 ---------------------------------------------------------------------------
-def rank_table(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
-    """(value, average rank) for ``col``: ties share the mean of their
+def value_ranks(long: DataFrame) -> DataFrame:
+    """(feature, value, rank) of a long table: ties share the mean of their
     positions; computed on per-value counts with two-level prefix sums."""
-    per = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").cast("double").alias("n"))
-    per = _quantile_chunk(per.withColumn("feature", F.lit(col)), edges=None if edges is None else {col: edges})
-    cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=F.col("_chunk"))
-    return cum.select(F.col("value").alias(col), (F.col("_before") + (F.col("n") + 1) / 2).alias(out))
+    per = (long.where(F.col("value").isNotNull()).groupBy("feature", "value")
+           .agg(F.count("*").cast("double").alias("n")))
+    per, chunk = counted_pieces(per, ["feature", "value"])
+    cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=chunk)
+    return cum.select("feature", "value", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def average_ranks(df: DataFrame, col: str, out: str, edges: list[float] | None = None) -> DataFrame:
-    """Attach the average rank of ``col`` to every row (join on the value)."""
-    return df.join(rank_table(df, col, out, edges), col, "left")
+def _ranks_of(ranks: DataFrame, feature: str, col: str, out: str) -> DataFrame:
+    return ranks.where(F.col("feature") == feature).select(F.col("value").alias(col), F.col("rank").alias(out))
 
 
 def spearman_vs(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Spearman correlation of each column with ``target`` (ranks over the
-    rows where both are non-null).  Chunk edges for every column come from
-    one job (they only spread work, so full-column edges serve every pair).
+    rows where both are non-null).  All columns are ranked in one long table.
     When no involved column has nulls every pair ranks the same rows, so
     each column -- the target included -- is ranked once."""
-    edges = quantile_edges(to_long(df, [*cols, target]).where(F.col("value").isNotNull()))
     nulls = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in [*cols, target]]))).first()[0]
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*cols, target])])
     if nulls == 0:
-        base = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*cols, target])])
-        # every rank table comes from the base rows, then one join per column
-        x = base.join(rank_table(base, target, "_rt", edges.get(target, [])), target, "left")
+        ranks = value_ranks(to_long(base, base.columns))
+        x = base.join(_ranks_of(ranks, target, target, "_rt"), target, "left")
         for i, c in enumerate(cols):
-            x = x.join(rank_table(base, c, f"_r{i}", edges.get(c, [])), c, "left")
+            x = x.join(_ranks_of(ranks, c, c, f"_r{i}"), c, "left")
         one = x.agg(*[F.corr(f"_r{i}", "_rt").alias(f"_s{i}") for i in range(len(cols))])
         st = ", ".join(f"'{c}', `_s{i}`" for i, c in enumerate(cols))
         return one.selectExpr(f"stack({len(cols)}, {st}) AS (feature, spearman)")
+    # a pair's two columns are null together, so each pair ranks its own rows
+    both = {c: F.col(c).isNotNull() & F.col(target).isNotNull() for c in cols}
+    wide = base.select(*[F.when(both[c], F.col(c)).alias(f"_x{i}") for i, c in enumerate(cols)],
+                       *[F.when(both[c], F.col(target)).alias(f"_y{i}") for i, c in enumerate(cols)])
+    ranks = value_ranks(to_long(wide, wide.columns))
     out = None
-    for c in cols:
-        x = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target))
-        x = x.where(F.col(c).isNotNull() & F.col(target).isNotNull())
-        x = (x.join(rank_table(x, c, "_rc", edges.get(c, [])), c, "left")
-             .join(rank_table(x, target, "_rt", edges.get(target, [])), target, "left"))
+    for i, c in enumerate(cols):
+        x = wide.select(f"_x{i}", f"_y{i}").where(F.col(f"_x{i}").isNotNull())
+        x = (x.join(_ranks_of(ranks, f"_x{i}", f"_x{i}", "_rc"), f"_x{i}", "left")
+             .join(_ranks_of(ranks, f"_y{i}", f"_y{i}", "_rt"), f"_y{i}", "left"))
         r = x.agg(F.corr("_rc", "_rt").alias("spearman")).withColumn("feature", F.lit(c))
         out = r if out is None else out.unionByName(r)
     return out.select("feature", "spearman")
@@ -242,8 +222,7 @@ def qq_points(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
     plotting positions."""
     x = df.where(F.col(value).isNotNull()).select(value, tiebreak)
     n = x.agg(F.count("*")).scalar()
-    chunked = _quantile_chunk(x.withColumn("feature", F.lit(value)), value=value).drop("feature")
-    r = global_index(chunked, [value, tiebreak], F.col("_chunk"), out="i").drop("_chunk")
+    r = global_index(x, [value, tiebreak], out="i")
     # n and the plotting position become columns first, so the polynomial
     # below references a column instead of repeating the subquery
     r = r.withColumn("_n", n)
@@ -262,8 +241,8 @@ def calibration(df: DataFrame, actual: str, pred: str, q: int = 15) -> DataFrame
     the bin with the largest |gap| flagged."""
     qs = [i / q for i in range(q + 1)]
     # q+1 edge values: a bounded parameter, fetched once and inlined
-    vals = df.agg(F.array_distinct(F.array_sort(F.percentile(pred, qs)))).first()[0] or []
-    edges = F.array(*[F.lit(float(v)) for v in vals])
+    vals = sorted({v for v in quantiles(df, pred, qs) if v is not None})
+    edges = F.array(*[F.lit(v) for v in vals]).cast("array<double>")
     b = F.greatest(F.size(F.filter(edges, lambda e: e < F.col(pred))), F.lit(1))
     g = df.where(F.col(pred).isNotNull()).groupBy(b.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(pred).alias("mean_pred"), F.avg(actual).alias("mean_actual"))

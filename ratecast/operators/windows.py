@@ -8,9 +8,9 @@ tiebreaker).  Scale notes:
   sums per (key, chunk) -> a small prefix over chunks -> a within-chunk
   window partitioned by (key, chunk).  A hot key that holds a third of
   all rows is then spread over its chunks instead of one task.
-* "Global" orders (row index over the whole table) use the same
-  two-level scheme with an empty key, so no window ever runs without a
-  partition key over the raw rows.
+* "Global" orders (row index over the whole table) and value ranks are cut
+  into pieces sized from the row count (``ordered_pieces``), so no window
+  ever runs without a partition key over the raw rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
+from ratecast.session import cut_lineage
+
+PIECE_ROWS = 4_000_000  # rows aimed at per piece of a global order
 
 
 def _cols(cs) -> list[Column]:
@@ -82,12 +85,44 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return j.drop(*drop)
 
 
-def global_index(df: DataFrame, order: Sequence[str], chunk: Column, out: str = "rn",
-                 keys: Sequence[str] = ()) -> DataFrame:
-    """1-based row index in ``order`` (within ``keys``), computed without an
-    unpartitioned window over the raw rows."""
-    r = running_totals(df, keys, order, count_out=out, chunk=chunk, inclusive=True)
-    return r
+def ordered_pieces(df: DataFrame, order: Sequence[str], rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    """Cut the table along ``order`` into pieces of about ``rows_per_piece``
+    rows: adds ``_piece`` (rising along the order) and ``_pos`` (0-based
+    place in the piece).
+
+    Rows are range-partitioned by all of ``order``, so one day, hour or key
+    that holds most rows is spread as well; only rows equal in all of
+    ``order`` stay together.  The cut points come from a sample, so the
+    pieces are checkpointed: every later step sees the same cut.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-df.count() // rows_per_piece))
+    mid = F.monotonically_increasing_id()
+    out = df.repartitionByRange(n, *_cols(order)).sortWithinPartitions(*_cols(order)).withColumn("_mid", mid)
+    # the id holds the partition above bit 33 and the row's place below it
+    out = out.withColumn("_piece", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    return cut_lineage(out.drop("_mid"))
+
+
+def counted_pieces(per: DataFrame, order: Sequence[str], rows_per_piece: int = PIECE_ROWS) -> tuple[DataFrame, Column | None]:
+    """A table of value counts, computed once, and the chunk for its running
+    totals: the pieces along ``order``, or None when the whole table is
+    counted to fit in one piece."""
+    per = cut_lineage(per)
+    if per.count() <= rows_per_piece:
+        return per, None
+    return ordered_pieces(per, order, rows_per_piece), F.col("_piece")
+
+
+def global_index(df: DataFrame, order: Sequence[str], out: str = "rn", rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    """1-based row index in ``order``: the place in its piece plus the rows
+    of earlier pieces (one row per piece)."""
+    pieces = ordered_pieces(df, order, rows_per_piece)
+    w = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = (pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
+              .select("_piece", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
+    r = pieces.join(before, "_piece")
+    return r.withColumn(out, F.col("_before") + F.col("_pos") + 1).drop("_piece", "_pos", "_before")
 
 
 # ---------------------------------------------------------------------------
@@ -336,21 +371,20 @@ def split_by_date(df: DataFrame, date: str, frac: float = 0.2, out: str = "split
     return df.withColumn(out, F.when(F.to_date(date) < cut, "train").otherwise("test"))
 
 
-def split_by_row(df: DataFrame, order: Sequence[str], chunk: Column, frac: float = 0.2,
-                 out: str = "split") -> DataFrame:
+def split_by_row(df: DataFrame, order: Sequence[str], frac: float = 0.2, out: str = "split") -> DataFrame:
     """T4: first floor(n*(1-frac)) rows in ``order`` are train."""
     n = df.agg(F.count("*")).scalar()
-    r = global_index(df, order, chunk, out="_rn")
+    r = global_index(df, order, out="_rn")
     return (r.withColumn(out, F.when(F.col("_rn") <= F.floor(n * F.lit(1.0 - frac)), "train")
                          .otherwise("test")).drop("_rn"))
 
 
-def time_folds(df: DataFrame, order: Sequence[str], chunk: Column, k: int = 4) -> DataFrame:
+def time_folds(df: DataFrame, order: Sequence[str], k: int = 4) -> DataFrame:
     """Expanding-window folds like a time-series split with ``k``
     splits.  Output: the input rows plus ``fold`` (1..k) and ``role``
     (train/test); rows that serve several folds appear once per fold."""
     n = df.agg(F.count("*")).scalar()
-    r = global_index(df, order, chunk, out="_rn")
+    r = global_index(df, order, out="_rn")
     size = F.floor(n / F.lit(k + 1))
     start = n - F.lit(k) * size + (F.col("fold") - 1) * size  # 0-based start of test
     x = r.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
@@ -359,8 +393,8 @@ def time_folds(df: DataFrame, order: Sequence[str], chunk: Column, k: int = 4) -
     return x.where(F.col("role").isNotNull()).drop("_rn")
 
 
-def prefix(df: DataFrame, order: Sequence[str], chunk: Column, frac: float) -> DataFrame:
+def prefix(df: DataFrame, order: Sequence[str], frac: float) -> DataFrame:
     """K7: the earliest int(n*frac) rows."""
     n = df.agg(F.count("*")).scalar()
-    r = global_index(df, order, chunk, out="_rn")
+    r = global_index(df, order, out="_rn")
     return r.where(F.col("_rn") <= F.floor(n * F.lit(frac))).drop("_rn")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratecast.functions.scalars import DAYPART_LABELS, daypart
+from ratecast.functions.scalars import DAYPART_LABELS, daypart, safe_div
 from ratecast.operators import aggregates as A
 from ratecast.operators import windows as W
 from ratecast.plans.predictions import MODELS, PRED_CTE, predictions, predictions_long, split_events
@@ -157,6 +157,23 @@ def q_category_profile(spark, sf):
     return _r(A.profile(ev, [daypart("h").alias("daypart")], "value"))
 
 
+_CATS = ["view", "click", "purchase"]
+
+
+@query("category_compare", f"""SELECT event_type, CAST(count(*) AS BIGINT) AS n, avg(value) AS mean, median(value) AS median,
+  avg(k) AS mean_k FROM {EV} WHERE event_type IN ('view', 'click', 'purchase') GROUP BY event_type""")
+def q_category_compare(spark, sf):
+    """The category beside the others it is compared with."""
+    return _r(A.profile(events(spark, sf).where(F.col("event_type").isin(_CATS)), ["event_type"], "value", extra=["k"]))
+
+
+@query("category_top", f"""SELECT user_id, CAST(count(*) AS BIGINT) AS n, avg(value) AS mean FROM {EV} WHERE event_type = 'view'
+  GROUP BY user_id HAVING count(*) >= 5 ORDER BY mean DESC, user_id LIMIT 5""")
+def q_category_top(spark, sf):
+    """The five best series of the category with at least five rows."""
+    return _r(A.rank_entities(events(spark, sf).where(F.col("event_type") == "view"), "user_id", "value", 5, 5))
+
+
 # A13, A14 ---------------------------------------------------------------------------
 @query("heatmap_pivot", f"SELECT dow, " + ", ".join(
     f'(avg(value) FILTER (WHERE h = {h})) AS "{h}"' for h in range(24)) + f" FROM {EV} GROUP BY dow")
@@ -317,12 +334,29 @@ def q_family_summary(spark, sf):
     return _r(A.family_summary(board, FAMILIES))
 
 
-@query("difficulty", f"""WITH {PRED_CTE},
-per AS (SELECT user_id, model, count(*) AS n, avg(abs(pred - actual)) AS mae FROM plong GROUP BY user_id, model)
-SELECT user_id, CAST(max(n) AS BIGINT) AS n, (avg(mae)) AS mae_mean, (min(mae)) AS mae_min,
-  (max(mae)) AS mae_max, (stddev_pop(mae)) AS mae_std FROM per GROUP BY user_id HAVING max(n) >= 5""")
+_DIFF_SQL = f"""WITH {PRED_CTE},
+per AS (SELECT user_id, model, count(*) AS n, avg(abs(pred - actual)) AS mae FROM plong GROUP BY user_id, model),
+dif AS (SELECT user_id, CAST(max(n) AS BIGINT) AS n, (avg(mae)) AS mae_mean, (min(mae)) AS mae_min,
+  (max(mae)) AS mae_max, (stddev_pop(mae)) AS mae_std, CAST(count(*) AS BIGINT) AS n_models FROM per GROUP BY user_id HAVING max(n) >= 5)"""
+
+
+def _difficulty(spark, sf):
+    return A.difficulty(predictions_long(spark, sf), "user_id", "actual", 5)
+
+
+@query("difficulty", f"{_DIFF_SQL} SELECT * FROM dif")
 def q_difficulty(spark, sf):
-    return _r(A.difficulty(predictions_long(spark, sf), "user_id", "actual", 5))
+    return _r(_difficulty(spark, sf))
+
+
+@query("hardest_entities", f"{_DIFF_SQL} SELECT * FROM dif ORDER BY mae_min DESC, user_id LIMIT 10")
+def q_hardest_entities(spark, sf):
+    return _r(A.hardest(_difficulty(spark, sf), "user_id", 10))
+
+
+@query("divergent_entities", f"{_DIFF_SQL} SELECT * FROM dif ORDER BY mae_std DESC, user_id LIMIT 10")
+def q_divergent_entities(spark, sf):
+    return _r(A.most_divergent(_difficulty(spark, sf), "user_id", 10))
 
 
 # A29-A31 ---------------------------------------------------------------------------
@@ -465,6 +499,29 @@ def q_model_spread(spark, sf):
     return _r(p.select("event_id", "spread"))
 
 
+@query("status_bias", f"""WITH {PRED_CTE}
+SELECT event_type, CAST(count(actual) AS BIGINT) AS n, avg(pred_slot - actual) AS bias, avg(abs(pred_slot - actual)) AS mae,
+  avg(actual) AS actual_mean FROM pred GROUP BY event_type""")
+def q_status_bias(spark, sf):
+    return _r(A.status_bias(predictions(spark, sf), "event_type", "actual", "pred_slot"))
+
+
+@query("cluster_error_summary", f"""WITH {PRED_CTE}
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, avg(abs(actual - pred_slot)) AS mean_abs_err, avg(actual - pred_slot) AS mean_bias,
+  avg(actual) AS mean_actual, avg(CASE WHEN dow IN (6, 7) THEN 1.0 ELSE 0.0 END) AS share_weekend FROM pred GROUP BY event_type""")
+def q_cluster_error_summary(spark, sf):
+    """Mean error, bias and actual per group beside a share."""
+    err = F.col("actual") - F.col("pred_slot")
+    return _r(A.cluster_summary(predictions(spark, sf), "event_type", {"weekend": F.col("dow").isin(6, 7)}, [],
+                                {"abs_err": F.abs(err), "bias": err, "actual": F.col("actual")}))
+
+
+@query("guarded_ratio", f"SELECT event_id, CASE WHEN k > 0 THEN value / k END AS ratio FROM {EV}")
+def q_guarded_ratio(spark, sf):
+    """Value per unit of k, only where k is positive."""
+    return events(spark, sf).select("event_id", safe_div("value", "k").alias("ratio"))
+
+
 @query("drift_pct", f"""WITH {PRED_CTE}
 SELECT (avg(value) FILTER (WHERE d < (SELECT cut FROM cutrow))) AS train_mean,
   (avg(value) FILTER (WHERE d >= (SELECT cut FROM cutrow))) AS test_mean,

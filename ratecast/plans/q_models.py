@@ -80,7 +80,7 @@ def q_conformal_interval(spark, sf):
 @query("learning_curve")
 def q_learning_curve(spark, sf):
     tr, te = _parts(spark, sf)
-    return _r(M.learning_curve(tr, te, LABEL, EV_ORDER, F.col("d"), NUM, BOOLS, CATS, fracs=(0.25, 0.5, 1.0)))
+    return _r(M.learning_curve(tr, te, LABEL, EV_ORDER, NUM, BOOLS, CATS, fracs=(0.25, 0.5, 1.0)))
 
 
 @query("cluster_errors")
@@ -91,7 +91,7 @@ def q_cluster_errors(spark, sf):
     scored = pm.transform(te).withColumn("err", F.col("prediction") - F.col(LABEL))
     cl = M.cluster_errors(scored, "features", "err", q=0.7, k=5)
     return _r(A.cluster_summary(cl, "cluster", {"security": F.col("is_security"), "over": F.col("err") > 0},
-                                ["event_type"]))
+                                ["event_type"], {"abs_err": F.abs("err"), "bias": F.col("err"), "actual": F.col(LABEL)}))
 
 
 @query("additive_daily")
@@ -107,15 +107,33 @@ def q_additive_daily(spark, sf):
 
 
 # M32 ---------------------------------------------------------------------------
-@query("series_baselines", f"""WITH {PRED_CTE},
-s AS (SELECT user_id, avg(value) AS pred_mean, arg_max(value, (ts, event_id)) AS pred_last,
-      list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a * 0.6 + x * 0.4) AS pred_ema FROM tr GROUP BY user_id)
-SELECT te.event_id, (s.pred_mean) AS pred_mean, (s.pred_last) AS pred_last, (s.pred_ema) AS pred_ema
-FROM te JOIN s USING (user_id)""")
+_SERIES_W = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_SERIES_CTE = f"""{PRED_CTE},
+h AS (SELECT event_id, user_id, d, value, count(*) OVER {_SERIES_W} AS seen, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l1,
+      CASE WHEN count(*) OVER {_SERIES_W} > 0 THEN list_reduce(list(value) OVER {_SERIES_W}, lambda a, x: a * 0.6 + x * 0.4) END AS e FROM ev),
+sm AS (SELECT user_id, avg(value) AS m FROM h WHERE seen >= 2 AND d < (SELECT cut FROM cutrow) GROUP BY user_id),
+sb AS (SELECT h.event_id, h.value, sm.m AS pred_mean, coalesce(h.l1, sm.m) AS pred_last, coalesce(h.e, sm.m) AS pred_ema
+       FROM h JOIN sm USING (user_id) WHERE h.seen >= 2 AND h.d >= (SELECT cut FROM cutrow))"""
+
+
+def _series(spark, sf):
+    return M.series_baselines(split_events(spark, sf), ["user_id"], "value", EV_ORDER, "split", chunk=F.col("d"))
+
+
+@query("series_baselines", f"WITH {_SERIES_CTE} SELECT event_id, pred_mean, pred_last, pred_ema FROM sb")
 def q_series_baselines(spark, sf):
-    ev = split_events(spark, sf)
-    r = M.series_baselines(ev, ["user_id"], "value", EV_ORDER, "split")
-    return _r(r.select("event_id", "pred_mean", "pred_last", "pred_ema"))
+    return _r(_series(spark, sf).select("event_id", "pred_mean", "pred_last", "pred_ema"))
+
+
+@query("series_baseline_scores", f"""WITH {_SERIES_CTE},
+l AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS model, value, pred_{m} AS pred FROM sb" for m in ("mean", "last", "ema")) + """)
+SELECT model, CAST(count(*) AS BIGINT) AS n, avg(abs(pred - value)) AS mae, sqrt(avg((pred - value) * (pred - value))) AS rmse,
+  1 - sum((pred - value) * (pred - value)) / (var_pop(value) * count(*)) AS r2 FROM l GROUP BY model""")
+def q_series_baseline_scores(spark, sf):
+    """MAE, RMSE and R2 of the three baselines."""
+    from ratecast.operators import aggregates as A
+    long = A.to_long(_series(spark, sf), ["event_id", "value"], {m: f"pred_{m}" for m in ("mean", "last", "ema")})
+    return _r(A.metrics(long, "value", "pred", by=["model"]))
 
 
 # W12-W14 ---------------------------------------------------------------------------
@@ -298,7 +316,7 @@ def q_ablation(spark, sf):
 @query("random_search")
 def q_random_search(spark, sf):
     tr, _ = _parts(spark, sf)
-    return _r(M.random_search(tr, LABEL, EV_ORDER, F.col("d"), NUM, BOOLS, CATS,
+    return _r(M.random_search(tr, LABEL, EV_ORDER, NUM, BOOLS, CATS,
                               {"trees": [10, 20], "depth": [4, 6]}, n_iter=2, k=3))
 
 
@@ -306,7 +324,7 @@ def q_random_search(spark, sf):
 def q_stacking(spark, sf):
     from ratecast.operators import aggregates as A
     tr, te = _parts(spark, sf)
-    p = M.stack(tr, te, LABEL, "event_id", EV_ORDER, F.col("d"), NUM, BOOLS, CATS, k=3)
+    p = M.stack(tr, te, LABEL, "event_id", EV_ORDER, NUM, BOOLS, CATS, k=3)
     return _r(A.metrics(p, LABEL, "pred"))
 
 

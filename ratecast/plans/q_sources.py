@@ -152,12 +152,49 @@ UNION ALL SELECT 'orders(o_orderkey) unique', CAST(coalesce(sum(c - 1), 0) AS BI
 UNION ALL SELECT 'orders(o_custkey,o_orderdate) unique', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
 UNION ALL SELECT 'orders.o_orderstatus in enum', CAST(count_if(o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ({', '.join(repr(x) for x in _ENUM_STATUS)})) AS BIGINT) FROM orders
 UNION ALL SELECT 'orders.o_orderpriority in enum', CAST(count_if(o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ({', '.join(repr(x) for x in _ENUM_PRIO)})) AS BIGINT) FROM orders
-UNION ALL SELECT 'orders.o_custkey -> parent', CAST(count(*) AS BIGINT) FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)""")
+UNION ALL SELECT 'orders.o_custkey -> parent', CAST(count(*) AS BIGINT) FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+UNION ALL SELECT 'orders check price over 1000 unless open', CAST(count_if(NOT (o_totalprice > 1000 OR o_orderstatus = 'O')) AS BIGINT) FROM orders""")
 def q_constraint_report(spark, sf):
     o = table(spark, sf, "orders")
     return IO.constraint_report(o, "orders", not_null=["o_custkey"], unique=[["o_orderkey"], ["o_custkey", "o_orderdate"]],
                                 enums={"o_orderstatus": _ENUM_STATUS, "o_orderpriority": _ENUM_PRIO},
-                                fks=[("o_custkey", table(spark, sf, "customer"), "c_custkey")])
+                                fks=[("o_custkey", table(spark, sf, "customer"), "c_custkey")],
+                                checks={"price over 1000 unless open": (F.col("o_totalprice") > 1000) | (F.col("o_orderstatus") == "O")})
+
+
+# S11, S19 -------------------------------------------------------------------------
+@query("load_once", "SELECT CAST(count(*) AS BIGINT) AS n_loaded, true AS second_refused FROM orders")
+def q_load_once(spark, sf):
+    """A load into an empty target passes, a second one is refused."""
+    o = table(spark, sf, "orders")
+    IO.assert_empty(o.limit(0))
+    path = IO.write_artifact(o, IO.scratch_path(spark, "orders_target"), "parquet")
+    target = spark.read.schema(o.schema).parquet(path)
+    try:
+        IO.assert_empty(target)
+        refused = False
+    except RuntimeError:
+        refused = True
+    return target.agg(F.count("*").alias("n_loaded")).withColumn("second_refused", F.lit(refused))
+
+
+@query("model_run_log", """SELECT 'price' AS name, CAST(count(*) AS BIGINT) AS n_train, regr_slope(l_extendedprice, l_quantity) AS slope,
+  regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem""")
+def q_model_run_log(spark, sf):
+    """A line fitted, saved with its metadata and read back, with the
+    run log's row count beside its coefficients."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    li = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    fit = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
+                           LinearRegression(labelCol="y", solver="normal", regParam=0.0)]).fit(li)
+    path = IO.scratch_path(spark, "price_model")
+    IO.save_model(fit, {"name": "price", "features": ["x"]}, path)
+    IO.append_run_log(spark, {"name": "price", "n_train": li.count()}, f"{path}/runs")
+    line = PipelineModel.load(f"{path}/model").stages[-1]
+    runs = spark.read.text(f"{path}/runs").select(F.from_json("value", "name string, n_train long").alias("r")).select("r.*")
+    return runs.select("name", "n_train", F.lit(float(line.coefficients[0])).alias("slope"), F.lit(float(line.intercept)).alias("intercept"))
 
 
 @query("append_unseen", f"""WITH dly AS (SELECT d, avg(value) AS v FROM {EV} GROUP BY d),

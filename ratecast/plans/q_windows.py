@@ -157,10 +157,10 @@ k AS (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 11))
 SELECT k.lag, (corr(a.x, b.x)) AS acf, (1.96 / sqrt((SELECT count(x) FROM s))) AS band
 FROM k JOIN s a ON true JOIN s b ON b.i = a.i + k.lag GROUP BY k.lag""")
 def q_autocorr(spark, sf):
-    from pyspark.sql import Window
-    ev = events(spark, sf)
-    ev = ev.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy("user_id")))
-    idx = W.global_index(ev, EV_ORDER, F.col("d"), out="i")
+    ev = events(spark, sf).select(*EV_ORDER, "user_id", "value")
+    means = ev.groupBy(F.col("user_id").alias("_u")).agg(F.avg("value").alias("_m"))
+    ev = ev.join(means, F.col("user_id").eqNullSafe(F.col("_u")), "left").withColumn("x", F.col("value") - F.col("_m"))
+    idx = W.global_index(ev.select(*EV_ORDER, "x"), EV_ORDER, out="i")
     r = W.autocorr(idx, "x", "i", lags=10)
     return r.select(F.col("lag").cast("int"), measure("acf").alias("acf"), measure("band").alias("band"))
 
@@ -177,7 +177,7 @@ def q_split_by_date(spark, sf):
 SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor((SELECT count(*) FROM events) * 0.8)
        THEN 'train' ELSE 'test' END AS split FROM {EV}""")
 def q_split_by_row(spark, sf):
-    return W.split_by_row(events(spark, sf), EV_ORDER, F.col("d"), 0.2).select("event_id", "split")
+    return W.split_by_row(events(spark, sf).select(*EV_ORDER), EV_ORDER, 0.2).select("event_id", "split")
 
 
 @query("time_folds", f"""
@@ -188,11 +188,11 @@ x AS (SELECT r.event_id, f.fold, CASE WHEN r.i < n.n - 4 * n.sz + (f.fold - 1) *
              WHEN r.i < n.n - 4 * n.sz + (f.fold - 1) * n.sz + n.sz THEN 'test' END AS role FROM r, n, f)
 SELECT event_id, fold, role FROM x WHERE role IS NOT NULL""")
 def q_time_folds(spark, sf):
-    return W.time_folds(events(spark, sf), EV_ORDER, F.col("d"), k=4).select("event_id", "fold", "role")
+    return W.time_folds(events(spark, sf).select(*EV_ORDER), EV_ORDER, k=4).select("event_id", "fold", "role")
 
 
 @query("prefix", f"""
 SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn FROM {EV})
 WHERE rn <= floor((SELECT count(*) FROM events) * 0.3)""")
 def q_prefix(spark, sf):
-    return W.prefix(events(spark, sf), EV_ORDER, F.col("d"), 0.3).select("event_id")
+    return W.prefix(events(spark, sf).select(*EV_ORDER), EV_ORDER, 0.3).select("event_id")

@@ -10,7 +10,6 @@ find the header.  Scratch output goes under the shared
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -56,11 +55,6 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, required:
     return parsed.select(*[F.col(f"r.`{c}`").alias(c) for c in cols if c in by_name])
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """S3."""
-    return spark.read.parquet(path)
-
-
 def read_joined(fact: DataFrame, dim: DataFrame, on: Sequence[str], project: dict[str, str],
                 not_null: Sequence[str] = ()) -> DataFrame:
     """Join, project with aliases, and filter not-null (pushed down to
@@ -171,18 +165,23 @@ def corrections_from_json(df: DataFrame, json_col: str, keys: Sequence[str], sep
 
 # S15 ---------------------------------------------------------------------------
 def constraint_report(df: DataFrame, name: str, not_null: Sequence[str] = (), unique: Sequence[Sequence[str]] = (),
-                      enums: dict | None = None, fks: Sequence[tuple[str, DataFrame, str]] = ()) -> DataFrame:
-    """One row per constraint with its violation count."""
+                      enums: dict | None = None, fks: Sequence[tuple[str, DataFrame, str]] = (),
+                      checks: dict | None = None) -> DataFrame:
+    """One row per constraint with its violation count.  Not-null, enum
+    and row-level rules (``checks``: text -> condition; like a SQL CHECK, a
+    null condition passes) are counted in one scan."""
+    rules = {f"{name}.{c} not null": F.col(c).isNull() for c in not_null}
+    rules |= {f"{name}.{c} in enum": F.col(c).isNotNull() & ~F.col(c).isin(list(allowed)) for c, allowed in (enums or {}).items()}
+    rules |= {f"{name} check {text}": ~cond for text, cond in (checks or {}).items()}
     parts = []
-    for c in not_null:
-        parts.append(df.agg(F.count_if(F.col(c).isNull()).alias("n")).withColumn("constraint", F.lit(f"{name}.{c} not null")))
+    if rules:
+        one = df.agg(F.array(*[F.struct(F.lit(text).alias("constraint"), F.count_if(bad).alias("n"))
+                               for text, bad in rules.items()]).alias("r"))
+        parts.append(one.select(F.explode("r").alias("r")).select("r.n", "r.constraint"))
     for cols in unique:
         d = df.groupBy(*cols).agg(F.count("*").alias("_c")).where(F.col("_c") > 1)
         parts.append(d.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n"))
                      .withColumn("constraint", F.lit(f"{name}({','.join(cols)}) unique")))
-    for c, allowed in (enums or {}).items():
-        parts.append(df.agg(F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(allowed))).alias("n"))
-                     .withColumn("constraint", F.lit(f"{name}.{c} in enum")))
     for c, parent, pk in fks:
         miss = df.where(F.col(c).isNotNull()).join(parent.select(F.col(pk).alias(c)).distinct(), c, "left_anti")
         parts.append(miss.agg(F.count("*").alias("n")).withColumn("constraint", F.lit(f"{name}.{c} -> parent")))
@@ -209,6 +208,3 @@ def append_run_log(spark: SparkSession, row: dict, path: str) -> None:
     """One line per run, appended."""
     spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "line string").write.mode("append").text(path)
 
-
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -347,3 +347,63 @@ def test_right_closed_and_open_bins(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 10.0, 10.5, 5000.0)], "v double")
     got = {r.bin: r.n for r in A.binned(df, "v", [0, 10, 50, None], right=True).collect()}
     assert got == {"0-10": 1, "10-50": 1, "50+": 1}
+
+
+def test_ordered_pieces_split_one_hot_key(spark):
+    # one key, one day, one value hold all rows: only the unique last column parts them
+    from ratecast.operators.windows import ordered_pieces
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.lit("2024-01-01").alias("d"), F.col("id"))
+    pieces = ordered_pieces(df, ["k", "d", "id"], rows_per_piece=1000).groupBy("_piece").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("_pos").alias("p")).orderBy("_piece").collect()
+    assert len(pieces) >= 15 and max(r.n for r in pieces) <= 2000 and sum(r.n for r in pieces) == 20_000
+    assert all(a.hi < b.lo for a, b in zip(pieces, pieces[1:])) and all(r.p == r.n - 1 for r in pieces)
+
+
+def test_global_index_counts_in_order(spark):
+    rows = [(None, 7), (None, 1), (3, 2), (1, 9), (1, 4)]
+    df = spark.createDataFrame(rows, "a long, id long")
+    got = {(r.a, r.id): r.rn for r in W.global_index(df, ["a", "id"], rows_per_piece=2).collect()}
+    assert got == {(None, 1): 1, (None, 7): 2, (1, 4): 3, (1, 9): 4, (3, 2): 5}
+    assert W.global_index(df.limit(0), ["a", "id"]).count() == 0
+
+
+def test_group_quantiles_match_numpy(spark):
+    from ratecast.operators.quantiles import group_quantiles, quantiles, with_quantiles
+    rng = np.random.default_rng(11)
+    groups = {"a": rng.integers(0, 5, 301).astype(float), None: rng.normal(size=40), "one": np.array([2.5])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("nulls", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.1, 0.5, 0.93, 1.0]
+    got = {r.k: r.q for r in group_quantiles(df, ["k"], "v", qs, rows_per_piece=20).collect()}
+    assert set(got) == {"a", None, "one"}
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, qs), rtol=1e-12)
+    assert np.allclose(quantiles(df, "v", qs), np.quantile(np.concatenate(list(groups.values())), qs), rtol=1e-12)
+    assert quantiles(df.where(F.col("k") == "nulls"), "v", qs) == [None] * 5
+    med = {r.k: r.m for r in with_quantiles(df.groupBy("k").count(), df, ["k"], "v", {"m": 0.5}).collect()}
+    assert med["nulls"] is None and med["one"] == 2.5 and np.isclose(med[None], np.median(groups[None]))
+
+
+def test_spearman_with_nulls_ranks_each_pair(spark):
+    pdf = pd.DataFrame({"y": [1.0, 2, 3, 4, 5, 6], "a": [2.0, 1, np.nan, 5, 4, 9], "b": [6.0, 5, 4, np.nan, np.nan, 1]})
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)], "y double, a double, b double")
+    got = {r.feature: r.spearman for r in ST.spearman_vs(df, "y", ["a", "b"]).collect()}
+    exp = {c: pdf.loc[pdf[c].notna(), "y"].rank().corr(pdf[c].dropna().rank()) for c in ("a", "b")}
+    assert set(got) == set(exp) and all(abs(got[c] - exp[c]) < 1e-12 for c in exp)
+
+
+def test_series_baselines_are_one_step(spark):
+    from ratecast.operators import models as M
+    vals = [4.0, 8.0, 2.0, 6.0, 10.0]
+    df = spark.createDataFrame([("s", i, v, "train" if i < 3 else "test") for i, v in enumerate(vals)], "k string, t long, v double, split string")
+    got = {r.t: (r.pred_mean, r.pred_last, r.pred_ema) for r in M.series_baselines(df, ["k"], "v", ["t"], "split").collect()}
+    e3 = (4 * 0.6 + 8 * 0.4) * 0.6 + 2 * 0.4
+    assert set(got) == {3, 4}
+    assert np.allclose(got[3], (2.0, 2.0, e3)) and np.allclose(got[4], (2.0, 6.0, e3 * 0.6 + 6 * 0.4))
+
+
+def test_constraint_report_row_rule(spark):
+    from ratecast.sources import io as IO
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (-5, "z")], "a long, b string")
+    got = {r.constraint: r.n_violations for r in IO.constraint_report(df, "t", ["a"], enums={"b": ["x", "y"]}, checks={"a positive": F.col("a") > 0}).collect()}
+    assert got == {"t.a not null": 1, "t.b in enum": 1, "t check a positive": 1}
