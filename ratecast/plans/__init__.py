@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_windows", "q_intervals", "q_aggregates", "q_relational", "q_functions", "q_stats", "q_models", "q_sources", "q_streaming"]
+MODULES = ["q_windows", "q_intervals", "q_aggregates", "q_relational", "q_functions", "q_stats", "q_models", "q_scoring", "q_sources", "q_streaming"]
 
 
 def load_all():

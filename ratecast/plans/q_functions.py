@@ -172,8 +172,8 @@ def q_next_weekday(spark, sf):
     return events(spark, sf).select("event_id", S.next_weekday("d", 5).alias("next_friday"))
 
 
-def _text_date_sql(col):
-    t = f"DATE '{TODAY}'"
+def _text_date_sql(col, today=TODAY):
+    t = f"DATE '{today}'"
     nxt = " OR ".join(f"contains({col}, '{w}')" for w in X.WORDS_NEXT)
     dows = ["SU", "MO", "TU", "WE", "TH", "FR", "SA"]
     parts = [f"WHEN contains({col}, '{X.WORD_TOMORROW}') THEN {t} + 1", f"WHEN contains({col}, '{X.WORD_TODAY}') THEN {t}",
