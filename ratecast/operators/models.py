@@ -17,7 +17,7 @@ from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, Standard
                                 VectorAssembler)
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratecast.operators import aggregates as A
@@ -72,6 +72,16 @@ def sized(df: DataFrame, rows_per_partition: int = 2_000_000) -> DataFrame:
     return df.repartition(max(dp, math.ceil(n / rows_per_partition)))
 
 
+def fit_vectors(est, vectors: DataFrame):
+    """Fit on the feature vectors and the label alone, held in memory for the
+    learner's passes and released afterwards."""
+    x = sized(vectors.select(est.getFeaturesCol(), est.getLabelCol())).cache()
+    try:
+        return est.fit(x)
+    finally:
+        x.unpersist()
+
+
 # M4-M6 ---------------------------------------------------------------------------
 MODEL_REGISTRY: dict[str, Callable[..., object]] = {
     "ridge": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01), elasticNetParam=0.0),
@@ -79,11 +89,15 @@ MODEL_REGISTRY: dict[str, Callable[..., object]] = {
     "elasticnet": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01),
                                                        elasticNetParam=0.5),
     "huber": lambda label, **kw: LinearRegression(labelCol=label, loss="huber", regParam=kw.get("reg", 0.01)),
-    "decision_tree": lambda label, **kw: DecisionTreeRegressor(labelCol=label, maxDepth=kw.get("depth", 6), seed=42),
-    "random_forest": lambda label, **kw: RandomForestRegressor(labelCol=label, numTrees=kw.get("trees", 40),
-                                                               maxDepth=kw.get("depth", 8), seed=42),
-    "gbt": lambda label, **kw: GBTRegressor(labelCol=label, maxIter=kw.get("iters", 30), maxDepth=kw.get("depth", 4),
-                                            stepSize=kw.get("step", 0.1), seed=42),
+    "decision_tree": lambda label, **kw: DecisionTreeRegressor(labelCol=label, maxDepth=kw.get("depth", 6),
+                                                               minInstancesPerNode=kw.get("leaf", 1), seed=42),
+    "random_forest": lambda label, **kw: RandomForestRegressor(
+        labelCol=label, numTrees=kw.get("trees", 40), maxDepth=kw.get("depth", 8), minInstancesPerNode=kw.get("leaf", 1),
+        featureSubsetStrategy=str(kw.get("features", "auto")), seed=42),
+    "gbt": lambda label, **kw: GBTRegressor(
+        labelCol=label, maxIter=kw.get("iters", 30), maxDepth=kw.get("depth", 4), stepSize=kw.get("step", 0.1),
+        minInstancesPerNode=kw.get("leaf", 1), subsamplingRate=kw.get("subsample", 1.0),
+        featureSubsetStrategy=str(kw.get("features", "all")), seed=42),
 }
 
 
@@ -124,6 +138,26 @@ def compare_models(train: DataFrame, test: DataFrame, label: str, id_col: str, n
     return metrics, preds, secs
 
 
+def train_eval_refit(df: DataFrame, label: str, date: str, num, bools, cats, frac: float = 0.2, model: str = "gbt",
+                     **params) -> tuple[PipelineModel, DataFrame]:
+    """Fit on the rows before the date cut, score the rest, then refit on
+    all rows.  Returns the refitted pipeline and one row for the run log:
+    rows, rows of each part, cut date, test MAE and R2."""
+    from ratecast.operators.windows import date_cut
+    cut = df.select(date_cut(df, date, frac).alias("c")).first()[0]
+    day = F.to_date(date)
+    train, test = df.where(day < F.lit(cut)), df.where(day >= F.lit(cut))
+
+    def fit(rows):
+        prep = preprocessor(num, bools, cats).fit(rows)
+        return PipelineModel([prep, fit_vectors(make_model(model, label, **params), prep.transform(rows))])
+    m = A.metrics(fit(train).transform(test).withColumnRenamed("prediction", "pred"), label, "pred").first()
+    n = df.count()
+    row = [(model, n, n - m["n"], m["n"], cut, float(m["mae"]), None if m["r2"] is None else float(m["r2"]))]
+    log = df.sparkSession.createDataFrame(row, "model string, n_rows long, n_train long, n_test long, cut date, test_mae double, test_r2 double")
+    return fit(df), log
+
+
 # M14 ---------------------------------------------------------------------------
 def feature_names(df_with_features: DataFrame, col: str = "features") -> list[str]:
     meta = df_with_features.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
@@ -153,7 +187,7 @@ def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: st
     fit_part = train.where(F.to_date(date) < cut)
     cal = train.where(F.to_date(date) >= cut)
     prep = preprocessor(num, bools, cats).fit(fit_part)
-    m = make_model(model, label).fit(prep.transform(fit_part))
+    m = fit_vectors(make_model(model, label), prep.transform(fit_part))
 
     def score(df):
         return m.transform(prep.transform(df)).withColumnRenamed("prediction", "pred").drop("features")
@@ -185,16 +219,20 @@ def conformal_interval(train: DataFrame, test: DataFrame, label: str, id_col: st
 
 # M20 ---------------------------------------------------------------------------
 def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequence[str], num, bools, cats,
-                   fracs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), model: str = "gbt", plateau: float = 0.003):
+                   fracs: Sequence[float] = (0.1, 0.2, 0.3, 0.5, 0.65, 0.8, 0.95, 1.0), model: str = "gbt",
+                   plateau: float = 0.003, min_rows: int = 100):
     """Fit on the earliest fraction of train (by the total order) and score
-    test; ``plateau`` marks the last gain below the threshold."""
+    test; ``plateau`` marks the last gain below the threshold.  Fractions of
+    fewer than ``min_rows`` rows are left out."""
     n = train.agg(F.count("*")).first()[0]
     indexed = global_index(train, order, out="_rn").cache()
     rows = []
     for f in fracs:
+        if int(n * f) < min_rows:
+            continue
         part = indexed.where(F.col("_rn") <= int(n * f)).drop("_rn")
         prep = preprocessor(num, bools, cats).fit(part)
-        m = make_model(model, label).fit(prep.transform(part))
+        m = fit_vectors(make_model(model, label), prep.transform(part))
         p = m.transform(prep.transform(test))
         mae = p.agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
         rows.append((float(f), int(n * f), float(mae)))
@@ -217,19 +255,25 @@ def cluster_errors(df: DataFrame, vec: str, err: str, q: float = 0.7, k: int = 5
 def fit_additive(daily: DataFrame, date: str, value: str, regressors: Sequence[str], cut, k: int = 3,
                  period: float = 7.0):
     """Daily additive model: linear trend + Fourier weekly terms + regressors,
-    least squares (normal equations); returns (scored test days, coefficients)."""
+    least squares (normal equations); returns the scored test days with their
+    ``trend`` and ``weekly`` parts, and the coefficients with the standard
+    deviation of the weekly part over the train days."""
     from ratecast.functions.scalars import fourier
     start = daily.agg(F.min(date)).scalar()
     d = daily.withColumn("t", F.datediff(F.col(date), start).cast("double"))
     for name, c in fourier("t", period, k, prefix="w").items():
         d = d.withColumn(name, c)
-    feats = ["t"] + [f"w_sin{i}" for i in range(1, k + 1)] + [f"w_cos{i}" for i in range(1, k + 1)] + list(regressors)
+    week = [f"w_{f}{i}" for f in ("sin", "cos") for i in range(1, k + 1)]
+    feats = ["t", *week, *regressors]
     d = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(d)
     tr, te = d.where(F.col(date) < cut), d.where(F.col(date) >= cut)
     m = LinearRegression(labelCol=value, solver="normal", regParam=0.0).fit(tr)
     coefs = dict(zip(feats, map(float, m.coefficients.toArray())))
     coefs["intercept"] = float(m.intercept)
-    return m.transform(te).withColumnRenamed("prediction", "pred"), coefs
+    weekly = sum((F.col(c) * F.lit(coefs[c]) for c in week), F.lit(0.0))
+    coefs["weekly_amplitude"] = float(tr.agg(F.stddev_pop(weekly)).first()[0] or 0.0)
+    scored = m.transform(te).withColumnRenamed("prediction", "pred")
+    return scored.withColumn("trend", F.lit(coefs["intercept"]) + F.col("t") * F.lit(coefs["t"])).withColumn("weekly", weekly), coefs
 
 
 # M32 ---------------------------------------------------------------------------
@@ -260,9 +304,9 @@ def routed(train: DataFrame, test: DataFrame, flag: str, label: str, num, bools,
     f = F.coalesce(F.col(flag), F.lit(False))
     base_tr = train.where(~f)
     prep = preprocessor(num, bools, cats).fit(train)
-    routine = make_model(model, label).fit(prep.transform(base_tr))
+    routine = fit_vectors(make_model(model, label), prep.transform(base_tr))
     n_flag = train.where(f).count()
-    expert = make_model(model, label).fit(prep.transform(train.where(f))) if n_flag >= min_rows else routine
+    expert = fit_vectors(make_model(model, label), prep.transform(train.where(f))) if n_flag >= min_rows else routine
     a = routine.transform(prep.transform(test.where(~f)))
     b = expert.transform(prep.transform(test.where(f)))
     return a.unionByName(b).withColumnRenamed("prediction", "pred").drop("features")
@@ -270,66 +314,85 @@ def routed(train: DataFrame, test: DataFrame, flag: str, label: str, num, bools,
 
 def experts(train: DataFrame, test: DataFrame, by: str, label: str, num, bools, cats, min_train: int = 100,
             min_test: int = 10, model: str = "gbt") -> DataFrame:
-    """Per segment, an expert fit on that segment vs the central
-    model; segments below the size limits are skipped."""
+    """Per segment, an expert fit on that segment vs the central model,
+    with both row counts, the change of MAE (negative: the expert is better)
+    and the gain in percent of the central MAE.  Segments below the size
+    limits are skipped.  One fit per segment: for columns of few values."""
     prep = preprocessor(num, bools, cats).fit(train)
-    central = make_model(model, label).fit(prep.transform(train))
+    central = fit_vectors(make_model(model, label), prep.transform(train))
     sizes = (train.groupBy(by).agg(F.count("*").alias("ntr"))
              .join(test.groupBy(by).agg(F.count("*").alias("nte")), by)
              .where((F.col("ntr") >= min_train) & (F.col("nte") >= min_test)))
-    segs = [r[0] for r in sizes.select(by).collect()]  # the segment list: one value per segment
+    segs = sizes.orderBy(by).collect()  # one row per segment
     rows = []
     e = F.avg(F.abs(F.col("prediction") - F.col(label)))
-    for s in segs:
+    for s, n_train, n_test in segs:
         tr_s, te_s = train.where(F.col(by) == s), test.where(F.col(by) == s)
-        ex = make_model(model, label).fit(prep.transform(tr_s))
+        ex = fit_vectors(make_model(model, label), prep.transform(tr_s))
         mc = central.transform(prep.transform(te_s)).agg(e).first()[0]
         me = ex.transform(prep.transform(te_s)).agg(e).first()[0]
-        rows.append((str(s), float(mc), float(me)))
-    return train.sparkSession.createDataFrame(rows, "segment string, mae_central double, mae_expert double")
+        rows.append((str(s), n_train, n_test, float(mc), float(me), float(me - mc), float((mc - me) / mc * 100) if mc else None))
+    return train.sparkSession.createDataFrame(rows, "segment string, n_train long, n_test long, mae_central double, "
+                                              "mae_expert double, delta double, gain_pct double")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, label: str, cols: Sequence[str], id_col: str,
-                           repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Per column, MAE increase when the column is permuted.  The
-    permutation pairs each row's position in id order with its position in
-    a seeded hash order (two distributed row indexes + an equi join)."""
-    from ratecast.operators.topk import mix_hash
-    base = model.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
-    pos = global_index(df, [id_col], out="_p")
-    rows = []
+                           repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Per column, the mean and standard deviation over ``repeats`` of the
+    MAE increase when the column is permuted.  A permutation pairs each row's
+    position in id order with a position in a seeded hash order (row indexes
+    over pieces and equality joins); all repeats and columns are scored in
+    one job, each row as ``repeats`` x columns copies.  ``id_col`` is unique."""
+    err = F.avg(F.abs(F.col("prediction") - F.col(label)))
+    base = model.transform(df).agg(err).scalar()
+    n = df.count()
+    pos = global_index(df.select(F.col(id_col).alias("_to")), ["_to"], out="_p")
+    reps = df.select(F.col(id_col).alias("_from"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep"))
+    reps = reps.withColumn("_h", F.xxhash64("_from", "_rep", F.lit(seed)))
+    drawn = global_index(reps, ["_rep", "_h", "_from"], out="_g").select("_rep", "_from", (F.col("_g") - F.col("_rep") * n).alias("_p"))
+    pairs = drawn.join(pos, "_p").select("_rep", "_from", "_to")
+    values = df.select(F.col(id_col).alias("_from"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    x = df.join(pairs.join(values, "_from").drop("_from"), F.col(id_col) == F.col("_to"))
+    x = x.withColumn("feature", F.explode(F.array(*map(F.lit, cols))))
     for c in cols:
-        deltas = []
-        for r in range(repeats):
-            h = df.select(id_col, mix_hash(F.col(id_col), seed + r).alias("_h"), F.col(c).alias("_v"))
-            hpos = global_index(h, ["_h", id_col], out="_p").select("_p", "_v")
-            perm = pos.join(hpos, "_p").drop(c).withColumnRenamed("_v", c).drop("_p")
-            mae = model.transform(perm).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
-            deltas.append(mae - base)
-        mean = sum(deltas) / len(deltas)
-        sd = (sum((d - mean) ** 2 for d in deltas) / len(deltas)) ** 0.5
-        rows.append((c, float(mean), float(sd)))
-    return df.sparkSession.createDataFrame(rows, "feature string, mae_increase double, std double")
-
-
-def partial_dependence(model: PipelineModel, df: DataFrame, col: str, grid: int = 40) -> DataFrame:
-    """Mean prediction with ``col`` set to each of ``grid`` values
-    spanning its range (each row fans out to exactly ``grid`` copies)."""
-    lo = df.agg(F.min(col)).scalar()
-    hi = df.agg(F.max(col)).scalar()
-    g = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    g = g.withColumn(col, (lo + (hi - lo) * F.col("_g") / (grid - 1)).cast(df.schema[col].dataType))
-    return model.transform(g).groupBy("_g", col).agg(F.avg("prediction").alias("mean_pred")).withColumnRenamed("_g", "grid")
-
-
-def counterfactual(model: PipelineModel, df: DataFrame, neutral: dict, by: str, id_col: str) -> DataFrame:
-    """Re-score with columns set to neutral values; mean change by group."""
-    a = model.transform(df).select(id_col, by, F.col("prediction").alias("p0"))
-    cf = df
+        x = x.withColumn(c, F.when(F.col("feature") == c, F.col(f"_new_{c}")).otherwise(F.col(c)))
+    x = x.drop("_to", *[f"_new_{c}" for c in cols])
+    per = model.transform(x).groupBy("feature", "_rep").agg((err - base).alias("_d"))
+    return per.groupBy("feature").agg(F.avg("_d").alias("mae_increase"), F.stddev_pop("_d").alias("std"))
+
+
+def partial_dependence(model: PipelineModel, df: DataFrame, cols: str | Sequence[str], grid: int | None = None) -> DataFrame:
+    """Mean prediction with one or two columns set to each of ``grid``
+    values spanning their range (40 for one column, 25 x 25 for two): each
+    row fans out to that many copies, averaged map-side."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    grid = grid or (40 if len(cols) == 1 else 25)
+    steps = [f"_g{i}" for i in range(len(cols))]
+    ends = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    g = df
+    for i, (c, step) in enumerate(zip(cols, steps)):
+        lo, hi = ends[f"lo_{i}"], ends[f"hi_{i}"]
+        g = g.withColumn(step, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+        g = g.withColumn(c, (F.lit(lo) + F.lit(hi - lo) * F.col(step) / (grid - 1)).cast(df.schema[c].dataType))
+    out = model.transform(g).groupBy(*steps).agg(*[F.first(c).alias(c) for c in cols], F.avg("prediction").alias("mean_pred"))
+    return out.withColumnsRenamed({"_g0": "grid", "_g1": "grid2"})
+
+
+def counterfactual(model: PipelineModel, df: DataFrame, neutral: dict, by: str, id_col: str, label: str,
+                   active: Column | None = None) -> DataFrame:
+    """The ``active`` rows scored as they are and with columns set to
+    neutral values; per group the mean and largest change, the mean actual
+    and both mean predictions."""
+    rows = df if active is None else df.where(active)
+    a = model.transform(rows).select(id_col, by, F.col(label).alias("_y"), F.col("prediction").alias("p0"))
+    cf = rows
     for c, v in neutral.items():
         cf = cf.withColumn(c, F.lit(v).cast(df.schema[c].dataType))
     b = model.transform(cf).select(id_col, F.col("prediction").alias("p1"))
-    return a.join(b, id_col).groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("p0") - F.col("p1")).alias("boost"))
+    boost = F.col("p0") - F.col("p1")
+    return a.join(b, id_col).groupBy(by).agg(F.count("*").alias("n"), F.avg(boost).alias("boost"), F.max(boost).alias("max_boost"),
+                                             F.avg("_y").alias("actual_mean"), F.avg("p0").alias("pred_mean"),
+                                             F.avg("p1").alias("pred_neutral_mean"))
 
 
 def local_effects(model: PipelineModel, train: DataFrame, rows: DataFrame, cols: Sequence[str], id_col: str,
@@ -354,7 +417,7 @@ def ablation(train: DataFrame, test: DataFrame, label: str, configs: dict, model
     rows = []
     for name, (num, bools, cats) in configs.items():
         prep = preprocessor(num, bools, cats).fit(train)
-        m = make_model(model, label).fit(prep.transform(train))
+        m = fit_vectors(make_model(model, label), prep.transform(train))
         mae = m.transform(prep.transform(test)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
         rows.append((name, float(mae)))
     return train.sparkSession.createDataFrame(rows, "config string, mae double")
@@ -367,8 +430,8 @@ def time_fold_frames(df: DataFrame, order, k: int):
              f.where((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")) for i in range(1, k + 1)]
 
 
-def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: dict, n_iter: int = 3,
-                  k: int = 3, model: str = "random_forest", seed: int = 42) -> DataFrame:
+def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: dict, n_iter: int = 12,
+                  k: int = 4, model: str = "random_forest", seed: int = 42) -> DataFrame:
     """M9: sampled parameter sets scored by mean MAE over expanding
     time-ordered folds."""
     rnd = random.Random(seed)
@@ -379,7 +442,7 @@ def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: d
         maes = []
         for tr, te in folds:
             prep = preprocessor(num, bools, cats).fit(tr)
-            m = make_model(model, label, **params).fit(prep.transform(tr))
+            m = fit_vectors(make_model(model, label, **params), prep.transform(tr))
             maes.append(m.transform(prep.transform(te)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0])
         rows.append((str(sorted(params.items())), float(sum(maes) / len(maes))))
     return train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
@@ -396,7 +459,7 @@ def stack(train: DataFrame, test: DataFrame, label: str, id_col: str, order, num
         cols = []
         cur = prep.transform(te)
         for b in bases:
-            m = make_model(b, label).fit(prep.transform(tr))
+            m = fit_vectors(make_model(b, label), prep.transform(tr))
             cur = m.transform(cur).withColumnRenamed("prediction", f"p_{b}")
             cols.append(f"p_{b}")
         part = cur.select(id_col, label, *cols)
@@ -406,6 +469,6 @@ def stack(train: DataFrame, test: DataFrame, label: str, id_col: str, order, num
     prep = preprocessor(num, bools, cats).fit(train)
     cur = prep.transform(test)
     for b in bases:
-        m = make_model(b, label).fit(prep.transform(train))
+        m = fit_vectors(make_model(b, label), prep.transform(train))
         cur = m.transform(cur).withColumnRenamed("prediction", f"p_{b}")
     return meta.transform(meta_in.transform(cur)).select(id_col, label, F.col("prediction").alias("pred"))

@@ -12,6 +12,7 @@ from ratecast.functions import text as X
 from ratecast.operators import intervals as I
 from ratecast.operators import models as M
 from ratecast.operators import pointintime as PT
+from ratecast.operators import scoring as SC
 from ratecast.operators import windows as W
 from ratecast.plans.predictions import PRED_CTE, split_events
 from ratecast.plans.q_aggregates import _r
@@ -45,9 +46,9 @@ def _parts(spark, sf):
     return f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
 
 
-def _pipeline(train, model="gbt"):
+def _pipeline(train, model="gbt", cats=CATS):
     from pyspark.ml import Pipeline
-    prep = M.preprocessor(NUM, BOOLS, CATS)
+    prep = M.preprocessor(NUM, BOOLS, cats)
     return Pipeline(stages=[prep, M.make_model(model, LABEL)]).fit(M.sized(train).cache())
 
 
@@ -80,7 +81,7 @@ def q_conformal_interval(spark, sf):
 @query("learning_curve")
 def q_learning_curve(spark, sf):
     tr, te = _parts(spark, sf)
-    return _r(M.learning_curve(tr, te, LABEL, EV_ORDER, NUM, BOOLS, CATS, fracs=(0.25, 0.5, 1.0)))
+    return _r(M.learning_curve(tr, te, LABEL, EV_ORDER, NUM, BOOLS, CATS))
 
 
 @query("cluster_errors")
@@ -98,12 +99,15 @@ def q_cluster_errors(spark, sf):
 def q_additive_daily(spark, sf):
     ev = I.tag_events(events(spark, sf), intervals(spark), "d", season=["season"], holiday=["holiday"],
                       security=SEC_CATS)
-    daily = ev.groupBy(F.col("d").alias("ds")).agg(F.avg("value").alias("v"),
-                                                   F.max(F.col("is_security").cast("double")).alias("security"),
-                                                   F.max(F.col("is_holiday").cast("double")).alias("holiday"))
-    cut = W.date_cut(ev, "d", 0.2)
-    scored, _ = M.fit_additive(daily, "ds", "v", ["security", "holiday"], cut)
-    return _r(scored.select("ds", "v", "pred"))
+    # 18 months on, so that the days lie on the reception ramp
+    ev = ev.withColumn("ds", F.add_months("d", 18))
+    daily = ev.groupBy("ds").agg(F.avg("value").alias("v"), F.max(F.col("is_security").cast("double")).alias("security"),
+                                 F.max(F.col("is_holiday").cast("double")).alias("holiday"))
+    daily = (daily.withColumn("is_saturday", (F.dayofweek("ds") == 7).cast("double"))
+             .withColumn("reception_pct", S.reception("ds", "daily").cast("double")))
+    cut = W.date_cut(ev, "ds", 0.2)
+    scored, coefs = M.fit_additive(daily, "ds", "v", ["holiday", "security", "is_saturday", "reception_pct"], cut)
+    return _r(scored.select("ds", "v", "pred", "trend", "weekly", F.lit(coefs["weekly_amplitude"]).alias("weekly_amplitude")))
 
 
 # M32 ---------------------------------------------------------------------------
@@ -136,6 +140,32 @@ def q_series_baseline_scores(spark, sf):
     return _r(A.metrics(long, "value", "pred", by=["model"]))
 
 
+@query("series_model_scores")
+def q_series_model_scores(spark, sf):
+    """The three baselines beside ridge and boosted trees fitted on the
+    series' own history (previous value, EMA, history count) and the calendar."""
+    from ratecast.operators import aggregates as A
+    x = W.running_totals(split_events(spark, sf), ["user_id"], EV_ORDER, count_out="seen", chunk=F.col("d"))
+    x = W.lags(x, ["user_id"], "value", EV_ORDER, ks=(1,), prefix="lag", chunk=F.col("d"))
+    x = W.ema(x, ["user_id"], "value", EV_ORDER, span=4, out="ema_4", chunk=F.col("d")).where(F.col("seen") >= 2)
+    tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
+    _, preds, _ = M.compare_models(tr, te, LABEL, "event_id", ["lag_1", "ema_4", "seen", "dow", "h"], [], CATS, ["ridge", "gbt"],
+                                   {"ridge": {"reg": 1.0}, "gbt": {"depth": 3, "step": 0.05, "leaf": 5}})
+    base = A.to_long(_series(spark, sf), ["event_id", "value"], {m: f"pred_{m}" for m in ("mean", "last", "ema")})
+    both = preds.select("event_id", "value", "model", "pred").unionByName(base.select("event_id", "value", "model", "pred"))
+    return _r(A.metrics(both, "value", "pred", by=["model"]))
+
+
+@query("train_eval_refit")
+def q_train_eval_refit(spark, sf):
+    """Fit, evaluate, refit on all rows; the refitted model scores all rows."""
+    from pyspark import StorageLevel
+    f = model_frame(spark, sf).drop("split").persist(StorageLevel.MEMORY_AND_DISK)
+    model, log = M.train_eval_refit(f, LABEL, "ts", NUM, BOOLS, CATS)
+    refit = model.transform(f).agg(F.avg(F.abs(F.col("prediction") - F.col(LABEL)))).scalar()
+    return _r(log.withColumn("refit_train_mae", refit))
+
+
 # W12-W14 ---------------------------------------------------------------------------
 _PIT_KEYS = {"prog": (["user_id"], ["user_id"]), "slot": (["dow", "h"], ["dow", "h"]),
              "status_hour": (["event_type", "h"], ["event_type", "h"])}
@@ -203,40 +233,28 @@ def q_uncertainty(spark, sf):
 # M30, M31 ------------------------------------------------------------------------
 def score_requests(spark, sf, requests=None):
     """Batch scoring -- point-in-time features -> model -> trend
-    scaling -> floor -> 80% interval -> households/viewers -> label."""
+    scaling -> floor -> 80% range -> households/viewers -> label.
+    ``requests`` has request_id, user_id, target, event_type, start and end
+    (HH:MM) and scenario; by default the test events ask for themselves."""
     from pyspark import StorageLevel
     tr, _ = _parts(spark, sf)
     pm = _pipeline(tr, "gbt")
     req, hist = _requests(spark, sf)
     hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    if requests is not None:
-        req = requests
-    keys = {"user": (["user_id"], ["user_id"]), "slot": (["dow", "h"], ["dow", "h"]),
-            "status_hour": (["event_type", "h"], ["event_type", "h"])}
-    f = PT.point_in_time(req, hist, keys, "target", "d", "value", days=90, min_rows=200)
-    f = PT.point_in_time(f, hist, {"kslot": (["dow", "h"], ["dow", "h"])}, "target", "d", "k", days=90, min_rows=200)
-    f = (f.withColumnRenamed("lag_user_mean", "lag_value_user_mean").withColumnRenamed("lag_user_n", "lag_value_user_n")
-         .withColumnRenamed("lag_slot_mean", "lag_value_slot_mean").withColumnRenamed("lag_slot_n", "lag_value_slot_n")
-         .withColumnRenamed("lag_status_hour_mean", "lag_value_status_hour_mean")
-         .withColumnRenamed("lag_status_hour_n", "lag_value_status_hour_n")
-         .withColumnRenamed("lag_kslot_mean", "lag_k_slot_mean"))
+    if requests is None:
+        requests = (req.withColumn("start", F.concat(F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00")))
+                    .withColumn("end", F.lit(None).cast("string")).withColumn("scenario", F.lit(SC.SPECIAL)))
+    req = (requests.withColumn("h", F.substring("start", 1, 2).cast("bigint") % 24).withColumn("dow", F.dayofweek("target").cast("bigint"))
+           .withColumn("duration", S.duration_wrap("start", "end").cast("bigint")))
+    f = PT.point_in_time(req, hist, {"value_user": (["user_id"],) * 2, "value_slot": (["dow", "h"],) * 2,
+                                     "value_status_hour": (["event_type", "h"],) * 2}, "target", "d", "value", days=90, min_rows=200)
+    f = PT.point_in_time(f, hist, {"k_slot": (["dow", "h"],) * 2}, "target", "d", "k", days=90, min_rows=200)
     f = I.tag_events(f, intervals(spark), "target", season=["season"], holiday=["holiday"], security=SEC_CATS)
+    f = SC.effective_scenario(f.drop("is_security", "tag_security"), intervals(spark), "target", "scenario", SEC_CATS)
     scored = pm.transform(f).withColumnRenamed("prediction", "raw_pred")
-    trend = W.trend(hist, "user_id", "d", "value", lookback=6, min_rows=5)
-    last_known = hist.agg(F.max("d")).scalar()
-    s = (scored.join(trend, "user_id", "left").withColumn("trend", F.coalesce("trend", F.lit(0.0)))
-         .withColumn("days_ahead", F.datediff("target", last_known)))
-    s = s.withColumn("predicted", S.trend_scale("raw_pred", F.col("trend"), F.col("days_ahead")))
-    s = PT.uncertainty(s, hist, (["user_id", "dow", "h"], ["user_id", "dow", "h"]), (["dow", "h"], ["dow", "h"]), "value")
-    n_hist = hist.groupBy("user_id").agg(F.count("*").alias("n_hist"))
-    s = s.join(n_hist, "user_id", "left").withColumn("n_hist", F.coalesce("n_hist", F.lit(0)))
-    rec = S.reception("target", "daily")
-    return s.select("request_id", F.round("predicted", 3).alias("predicted"),
-                    F.round(S.interval_low("predicted", F.col("half_width")), 3).alias("low"),
-                    F.round(S.interval_high("predicted", F.col("half_width")), 3).alias("high"),
-                    S.households(F.col("predicted") * rec / 100).alias("households"),
-                    S.viewers(F.col("predicted") * rec / 100).alias("viewers"),
-                    S.reliability("n_hist").alias("reliability"), "unc_source")
+    a = SC.answer_fields(scored, hist, entity="user_id", date="d", value="value", target="target",
+                         fine=["user_id", "dow", "h"], coarse=["dow", "h"])
+    return a.select("request_id", "duration", "scenario_effective", *SC.ANSWER)
 
 
 @query("score_requests")
@@ -275,22 +293,30 @@ def q_experts(spark, sf):
 def q_permutation_importance(spark, sf):
     tr, te = _parts(spark, sf)
     pm = _pipeline(tr, "gbt")
-    return _r(M.permutation_importance(pm, te, LABEL, ["lag_value_user_mean", "lag_value_slot_mean", "h"],
-                                       "event_id", repeats=2))
+    return _r(M.permutation_importance(pm, te, LABEL, [*NUM, *BOOLS, *CATS], "event_id"))
 
 
 @query("partial_dependence")
 def q_partial_dependence(spark, sf):
     tr, te = _parts(spark, sf)
     pm = _pipeline(tr, "gbt")
-    return _r(M.partial_dependence(pm, te, "lag_value_user_mean", 40).select("grid", "mean_pred"))
+    return _r(M.partial_dependence(pm, te, "lag_value_user_mean").select("grid", "lag_value_user_mean", "mean_pred"))
+
+
+@query("partial_dependence_2d")
+def q_partial_dependence_2d(spark, sf):
+    """The 25 x 25 grid over two features."""
+    tr, te = _parts(spark, sf)
+    return _r(M.partial_dependence(_pipeline(tr, "gbt"), te, ["lag_value_user_mean", "lag_value_slot_mean"]))
 
 
 @query("counterfactual")
 def q_counterfactual(spark, sf):
     tr, te = _parts(spark, sf)
-    pm = _pipeline(tr, "gbt")
-    return _r(M.counterfactual(pm, te, {"is_security": False}, "tag_security", "event_id"))
+    pm = _pipeline(tr, "gbt", [*CATS, "tag_security"])
+    # train and test rows, since the calendar's events all lie before the cut
+    return _r(M.counterfactual(pm, tr.unionByName(te), {"is_security": False, "tag_security": S.NO_TAG}, "tag_security", "event_id", LABEL,
+                               F.col("is_security")))
 
 
 @query("local_effects")
@@ -317,7 +343,8 @@ def q_ablation(spark, sf):
 def q_random_search(spark, sf):
     tr, _ = _parts(spark, sf)
     return _r(M.random_search(tr, LABEL, EV_ORDER, NUM, BOOLS, CATS,
-                              {"trees": [10, 20], "depth": [4, 6]}, n_iter=2, k=3))
+                              {"trees": [10, 20, 40], "depth": [4, 6, 8], "leaf": [2, 5, 10], "features": ["sqrt", "0.5"]},
+                              n_iter=3, k=4))
 
 
 @query("stacking")

@@ -30,7 +30,7 @@ def test_matches_duckdb(spark, con, name):
 # MLlib-heavy queries (several fits each) run only with RATECAST_SLOW=1;
 # the default run still fits and scores through model_compare/score_requests.
 SLOW = {"conformal_interval", "learning_curve", "cluster_errors", "routed_experts", "segment_experts",
-        "permutation_importance", "partial_dependence", "counterfactual", "local_effects", "ablation",
+        "permutation_importance", "partial_dependence", "partial_dependence_2d", "train_eval_refit", "series_model_scores", "counterfactual", "local_effects", "ablation",
         "random_search", "stacking", "feature_importance"}
 ROWS_ONLY = [pytest.param(n, marks=pytest.mark.skipif(n in SLOW and os.environ.get("RATECAST_SLOW") != "1", reason="several model fits"))
              for n in sorted(set(QUERIES) - set(ORACLE))]

@@ -407,3 +407,49 @@ def test_constraint_report_row_rule(spark):
     df = spark.createDataFrame([(1, "x"), (None, "y"), (-5, "z")], "a long, b string")
     got = {r.constraint: r.n_violations for r in IO.constraint_report(df, "t", ["a"], enums={"b": ["x", "y"]}, checks={"a positive": F.col("a") > 0}).collect()}
     assert got == {"t.a not null": 1, "t.b in enum": 1, "t check a positive": 1}
+
+
+def test_requests_take_events_only_when_asked(spark):
+    from ratecast.operators import scoring as SC
+    iv = spark.createDataFrame([(1, "security", "a", dt.date(2024, 1, 2), dt.date(2024, 1, 4), 1), (2, "holiday", "b", dt.date(2024, 1, 1), dt.date(2024, 1, 9), 1)],
+                               "ord long, category string, name string, start_date date, end_date date, severity long")
+    req = spark.createDataFrame([(1, dt.date(2024, 1, 3), "special_event"), (2, dt.date(2024, 1, 3), "routine"), (3, dt.date(2024, 1, 8), "special_event"),
+                                 (4, dt.date(2024, 1, 3), None)], "id long, target date, scenario string")
+    got = {r.id: (r.is_security, r.tag_security, r.scenario_effective) for r in SC.effective_scenario(req, iv, "target", "scenario", ["security"]).collect()}
+    assert got == {1: (True, "a", "special_event"), 2: (False, "—", "routine"), 3: (False, "—", "routine"), 4: (False, "—", "routine")}
+
+
+def test_answer_of_an_unknown_entity_takes_the_whole_trend(spark):
+    from ratecast.operators import scoring as SC
+    rows = [("s", dt.date(2024, m, 1), 10.0 + 0.1 * m, 1) for m in range(1, 9)]
+    hist = spark.createDataFrame(rows, "e string, d date, v double, h long")
+    req = spark.createDataFrame([("s", dt.date(2024, 8, 31), 10.0, 1), ("new", dt.date(2024, 8, 31), 10.0, 2), ("new", dt.date(2024, 7, 1), -1.0, 2)],
+                                "e string, target date, raw_pred double, h long")
+    got = SC.answer_fields(req, hist, entity="e", date="d", value="v", target="target", fine=["e", "h"], coarse=["h"]).orderBy("raw_pred", "n_hist").collect()
+    slope = 0.1 / np.mean([10.0 + 0.1 * m for m in range(2, 9)])
+    assert [r.n_hist for r in got] == [0, 0, 8] and [r.cold_start for r in got] == [True, True, False]
+    assert got[0].predicted == 0.0 and got[0].low == 0.0
+    assert all(abs(r.predicted - 10 * (1 + slope)) < 1e-9 for r in got[1:])
+    assert got[1].unc_source == "default" and got[2].unc_source == "entity_slot"
+
+
+def test_questions_without_a_date_ask_for_next_week(spark):
+    from ratecast.operators import scoring as SC
+    df = spark.createDataFrame([("קבינט",), ("hello",), ("קבינט מחר מלחמה",), (None,)], "q string")
+    got = {r.q: (r.program, r.target, r.scenario, r.confidence) for r in SC.parse_questions(df, "q", "2026-06-01").collect()}
+    week = dt.date(2026, 6, 8)
+    assert got["קבינט"] == ("קבינט שישי", week, "routine", "medium") and got["hello"] == (None, week, "routine", "low")
+    assert got["קבינט מחר מלחמה"] == ("קבינט שישי", dt.date(2026, 6, 2), "special_event", "high") and got[None] == (None, week, "routine", "low")
+
+
+def test_refit_and_permutation_see_the_signal(spark):
+    from ratecast.operators import models as M
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i // 4), float(i % 7), float((i * 5) % 11), 3.0 * (i % 7) + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, d date, a double, b double, y double")
+    model, log = M.train_eval_refit(df, "y", "d", ["a", "b"], [], [], model="ridge", reg=0.0)
+    one = log.first()
+    assert one.n_rows == 200 and one.n_train + one.n_test == 200 and one.n_test > 0 and one.test_mae < 1e-6 and one.test_r2 > 0.999
+    imp = {r.feature: (r.mae_increase, r["std"]) for r in M.permutation_importance(model, df, "y", ["a", "b"], "id", repeats=4).collect()}
+    assert imp["a"][0] > 3 and abs(imp["b"][0]) < 1e-6
+    grid = M.partial_dependence(model, df, ["a", "b"], 5).collect()
+    assert len(grid) == 25 and all(abs(r.mean_pred - (3 * r.a + 1)) < 1e-6 for r in grid)
