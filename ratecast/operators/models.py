@@ -436,15 +436,17 @@ def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: d
     time-ordered folds."""
     rnd = random.Random(seed)
     combos = [{p: rnd.choice(v) for p, v in grid.items()} for _ in range(n_iter)]
-    folds = time_fold_frames(train, order, k)
-    rows = []
-    for params in combos:
-        maes = []
-        for tr, te in folds:
-            prep = preprocessor(num, bools, cats).fit(tr)
-            m = fit_vectors(make_model(model, label, **params), prep.transform(tr))
-            maes.append(m.transform(prep.transform(te)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0])
-        rows.append((str(sorted(params.items())), float(sum(maes) / len(maes))))
+    maes = [[] for _ in combos]
+    err = F.avg(F.abs(F.col("prediction") - F.col(label)))
+    for tr, te in time_fold_frames(train, order, k):
+        prep = preprocessor(num, bools, cats).fit(tr)  # once per fold, whatever the settings
+        x = sized(prep.transform(tr).select("features", label)).cache()
+        y = prep.transform(te).select("features", label).cache()
+        for i, params in enumerate(combos):
+            maes[i].append(make_model(model, label, **params).fit(x).transform(y).agg(err).first()[0])
+        x.unpersist()
+        y.unpersist()
+    rows = [(str(sorted(p.items())), float(sum(m) / len(m))) for p, m in zip(combos, maes)]
     return train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
 
 

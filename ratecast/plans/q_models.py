@@ -344,7 +344,7 @@ def q_random_search(spark, sf):
     tr, _ = _parts(spark, sf)
     return _r(M.random_search(tr, LABEL, EV_ORDER, NUM, BOOLS, CATS,
                               {"trees": [10, 20, 40], "depth": [4, 6, 8], "leaf": [2, 5, 10], "features": ["sqrt", "0.5"]},
-                              n_iter=3, k=4))
+                              n_iter=2, k=4))
 
 
 @query("stacking")
