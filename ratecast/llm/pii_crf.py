@@ -5,12 +5,14 @@ has a digit, an at sign or a plus sign becomes a graph: its nodes are the
 blank-separated tokens that hold one of these (the tag dictionary gives
 every other token the label O, which cuts the chain exactly there), chain
 edges join neighbouring nodes, and skip edges join each node to the
-previous node, however distant, with the same normal form or the same last
-seven digits.  Linking to the previous one only keeps the edges linear in
-the tokens and still connects every set of similar tokens.  Damped
-sum-product message passing over both edge kinds gives each node's label;
-labelled tokens outside all base spans are added as spans, neighbours in
-the chain with one label as one span.
+first node, however distant, with the same normal form or the same last
+seven digits.  Such stars keep the edges linear in the tokens, and any two
+similar tokens are two edges apart.  Damped sum-product message passing over
+both edge kinds gives each node's label; each text's messages are passed
+until none changes by more than ``TOLERANCE``, whatever other texts are in
+the batch, and the step halves every ``PATIENCE`` rounds, so that messages
+that circle settle too.  Labelled tokens outside all base spans are added
+as spans, neighbours in the chain with one label as one span.
 
 Node, chain and skip weights are fitted together by pseudo-likelihood on a
 bounded sample of texts (``TRAIN_DOCS``, by smallest hash), labelled by
@@ -49,8 +51,9 @@ DIGITS = re.compile(r"[0-9]")
 TRAIN_DOCS = 1_000   # bound of the sample that the weights are fitted on
 HASHED = 1 << 13     # node features
 LABELS = 1 + len(KINDS)
-ROUNDS = 12          # of message passing
-DAMPING = 0.5
+TOLERANCE = 1e-4     # largest change of a message at which a text is settled
+PATIENCE = 50        # rounds of message passing until the step halves
+STEP = 0.5
 SURE = 0.9           # probability from which a label becomes a span
 
 
@@ -134,7 +137,8 @@ class Graph:
                 if len(key) >= 4:
                     if key in seen:
                         self.skip.append((seen[key], node))
-                    seen[key] = node
+                    else:
+                        seen[key] = node
             last_end, last, prev_shape = m.end(), node, shape
 
 
@@ -157,14 +161,21 @@ class Model:
                                np.broadcast_to(self.skip, (2 * ns, LABELS, LABELS))])
         back = np.concatenate([np.arange(nc, 2 * nc), np.arange(nc), 2 * nc + np.arange(ns, 2 * ns), 2 * nc + np.arange(ns)])
         msg = np.zeros((len(src), LABELS))
-        for _ in range(ROUNDS if len(src) else 0):
+        owner = np.array(g.owner, dtype=np.int64)[src]
+        live, rounds = np.arange(len(src)), 0
+        while len(live):
+            step = STEP * 0.5 ** (rounds // PATIENCE)
             belief = score.copy()
-            np.add.at(belief, dst, msg)
-            out = (belief[src] - msg[back])[:, :, None] + pair
+            np.add.at(belief, dst[live], msg[live])
+            out = (belief[src[live]] - msg[back[live]])[:, :, None] + pair[live]
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
+            new = (1 - step) * msg[live] + step * new
+            change = np.zeros(owner.max() + 1)
+            np.maximum.at(change, owner[live], np.abs(new - msg[live]).max(axis=1))
+            msg[live] = new
+            live, rounds = live[change[owner[live]] > TOLERANCE], rounds + 1
         belief = score.copy()
         np.add.at(belief, dst, msg)
         p = np.exp(belief - belief.max(axis=1, keepdims=True))

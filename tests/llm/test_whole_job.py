@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from ratecast.llm import hnsw
+from ratecast.llm import hnsw, pii_crf
 
 
 def planted(n, dim, seed):
@@ -64,3 +64,22 @@ def test_links_between_shards_count_at_both_ends(monkeypatch):
     got = {r: n for r, n in zip(out["row"], out["n"]) if r is not None}
     across = [(i, j) for i, j in true if i % 2 != j % 2]
     assert across and got == {int(i): int(n) for i, n in enumerate(np.bincount([i for i, _ in across], minlength=300)) if n}
+
+
+def test_evidence_reaches_every_mention_of_a_long_text():
+    """One mention is recognisable, all others only by their likeness to it."""
+    node = np.zeros((pii_crf.HASHED, pii_crf.LABELS))
+    node[pii_crf._bucket("s:+98"), 4] = 8
+    model = pii_crf.Model(node, np.zeros((pii_crf.LABELS,) * 2), 5 * np.eye(pii_crf.LABELS))
+    for times in (1, 40, 400):
+        text = "call +15557713 first" + ", and then again 555-7713 with more words" * times
+        assert len(pii_crf.all_spans([text], model)[0][1]) == 1 + times
+    alone, batch = pii_crf.all_spans([text], model), pii_crf.all_spans([text, "see 555-7713 or 1.2.3.400", text], model)
+    assert batch[0] == batch[-1] == alone[0]
+
+
+def test_messages_that_circle_settle():
+    """Skip edges that push like tokens apart, in triangles: no fixed labels, but an end."""
+    model = pii_crf.Model(np.zeros((pii_crf.HASHED, pii_crf.LABELS)), -20 * np.eye(pii_crf.LABELS), -20 * np.eye(pii_crf.LABELS))
+    model.node[pii_crf._bucket("s:93-94"), 1:3] = 3
+    assert pii_crf.all_spans(["555-7713 555-7713 555-7714 555-7713 555-7714 " * 20], model)
