@@ -257,11 +257,12 @@ def text_of(spans) -> str:
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Weights from at most ``train_docs`` texts with marks, drawn by hash;
-    the draw is thinned by the number of rows before it is ordered, so no
-    more than a few times the bound reach the driver however many tasks read."""
-    n = max(docs.count(), 1)
+    the draw is thinned by the number of distinct texts with marks before it
+    is ordered, so no more than a few times the bound reach the driver however
+    many tasks read, and the bound is reached however rare such texts are."""
     draw = F.xxhash64("text", F.lit(5))
     some = docs.select("text").where(F.col("text").rlike("[0-9@+]"))
+    n = some.select(F.count_distinct(draw)).first()[0]
     if n > 8 * train_docs:
         some = some.where(F.pmod(draw, F.lit(1 << 31)) < int((1 << 31) * 8 * train_docs / n))
     rows = some.distinct().orderBy(draw, "text").limit(train_docs).collect()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ratecast.llm import hnsw, pii_crf
 
@@ -83,3 +84,11 @@ def test_messages_that_circle_settle():
     model = pii_crf.Model(np.zeros((pii_crf.HASHED, pii_crf.LABELS)), -20 * np.eye(pii_crf.LABELS), -20 * np.eye(pii_crf.LABELS))
     model.node[pii_crf._bucket("s:93-94"), 1:3] = 3
     assert pii_crf.all_spans(["555-7713 555-7713 555-7714 555-7713 555-7714 " * 20], model)
+
+
+def test_rare_texts_with_marks_still_reach_the_training_bound(spark, monkeypatch):
+    docs = spark.range(40_000).select(F.when(F.col("id") % 100 == 0, F.concat(F.lit("call "), "id")).otherwise("plain").alias("text"))
+    drawn = []
+    monkeypatch.setattr(pii_crf, "train", lambda texts: drawn.extend(texts))
+    pii_crf.fit(docs, 100)
+    assert len(set(drawn)) == 100
