@@ -12,7 +12,10 @@ A chunk of documents settles its own repeats first: of equal windows in a
 chunk only those of its smallest id travel on, so an anchor that a third of
 all documents share costs a row per chunk, not one per document.  What
 travels is packed by anchor bucket: runs of neighbouring windows with one
-anchor and the windows' hashes.  Equality is that of 64-bit hashes of the 13
+anchor and the windows' hashes.  An anchor that many different windows share
+would fill one task, so anchors that a sample shows as frequent are dealt by
+the windows' hashes instead (the sample decides only where windows meet:
+equal ones have one anchor and one hash).  Equality is that of 64-bit hashes of the 13
 words.
 
 Defined cases: a null text has no words; rows without an id neither remove
@@ -33,7 +36,9 @@ from ratecast.llm.common import Scratch, gram_hashes, partitions, row_key, slice
 SPAN = 13
 GRAM = 5
 CHUNK_BYTES = 4_000_000
-TASK_ROWS = 4_000  # documents per reducing task
+TASK_BYTES = 8_000_000  # of text per reducing task
+SAMPLE = 1 / 256   # of the documents, to find frequent anchors
+SAMPLE_ROWS = 4_000  # documents in it at least
 
 
 def _windows(texts: list[bytes], span: int, k: int):
@@ -79,13 +84,26 @@ def _later(doc: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, store: Scratch, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """(doc_id, key, start, stop): maximal word ranges to remove."""
-    spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    tasks = partitions(spark, docs.select("doc_id").count(), TASK_ROWS)
-    width = max(9, min(20, (4 * tasks - 1).bit_length()))
+def frequent_anchors(rows: DataFrame, store: Scratch, count: int, tasks: int, span: int = SPAN, k: int = GRAM) -> np.ndarray:
+    """Anchors with more than an eighth of a task's windows, by a sample of the documents."""
+    share = max(SAMPLE, SAMPLE_ROWS / max(count, 1))
+    sample = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches):
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            for a, b in slices(batch, texts, CHUNK_BYTES):
+                anchor, n = np.unique(_windows(texts[a:b], span, k)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
+    per = store.write(sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    often = per.where(F.col("n") > max(16, total / (8 * tasks))).select("anchor").collect()
+    return np.array(sorted(r[0] for r in often), np.int64).view(np.uint64)
+
+
+def packed(rows: DataFrame, hot: np.ndarray, width: int, span: int = SPAN, k: int = GRAM) -> DataFrame:
+    """Runs of windows by bucket (2 ** ``width`` of them), and settled ranges."""
     def seeds(batches):
         turn = 0
         for batch in batches:
@@ -109,9 +127,12 @@ def repeats(docs: DataFrame, store: Scratch, span: int = SPAN, k: int = GRAM) ->
                 owner, start, anchor, seed, window, doc, key = (x[left] for x in (owner, start, anchor, seed, window, doc, key))
                 if len(left):
                     head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
+                    often = np.isin(seed, hot)
+                    head |= often
                     first = np.flatnonzero(head)
                     size = np.diff(np.append(first, len(left)))
-                    bucket = ((seed[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+                    dealt = np.where(often, window, seed)
+                    bucket = ((dealt[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     bucket, first, size = bucket[order], first[order], size[order]
                     ends = np.cumsum(size)
@@ -127,6 +148,18 @@ def repeats(docs: DataFrame, store: Scratch, span: int = SPAN, k: int = GRAM) ->
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
                                                      names=["bucket", "doc", "key", "start", "size", "window", "stop"])
 
+    return rows.mapInArrow(seeds, "bucket int, doc binary, key binary, start binary, size binary, window binary, stop binary")
+
+
+def repeats(docs: DataFrame, store: Scratch, span: int = SPAN, k: int = GRAM) -> DataFrame:
+    """(doc_id, key, start, stop): maximal word ranges to remove."""
+    spark = docs.sparkSession
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    tasks = partitions(spark, size or 0, TASK_BYTES)
+    width = max(9, min(20, (4 * tasks - 1).bit_length()))
+    hot = frequent_anchors(rows, store, count, tasks, span, k)
+
     def extend(batches):
         settled, open_ = [], [[], [], [], [], []]
         for batch in batches:
@@ -152,8 +185,8 @@ def repeats(docs: DataFrame, store: Scratch, span: int = SPAN, k: int = GRAM) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000].astype(np.int64)) for x in (d, y, s, e)],
                                                  names=["doc_id", "key", "start", "stop"])
 
-    packed = rows.mapInArrow(seeds, "bucket int, doc binary, key binary, start binary, size binary, window binary, stop binary")
-    return store.write(packed.repartition(tasks, "bucket").mapInArrow(extend, "doc_id long, key long, start long, stop long"), "repeats")
+    found = packed(rows, hot, width, span, k).repartition(tasks, "bucket")
+    return store.write(found.mapInArrow(extend, "doc_id long, key long, start long, stop long"), "repeats")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ratecast.llm import hnsw, pii_crf
+from ratecast.llm import hnsw, pii_crf, seed_extend
+from ratecast.llm.common import Scratch, gram_hashes, row_key, word_hashes
 
 
 def planted(n, dim, seed):
@@ -92,3 +93,24 @@ def test_rare_texts_with_marks_still_reach_the_training_bound(spark, monkeypatch
     monkeypatch.setattr(pii_crf, "train", lambda texts: drawn.extend(texts))
     pii_crf.fit(docs, 100)
     assert len(set(drawn)) == 100
+
+
+def test_a_frequent_phrase_in_different_texts_is_split(spark):
+    """A phrase that anchors a third of all windows fills no bucket; results stay right."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30_000)]
+    low = int(np.argmin(gram_hashes(word_hashes([w.encode() for w in words]), 5)))
+    phrase = words[low:low + 5]
+    texts = [" ".join([*rng.choice(words, 12), *phrase, *rng.choice(words, 8)]) for _ in range(3_000)]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", row_key().alias("key"), "text")
+    hot = seed_extend.frequent_anchors(rows, Scratch(spark, "hot"), len(texts), 8)
+
+    def most(anchors):
+        per = seed_extend.packed(rows, anchors, 9).groupBy("bucket").agg(F.sum(F.octet_length("window")).alias("n"))
+        return per.agg(F.max("n") / F.sum("n")).first()[0]
+
+    assert len(hot) == 1 and most(hot[:0]) > 0.3 and most(hot) < 0.02
+    got = {r["doc_id"]: r["n_removed"] for r in seed_extend.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 3_000 + [25] * 20
