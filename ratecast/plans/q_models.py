@@ -383,6 +383,6 @@ def q_embedding_anomalies(spark, sf):
     e = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]
     x = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    s = isolation_forest(x, x, cols, "vec_id", trees=100, sample=256, contamination=0.05)
+    s = isolation_forest(x, x, cols, "vec_id", trees=200, sample=256, contamination=0.05)
     return _r(s.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("is_anomaly").cast("double")).alias("anomaly_share"),
                                      F.avg("anomaly_score").alias("mean_score")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratecast.llm import hnsw, pii_crf, seed_extend
 from ratecast.llm.common import Scratch, gram_hashes, row_key, word_hashes
+from tests.conftest import SF_SMALL
 
 
 def planted(n, dim, seed):
@@ -114,3 +115,11 @@ def test_a_frequent_phrase_in_different_texts_is_split(spark):
     assert len(hot) == 1 and most(hot[:0]) > 0.3 and most(hot) < 0.02
     got = {r["doc_id"]: r["n_removed"] for r in seed_extend.remove_repeats(docs).collect()}
     assert [got[i] for i in range(len(texts))] == [0] * 3_000 + [25] * 20
+
+
+def test_embedding_anomalies_grows_the_trees_of_the_source(spark, monkeypatch):
+    from ratecast.operators import anomaly
+    from ratecast.plans import q_models
+    grown, whole = [], anomaly.isolation_forest
+    monkeypatch.setattr(anomaly, "isolation_forest", lambda *a, trees, **kw: grown.append(trees) or whole(*a, trees=trees, **kw))
+    assert q_models.q_embedding_anomalies(spark, SF_SMALL).count() and grown == [200]
