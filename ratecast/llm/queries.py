@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, as registered queries."""
+"""The operators over their whole tables, as registered queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratecast.llm import (bitplanes, diagonals, extendible, hnsw, mixing, pii_crf, risk_rules, seed_extend, simhash_ball,
-                          two_fit)
+from ratecast.llm import (bitplanes, diagonals, extendible, hadamard, hnsw, mixing, pii_crf, risk_rules, robust_graph, seed_extend,
+                          simhash_ball, threshold_lists, two_fit)
 from ratecast.plans.tables import table
 
 
@@ -53,6 +53,20 @@ def op10_quality(spark, sf):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_centroids(spark, sf):
+    return hadamard.clusters(table(spark, sf, "embeddings"))
+
+
+def op12_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return threshold_lists.hard_negatives(table(spark, sf, "embeddings").withColumn("label", label))
+
+
+def op13_neighbours(spark, sf):
+    return robust_graph.neighbours(table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_bitplanes, op4_simhash, op5_packing, op6_licenses, op7_sharding,
-                                   op8_substrings, op9_embeddings, op10_quality)}
-ORACLES = {"op2_mixing": mixing.SQL, "op7_sharding": extendible.SQL, "op8_substrings": seed_extend.SQL, "op9_embeddings": hnsw.SQL}
+                                   op8_substrings, op9_embeddings, op10_quality, op11_centroids, op12_negatives, op13_neighbours)}
+ORACLES = {"op2_mixing": mixing.SQL, "op7_sharding": extendible.SQL, "op8_substrings": seed_extend.SQL, "op9_embeddings": hnsw.SQL,
+           "op11_centroids": hadamard.SQL, "op12_negatives": threshold_lists.SQL}
