@@ -98,12 +98,13 @@ def json_field(c, path: str) -> Column:
     return F.coalesce(F.get_json_object(s, path), F.get_json_object(inner, path))
 
 
-def pub_date(c, today, fmt: str = "dd MMM yyyy HH:mm:ss") -> Column:
-    """parse an RSS publication date (``Tue, 05 Mar 2024 10:00:00``),
-    default ``today``.  The weekday name is dropped before parsing (Spark
-    parses no weekday names)."""
+def pub_date(c, today, fmt: str = "d MMM yyyy HH:mm:ss") -> Column:
+    """the day of an RSS publication date (``Tue, 05 Mar 2024 10:00:00``,
+    as written, a zone after it does not shift it), default ``today``.  The
+    weekday name and the zone are dropped before parsing (Spark parses no
+    weekday names)."""
     t = F.to_date(today) if isinstance(today, Column) else F.lit(today).cast("date")
-    body = F.regexp_replace(_c(c), r"^\s*[A-Za-z]{3},\s*", "")
+    body = F.regexp_replace(F.regexp_replace(_c(c), r"^\s*[A-Za-z]{3},\s*", ""), r"\s+([+-]\d{4}|[A-Z]{1,4})?\s*$", "")
     return F.coalesce(F.to_date(F.try_to_timestamp(body, F.lit(fmt))), t)
 
 
@@ -113,11 +114,28 @@ def coalesce_text(*cols) -> Column:
 
 
 def link_items(c, limit: int | None = None) -> tuple[Column, Column]:
-    """S16 re-aimed on markup: (href, text) arrays of ``<a href="..">..</a>``
-    items, optionally the first ``limit``."""
+    """(href, text) arrays of the ``<a href="..">..</a>`` items of a page,
+    optionally the first ``limit``."""
     pat = r'<a href="([^"]*)">([^<]*)</a>'
     href = F.regexp_extract_all(_c(c), F.lit(pat), 1)
     txt = F.regexp_extract_all(_c(c), F.lit(pat), 2)
     if limit:
         href, txt = F.slice(href, 1, limit), F.slice(txt, 1, limit)
     return href, txt
+
+
+_ITEM = "array<struct<title:string,pubDate:string>>"
+
+
+def feed_items(c, today, limit: int | None = None) -> Column:
+    """The items of an XML feed (RSS: ``channel/item``; RDF: ``item``
+    beside the channel) as an array of (title, pub_date) in the feed's
+    order: titles trimmed, items without one left out, then the first
+    ``limit`` of the whole feed or all.  A missing or unreadable date is
+    ``today``; text that is no well-formed XML has no items."""
+    feed = F.from_xml(_c(c), F.lit(f"channel struct<item:{_ITEM}>, item {_ITEM}"), {"mode": "PERMISSIVE", "attributePrefix": "_"})
+    empty = F.array().cast(_ITEM)
+    items = F.concat(F.coalesce(feed["channel"]["item"], empty), F.coalesce(feed["item"], empty))
+    titled = F.filter(F.transform(items, lambda i: F.struct(F.trim(i["title"]).alias("title"), pub_date(i["pubDate"], today).alias("pub_date"))),
+                      lambda i: F.coalesce(i["title"] != "", F.lit(False)))
+    return F.slice(titled, 1, limit) if limit else titled

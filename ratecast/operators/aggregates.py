@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
-from ratecast.operators.quantiles import group_quantiles, quantiles, with_quantiles
+from ratecast.operators.quantiles import group_quantiles, quantiles, quantiles_of_counts, with_quantiles
+from ratecast.operators.windows import dedupe, last_rows, top_n_per_group
+from ratecast.session import written
 
 
 def _c(c) -> Column:
@@ -163,46 +165,36 @@ def column_profile(df: DataFrame, top: int = 3) -> DataFrame:
     """One row per column -- type, distinct, missing, numeric
     summary, and the ``top`` most frequent values (ties by value).
 
-    Numeric/distinct/missing stats for all columns come from a single
-    aggregate pass; the top values need one group-by per column.
+    One scan reduces the table, map-side combined, to (column, value,
+    count); that written table yields everything else: distinct and missing
+    values, weighted moments (the spread around the known mean), medians off
+    running counts, and the top values.
     """
     numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}
     types = dict(df.dtypes)
-    nums = [c for c in df.columns if types[c] in numeric]
-    medians = {}
-    if nums:  # one number per column
-        st = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in nums)
-        long = df.selectExpr(f"stack({len(nums)}, {st}) AS (column, value)")
-        medians = {r["column"]: r["q"][0] for r in group_quantiles(long, ["column"], "value", [0.5]).collect()}
-    aggs = []
-    for c in df.columns:
-        aggs += [F.countDistinct(c).alias(f"{c}__u"), F.count_if(F.col(c).isNull()).alias(f"{c}__m")]
-        if types[c] in numeric:
-            x = F.col(c).cast("double")
-            aggs += [F.min(x).alias(f"{c}__min"), F.lit(medians.get(c)).cast("double").alias(f"{c}__med"), F.avg(x).alias(f"{c}__mean"),
-                     F.stddev_samp(x).alias(f"{c}__std"), F.max(x).alias(f"{c}__max")]
-        if types[c] == "boolean":
-            aggs.append(F.avg(F.col(c).cast("double")).alias(f"{c}__true"))
-    one = df.agg(*aggs)
-
-    def g(c, s):
-        return F.col(f"{c}__{s}") if f"{c}__{s}" in one.columns else F.lit(None).cast("double")
-
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                     F.col(f"{c}__u").cast("bigint").alias("n_unique"), F.col(f"{c}__m").cast("bigint").alias("n_missing"),
-                     g(c, "min").alias("min"), g(c, "med").alias("median"), g(c, "mean").alias("mean"),
-                     g(c, "std").alias("std"), g(c, "max").alias("max"), g(c, "true").alias("true_share"))
-            for c in df.columns]
-    stats = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    tops = None
-    for c in df.columns:
-        vc = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
-        t = vc.orderBy(F.col("count").desc(), F.col("v")).limit(top).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), F.col("v"), F.col("count")))),
-                                     lambda s: F.concat(s["v"], F.lit(" ("), s["count"].cast("string"), F.lit(")"))),
-                         ", ").alias("top_values")).withColumn("column", F.lit(c))
-        tops = t if tops is None else tops.unionByName(t)
-    return stats.join(tops, "column", "left")
+    # 0.0 and -0.0 are one value
+    text = {c: (F.col(c) + F.lit(0).cast(t) if t in ("double", "float") else F.col(c)).cast("string") for c, t in types.items()}
+    cells = [F.struct(F.lit(c).alias("column"), text[c].alias("v"), (F.col(c).cast("double") if t in numeric else F.lit(None).cast("double")).alias("x"))
+             for c, t in types.items()]
+    long = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    counts = written(long.groupBy("column", "v", "x").agg(F.count("*").alias("n")), "profile")
+    x, n = F.col("x"), F.col("n")
+    sums = counts.groupBy("column").agg(
+        F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), n)), F.lit(0)).alias("n_missing"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.sum(F.when(x.isNotNull(), n)).alias("_n"), div0(F.sum(x * n), F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        div0(F.sum(F.when(F.col("v") == "true", n).otherwise(0)), F.sum(F.when(F.col("v").isNotNull(), n))).alias("_true"))
+    means = F.broadcast(sums.select(F.col("column").alias("_c"), F.col("mean").alias("_m")))  # one row per column
+    spread = counts.where(x.isNotNull()).join(means, F.col("column") == F.col("_c")).groupBy("column").agg(F.sum(n * (x - F.col("_m")) * (x - F.col("_m"))).alias("_d2"))
+    medians = quantiles_of_counts(counts.where(x.isNotNull()).select("column", F.col("x").alias("_v"), F.col("n").alias("_n")), ["column"], [0.5], out="_q")
+    best = top_n_per_group(counts.where(F.col("v").isNotNull()).select("column", "v", "n"), ["column"], [F.col("n").desc(), F.col("v")], top, out="_r")
+    named = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat("v", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t")))), lambda s: s["t"])
+    tops = best.groupBy("column").agg(F.array_join(named, ", ").alias("top_values"))  # ``top`` rows a column
+    kinds = F.create_map(*[F.lit(z) for p in types.items() for z in p])
+    out = sums.join(spread, "column", "left").join(medians, "column", "left").join(tops, "column", "left")
+    true = F.when(kinds[F.col("column")] == "boolean", F.col("_true"))
+    return out.select("column", kinds[F.col("column")].alias("dtype"), F.col("n_unique").cast("bigint").alias("n_unique"), F.col("n_missing").cast("bigint").alias("n_missing"),
+                      "min", F.col("_q")[0].alias("median"), "mean", F.when(F.col("_n") > 1, F.sqrt(F.col("_d2") / (F.col("_n") - 1))).alias("std"), "max",
+                      true.alias("true_share"), "top_values")
 
 
 # A17-A19 -----------------------------------------------------------------------
@@ -463,10 +455,19 @@ def drift_pct(df: DataFrame, split: str, value: str, train: str = "train", test:
 def catalog(df: DataFrame, key: str, date: str, first: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per key count, first and last date, and the first-row values
     of ``first`` (earliest by ``order``)."""
-    ordk = F.struct(*[F.col(c) for c in order])
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.min(F.to_date(date)).alias("first_date"),
-                               F.max(F.to_date(date)).alias("last_date"),
-                               *[F.min_by(c, ordk).alias(f"first_{c}") for c in first])
+    totals = df.groupBy(key).agg(F.count("*").alias("n"), F.min(F.to_date(date)).alias("first_date"), F.max(F.to_date(date)).alias("last_date"))
+    rows = dedupe(df.select(key, *dict.fromkeys([*first, *order])), [key], order, keep="first")
+    rows = rows.select(F.col(key).alias("_k"), *[F.col(c).alias(f"first_{c}") for c in first])
+    return totals.join(rows, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+
+
+def entity_mean(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Per entity, the count and mean of its non-null values, of the
+    last ``limit`` by ``order`` or of all."""
+    rows = df.where(F.col(value).isNotNull())
+    if limit is not None:
+        rows = last_rows(rows, key, order, limit)
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
 def usage(df: DataFrame, ts: str, kind: str, as_of, days: int = 7) -> DataFrame:

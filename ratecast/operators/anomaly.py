@@ -1,14 +1,16 @@
 """Isolation-forest anomaly scores (survey M26).
 
-* Per tree, a sample of at most ``sample`` train rows is drawn by a seeded
-  hash of (row id, tree): each row is kept for tree t with probability
-  ~3*sample/n, then the ``sample`` smallest hashes per tree are taken, so
-  every tree's group is bounded no matter how large the table is.
+* A row draws the number of trees it enters (binomial, by a seeded hash of
+  its id) and then that many trees, so most rows of a large table are never
+  copied; of a tree's draws the ``sample`` with the smallest hashes are
+  taken, so every tree's group is bounded no matter how large the table is.
 * Trees are grown with ``applyInPandas`` grouped by tree id (one small
   numpy task per tree) and come back as node rows: at most
   trees x (2*sample - 1) of them, a proven bound, so they are broadcast.
+  A leaf holds its path value, its depth plus the mean path of its rows.
 * Scoring is ``mapInPandas`` over the rows to score: vectorised numpy
-  traversal of every tree per Arrow batch.
+  traversal of every tree per Arrow batch.  The cut-off is the exact
+  quantile of the train scores.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratecast.operators.topk import mix_hash
+from ratecast.operators.quantiles import quantiles
 
 _NODE_SCHEMA = ("tree long, node long, feature long, threshold double, left long, right long, "
-                "size long, depth long")
+                "path double")
 
 
 def _c(n: float) -> float:
@@ -50,28 +52,55 @@ def _grow(cols: Sequence[str], max_depth: int, seed: int):
             lo, hi = (sub.min(axis=0), sub.max(axis=0)) if len(idx) else (None, None)
             splittable = [] if lo is None else np.flatnonzero(hi > lo)
             if depth >= max_depth or len(idx) <= 1 or len(splittable) == 0:
-                rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
+                rows.append((tree, node, -1, 0.0, -1, -1, depth + _c(len(idx))))
                 continue
             f = int(rng.choice(splittable))
             t = float(rng.uniform(lo[f], hi[f]))
             left, right = next_id, next_id + 1
             next_id += 2
-            rows.append((tree, node, f, t, left, right, len(idx), depth))
+            rows.append((tree, node, f, t, left, right, 0.0))
             stack.append((left, idx[sub[:, f] < t], depth + 1))
             stack.append((right, idx[sub[:, f] >= t], depth + 1))
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
     return grow
 
 
+def binomial_cdf(n: int, p: float, tail: float = 1e-12) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... up to where less than ``tail`` is left."""
+    out, term, total = [], (1.0 - p) ** n, 0.0
+    for k in range(n + 1):
+        total += term
+        out.append(total)
+        if total >= 1.0 - tail:
+            break
+        term *= (n - k) / (k + 1) * p / (1.0 - p)
+    return out
+
+
+def draw_trees(rows: DataFrame, n: int, id_col: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """``rows`` with ``_tree``, once per tree drawn: about 3 * ``sample`` per
+    tree, or all rows for every tree where there are no more than that."""
+    p = 3.0 * sample / max(n, 1)
+    if p >= 1.0:
+        return rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    draw = lambda *of: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 1) / F.lit(float(1 << 63))
+    u = draw(F.col(id_col))
+    many = F.size(F.filter(F.array(*[F.lit(c) for c in binomial_cdf(trees, p)]), lambda c: c <= u))
+    drawn = rows.withColumn("_many", many).where(F.col("_many") > 0)
+    # the j-th of ``_many`` trees lies in the j-th of as many equal shares of them, so no tree comes twice
+    drawn = drawn.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
+    at = draw(F.col(id_col), F.col("_j"))
+    low, high = F.floor(F.col("_j") * trees / F.col("_many")), F.floor((F.col("_j") + 1) * trees / F.col("_many"))
+    return drawn.withColumn("_tree", F.least(low + F.floor(at * (high - low)), high - 1).cast("int")).drop("_many", "_j")
+
+
 def fit_isolation_forest(train: DataFrame, cols: Sequence[str], id_col: str, trees: int = 200, sample: int = 256,
                          seed: int = 42) -> pd.DataFrame:
     """Grow the forest; returns the node table (bounded: trees x (2*sample-1))."""
     n = train.agg(F.count("*")).first()[0]
-    p = min(1.0, 3.0 * sample / max(n, 1))
     x = train.select(F.col(id_col).cast("bigint").alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols])
-    x = x.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = mix_hash(F.col("_id") * F.lit(trees) + F.col("_tree"), seed).cast("double") / F.lit(4294967296.0)
-    x = x.withColumn("_u", u).where(F.col("_u") < p)
+    x = draw_trees(x, n, "_id", trees, sample, seed)
+    x = x.withColumn("_u", F.xxhash64(F.lit(seed), F.lit("rank"), "_id", "_tree"))
     w = Window.partitionBy("_tree").orderBy("_u", "_id")  # ~3*sample rows per tree: bounded groups
     x = x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r", "_u")
     max_depth = int(np.ceil(np.log2(sample)))
@@ -87,9 +116,9 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, cols: Sequence[st
     for t in trees:
         nd = nodes[nodes["tree"] == t].sort_values("node")
         size = int(nd["node"].max()) + 1
-        arr = {k: np.full(size, -1 if k != "threshold" else 0.0) for k in ("feature", "threshold", "left", "right",
-                                                                          "size", "depth")}
-        for k in arr:
+        arr = {}
+        for k in ("feature", "threshold", "left", "right", "path"):
+            arr[k] = np.zeros(size, dtype=float if k in ("threshold", "path") else np.int64)
             arr[k][nd["node"].to_numpy()] = nd[k].to_numpy()
         packed.append(arr)
     bc = df.sparkSession.sparkContext.broadcast(packed)
@@ -110,8 +139,7 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, cols: Sequence[st
                     go_left = x[np.flatnonzero(active), f] < tr["threshold"][node[active]]
                     node[active] = np.where(go_left, tr["left"][node[active]], tr["right"][node[active]])
                     active = tr["feature"][node] >= 0
-                sizes = tr["size"][node]
-                total += tr["depth"][node] + np.array([_c(s) for s in sizes])
+                total += tr["path"][node]
             pdf[out] = np.power(2.0, -(total / len(forest)) / c_norm)
             yield pdf
 
@@ -123,6 +151,5 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], id_
     """Fit on train, score test; rows above the train (1 - contamination)
     score quantile are anomalies."""
     nodes = fit_isolation_forest(train, cols, id_col, trees, sample, seed)
-    thr = score_isolation_forest(train, nodes, cols, sample).agg(
-        F.percentile_approx("anomaly_score", 1 - contamination, 10000)).first()[0]
+    thr = quantiles(score_isolation_forest(train, nodes, cols, sample), "anomaly_score", [1 - contamination])[0]
     return score_isolation_forest(test, nodes, cols, sample).withColumn("is_anomaly", F.col("anomaly_score") > thr)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import NO_TAG
@@ -123,21 +123,26 @@ def latest_active(df: DataFrame, iv: DataFrame, date: str, *, cats: Sequence[str
 def count_since_start(df: DataFrame, key: Sequence[str], date: str, start: str = "event_start",
                       out: str = "n_since_start") -> DataFrame:
     """Rows of the same series dated between ``start`` and the row's
-    date (inclusive); 0 when ``start`` is null.
+    date (inclusive); 0 when ``start`` is null or after the date.
 
-    Facts are first counted per (series, day); the range join then runs
-    between two per-day tables, so its fan-out is bounded by the number
-    of days in the interval, not by rows.
+    The difference of two running day totals of the series: up to the date,
+    and up to the day before the start.  Both are looked up in one window
+    per series over its days and the distinct starts asked for, and the
+    rows join the counts per (series, date, start) by equality.
     """
     key = list(key)
     d = F.to_date(date)
-    per_day = df.groupBy(*key, d.alias("_d2")).agg(F.count("*").alias("_n"))
-    need = (df.where(F.col(start).isNotNull())
-            .select(*key, d.alias("_d"), F.to_date(start).alias("_s")).distinct())
-    cond = [need[k] == per_day[k] for k in key] + [per_day["_d2"].between(need["_s"], need["_d"])]
-    counts = (need.join(per_day, cond, "inner")
-              .groupBy(*[need[k] for k in key], need["_d"], need["_s"])
-              .agg(F.sum("_n").alias(out)))
+    dated = df.select(*key, d.alias("_d"), F.to_date(start).alias("_s"))
+    per_day = dated.groupBy(*key, "_d").agg(F.count("*").alias("_n"))
+    need = dated.where(F.col("_s").isNotNull() & (F.col("_s") <= F.col("_d"))).distinct()
+    # a start stands before the same day's total: the running sum there excludes that day
+    marks = per_day.select(*key, F.col("_d").alias("_at"), F.lit(1).alias("_kind"), "_n").unionByName(
+        need.select(*key, F.col("_s").alias("_at")).distinct().withColumn("_kind", F.lit(0)).withColumn("_n", F.lit(0).cast("bigint")))
+    w = Window.partitionBy(*key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.select(*key, "_at", "_kind", F.sum("_n").over(w).alias("_sum"))
+    upto = marks.where("_kind = 1").select(*key, F.col("_at").alias("_d"), F.col("_sum").alias("_upto"))
+    before = marks.where("_kind = 0").select(*key, F.col("_at").alias("_s"), F.col("_sum").alias("_before"))
+    counts = need.join(upto, [*key, "_d"]).join(before, [*key, "_s"]).select(*key, "_d", "_s", (F.col("_upto") - F.col("_before")).alias(out))
     res = (df.withColumn("_d", d).withColumn("_s", F.to_date(start))
            .join(counts, [*key, "_d", "_s"], "left")
            .withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("bigint")))

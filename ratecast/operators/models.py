@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ratecast.operators import aggregates as A
 from ratecast.operators.quantiles import group_quantiles, quantiles
 from ratecast.operators.windows import global_index
+from ratecast.session import written
 
 
 def constant_baselines(df: DataFrame, actual: str, train_mean: str) -> DataFrame:
@@ -82,6 +83,16 @@ def fit_vectors(est, vectors: DataFrame):
         x.unpersist()
 
 
+def side_by_side(job: Callable, items: Sequence, at_once: int) -> list:
+    """``job`` of each item, ``at_once`` Spark jobs at a time, in order of the
+    items; the threads carry the session's job settings."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job), x) for x in items]]
+
+
 # M4-M6 ---------------------------------------------------------------------------
 MODEL_REGISTRY: dict[str, Callable[..., object]] = {
     "ridge": lambda label, **kw: LinearRegression(labelCol=label, regParam=kw.get("reg", 0.01), elasticNetParam=0.0),
@@ -109,21 +120,14 @@ def make_model(name: str, label: str, **params):
     return MODEL_REGISTRY[name](label, **params)
 
 
-def fit_predict(est, prep: PipelineModel, train: DataFrame, test: DataFrame, out: str = "pred"):
-    """Fit on preprocessed train, score test; returns (model, scored test)."""
-    model = est.fit(prep.transform(train))
-    scored = model.transform(prep.transform(test)).withColumnRenamed("prediction", out)
-    return model, scored
-
-
 def compare_models(train: DataFrame, test: DataFrame, label: str, id_col: str, num, bools, cats,
                    names: Sequence[str], params: dict | None = None):
     """M12 over a registry: one shared preprocessing fit, every model fit
-    on the same cached train vectors, failures isolated per model.
-    Returns (metrics DF, long predictions DF, fit seconds dict)."""
+    on the same train vectors (in memory until all are fitted), the test
+    vectors written once; failures isolated per model.  Returns (metrics DF, long predictions DF, fit seconds dict)."""
     prep = preprocessor(num, bools, cats).fit(train)
     tr = sized(prep.transform(train).select(id_col, label, "features")).cache()
-    te = prep.transform(test).select(id_col, label, "features").cache()
+    te = written(prep.transform(test).select(id_col, label, "features"), "test_vectors")
     preds, secs = None, {}
     for n in names:
         try:
@@ -134,6 +138,7 @@ def compare_models(train: DataFrame, test: DataFrame, label: str, id_col: str, n
             preds = p if preds is None else preds.unionByName(p)
         except Exception as e:  # noqa: BLE001 - a failing model must not stop the others
             secs[n] = f"failed: {type(e).__name__}"
+    tr.unpersist()
     metrics = A.metrics(preds, label, "pred", by=["model"])
     return metrics, preds, secs
 
@@ -225,7 +230,7 @@ def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequenc
     test; ``plateau`` marks the last gain below the threshold.  Fractions of
     fewer than ``min_rows`` rows are left out."""
     n = train.agg(F.count("*")).first()[0]
-    indexed = global_index(train, order, out="_rn").cache()
+    indexed = written(global_index(train, order, out="_rn"), "indexed")
     rows = []
     for f in fracs:
         if int(n * f) < min_rows:
@@ -236,7 +241,6 @@ def learning_curve(train: DataFrame, test: DataFrame, label: str, order: Sequenc
         p = m.transform(prep.transform(test))
         mae = p.agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
         rows.append((float(f), int(n * f), float(mae)))
-    indexed.unpersist()
     out = train.sparkSession.createDataFrame(rows, "frac double, n_train long, mae double")
     last_gain = rows[-2][2] - rows[-1][2] if len(rows) > 1 else 0.0
     return out.withColumn("plateau", F.lit(bool(last_gain < plateau)))
@@ -278,22 +282,21 @@ def fit_additive(daily: DataFrame, date: str, value: str, regressors: Sequence[s
 
 # M32 ---------------------------------------------------------------------------
 def series_baselines(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], split: str, span: int = 4,
-                     min_history: int = 2, chunk=None) -> DataFrame:
+                     min_history: int = 2) -> DataFrame:
     """Per test row, from its own series: the train mean, the previous value
     and the EMA of the previous values (one-step, so test rows use the test
     rows before them).  Rows with fewer than ``min_history`` earlier rows are
     left out, of the train means too; a missing previous value or EMA gives
-    the train mean, and a series without such train rows has no baseline.
-    ``chunk`` coarsens the order, as in ``windows.lags``."""
+    the train mean, and a series without such train rows has no baseline."""
     from ratecast.operators.windows import ema, lags, running_totals
-    x = running_totals(df, key, order, count_out="_seen", chunk=chunk)
-    x = lags(x, key, value, order, ks=(1,), prefix="_lag", chunk=chunk)
-    x = ema(x, key, value, order, span=span, out="_ema", chunk=chunk).where(F.col("_seen") >= min_history)
+    x = running_totals(df, key, order, count_out="_seen")
+    x = lags(x, key, value, order, ks=(1,), prefix="_lag")
+    x = ema(x, key, value, order, span=span, out="_last_ema").where(F.col("_seen") >= min_history)
     means = (x.where(F.col(split) == "train").groupBy(*[F.col(k).alias(f"_m_{k}") for k in key])
              .agg(F.avg(value).alias("pred_mean")))
     x = x.where(F.col(split) == "test").join(means, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in key])
-    x = x.withColumn("pred_last", F.coalesce("_lag_1", "pred_mean")).withColumn("pred_ema", F.coalesce("_ema", "pred_mean"))
-    return x.drop("_seen", "_lag_1", "_ema", *[f"_m_{k}" for k in key])
+    x = x.withColumn("pred_last", F.coalesce("_lag_1", "pred_mean")).withColumn("pred_ema", F.coalesce("_last_ema", "pred_mean"))
+    return x.drop("_seen", "_lag_1", "_last_ema", *[f"_m_{k}" for k in key])
 
 
 # M8-M11, M15-M19 ---------------------------------------------------------------------
@@ -313,25 +316,30 @@ def routed(train: DataFrame, test: DataFrame, flag: str, label: str, num, bools,
 
 
 def experts(train: DataFrame, test: DataFrame, by: str, label: str, num, bools, cats, min_train: int = 100,
-            min_test: int = 10, model: str = "gbt") -> DataFrame:
+            min_test: int = 10, model: str = "gbt", at_once: int = 4) -> DataFrame:
     """Per segment, an expert fit on that segment vs the central model,
     with both row counts, the change of MAE (negative: the expert is better)
     and the gain in percent of the central MAE.  Segments below the size
-    limits are skipped.  One fit per segment: for columns of few values."""
+    limits are skipped.  All experts share one table of vectors, laid out by
+    segment, and ``at_once`` of them are fitted at a time."""
     prep = preprocessor(num, bools, cats).fit(train)
     central = fit_vectors(make_model(model, label), prep.transform(train))
+    path = [by, label, "features"]
+    train_x = written(prep.transform(train).select(*path).repartition(by).sortWithinPartitions(by), "expert_vectors")
+    test_x = written(central.transform(prep.transform(test).select(*path)).withColumnRenamed("prediction", "_central"), "expert_tests")
     sizes = (train.groupBy(by).agg(F.count("*").alias("ntr"))
              .join(test.groupBy(by).agg(F.count("*").alias("nte")), by)
              .where((F.col("ntr") >= min_train) & (F.col("nte") >= min_test)))
     segs = sizes.orderBy(by).collect()  # one row per segment
-    rows = []
-    e = F.avg(F.abs(F.col("prediction") - F.col(label)))
-    for s, n_train, n_test in segs:
-        tr_s, te_s = train.where(F.col(by) == s), test.where(F.col(by) == s)
-        ex = fit_vectors(make_model(model, label), prep.transform(tr_s))
-        mc = central.transform(prep.transform(te_s)).agg(e).first()[0]
-        me = ex.transform(prep.transform(te_s)).agg(e).first()[0]
-        rows.append((str(s), n_train, n_test, float(mc), float(me), float(me - mc), float((mc - me) / mc * 100) if mc else None))
+    y = F.col(label)
+
+    def one(seg):
+        s, n_train, n_test = seg
+        expert = fit_vectors(make_model(model, label), train_x.where(F.col(by) == s))
+        found = expert.transform(test_x.where(F.col(by) == s)).agg(F.avg(F.abs(F.col("_central") - y)), F.avg(F.abs(F.col("prediction") - y))).first()
+        mc, me = map(float, found)
+        return str(s), n_train, n_test, mc, me, me - mc, (mc - me) / mc * 100 if mc else None
+    rows = side_by_side(one, segs, at_once)
     return train.sparkSession.createDataFrame(rows, "segment string, n_train long, n_test long, mae_central double, "
                                               "mae_expert double, delta double, gain_pct double")
 
@@ -425,15 +433,16 @@ def ablation(train: DataFrame, test: DataFrame, label: str, configs: dict, model
 
 def time_fold_frames(df: DataFrame, order, k: int):
     from ratecast.operators.windows import time_folds
-    f = time_folds(df, order, k).cache()
+    f = written(time_folds(df, order, k), "folds")
     return [(f.where((F.col("fold") == i) & (F.col("role") == "train")).drop("fold", "role"),
              f.where((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")) for i in range(1, k + 1)]
 
 
 def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: dict, n_iter: int = 12,
-                  k: int = 4, model: str = "random_forest", seed: int = 42) -> DataFrame:
+                  k: int = 4, model: str = "random_forest", seed: int = 42, at_once: int = 4) -> DataFrame:
     """M9: sampled parameter sets scored by mean MAE over expanding
-    time-ordered folds."""
+    time-ordered folds.  A fold's vectors are made once and held while all
+    settings are fitted on them, ``at_once`` of them at a time."""
     rnd = random.Random(seed)
     combos = [{p: rnd.choice(v) for p, v in grid.items()} for _ in range(n_iter)]
     maes = [[] for _ in combos]
@@ -441,11 +450,14 @@ def random_search(train: DataFrame, label: str, order, num, bools, cats, grid: d
     for tr, te in time_fold_frames(train, order, k):
         prep = preprocessor(num, bools, cats).fit(tr)  # once per fold, whatever the settings
         x = sized(prep.transform(tr).select("features", label)).cache()
-        y = prep.transform(te).select("features", label).cache()
-        for i, params in enumerate(combos):
-            maes[i].append(make_model(model, label, **params).fit(x).transform(y).agg(err).first()[0])
-        x.unpersist()
-        y.unpersist()
+        y = written(prep.transform(te).select("features", label), "fold_tests")
+        try:
+            x.count()  # before several fits ask for it
+            found = side_by_side(lambda params: make_model(model, label, **params).fit(x).transform(y).agg(err).first()[0], combos, at_once)
+        finally:
+            x.unpersist()
+        for m, mae in zip(maes, found):
+            m.append(mae)
     rows = [(str(sorted(p.items())), float(sum(m) / len(m))) for p, m in zip(combos, maes)]
     return train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
 

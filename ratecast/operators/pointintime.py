@@ -2,10 +2,12 @@
 
 A request (key, target date) needs aggregates of history strictly before
 its date.  Instead of joining every request to every earlier history row,
-history is reduced to per-(key, day) totals, turned into per-key running
-totals, and each request picks the running total "as of" a date with a
-union + ``last(ignorenulls)`` window partitioned by the key.  The work
-grows with (#keys x #days + #requests), never with requests x history.
+history is reduced to per-(key, day) totals and requests to their distinct
+(key, day); both go through one window per key over days, whose range
+frames give the look-back and the whole past at once.  The requests then
+join that as-of table by equality.  Windows see at most one row per key and
+day and one per key and asked day, so a hot key costs its days, never its
+rows or requests, and needs no salt.
 """
 
 from __future__ import annotations
@@ -17,183 +19,93 @@ from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
 
-# A key's requests are spread over ceil(requests of the key / this) salt
-# buckets in as-of lookups (at most MAX_SALT).
-REQUESTS_PER_BUCKET = 200_000
-MAX_SALT = 64
 
-
-def salt_for(requests: DataFrame, keys: Sequence[str]) -> int:
-    """Salt buckets needed so no bucket holds more than REQUESTS_PER_BUCKET
-    requests of one key (one small aggregate over the requests)."""
-    import math
-    m = requests.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return int(min(MAX_SALT, max(1, math.ceil(m / REQUESTS_PER_BUCKET))))
+def _match(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
+    """Join by equality of ``names``, nulls included; the right side's own columns are added."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in names], *[c for c in right.columns if c not in names])
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(other, cond, how).drop(*[f"_r_{c}" for c in names])
 
 
 def daily_totals(history: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
-    """Per (keys, day): sum, sum of squares and count of ``value``, plus
-    the running totals up to and including that day."""
-    d = history.groupBy(*keys, F.to_date(date).alias("_d")).agg(
-        F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"), F.count(value).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
-    return d.select(*keys, "_d", F.sum("_s").over(w).alias("cs"), F.sum("_q").over(w).alias("cq"),
-                    F.sum("_n").over(w).alias("cn"))
-
-
-def asof(requests: DataFrame, totals: DataFrame, keys: Sequence[str], at: Column, prefix: str,
-         rid: str = "request_id", salt: int = 1) -> DataFrame:
-    """Attach the running totals of ``totals`` as of date ``at`` (latest
-    day <= at) for each request; zeros when there is none.
-
-    Requests and daily totals go through one union and one window
-    partitioned by the key; the request columns ride along in the union,
-    so there is no join back (the plan grows linearly when chained).
-    ``rid`` is unused here but kept for a uniform signature."""
+    """Per (keys, day): sum, sum of squares and count of ``value``."""
+    return history.groupBy(*keys, F.to_date(date).alias("_d")).agg(
+        F.sum(F.col(value).cast("double")).alias("_s"), F.sum((F.col(value) * F.col(value)).cast("double")).alias("_q"), F.count(value).alias("_n"))
+
+
+def asof_totals(asks: DataFrame, totals: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
+    """(keys, ``_t``, rec_s, rec_q, rec_n, all_s, all_q, all_n) per row of
+    ``asks``, which are distinct (keys, ``_t``): the totals of the ``days``
+    days before ``_t`` and of all days before it; zeros where there are none."""
     keys = list(keys)
-    cs, cq, cn = f"{prefix}cs", f"{prefix}cq", f"{prefix}cn"
-    # salt: requests spread over SALT buckets by their id; the per-(key, day)
-    # totals (small) are replicated into every bucket
-    a = (requests.withColumn("_asof_d", at).withColumn("_asof_kind", F.lit(1))
-         .withColumn("_salt", F.pmod(F.xxhash64(F.col(rid)), F.lit(salt))))
-    b = totals.select(*keys, F.col("_d").alias("_asof_d"), F.lit(0).alias("_asof_kind"),
-                      F.col("cs").cast("double").alias(cs), F.col("cq").cast("double").alias(cq),
-                      F.col("cn").cast("bigint").alias(cn),
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_salt"))
-    w = (Window.partitionBy(*keys, "_salt").orderBy("_asof_d", "_asof_kind")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = a.unionByName(b, allowMissingColumns=True)
-    for c in (cs, cq, cn):
-        u = u.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    out = u.where(F.col("_asof_kind") == 1).drop("_asof_kind", "_asof_d", "_salt")
-    for c in (cs, cq):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    return out.withColumn(cn, F.coalesce(F.col(cn), F.lit(0)).cast("bigint"))
-
-
-def asof_calendar(requests: DataFrame, totals: DataFrame, at: Column, prefix: str) -> DataFrame:
-    """Key-less as-of lookup: the running totals are laid on a dense day
-    spine (one row per calendar day, so it is bounded and broadcast) and
-    each request joins it on its clamped date -- no single-partition
-    window over the requests."""
-    lo = totals.agg(F.min("_d")).scalar()
-    hi = totals.agg(F.max("_d")).scalar()
-    spine = totals.sparkSession.range(1).select(F.explode(F.sequence(lo, hi)).alias("_d"))
-    w = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # calendar-bounded
-    dense = spine.join(totals, "_d", "left").select(
-        "_d", *[F.last(c, ignorenulls=True).over(w).alias(f"{prefix}{c}") for c in ("cs", "cq", "cn")])
-    r = requests.withColumn("_at", at)
-    r = r.withColumn("_k", F.when(F.col("_at") >= lo, F.least(F.col("_at"), hi)))
-    out = r.join(F.broadcast(dense.withColumnRenamed("_d", "_k")), "_k", "left")
-    for c in ("cs", "cq"):
-        out = out.withColumn(f"{prefix}{c}", F.coalesce(F.col(f"{prefix}{c}").cast("double"), F.lit(0.0)))
-    return out.withColumn(f"{prefix}cn", F.coalesce(F.col(f"{prefix}cn"), F.lit(0)).cast("bigint")).drop("_k", "_at")
-
-
-def window_stats(requests: DataFrame, history: DataFrame, req_keys: Sequence[str], hist_keys: Sequence[str],
-                 target: str, date: str, value: str, days: int | None, name: str, rid: str = "request_id",
-                 salt: int = 1) -> DataFrame:
-    """Sum / count / sum of squares of history with matching key and date
-    in [target - days, target) (or all dates before target when ``days``
-    is None), as columns ``{name}_s``, ``{name}_n``, ``{name}_q``."""
-    tot = daily_totals(history, hist_keys, date, value)
-    tot = tot.select(*[F.col(h).alias(r) for h, r in zip(hist_keys, req_keys)], "_d", "cs", "cq", "cn")
-    t = F.to_date(target)
-    if list(req_keys) == ["_one"]:
-        tot = tot.drop("_one")
-        look = lambda df, at, pre: asof_calendar(df, tot, at, pre)
-    else:
-        look = lambda df, at, pre: asof(df, tot, req_keys, at, pre, rid, salt)
-    r = look(requests, F.date_sub(t, 1), "_hi_")
-    if days is None:
-        r = r.withColumn("_lo_cs", F.lit(0.0)).withColumn("_lo_cq", F.lit(0.0)).withColumn("_lo_cn", F.lit(0))
-    else:
-        r = look(r, F.date_sub(t, days + 1), "_lo_")
-    r = (r.withColumn(f"{name}_s", F.col("_hi_cs") - F.col("_lo_cs"))
-         .withColumn(f"{name}_q", F.col("_hi_cq") - F.col("_lo_cq"))
-         .withColumn(f"{name}_n", (F.col("_hi_cn") - F.col("_lo_cn")).cast("bigint")))
-    return r.drop(*[f"{p}{c}" for p in ("_hi_", "_lo_") for c in ("cs", "cq", "cn")])
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    known = totals.select(*keys, day("_d").alias("_day"), F.lit(None).cast("date").alias("_t"), F.lit(False).alias("_ask"), "_s", "_q", "_n")
+    asked = asks.select(*keys, day("_t").alias("_day"), F.col("_t"), F.lit(True).alias("_ask"),
+                        F.lit(None).cast("double").alias("_s"), F.lit(None).cast("double").alias("_q"), F.lit(None).cast("bigint").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_day")  # one row per day and asked day of a key
+    frames = {"rec": w.rangeBetween(-days, -1), "all": w.rangeBetween(Window.unboundedPreceding, -1)}
+    zero = {"s": 0.0, "q": 0.0, "n": 0}
+    u = known.unionByName(asked).select(*keys, "_t", "_ask", *[F.sum(f"_{c}").over(f).alias(f"{name}_{c}") for name, f in frames.items() for c in zero])
+    return u.where("_ask").select(*keys, "_t", *[F.coalesce(f"{name}_{c}", F.lit(z)).alias(f"{name}_{c}") for name in frames for c, z in zero.items()])
 
 
 def point_in_time(requests: DataFrame, history: DataFrame, keysets: dict[str, tuple[Sequence[str], Sequence[str]]],
-                  target: str, date: str, value: str, days: int = 90, min_rows: int = 200,
-                  rid: str = "request_id") -> DataFrame:
+                  target: str, date: str, value: str, days: int = 90, min_rows: int = 200) -> DataFrame:
     """Per request and keyset, the mean and count of history in the
     last ``days`` days before the target (all earlier history when that
     window holds fewer than ``min_rows`` rows overall); an empty key falls
     back to the overall mean of the chosen window."""
-    r = requests.withColumn("_one", F.lit(1))
-    h = history.withColumn("_one", F.lit(1))
-    r = window_stats(r, h, ["_one"], ["_one"], target, date, value, days, "_rec", rid)
-    r = window_stats(r, h, ["_one"], ["_one"], target, date, value, None, "_all", rid)
-    recent = F.col("_rec_n") >= min_rows
-    base_s = F.when(recent, F.col("_rec_s")).otherwise(F.col("_all_s"))
-    base_n = F.when(recent, F.col("_rec_n")).otherwise(F.col("_all_n"))
-    r = r.withColumn("_base_mean", div0(base_s, base_n)).withColumn("_recent", recent)
+    r = requests.withColumn("_t", F.to_date(target))
+    recent = F.col("rec_n") >= min_rows
+    pick = lambda c: F.when(F.col("_recent"), F.col(f"rec_{c}")).otherwise(F.col(f"all_{c}"))
+    base = asof_totals(r.select("_t").distinct(), daily_totals(history, [], date, value), [], days).withColumn("_recent", recent)
+    base = base.select("_t", "_recent", div0(pick("s"), pick("n")).alias("_mean"))  # one row per target date
     for name, (rk, hk) in keysets.items():
-        salt = salt_for(requests, rk)
-        r = window_stats(r, h, rk, hk, target, date, value, days, f"_{name}r", rid, salt)
-        r = window_stats(r, h, rk, hk, target, date, value, None, f"_{name}a", rid, salt)
-        s = F.when(F.col("_recent"), F.col(f"_{name}r_s")).otherwise(F.col(f"_{name}a_s"))
-        n = F.when(F.col("_recent"), F.col(f"_{name}r_n")).otherwise(F.col(f"_{name}a_n"))
-        r = (r.withColumn(f"lag_{name}_n", n)
-             .withColumn(f"lag_{name}_mean", F.when(n > 0, div0(s, n)).otherwise(F.col("_base_mean"))))
-        r = r.drop(*[f"_{name}{x}_{c}" for x in ("r", "a") for c in ("s", "q", "n")])
-    return r.drop("_one", "_rec_s", "_rec_q", "_rec_n", "_all_s", "_all_q", "_all_n", "_recent")
+        totals = daily_totals(history, hk, date, value).withColumnsRenamed({h: k for h, k in zip(hk, rk) if h != k})
+        found = _match(asof_totals(r.select(*rk, "_t").distinct(), totals, rk, days), base, ["_t"])
+        n = pick("n").cast("bigint")
+        found = found.select(*rk, "_t", n.alias(f"lag_{name}_n"), F.when(n > 0, div0(pick("s"), n)).otherwise(F.col("_mean")).alias(f"lag_{name}_mean"))
+        r = _match(r.drop(f"lag_{name}_n", f"lag_{name}_mean"), found, [*rk, "_t"])
+    return r.drop("_t")
 
 
 def series_state(history: DataFrame, key: Sequence[str], date: str, value: str, order: Sequence[str],
                  span: int = 4) -> DataFrame:
     """W13 helper: per history row, the serving state *after* that row:
     last two values (a series of one row gives it twice; nulls are left out), EMA (adjust=False) and mean of the last four, row
-    count and first date of the series.  Windows run per (key, day) with a
-    halo (hot-key safe); counts are two-level running totals."""
-    from ratecast.operators.windows import ema_frame, halo_window, running_totals
-    history, frame = history.where(F.col(value).isNotNull()), ema_frame(span)
-    a = 2.0 / (span + 1)
+    count and first date of the series."""
+    from ratecast.operators.windows import bounded_window, ema, running_totals
+    history = history.where(F.col(value).isNotNull())
 
     def cols(w):
-        h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame + 1, 0))
-        ema = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1), lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
-        return {"s_lag_2": F.coalesce(F.lag(value, 1).over(w), F.col(value)), "s_ema": ema, "s_roll4": F.avg(value).over(w.rowsBetween(-3, 0))}
+        return {"s_lag_2": F.coalesce(F.lag(value, 1).over(w), F.col(value)), "s_roll4": F.avg(value).over(w.rowsBetween(-3, 0))}
     day = F.to_date(date)
-    st = halo_window(history, key, order, day, frame, cols)
-    st = running_totals(st, key, order, count_out="s_n", chunk=day, inclusive=True)
+    st = bounded_window(history, key, order, 3, cols)
+    st = ema(st, key, value, order, span=span, out="s_ema", inclusive=True)
+    st = running_totals(st, key, order, count_out="s_n", inclusive=True)
     first = history.groupBy(*key).agg(F.min(day).alias("s_first"))
-    return (st.join(first, list(key), "left")
-            .select(*key, day.alias("_d"), *[F.col(c) for c in order if c not in key],
-                    F.col(value).alias("s_lag_1"), "s_lag_2", "s_ema", "s_roll4", "s_n", "s_first"))
+    return _match(st, first, key).select(*key, day.alias("_d"), *[F.col(c) for c in order if c not in key],
+                                         F.col(value).alias("s_lag_1"), "s_lag_2", "s_ema", "s_roll4", "s_n", "s_first")
 
 
 def series_features(requests: DataFrame, history: DataFrame, key: Sequence[str], target: str, date: str,
-                    value: str, order: Sequence[str], cold_default: float | Column | None = None,
-                    rid: str = "request_id") -> DataFrame:
+                    value: str, order: Sequence[str], cold_default: float | Column | None = None) -> DataFrame:
     """The state of the request's own series as of the day before the
     target (latest history row dated before it); cold start -> default."""
     key = list(key)
-    st = series_state(history, key, date, value, order)
     cols = ["s_lag_1", "s_lag_2", "s_ema", "s_roll4", "s_n", "s_first"]
-    # only the last state of each (key, day) can answer an as-of lookup:
-    # reduce to one row per day first (map-side partial aggregation)
-    ordc0 = [c for c in order if c not in key]
-    last = F.max_by(F.struct(*cols, *ordc0), F.struct(*[F.col(c) for c in ordc0]))
-    st = st.groupBy(*key, "_d").agg(last.alias("_s")).select(*key, "_d", "_s.*")
-    req = requests.withColumn("_rid", F.col(rid).cast("bigint"))
-    ordc = [c for c in order if c not in key]
-    a = req.select(*key, F.date_sub(F.to_date(target), 1).alias("_d"), F.lit(1).alias("_kind"), "_rid",
-                   *[F.lit(None).alias(c) for c in ordc],
-                   *[F.lit(None).cast(st.schema[c].dataType).alias(c) for c in cols])
-    b = st.select(*key, "_d", F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_rid"), *ordc, *cols)
-    a = a.select(*[F.col(c).cast(b.schema[c].dataType) if c in ordc else F.col(c) for c in a.columns])
-    salt = salt_for(requests, key)
-    a = a.withColumn("_salt", F.pmod(F.xxhash64(F.col("_rid")), F.lit(salt)))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    w = Window.partitionBy(*key, "_salt").orderBy("_d", "_kind", *ordc).rowsBetween(Window.unboundedPreceding, 0)
-    # the whole state struct moves together (a row either has it or not)
-    u = a.unionByName(b).withColumn("_st", F.when(F.col("_kind") == 0, F.struct(*cols)))
-    u = u.select("_rid", "_kind", F.last("_st", ignorenulls=True).over(w).alias("_st"))
-    got = u.where(F.col("_kind") == 1).select("_rid", "_st.*")
-    out = req.join(got, "_rid", "left").drop("_rid")
+    # only the last state of each (key, day) can answer: one row per day
+    last = F.max_by(F.struct(*cols), F.struct(*[F.col(c) for c in order if c not in key]))
+    st = series_state(history, key, date, value, order).groupBy(*key, "_d").agg(last.alias("_st"))
+    req = requests.withColumn("_t", F.to_date(target))
+    asks = req.select(*key, "_t").distinct()
+    asked = asks.select(*key, F.col("_t").alias("_d"), F.lit(0).alias("_kind"), F.lit(None).cast(st.schema["_st"].dataType).alias("_st"))
+    w = Window.partitionBy(*key).orderBy("_d", "_kind").rowsBetween(Window.unboundedPreceding, -1)  # an asked day comes before its state
+    u = asked.unionByName(st.select(*key, "_d", F.lit(1).alias("_kind"), "_st"))
+    got = u.select(*key, F.col("_d").alias("_t"), "_kind", F.last("_st", ignorenulls=True).over(w).alias("_st")).where("_kind = 0")
+    out = _match(req, got.select(*key, "_t", "_st.*"), [*key, "_t"]).drop("_t")
     out = out.withColumn("weeks_since_start", F.floor(F.datediff(F.to_date(target), F.col("s_first")) / 7))
     out = out.withColumn("n_hist", F.coalesce(F.col("s_n"), F.lit(0)))
     if cold_default is not None:

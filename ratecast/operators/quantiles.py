@@ -24,8 +24,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value, qs: Sequence[floa
     v = value if isinstance(value, Column) else F.col(value)
     per = (df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
            .groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+    return quantiles_of_counts(per, keys, qs, out, rows_per_piece)
+
+
+def quantiles_of_counts(per: DataFrame, keys: Sequence[str], qs: Sequence[float], out: str = "q", rows_per_piece: int = PIECE_ROWS) -> DataFrame:
+    """The same from (keys, ``_v``, ``_n``): distinct values and their counts."""
     per, chunk = counted_pieces(per, [*keys, "_v"], rows_per_piece)
-    cum = running_totals(per, keys, ["_v"], sums={"_b": F.col("_n")}, chunk=chunk)
+    cum = running_totals(per, keys, ["_v"], sums={"_b": F.col("_n")}, chunk=chunk, rows_per_piece=None)
     total = per.groupBy(*keys).agg(F.sum("_n").alias("_t"))
     if keys:
         total = total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_t")

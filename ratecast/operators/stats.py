@@ -12,12 +12,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
-from ratecast.operators.topk import mix_hash
 from ratecast.operators.quantiles import group_quantiles, quantiles
+from ratecast.operators.topk import hash_words
 from ratecast.operators.windows import counted_pieces, global_index, running_totals
 
 
@@ -83,7 +85,7 @@ def ks(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
            .groupBy("feature", "value").agg(F.sum("_a").cast("double").alias("na"), F.sum("_b").cast("double").alias("nb")))
     cnt, chunk = counted_pieces(cnt, ["feature", "value"])
     cum = running_totals(cnt, ["feature"], ["value"], sums={"ca": F.col("na"), "cb": F.col("nb")},
-                         chunk=chunk, inclusive=True)
+                         chunk=chunk, inclusive=True, rows_per_piece=None)
     tot = cnt.groupBy("feature").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     j = cum.join(tot, "feature")
     d = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))
@@ -99,7 +101,7 @@ def value_ranks(long: DataFrame) -> DataFrame:
     per = (long.where(F.col("value").isNotNull()).groupBy("feature", "value")
            .agg(F.count("*").cast("double").alias("n")))
     per, chunk = counted_pieces(per, ["feature", "value"])
-    cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=chunk)
+    cum = running_totals(per, ["feature"], ["value"], sums={"_before": F.col("n")}, chunk=chunk, rows_per_piece=None)
     return cum.select("feature", "value", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
@@ -138,6 +140,11 @@ def spearman_vs(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
 
 
 # M21 ---------------------------------------------------------------------------
+COUNTER_STEP = 2654435769  # an odd step, so that replicates' counters differ
+# of a 32-bit mix in plain arithmetic: every product stays below 2^62, so any SQL engine can repeat it
+HASH_MULTIPLIERS = (668265261, 739982445, 695872825)
+
+
 def poisson1_thresholds(kmax: int = 12) -> list[float]:
     """CDF of Poisson(1) at 0..kmax (built from the formula)."""
     out, s = [], 0.0
@@ -147,22 +154,44 @@ def poisson1_thresholds(kmax: int = 12) -> list[float]:
     return out
 
 
-def poisson1_weight(u: Column, kmax: int = 12) -> Column:
-    e = None
-    for k, t in enumerate(poisson1_thresholds(kmax)):
-        e = F.when(u < F.lit(t), F.lit(k)) if e is None else e.when(u < F.lit(t), F.lit(k))
-    return e.otherwise(F.lit(kmax + 1))
+def _mix32_np(x: np.ndarray, seed: int) -> np.ndarray:
+    m0, m1, m2 = (np.uint64(m) for m in HASH_MULTIPLIERS)
+    low = np.uint64(0xFFFFFFFF)
+    h = (x * m0 + np.uint64(seed)) & low
+    h = ((h ^ (h >> np.uint64(15))) * m1) & low
+    h = ((h ^ (h >> np.uint64(13))) * m2) & low
+    return h ^ (h >> np.uint64(16))
+
+
+def replicate_weights(first: np.ndarray, second: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights of rows (their two hash words) in replicates 1..b:
+    the replicate is a counter added to the first word."""
+    rep = np.arange(1, b + 1, dtype=np.uint64) * np.uint64(COUNTER_STEP)
+    u = _mix32_np(_mix32_np((first[:, None] + rep) & np.uint64(0xFFFFFFFF), seed) ^ second[:, None], seed + 1)
+    return np.searchsorted(np.array(poisson1_thresholds()), u / 4294967296.0, side="right")
 
 
 def bootstrap_mae(df: DataFrame, err: str, id_col: str, b: int = 1000, seed: int = 42) -> DataFrame:
     """Bootstrap CI of the MAE with Poisson(1) replicate weights drawn
-    from a seeded hash of (row id, replicate): no resampling shuffle, and
-    the replicate sums are partially aggregated map-side."""
-    x = df.select(F.col(id_col).cast("bigint").alias("_id"), F.abs(F.col(err)).alias("_e"))
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    u = mix_hash(F.col("_id") * F.lit(b) + F.col("rep"), seed).cast("double") / F.lit(4294967296.0)
-    x = x.withColumn("_w", poisson1_weight(u))
-    reps = x.groupBy("rep").agg(div0(F.sum(F.col("_w") * F.col("_e")), F.sum("_w")).alias("mae"))
+    from a seeded hash of (64-bit row id, replicate): no resampling shuffle
+    and no copies of rows.  A task adds its rows into one vector of
+    replicate sums, and only these vectors meet.  A null id counts as 0."""
+    first, second = hash_words(F.coalesce(F.col(id_col), F.lit(0)), seed)
+    rows = df.select(first.alias("a"), second.alias("b"), F.abs(F.col(err)).cast("double").alias("e"))
+
+    def run(batches):
+        weight, error = np.zeros(b), np.zeros(b)
+        for batch in batches:
+            first, second, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for i in range(0, len(e), 512):
+                w = replicate_weights(first[i:i + 512].astype(np.uint64), second[i:i + 512].astype(np.uint64), b, seed).astype(float)
+                weight += w.sum(axis=0)
+                error += np.nan_to_num(e[i:i + 512], nan=0.0) @ w
+        yield pa.RecordBatch.from_arrays([pa.array([weight.tolist()]), pa.array([error.tolist()])], names=["w", "e"])
+
+    vectors = rows.mapInArrow(run, "w array<double>, e array<double>")
+    pairs = vectors.select(F.posexplode(F.arrays_zip("w", "e")).alias("rep", "s"))
+    reps = pairs.groupBy("rep").agg(div0(F.sum("s.e"), F.sum("s.w")).alias("mae"))
     point = df.agg(F.avg(F.abs(F.col(err)))).scalar()
     return reps.agg(F.avg("mae").alias("boot_mean"), F.percentile("mae", 0.025).alias("ci_low"),
                     F.percentile("mae", 0.975).alias("ci_high"), F.stddev_pop("mae").alias("std")) \

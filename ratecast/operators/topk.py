@@ -56,27 +56,29 @@ def worst_per_model(long: DataFrame, actual: str, by: str, n: int, min_n: int =
     return top_n_per_group(seg, ["model"], [F.col("mae").desc(), F.col(by)], n, out="rank")
 
 
-# Integer mix hash written with plain arithmetic so any SQL engine can
-# reproduce the same sample.  Every product stays below 2^62 (32-bit state
-# times a 30-bit multiplier), so it never overflows a bigint.
-_M32 = 4294967296
-HASH_MULTIPLIERS = (668265261, 739982445, 695872825)
+# A seeded digest of the key's text, which any SQL engine can repeat.
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def hash_words(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two 32-bit words from a digest of the whole key, so keys that differ
+    anywhere differ here (up to chance in 64 bits)."""
+    d = _digest(key, seed)
+    return tuple(F.conv(F.substring(d, at, 8), 16, 10).cast("bigint") for at in (1, 9))
 
 
 def mix_hash(key: Column, seed: int) -> Column:
-    m0, m1, m2 = HASH_MULTIPLIERS
-    h = F.pmod(F.pmod(key.cast("bigint"), F.lit(_M32)) * F.lit(m0) + F.lit(seed), F.lit(_M32))
-    h = F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(m1), F.lit(_M32))
-    h = F.pmod(h.bitwiseXOR(F.shiftright(h, 13)) * F.lit(m2), F.lit(_M32))
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    """A hash of a key with 60 bits."""
+    return F.conv(F.substring(_digest(key, seed), 1, 15), 16, 10).cast("bigint")
+
+
+def hash_words_sql(key: str, seed: int) -> tuple[str, str]:
+    return tuple(f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), {at}, 8) AS BIGINT)" for at in (1, 9))
 
 
 def mix_hash_sql(key: str, seed: int) -> str:
-    m0, m1, m2 = HASH_MULTIPLIERS
-    h = f"((({key} % {_M32}) * {m0} + {seed}) % {_M32})"
-    h = f"((xor({h}, {h} >> 15) * {m1}) % {_M32})"
-    h = f"((xor({h}, {h} >> 13) * {m2}) % {_M32})"
-    return f"xor({h}, {h} >> 16)"
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

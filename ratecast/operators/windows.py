@@ -3,14 +3,17 @@
 Every operator takes a *total* order (list of columns ending in a unique
 tiebreaker).  Scale notes:
 
-* Running totals partitioned by a key are computed in two levels when a
-  ``chunk`` (a coarsening of the order, e.g. the day) is given: partial
-  sums per (key, chunk) -> a small prefix over chunks -> a within-chunk
-  window partitioned by (key, chunk).  A hot key that holds a third of
-  all rows is then spread over its chunks instead of one task.
+* A key with at most ``KEY_ROWS`` rows is one window partition: one shuffle
+  by the key and no join back.  Keys with more (a bounded count of rows per
+  key finds them) are cut along (key, order) into pieces of about that many
+  rows by a range partition (``ordered_pieces``), so neither one key nor
+  one day or value of a key meets in one task.  Running totals then take
+  the sums of a key's earlier pieces (one row per key and piece) and a
+  window per (key, piece); bounded frames run over blocks of row positions,
+  each with copies of the rows just before it.
 * "Global" orders (row index over the whole table) and value ranks are cut
-  into pieces sized from the row count (``ordered_pieces``), so no window
-  ever runs without a partition key over the raw rows.
+  into pieces sized from the row count, so no window ever runs without a
+  partition key over the raw rows.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecast.functions.scalars import div0
-from ratecast.session import cut_lineage
+from ratecast.session import written
 
 PIECE_ROWS = 4_000_000  # rows aimed at per piece of a global order
+KEY_ROWS = 4_000_000    # rows of one key that may meet in one task, and per piece of a larger key
+HOT_KEYS = 10_000       # larger keys that are passed as literals; more stay a table
 
 
 def _cols(cs) -> list[Column]:
@@ -32,57 +37,86 @@ def _cols(cs) -> list[Column]:
 
 
 # ---------------------------------------------------------------------------
-# two-level running totals (the shared building block)
+# keys too large for one task
+# ---------------------------------------------------------------------------
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str], prefix: str) -> Column:
+    """Equality of ``names`` with the prefixed columns of ``b``; null keys are keys like any other."""
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & a[c].eqNullSafe(b[f"{prefix}{c}"])
+    return cond
+
+
+def split_heavy(df: DataFrame, keys: Sequence[str], rows_per_piece: int = KEY_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most ``rows_per_piece`` rows, rows of larger
+    keys or None when there are none).  Rows per key are counted map-side;
+    at most ``HOT_KEYS`` + 1 large keys reach the driver."""
+    per = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_piece)
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    hot = per.limit(HOT_KEYS + 1).collect()
+    if not hot:
+        return df, None
+    if not keys:
+        return df.limit(0), df
+    if len(hot) <= HOT_KEYS:
+        per = F.broadcast(df.sparkSession.createDataFrame(hot, per.schema))
+    cond = _same(df, per, keys, "_h_")
+    return df.join(per, cond, "left_anti"), df.join(per, cond, "left_semi")
+
+
+def key_pieces(heavy: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_piece: int = KEY_ROWS) -> DataFrame:
+    """Pieces of about ``rows_per_piece`` rows along (keys, order)."""
+    return ordered_pieces(heavy, [*keys, *order], rows_per_piece)
+
+
+# ---------------------------------------------------------------------------
+# running totals (the shared building block)
 # ---------------------------------------------------------------------------
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: dict[str, Column] | None = None, count_out: str | None = None,
-                   chunk: Column | None = None, inclusive: bool = False) -> DataFrame:
+                   chunk: Column | None = None, inclusive: bool = False,
+                   rows_per_piece: int | None = KEY_ROWS) -> DataFrame:
     """Add prefix sums (``sums``: out name -> value expr) and a prefix row
     count (``count_out``) per ``keys`` in ``order``; exclusive of the
     current row unless ``inclusive``.
 
-    ``chunk`` must be non-decreasing along ``order`` within a key (e.g.
-    ``to_date(ts)`` when ordering by ``ts``).
+    Keys with more than ``rows_per_piece`` rows are cut into pieces; None
+    says that the caller knows there are none.  A caller that has cut the
+    rows itself names the cut by ``chunk`` (non-decreasing along ``order``
+    within a key).
     """
-    sums = dict(sums or {})
-    keys = list(keys)
-    hi = Window.currentRow if inclusive else -1
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
-        out = df
-        for name, e in sums.items():
-            out = out.withColumn(name, F.coalesce(F.sum(e).over(w), F.lit(0.0)))
-        if count_out:
-            out = out.withColumn(count_out, F.count(F.lit(1)).over(w))
+    keys, sums = list(keys), dict(sums or {})
+    if chunk is not None:
+        return _chunked_totals(df.withColumn("_chunk", chunk), keys, order, sums, count_out, inclusive).drop("_chunk")
+    light, heavy = (df, None) if rows_per_piece is None else split_heavy(df, keys, rows_per_piece)
+    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    out = light.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0.0)).alias(n) for n, e in sums.items()],
+                       *([F.count(F.lit(1)).over(w).alias(count_out)] if count_out else []))
+    if heavy is None:
         return out
+    cut = key_pieces(heavy, keys, order, rows_per_piece).withColumnRenamed("_piece", "_chunk")
+    return out.unionByName(_chunked_totals(cut, keys, ["_pos"], sums, count_out, inclusive).drop("_chunk", "_pos"))
+
 
-    base = df.withColumn("_chunk", chunk)
+def _chunked_totals(base: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
+                    count_out: str | None, inclusive: bool) -> DataFrame:
+    """Running totals in two levels over rows with a column ``_chunk``."""
     # (1) partial totals per (key, chunk): map-side combined, one row per chunk
     aggs = [F.coalesce(F.sum(e), F.lit(0.0)).alias(f"_cs_{n}") for n, e in sums.items()]
-    aggs.append(F.count(F.lit(1)).alias("_cn"))
-    per_chunk = base.groupBy(*keys, "_chunk").agg(*aggs)
+    per_chunk = base.groupBy(*keys, "_chunk").agg(*aggs, F.count(F.lit(1)).alias("_cn"))
     # (2) prefix over chunks (bounded by #chunks per key)
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_chunk.select(
-        *keys, "_chunk",
-        *[F.coalesce(F.sum(f"_cs_{n}").over(wc), F.lit(0.0)).alias(f"_off_{n}") for n in sums],
-        F.coalesce(F.sum("_cn").over(wc), F.lit(0)).alias("_off_n"))
+    at = [*keys, "_chunk"]
+    offs = per_chunk.select(*[F.col(k).alias(f"_j_{k}") for k in at],
+                            *[F.coalesce(F.sum(f"_cs_{n}").over(wc), F.lit(0.0)).alias(f"_off_{n}") for n in sums],
+                            F.coalesce(F.sum("_cn").over(wc), F.lit(0)).alias("_off_n"))
     # (3) within-chunk running totals
-    wi = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
-    inner = base
-    for n, e in sums.items():
-        inner = inner.withColumn(f"_in_{n}", F.coalesce(F.sum(e).over(wi), F.lit(0.0)))
-    inner = inner.withColumn("_in_n", F.count(F.lit(1)).over(wi))
-    # null keys are keys like any other
-    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in [*keys, "_chunk"]]
-    offs = offs.select(*[F.col(k).alias(f"_j_{k}") for k in [*keys, "_chunk"]], *[c for c in offs.columns if c.startswith("_off_")])
-    j = inner.join(offs, on=same, how="left").drop(*[f"_j_{k}" for k in [*keys, "_chunk"]])
-    for n in sums:
-        j = j.withColumn(n, F.col(f"_in_{n}") + F.col(f"_off_{n}"))
-    if count_out:
-        j = j.withColumn(count_out, F.col("_in_n") + F.col("_off_n"))
-    drop = ["_chunk", "_in_n", "_off_n"] + [f"_in_{n}" for n in sums] + [f"_off_{n}" for n in sums]
-    return j.drop(*drop)
+    wi = Window.partitionBy(*at).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    inner = base.select("*", *[F.coalesce(F.sum(e).over(wi), F.lit(0.0)).alias(f"_in_{n}") for n, e in sums.items()],
+                        F.count(F.lit(1)).over(wi).alias("_in_n"))
+    j = inner.join(offs, _same(inner, offs, at, "_j_"), "left")
+    return j.select(*base.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums],
+                    *([(F.col("_in_n") + F.col("_off_n")).alias(count_out)] if count_out else []))
 
 
 def ordered_pieces(df: DataFrame, order: Sequence[str], rows_per_piece: int = PIECE_ROWS) -> DataFrame:
@@ -93,7 +127,7 @@ def ordered_pieces(df: DataFrame, order: Sequence[str], rows_per_piece: int = PI
     Rows are range-partitioned by all of ``order``, so one day, hour or key
     that holds most rows is spread as well; only rows equal in all of
     ``order`` stay together.  The cut points come from a sample, so the
-    pieces are checkpointed: every later step sees the same cut.
+    pieces are written: every later step sees the same cut.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(least, -(-df.count() // rows_per_piece))
@@ -101,14 +135,14 @@ def ordered_pieces(df: DataFrame, order: Sequence[str], rows_per_piece: int = PI
     out = df.repartitionByRange(n, *_cols(order)).sortWithinPartitions(*_cols(order)).withColumn("_mid", mid)
     # the id holds the partition above bit 33 and the row's place below it
     out = out.withColumn("_piece", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    return cut_lineage(out.drop("_mid"))
+    return written(out.drop("_mid"), "pieces")
 
 
 def counted_pieces(per: DataFrame, order: Sequence[str], rows_per_piece: int = PIECE_ROWS) -> tuple[DataFrame, Column | None]:
     """A table of value counts, computed once, and the chunk for its running
     totals: the pieces along ``order``, or None when the whole table is
     counted to fit in one piece."""
-    per = cut_lineage(per)
+    per = written(per, "counts")
     if per.count() <= rows_per_piece:
         return per, None
     return ordered_pieces(per, order, rows_per_piece), F.col("_piece")
@@ -130,12 +164,12 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "rn", rows_per_
 # ---------------------------------------------------------------------------
 def expanding_mean(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
                    out: str = "lag_mean", out_n: str | None = "lag_n",
-                   chunk: Column | None = None) -> DataFrame:
+                   rows_per_piece: int = KEY_ROWS) -> DataFrame:
     """Mean of earlier rows of the same key (T1): sum of earlier non-null
     values / number of earlier rows (nulls counted), null when there are
     none or when the current value is null."""
     tmp_n = out_n or f"_{out}_n"
-    r = running_totals(df, keys, order, sums={f"_{out}_s": F.col(value)}, count_out=tmp_n, chunk=chunk)
+    r = running_totals(df, keys, order, sums={f"_{out}_s": F.col(value)}, count_out=tmp_n, rows_per_piece=rows_per_piece)
     r = r.withColumn(out, F.when(F.col(value).isNotNull() & (F.col(tmp_n) > 0),
                                  div0(F.col(f"_{out}_s"), F.col(tmp_n))))
     r = r.drop(f"_{out}_s")
@@ -144,7 +178,7 @@ def expanding_mean(df: DataFrame, keys: Sequence[str], value: str, order: Sequen
 
 def lag_features(df: DataFrame, targets: Sequence[str], keysets: dict[str, Sequence[str]],
                  order: Sequence[str], peers: Sequence[str] = (), peer_keyset: str | None = None,
-                 chunk: Column | None = None) -> DataFrame:
+                 rows_per_piece: int = KEY_ROWS) -> DataFrame:
     """Expanding means for every (target, keyset), plus per-peer
     expanding means on ``peer_keyset`` and their row mean.
 
@@ -158,7 +192,7 @@ def lag_features(df: DataFrame, targets: Sequence[str], keysets: dict[str, Seque
         if not vals:
             continue
         r = running_totals(out, ks, order, sums={f"_s_{name}_{v}": F.col(v) for v in vals},
-                           count_out=f"_n_{name}", chunk=chunk)
+                           count_out=f"_n_{name}", rows_per_piece=rows_per_piece)
         n = F.col(f"_n_{name}")
         for v in vals:
             mean = F.when(F.col(v).isNotNull() & (n > 0), div0(F.col(f"_s_{name}_{v}"), n))
@@ -176,56 +210,46 @@ def lag_features(df: DataFrame, targets: Sequence[str], keysets: dict[str, Seque
 
 
 # ---------------------------------------------------------------------------
-# bounded-frame windows over hot keys: halo chunks
+# bounded-frame windows
 # ---------------------------------------------------------------------------
-def halo_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, halo: int,
-                add_cols) -> DataFrame:
-    """Evaluate windows whose frame reaches at most ``halo`` rows back,
-    partitioned by (key, chunk) instead of by key alone.
-
-    Each chunk gets copies of the ``halo`` rows that precede it in its key
-    (taken from the last ``halo`` rows of earlier chunks -- a table of at
-    most #chunks x halo rows); the windows run per (key, chunk) over own +
-    halo rows ordered by the row's position in the key, and the halo copies
-    are dropped.  ``add_cols(window_spec)`` returns {name: window expr}.
-    """
-    keys = list(keys)
-    base = df.withColumn("_ck", chunk)
-    base = running_totals(base, keys, order, count_out="_pos", chunk=F.col("_ck"), inclusive=True)
-    # row numbers inside the chunk share the running totals' (key, chunk)
-    # partitioning: chunk starts and halo candidates need no join back
-    wc = Window.partitionBy(*keys, "_ck")
-    base = (base.withColumn("_rin", F.row_number().over(wc.orderBy(*_cols(order))))
-            .withColumn("_rdesc", F.row_number().over(wc.orderBy(*[c.desc() for c in _cols(order)]))))
-    cand = base.where(F.col("_rdesc") <= halo)  # at most `halo` rows per chunk
-    tgt = base.where(F.col("_rin") == 1).select(*[F.col(k).alias(f"_t_{k}") for k in keys],
-                                                 F.col("_ck").alias("_tck"), F.col("_pos").alias("_tstart"))
-    cond = [cand[k].eqNullSafe(tgt[f"_t_{k}"]) for k in keys]
-    cond += [cand["_pos"] < tgt["_tstart"], cand["_pos"] >= tgt["_tstart"] - halo]
-    halo_rows = (cand.join(tgt, cond).drop(*[f"_t_{k}" for k in keys], "_tstart")
-                 .withColumn("_halo", F.lit(True)))
-    own = base.withColumn("_tck", F.col("_ck")).withColumn("_halo", F.lit(False))
-    u = own.unionByName(halo_rows)
-    w = Window.partitionBy(*keys, "_tck").orderBy("_pos")
-    u = u.select("*", *[e.alias(n) for n, e in add_cols(w).items()])
-    return u.where(~F.col("_halo")).drop("_ck", "_tck", "_pos", "_halo", "_rin", "_rdesc")
+def _blocks_with_halo(df: DataFrame, keys: Sequence[str], place: str, halo: int, size: int, add_cols) -> DataFrame:
+    """Windows that reach at most ``halo`` rows back, over blocks of ``size``
+    positions (``place``, 1-based in the key): a block also gets copies of
+    the ``halo`` rows before it, known by their position alone, which go
+    again afterwards."""
+    size = max(size, halo)
+    block = F.floor((F.col(place) - 1) / size)
+    near_end = F.pmod(F.col(place) - 1, F.lit(size)) >= size - halo
+    both = df.withColumn("_own", block).withColumn("_block", F.explode(F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy(*keys, "_block").orderBy(place)
+    out = both.select("*", *[e.alias(n) for n, e in add_cols(w).items()])
+    return out.where(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
+def bounded_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int, add_cols,
+                   rows_per_piece: int = KEY_ROWS) -> DataFrame:
+    """Windows whose frames reach at most ``halo`` rows back:
+    ``add_cols(window_spec)`` returns {name: window expr}.  Keys with more
+    than ``rows_per_piece`` rows run over blocks of that many rows."""
+    light, heavy = split_heavy(df, keys, rows_per_piece)
+    out = light.select("*", *[e.alias(n) for n, e in add_cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
+    if heavy is None:
+        return out
+    cut = key_pieces(heavy, keys, order, rows_per_piece).withColumnRenamed("_piece", "_chunk")
+    placed = _chunked_totals(cut, keys, ["_pos"], {}, "_place", True).drop("_chunk", "_pos")
+    return out.unionByName(_blocks_with_halo(placed, keys, "_place", halo, rows_per_piece, add_cols).drop("_place"))
 
 
 # ---------------------------------------------------------------------------
 # W4-W7, W9
 # ---------------------------------------------------------------------------
 def lags(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-         ks: Sequence[int] = (1, 2), prefix: str = "lag", chunk: Column | None = None) -> DataFrame:
-    """``lag(value, k)`` per key; with ``chunk`` the windows run per
-    (key, chunk) with a halo of max(ks) rows (hot-key safe)."""
-    def cols(w):
-        return {f"{prefix}_{k}": F.lag(value, k).over(w) for k in ks}
-    if chunk is not None:
-        return halo_window(df, keys, order, chunk, max(ks), cols)
-    return df.select("*", *[e.alias(n) for n, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
+         ks: Sequence[int] = (1, 2), prefix: str = "lag", rows_per_piece: int = KEY_ROWS) -> DataFrame:
+    """``lag(value, k)`` per key."""
+    return bounded_window(df, keys, order, max(ks), lambda w: {f"{prefix}_{k}": F.lag(value, k).over(w) for k in ks}, rows_per_piece)
 
 
-def ema_frame(span: int) -> int:
+def ema_frame(span: float) -> int:
     """Rows after which a contribution, (1 - alpha)^rows, is below 1e-18
     and so out of a double's reach: the frame gives what the full recursion
     gives, for any span."""
@@ -233,31 +257,85 @@ def ema_frame(span: int) -> int:
     return 2 if a >= 1 else max(2, math.ceil(math.log(1e-18) / math.log1p(-a)))
 
 
-def ema(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-        span: int = 4, out: str = "ema", chunk: Column | None = None) -> DataFrame:
-    """EMA (adjust=False, alpha = 2/(span+1)) of the *previous* values (T28);
-    with ``chunk`` evaluated per (key, chunk) with a halo of ``ema_frame`` rows."""
-    a, frame = 2.0 / (span + 1), ema_frame(span)
-
-    def cols(w):
-        h = F.collect_list(F.col(value)).over(w.rowsBetween(-frame, -1))
-        fold = F.aggregate(F.slice(h, 2, frame), F.element_at(h, 1),
-                           lambda acc, x: acc * F.lit(1 - a) + x * F.lit(a))
-        return {out: F.when(F.size(h) > 0, fold)}
-    if chunk is not None:
-        return halo_window(df, keys, order, chunk, frame, cols)
-    return df.select("*", *[e.alias(n) for n, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
+def _decay(w_block: Window, w_key: Window, place: Column, value: Column, span: float) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The EMA as a scan of (decay, weighted sum) pairs.  The n-th value of
+    a key lies in block (n - 1) // size at offset i = (n - 1) % size.  First
+    columns: the block's weighted sum up to the row and at its end, each in
+    powers of 1 / (1 - alpha) from the block's start, so that no weight grows
+    beyond one block's.  Second columns: the sum at the ends of the blocks
+    before, a lag of whole blocks each, as many as a double can feel.  Third:
+    the EMA from both.  ``size`` is the root of that reach, so a row carries
+    no list and looks at about root-many lags."""
+    a = 2.0 / (span + 1)
+    q, size = 1.0 - a, ema_block(span)
+    blocks = -(-ema_frame(span) // size)
+    i = F.pmod(place - 1, F.lit(size))
+    # the key's first value weighs 1, each later one alpha
+    own = F.when(place == 1, value).otherwise(value * F.lit(a)) * F.pow(F.lit(1.0 / q), i)
+    first = {"_up": F.sum(own).over(w_block.rowsBetween(Window.unboundedPreceding, 0)),
+             "_whole": F.sum(own).over(w_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(q ** (size - 1))}
+    carry = F.lit(0.0)
+    for j in range(blocks, 0, -1):
+        carry = carry * F.lit(q ** size) + F.coalesce(F.lag("_whole", j * size).over(w_key), F.lit(0.0))
+    return first, {"_carry": carry}, F.pow(F.lit(q), i) * F.col("_up") + F.pow(F.lit(q), i + 1) * F.col("_carry")
+
+
+def ema_block(span: float) -> int:
+    return max(16, math.ceil(math.sqrt(ema_frame(span))))
+
+
+def ema(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], span: float = 4, out: str = "ema",
+        inclusive: bool = False, rows_per_piece: int = KEY_ROWS) -> DataFrame:
+    """EMA (adjust=False, alpha = 2/(span+1)) of the *previous* values (T28),
+    or with ``inclusive`` up to the row's own.  Nulls are left out: they
+    neither count as values nor decay earlier ones; null before the first
+    value.  A span of 1 or less is the last value."""
+    keys, names = list(keys), df.columns
+    size, halo = ema_block(span), ema_block(span) * -(-ema_frame(span) // ema_block(span))
+    up_to = Window.unboundedPreceding, Window.currentRow if inclusive else -1
+    x = F.col(value).cast("double")
+
+    def scan(rows: DataFrame, by: list[str]) -> DataFrame:
+        """``_ema`` after each row; rows have ``_nth``, the value's place in its key."""
+        wb = Window.partitionBy(*by, "_b").orderBy("_nth")
+        first, second, value_of = _decay(wb, Window.partitionBy(*by).orderBy("_b", "_nth"), F.col("_nth"), x, span)
+        rows = rows.withColumn("_b", F.floor((F.col("_nth") - 1) / size)).select("*", *[e.alias(n) for n, e in first.items()])
+        if by == whole:
+            rows = rows.select("*", *[e.alias(n) for n, e in second.items()])
+        else:
+            rows = _blocks_with_halo(rows, by, "_nth", halo, max(rows_per_piece // halo, 1) * halo,
+                                     lambda w: _decay(wb, w, F.col("_nth"), x, span)[1])
+        return rows.withColumn("_ema", value_of)
+
+    light, heavy = split_heavy(df, keys, rows_per_piece)
+    whole = [*keys, "_none"]  # values and nulls are windows of their own, so that lags count values only
+    placed = light.withColumn("_none", F.col(value).isNull())
+    placed = placed.withColumn("_nth", F.row_number().over(Window.partitionBy(*whole).orderBy(*_cols(order))))
+    done = placed.withColumn("_ema", x) if span <= 1 else scan(placed, whole)
+    done = done.withColumn("_ema", F.when(~F.col("_none"), F.col("_ema")))
+    w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(*up_to)
+    result = done.select(*names, F.last("_ema", ignorenulls=True).over(w).alias(out))
+    if heavy is None:
+        return result
+    cut = key_pieces(heavy, keys, order, rows_per_piece).withColumnRenamed("_piece", "_chunk")
+    some, none = cut.where(F.col(value).isNotNull()), cut.where(F.col(value).isNull()).withColumn("_ema", F.lit(None).cast("double"))
+    some = some.withColumn("_ema", x) if span <= 1 else scan(_chunked_totals(some, keys, ["_pos"], {}, "_nth", True), keys)
+    every = some.select(*none.columns).unionByName(none)
+    # the last value of the piece so far, else of the pieces before
+    at = [*keys, "_chunk"]
+    per = every.groupBy(*at).agg(F.max_by("_ema", F.when(F.col("_ema").isNotNull(), F.col("_pos"))).alias("_end"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*[F.col(c).alias(f"_j_{c}") for c in at], F.last("_end", ignorenulls=True).over(wc).alias("_before"))
+    wi = Window.partitionBy(*at).orderBy("_pos").rowsBetween(*up_to)
+    every = every.withColumn("_in", F.last("_ema", ignorenulls=True).over(wi))
+    joined = every.join(before, _same(every, before, at, "_j_"), "left")
+    return result.unionByName(joined.select(*names, F.coalesce("_in", "_before").alias(out)))
 
 
 def rolling_prev(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
-                 n: int = 4, out: str = "rolling_mean", chunk: Column | None = None) -> DataFrame:
-    """Mean of the previous ``n`` values, at least one (T29); with ``chunk``
-    evaluated per (key, chunk) with an ``n``-row halo."""
-    def cols(w):
-        return {out: F.avg(value).over(w.rowsBetween(-n, -1))}
-    if chunk is not None:
-        return halo_window(df, keys, order, chunk, n, cols)
-    return df.select("*", *[e.alias(k) for k, e in cols(Window.partitionBy(*keys).orderBy(*_cols(order))).items()])
+                 n: int = 4, out: str = "rolling_mean", rows_per_piece: int = KEY_ROWS) -> DataFrame:
+    """Mean of the previous ``n`` values, at least one."""
+    return bounded_window(df, keys, order, n, lambda w: {out: F.avg(value).over(w.rowsBetween(-n, -1))}, rows_per_piece)
 
 
 def weeks_since_start(df: DataFrame, date: str, out: str = "weeks_since_start") -> DataFrame:
@@ -289,17 +367,16 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], keep: str = "last") -> DataFrame:
-    """One row per key, the last (or first) by ``arrival``.
+    """One row per key, the last (or first) by ``arrival``; nulls arrive
+    before all values, and rows equal in ``arrival`` leave any one of them.
 
-    Implemented as a hash aggregate with ``max_by``/``min_by`` over a
-    struct, so partial aggregation happens map-side and a hot key never
-    lands whole in one task.
+    The row number is limited to 1, which Spark also applies before the
+    shuffle (a window group limit): a task hands on one row per key, so a
+    hot key never meets whole in one task, and no aggregate carries rows.
     """
-    cols = df.columns
-    row = F.struct(*[F.col(c) for c in cols])
-    ordk = F.struct(*[F.col(c) for c in arrival])
-    pick = F.max_by(row, ordk) if keep == "last" else F.min_by(row, ordk)
-    return df.groupBy(*keys).agg(pick.alias("_r")).select("_r.*")
+    order = [F.col(c).desc_nulls_last() if keep == "last" else F.col(c).asc_nulls_first() for c in arrival]
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
+    return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
 
 
 # ---------------------------------------------------------------------------

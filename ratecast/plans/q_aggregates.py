@@ -423,7 +423,7 @@ SELECT {_CL} AS bin, CAST({_CO} AS BIGINT) AS bin_order, CAST(count(*) AS BIGINT
 FROM x WHERE lag_n > 0 AND {_CL} IS NOT NULL GROUP BY 1, 2""")
 def q_cold_start(spark, sf):
     ev = events(spark, sf)
-    x = W.expanding_mean(ev, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n", chunk=F.col("d"))
+    x = W.expanding_mean(ev, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n")
     x = x.where(F.col("lag_n") > 0)
     e = F.col("lag_mean") - F.col("value")
     return _r(A.binned(x, "lag_n", _CS, aggs={"mae": F.avg(F.abs(e)), "bias": F.avg(e), "actual_mean": F.avg("value")}))
@@ -555,9 +555,12 @@ def q_usage(spark, sf):
   SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {EV}
   WHERE value IS NOT NULL) WHERE rn <= 500 GROUP BY user_id""")
 def q_entity_mean(spark, sf):
-    ev = events(spark, sf).where(F.col("value").isNotNull())
-    latest = W.last_rows(ev, ["user_id"], EV_ORDER, 500)
-    return _r(latest.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+    return _r(A.entity_mean(events(spark, sf), ["user_id"], "value", EV_ORDER, limit=500))
+
+
+@query("entity_mean_all", f"SELECT event_type, h, CAST(count(value) AS BIGINT) AS n, avg(value) AS mean FROM {EV} WHERE value IS NOT NULL GROUP BY event_type, h")
+def q_entity_mean_all(spark, sf):
+    return _r(A.entity_mean(events(spark, sf), ["event_type", "h"], "value", EV_ORDER))
 
 
 _SEV = [0, 1, 4, 7, 11]

@@ -188,10 +188,25 @@ def _text_date_sql(col, today=TODAY):
     return "CASE " + " ".join(parts) + f" ELSE {expl} END"
 
 
-@query("text_date", f"SELECT doc_id, CAST({_text_date_sql('trim(text)')} AS DATE) AS asked_date FROM documents")
+# endings that texts get in turn, so that every kind of date word occurs in them
+_DATE_ENDINGS = ["", " מחר", " היום", " עוד שבוע", " בחודש", " ביום שישי", " ראשון הבא", " 12/09/25", " 31/02/2026", " שבת"]
+_INTENT_ENDINGS = ["", " מה הצפי לקבינט מחר", " קבינט", " מבצע", " שישי הבא אירוע", " היום"]
+
+
+def _ending(number, endings):
+    return F.element_at(F.array(*map(F.lit, endings)), (F.pmod(number, F.lit(len(endings))) + 1).cast("int"))
+
+
+def _ending_sql(number, endings):
+    return f"CASE CAST(({number}) % {len(endings)} AS INTEGER) " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(endings)) + " END"
+
+
+@query("text_date", f"""SELECT doc_id, CAST({_text_date_sql('t')} AS DATE) AS asked_date
+FROM (SELECT doc_id, trim(coalesce(text, '') || {_ending_sql('doc_id', _DATE_ENDINGS)}) AS t FROM documents)""")
 def q_text_date(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.text_date("text", TODAY).alias("asked_date"))
+    text = F.concat(F.coalesce("text", F.lit("")), _ending(F.col("doc_id"), _DATE_ENDINGS))
+    return d.select("doc_id", X.text_date(text, TODAY).alias("asked_date"))
 
 
 def _any_sql(col, words):
@@ -202,9 +217,10 @@ def _any_sql(col, words):
   CASE WHEN {_any_sql('text', X.SCENARIO_WORDS)} THEN 'special_event' ELSE 'routine' END AS scenario,
   CASE WHEN {_any_sql('text', X.PROGRAM_WORDS)} AND {_any_sql('text', [X.WORD_TOMORROW, X.WORD_TODAY, X.WORD_WEEK, *S.WEEKDAYS_HE])} THEN 'high'
        WHEN {_any_sql('text', X.PROGRAM_WORDS)} THEN 'medium' ELSE 'low' END AS confidence
-FROM conversations""")
+FROM (SELECT conv_id, turn, coalesce(text, '') || {_ending_sql('conv_id + turn', _INTENT_ENDINGS)} AS text FROM conversations)""")
 def q_text_intent(spark, sf):
     c = table(spark, sf, "conversations")
+    c = c.withColumn("text", F.concat(F.coalesce("text", F.lit("")), _ending(F.col("conv_id") + F.col("turn"), _INTENT_ENDINGS)))
     prog = X.text_program("text")
     return c.select("conv_id", "turn", prog.alias("program"), X.text_scenario("text").alias("scenario"),
                     X.confidence("text", prog).alias("confidence"))
@@ -228,9 +244,13 @@ def q_pub_date(spark, sf):
     return e.select("event_id", X.pub_date(txt, TODAY).alias("pub_date"))
 
 
-@query("fmt", """SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS amount_txt FROM orders""")
+@query("fmt", f"""SELECT o_orderkey, coalesce(format('{{:,.2f}}', v), '{S.NO_TAG}') AS amount_txt,
+  coalesce(format('{{:,.1f}}%', v / 3000 * 100), '{S.NO_TAG}') AS share_txt
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS v FROM orders)""")
 def q_fmt(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", S.fmt_num("o_totalprice", 2).alias("amount_txt"))
+    o = table(spark, sf, "orders")
+    v = F.when(o.o_orderkey % 9 != 0, o.o_totalprice)
+    return o.select("o_orderkey", S.fmt_num(v, 2).alias("amount_txt"), S.fmt_pct(v / 3000, 1).alias("share_txt"))
 
 
 @query("math_fns", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (greatest(least(l_discount, 0.08), 0.02)) AS clipped,
@@ -272,16 +292,49 @@ def q_one_hot(spark, sf):
 
 @query("link_items", r"""SELECT page_id, CAST(pos AS INTEGER) AS pos, href, txt FROM (
   SELECT page_id, unnest(generate_series(0, len(hs) - 1)) AS pos, hs, ts FROM (
-    SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)[1:5] AS hs,
-           regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)[1:5] AS ts FROM pages) WHERE len(hs) > 0),
+    SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs,
+           regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages) WHERE len(hs) > 0),
   LATERAL (SELECT hs[pos + 1] AS href, ts[pos + 1] AS txt)""")
 def q_link_items(spark, sf):
     p = table(spark, sf, "pages")
-    href, txt = X.link_items("html", 5)
+    href, txt = X.link_items("html")
     z = p.select("page_id", F.posexplode(F.arrays_zip(href.alias("href"), txt.alias("txt"))).alias("pos", "it"))
     return z.select("page_id", F.col("pos").cast("int"), F.col("it.href").alias("href"), F.col("it.txt").alias("txt"))
 
 
+# One feed per page: its links are the items.  Every seventh item has no title or a blank one, every
+# fifth no date or an unreadable one, and every eleventh page breaks off inside an item.
+_FEED_TODAY = "2026-03-01"
+
+
+@query("feed_items", r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages WHERE page_id % 11 <> 0),
+i AS (SELECT page_id, unnest(generate_series(1, len(ts))) AS i, ts FROM p),
+t AS (SELECT page_id, i, trim(replace(replace(replace(ts[i], '&amp;', '&'), '&lt;', '<'), '&gt;', '>')) AS title FROM i WHERE (page_id + i) % 7 <> 0)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS pos, title,
+  CASE WHEN (page_id + i) % 5 = 0 THEN DATE '"""  + _FEED_TODAY + r"""' ELSE DATE '2024-01-01' + CAST((page_id * 31 + i) % 700 AS INTEGER) END AS pub_date
+FROM t WHERE title <> ''""")
+def q_feed_items(spark, sf):
+    """XML feeds built from every page, then read back item by item."""
+    p = table(spark, sf, "pages")
+    _, texts = X.link_items("html")
+    k = F.col("page_id")
+
+    def item(text, at):
+        n = k + at + 1
+        title = F.when(F.pmod(n, F.lit(14)) == 0, F.lit("")).when(F.pmod(n, F.lit(7)) == 0, F.lit("<title>  </title>")).otherwise(
+            F.concat(F.lit("<title> "), text, F.lit("</title>")))
+        day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(k * 31 + at + 1, F.lit(700)).cast("int"))
+        date = F.when(F.pmod(n, F.lit(10)) == 0, F.lit("")).when(F.pmod(n, F.lit(5)) == 0, F.lit("<pubDate>soon</pubDate>")).otherwise(
+            F.concat(F.lit("<pubDate>"), F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 23:30:00 +0200</pubDate>")))
+        return F.concat(F.lit("<item>"), title, date, F.lit("</item>"))
+
+    items = F.array_join(F.transform(texts, item), "")
+    end = F.when(F.pmod(k, F.lit(11)) == 0, F.lit("<item><title>broken")).otherwise(F.lit("</channel></rss>"))
+    feeds = p.select("page_id", F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>feed</title>'), items, end).alias("xml"))
+    z = feeds.select("page_id", F.posexplode(X.feed_items("xml", _FEED_TODAY)).alias("pos", "it"))
+    return z.select("page_id", (F.col("pos") + 1).alias("pos"), "it.title", "it.pub_date")
+
+
 @query("constant_baselines", f"""WITH {PRED_CTE}
 SELECT 'global' AS model, (avg(abs(pred_global - actual))) AS mae FROM pred
 UNION ALL SELECT 'zero', (avg(abs(0 - actual))) FROM pred

@@ -102,6 +102,6 @@ def q_flagship(spark, sf):
     from ratecast.plans.tables import EV_ORDER
     ev = events(spark, sf)
     t = I.tag_events(ev, intervals(spark), "d", season=["season"], holiday=["holiday"], security=SEC_CATS)
-    r = W.expanding_mean(t, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n", chunk=F.col("d"))
+    r = W.expanding_mean(t, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n")
     return r.select("event_id", "user_id", "tag_season", "special_event", F.col("lag_n").cast("bigint"),
                     measure("lag_mean").alias("lag_mean"))

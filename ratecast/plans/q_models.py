@@ -18,38 +18,45 @@ from ratecast.plans.predictions import PRED_CTE, split_events
 from ratecast.plans.q_aggregates import _r
 from ratecast.plans.registry import query
 from ratecast.plans.tables import EV_ORDER, SEC_CATS, events, intervals, table
+from ratecast.session import written
 
-LABEL = "value"
-NUM = ["lag_value_user_mean", "lag_value_user_n", "lag_value_slot_mean", "lag_value_slot_n",
-       "lag_value_status_hour_mean", "lag_value_status_hour_n", "lag_k_slot_mean", "h"]
+LABEL = "rating"
+NUM = ["lag_rating_user_mean", "lag_rating_user_n", "lag_rating_slot_mean", "lag_rating_slot_n",
+       "lag_rating_status_hour_mean", "lag_rating_status_hour_n", "lag_k_slot_mean", "h"]
 BOOLS = ["is_holiday", "is_security"]
 CATS = ["event_type"]
 KEYSETS = {"user": ["user_id"], "slot": ["dow", "h"], "status_hour": ["event_type", "h"]}
 
 
+def rated(ev):
+    """The models' target: an event's value, raised in the evening and for
+    purchases, so that hour and status tell something (``value`` alone is
+    noise around one mean)."""
+    evening = F.when(F.col("h").between(18, 22), 1.5).otherwise(1.0)
+    return ev.withColumn(LABEL, F.col("value") * evening * F.when(F.col("event_type") == "purchase", 1.4).otherwise(1.0))
+
+
 def model_frame(spark, sf):
     """Tagged events with leakage-free history features; rows without any
     history of their own series are dropped; split by the date cut."""
-    ev = events(spark, sf)
+    ev = rated(events(spark, sf))
     t = I.tag_events(ev, intervals(spark), "d", season=["season"], holiday=["holiday"], security=SEC_CATS)
-    f = W.lag_features(t, [LABEL], KEYSETS, EV_ORDER, chunk=F.col("d"))
-    f = W.expanding_mean(f, ["dow", "h"], "k", EV_ORDER, out="lag_k_slot_mean", out_n=None, chunk=F.col("d"))
-    f = f.where(F.col("lag_value_user_mean").isNotNull())
+    f = W.lag_features(t, [LABEL], KEYSETS, EV_ORDER)
+    f = W.expanding_mean(f, ["dow", "h"], "k", EV_ORDER, out="lag_k_slot_mean", out_n=None)
+    f = f.where(F.col("lag_rating_user_mean").isNotNull())
     return W.split_by_date(f, "ts", 0.2)
 
 
 def _parts(spark, sf):
-    """Train/test parts of the model frame, persisted once: every fit pass
-    (medians, scaler, indexer, each boosting round) reads it again."""
-    from pyspark import StorageLevel
-    f = model_frame(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    """Train/test parts of the model frame, written once: every fit (medians,
+    scaler, indexer, vectors) reads the columns it needs, and no memory is held."""
+    f = written(model_frame(spark, sf), "model_frame")
     return f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
 
 
 def _pipeline(train, model="gbt", cats=CATS):
-    from pyspark.ml import Pipeline
-    prep = M.preprocessor(NUM, BOOLS, cats)
-    return Pipeline(stages=[prep, M.make_model(model, LABEL)]).fit(M.sized(train).cache())
+    prep = M.preprocessor(NUM, BOOLS, cats).fit(train)
+    return PipelineModel([prep, M.fit_vectors(M.make_model(model, LABEL), prep.transform(train))])
 
 
 # M1, M4-M6, M12 ------------------------------------------------------------------
@@ -121,7 +128,7 @@ sb AS (SELECT h.event_id, h.value, sm.m AS pred_mean, coalesce(h.l1, sm.m) AS pr
 
 
 def _series(spark, sf):
-    return M.series_baselines(split_events(spark, sf), ["user_id"], "value", EV_ORDER, "split", chunk=F.col("d"))
+    return M.series_baselines(split_events(spark, sf), ["user_id"], "value", EV_ORDER, "split")
 
 
 @query("series_baselines", f"WITH {_SERIES_CTE} SELECT event_id, pred_mean, pred_last, pred_ema FROM sb")
@@ -145,9 +152,9 @@ def q_series_model_scores(spark, sf):
     """The three baselines beside ridge and boosted trees fitted on the
     series' own history (previous value, EMA, history count) and the calendar."""
     from ratecast.operators import aggregates as A
-    x = W.running_totals(split_events(spark, sf), ["user_id"], EV_ORDER, count_out="seen", chunk=F.col("d"))
-    x = W.lags(x, ["user_id"], "value", EV_ORDER, ks=(1,), prefix="lag", chunk=F.col("d"))
-    x = W.ema(x, ["user_id"], "value", EV_ORDER, span=4, out="ema_4", chunk=F.col("d")).where(F.col("seen") >= 2)
+    x = W.running_totals(split_events(spark, sf), ["user_id"], EV_ORDER, count_out="seen")
+    x = W.lags(x, ["user_id"], "value", EV_ORDER, ks=(1,), prefix="lag")
+    x = W.ema(x, ["user_id"], "value", EV_ORDER, span=4, out="ema_4").where(F.col("seen") >= 2)
     tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
     _, preds, _ = M.compare_models(tr, te, LABEL, "event_id", ["lag_1", "ema_4", "seen", "dow", "h"], [], CATS, ["ridge", "gbt"],
                                    {"ridge": {"reg": 1.0}, "gbt": {"depth": 3, "step": 0.05, "leaf": 5}})
@@ -159,8 +166,7 @@ def q_series_model_scores(spark, sf):
 @query("train_eval_refit")
 def q_train_eval_refit(spark, sf):
     """Fit, evaluate, refit on all rows; the refitted model scores all rows."""
-    from pyspark import StorageLevel
-    f = model_frame(spark, sf).drop("split").persist(StorageLevel.MEMORY_AND_DISK)
+    f = written(model_frame(spark, sf).drop("split"), "model_frame")
     model, log = M.train_eval_refit(f, LABEL, "ts", NUM, BOOLS, CATS)
     refit = model.transform(f).agg(F.avg(F.abs(F.col("prediction") - F.col(LABEL)))).scalar()
     return _r(log.withColumn("refit_train_mae", refit))
@@ -192,10 +198,10 @@ q AS (SELECT rq.*, (SELECT count(*) FROM tr WHERE tr.d < rq.target AND tr.d >= r
 SELECT request_id, {', '.join(parts)} FROM q"""
 
 
-@query("point_in_time", _pit_sql(7, 200))
+@query("point_in_time", _pit_sql(90, 200))
 def q_point_in_time(spark, sf):
     req, hist = _requests(spark, sf)
-    r = PT.point_in_time(req, hist, _PIT_KEYS, "target", "d", "value", days=7, min_rows=200)
+    r = PT.point_in_time(req, hist, _PIT_KEYS, "target", "d", "value", days=90, min_rows=200)
     cols = ["request_id"] + [c for n in _PIT_KEYS for c in (f"lag_{n}_n", f"lag_{n}_mean")]
     return _r(r.select(*cols))
 
@@ -216,17 +222,16 @@ def q_series_features(spark, sf):
 
 
 @query("uncertainty", f"""WITH {PRED_CTE},
-f AS (SELECT user_id, dow, h, count(value) AS fn, stddev_samp(value) AS fs FROM tr GROUP BY ALL),
-c AS (SELECT dow, h, count(value) AS cn, stddev_samp(value) AS cs FROM tr GROUP BY ALL)
+f AS (SELECT user_id, event_type, count(value) AS fn, stddev_samp(value) AS fs FROM tr GROUP BY ALL),
+c AS (SELECT event_type, dow, h, count(value) AS cn, stddev_samp(value) AS cs FROM tr GROUP BY ALL)
 SELECT te.event_id AS request_id,
   (round(CASE WHEN coalesce(fn, 0) >= 5 THEN fs WHEN coalesce(cn, 0) >= 10 THEN cs ELSE 0.263 END * 1.28, 3)) AS half_width,
   CAST(CASE WHEN coalesce(fn, 0) >= 5 THEN fn WHEN coalesce(cn, 0) >= 10 THEN cn ELSE 0 END AS BIGINT) AS n_used,
   CASE WHEN coalesce(fn, 0) >= 5 THEN 'entity_slot' WHEN coalesce(cn, 0) >= 10 THEN 'slot' ELSE 'default' END AS unc_source
-FROM te LEFT JOIN f USING (user_id, dow, h) LEFT JOIN c USING (dow, h)""")
+FROM te LEFT JOIN f USING (user_id, event_type) LEFT JOIN c USING (event_type, dow, h)""")
 def q_uncertainty(spark, sf):
     req, hist = _requests(spark, sf)
-    r = PT.uncertainty(req, hist, (["user_id", "dow", "h"], ["user_id", "dow", "h"]), (["dow", "h"], ["dow", "h"]),
-                       "value")
+    r = PT.uncertainty(req, hist, (["user_id", "event_type"],) * 2, (["event_type", "dow", "h"],) * 2, "value")
     return _r(r.select("request_id", "half_width", "n_used", "unc_source"))
 
 
@@ -236,23 +241,22 @@ def score_requests(spark, sf, requests=None):
     scaling -> floor -> 80% range -> households/viewers -> label.
     ``requests`` has request_id, user_id, target, event_type, start and end
     (HH:MM) and scenario; by default the test events ask for themselves."""
-    from pyspark import StorageLevel
     tr, _ = _parts(spark, sf)
     pm = _pipeline(tr, "gbt")
     req, hist = _requests(spark, sf)
-    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
+    hist = written(rated(hist), "history")
     if requests is None:
         requests = (req.withColumn("start", F.concat(F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00")))
                     .withColumn("end", F.lit(None).cast("string")).withColumn("scenario", F.lit(SC.SPECIAL)))
     req = (requests.withColumn("h", F.substring("start", 1, 2).cast("bigint") % 24).withColumn("dow", F.dayofweek("target").cast("bigint"))
            .withColumn("duration", S.duration_wrap("start", "end").cast("bigint")))
-    f = PT.point_in_time(req, hist, {"value_user": (["user_id"],) * 2, "value_slot": (["dow", "h"],) * 2,
-                                     "value_status_hour": (["event_type", "h"],) * 2}, "target", "d", "value", days=90, min_rows=200)
+    f = PT.point_in_time(req, hist, {"rating_user": (["user_id"],) * 2, "rating_slot": (["dow", "h"],) * 2,
+                                     "rating_status_hour": (["event_type", "h"],) * 2}, "target", "d", LABEL, days=90, min_rows=200)
     f = PT.point_in_time(f, hist, {"k_slot": (["dow", "h"],) * 2}, "target", "d", "k", days=90, min_rows=200)
     f = I.tag_events(f, intervals(spark), "target", season=["season"], holiday=["holiday"], security=SEC_CATS)
     f = SC.effective_scenario(f.drop("is_security", "tag_security"), intervals(spark), "target", "scenario", SEC_CATS)
     scored = pm.transform(f).withColumnRenamed("prediction", "raw_pred")
-    a = SC.answer_fields(scored, hist, entity="user_id", date="d", value="value", target="target",
+    a = SC.answer_fields(scored, hist, entity="user_id", date="d", value=LABEL, target="target",
                          fine=["user_id", "dow", "h"], coarse=["dow", "h"])
     return a.select("request_id", "duration", "scenario_effective", *SC.ANSWER)
 
@@ -298,16 +302,20 @@ def q_permutation_importance(spark, sf):
 
 @query("partial_dependence")
 def q_partial_dependence(spark, sf):
+    """Six features, one after another set to 40 values of their range."""
     tr, te = _parts(spark, sf)
-    pm = _pipeline(tr, "gbt")
-    return _r(M.partial_dependence(pm, te, "lag_value_user_mean").select("grid", "lag_value_user_mean", "mean_pred"))
+    pm, out = _pipeline(tr, "gbt"), None
+    for c in ["lag_rating_user_mean", "lag_rating_slot_mean", "lag_rating_status_hour_mean", "lag_rating_user_n", "lag_k_slot_mean", "h"]:
+        one = M.partial_dependence(pm, te, c).select(F.lit(c).alias("feature"), "grid", F.col(c).cast("double").alias("at"), "mean_pred")
+        out = one if out is None else out.unionByName(one)
+    return _r(out)
 
 
 @query("partial_dependence_2d")
 def q_partial_dependence_2d(spark, sf):
     """The 25 x 25 grid over two features."""
     tr, te = _parts(spark, sf)
-    return _r(M.partial_dependence(_pipeline(tr, "gbt"), te, ["lag_value_user_mean", "lag_value_slot_mean"]))
+    return _r(M.partial_dependence(_pipeline(tr, "gbt"), te, ["lag_rating_user_mean", "lag_rating_slot_mean"]))
 
 
 @query("counterfactual")
@@ -335,7 +343,7 @@ def q_local_effects(spark, sf):
 def q_ablation(spark, sf):
     tr, te = _parts(spark, sf)
     cfg = {"full": (NUM, BOOLS, CATS), "no_flags": (NUM, [], CATS),
-           "lags_only": (["lag_value_user_mean", "lag_value_slot_mean", "lag_value_status_hour_mean"], [], [])}
+           "lags_only": (["lag_rating_user_mean", "lag_rating_slot_mean", "lag_rating_status_hour_mean"], [], [])}
     return _r(M.ablation(tr, te, LABEL, cfg))
 
 

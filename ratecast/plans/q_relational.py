@@ -109,10 +109,11 @@ def q_distinct_values(spark, sf):
 
 
 @query("except_keys", """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
-  WHERE o_custkey IS NOT NULL)""")
+  WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')""")
 def q_except_keys(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order (each has some order)."""
+    o = table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey"))
     return U.except_keys(c, o, ["c_custkey"])
 
 
@@ -396,17 +397,18 @@ def q_compare_preds(spark, sf):
     return _r(p.select("event_id", "err_a", "err_b", "winner"))
 
 
-@query("fallback_lookup", f"""WITH {PRED_CTE}
-SELECT te.event_id, (coalesce(l1.m1, l2.m2, (SELECT gm FROM gm))) AS pred,
-  CAST(CASE WHEN l1.m1 IS NOT NULL THEN 0 WHEN l2.m2 IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS level
-FROM te LEFT JOIN l1 USING (event_type, dow, h) LEFT JOIN l2 USING (dow, h)""")
+@query("fallback_lookup", f"""WITH {PRED_CTE},
+k0 AS (SELECT user_id, event_type, h, avg(value) AS m FROM tr GROUP BY ALL), k1 AS (SELECT user_id, event_type, avg(value) AS m FROM tr GROUP BY ALL)
+SELECT te.event_id, (coalesce(k0.m, k1.m, (SELECT gm FROM gm))) AS pred,
+  CAST(CASE WHEN k0.m IS NOT NULL THEN 0 WHEN k1.m IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS level
+FROM te LEFT JOIN k0 USING (user_id, event_type, h) LEFT JOIN k1 USING (user_id, event_type)""")
 def q_fallback_lookup(spark, sf):
-    """Most specific seen level (type x weekday x hour, then weekday x
-    hour), else the global train mean; ``level`` says which one answered."""
-    from ratecast.plans.predictions import SLOT_LEVELS, split_events
+    """Most specific seen level (series x type x hour, then series x
+    type), else the global train mean; ``level`` says which one answered."""
+    from ratecast.plans.predictions import split_events
     ev = split_events(spark, sf)
     tr, te = ev.where(F.col("split") == "train"), ev.where(F.col("split") == "test")
-    r = J.cascade_mean(tr, te, SLOT_LEVELS, "value", out="pred", level_out="level")
+    r = J.cascade_mean(tr, te, [["user_id", "event_type", "h"], ["user_id", "event_type"]], "value", out="pred", level_out="level")
     return _r(r.select("event_id", "pred", F.col("level").cast("int")), "level")
 
 

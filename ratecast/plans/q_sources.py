@@ -57,25 +57,30 @@ def q_intervals_from_csv(spark, sf):
     return I.interval_tag(ev, iv, "d", out="tag_security", mode="concat", cats=SEC_CATS).select("event_id", "tag_security")
 
 
-@query("unpivot_blocks", """SELECT o_custkey, 'b' || rn AS kind, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS name
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
+@query("unpivot_blocks", """SELECT o_custkey, CAST((rn - 1) // 3 AS BIGINT) AS line, 'b' || ((rn - 1) % 3 + 1) AS kind, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)""")
 def q_unpivot_blocks(spark, sf):
-    o = table(spark, sf, "orders")
-    first3 = W.top_n_per_group(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], 3, out="rn")
-    wide = first3.groupBy("o_custkey").agg(
-        *[F.max(F.when(F.col("rn") == i, F.to_date("o_orderdate"))).alias(f"d{i}") for i in (1, 2, 3)],
-        *[F.max(F.when(F.col("rn") == i, F.col("o_orderpriority"))).alias(f"n{i}") for i in (1, 2, 3)])
-    return IO.unpivot_blocks(wide, [(f"b{i}", f"d{i}", f"n{i}") for i in (1, 2, 3)], ids=["o_custkey"])
-
-
-@query("result_set", f"""SELECT 'by_type' AS name, CAST(count(DISTINCT event_type) AS BIGINT) AS n_rows FROM events
-UNION ALL SELECT 'by_day', CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) FROM events""")
+    """Every order of a customer in lines of three side-by-side (date, name)
+    blocks, as many lines as they need, and back."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    nth = W.running_totals(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], count_out="nth")
+    nth = nth.withColumn("line", F.floor(F.col("nth") / 3)).withColumn("block", F.col("nth") % 3)
+    wide = nth.groupBy("o_custkey", "line").agg(
+        *[F.max(F.when(F.col("block") == i, F.to_date("o_orderdate"))).alias(f"d{i + 1}") for i in range(3)],
+        *[F.max(F.when(F.col("block") == i, F.col("o_orderpriority"))).alias(f"n{i + 1}") for i in range(3)])
+    return IO.unpivot_blocks(wide, [(f"b{i}", f"d{i}", f"n{i}") for i in (1, 2, 3)], ids=["o_custkey", "line"])
+
+
+@query("result_set", f"""SELECT 'by_type' AS name, event_type AS key, CAST(count(*) AS BIGINT) AS n, avg(value) AS mean FROM {EV} GROUP BY event_type
+UNION ALL SELECT 'by_day', CAST(d AS VARCHAR), CAST(count(*) AS BIGINT), avg(value) FROM {EV} GROUP BY d""")
 def q_result_set(spark, sf):
+    """Two named results written as a set; every row is read back."""
     ev = events(spark, sf)
-    res = {"by_type": A.profile(ev, ["event_type"], "value"), "by_day": A.daily(ev, "d", ["value"])}
+    res = {"by_type": A.profile(ev, ["event_type"], "value"), "by_day": A.profile(ev, ["d"], "value")}
     paths = IO.write_result_set(res, IO.scratch_path(spark, "results"))
-    parts = [spark.read.parquet(p).agg(F.count("*").alias("n_rows")).withColumn("name", F.lit(n)) for n, p in paths.items()]
-    return parts[0].unionByName(parts[1]).select("name", "n_rows")
+    keys = {"by_type": "event_type", "by_day": "d"}
+    parts = [spark.read.parquet(p).select(F.lit(n).alias("name"), F.col(keys[n]).cast("string").alias("key"), F.col("n").cast("bigint"), "mean") for n, p in paths.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def _star(spark, sf):
@@ -220,9 +225,10 @@ def q_load_summary(spark, sf):
 
 
 # S2 + F1-F9 + J4/J5: the ingest lifecycle end to end ---------------------------------
-RAW_COLS = ["program", "weekday", "air_date", "start_time", "duration", "rating", "share",
-            "comp_11", "comp_12", "comp_13", "comp_14"]
-_RAW_SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in ("rating", "share") or c.startswith("comp")
+RAW_COLS = ["program", "weekday", "air_date", "start_time", "end_time", "duration", "rating", "share", "viewers_4plus", "reach_4plus",
+            "view_duration", "comp_11", "comp_12", "comp_13", "comp_14"]
+_NUMBERS = ("rating", "share", "viewers_4plus", "reach_4plus")
+_RAW_SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in _NUMBERS or c.startswith("comp")
                                           else T.StringType()) for c in RAW_COLS])
 
 
@@ -235,8 +241,11 @@ def _raw_from_events(spark, sf):
         F.concat(F.lit("user-"), F.col("user_id").cast("string"),
                  F.when(F.col("event_type") == "view", F.lit(" ש.ח")).otherwise(F.lit(""))).alias("program"),
         weekday_name("d").alias("weekday"), F.date_format("d", "yyyy-MM-dd").alias("air_date"), "start_time",
+        F.format_string("%02d:%02d:30", (F.col("h") + 1).cast("int"), F.pmod(mins, F.lit(60))).alias("end_time"),
         F.format_string("%02d:%02d:00", (mins / 60).cast("int"), mins % 60).alias("duration"),
         (F.col("value") / 100).alias("rating"), (F.col("k") / 10).alias("share"),
+        (F.col("value") * 10).alias("viewers_4plus"), (F.col("value") * 25).alias("reach_4plus"),
+        F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.format_string("00:%02d:15", mins % 60)).alias("view_duration"),
         (F.col("k") / 100).alias("comp_11"), (F.col("value") / 200).alias("comp_12"),
         F.when(F.col("event_type") != "error", F.col("k") / 50).alias("comp_13"), F.lit(0.0).alias("comp_14"))
 
@@ -244,6 +253,7 @@ def _raw_from_events(spark, sf):
 _RAW_SQL_SRC = f"""(SELECT 'user-' || user_id || CASE WHEN event_type = 'view' THEN ' ש.ח' ELSE '' END AS program,
   CAST(d AS VARCHAR) AS air_date, printf('%02d:%02d:%02d', h + CASE WHEN h < 2 THEN 24 ELSE 0 END, minute(ts),
   CAST(floor(second(ts)) AS INTEGER)) AS start_time, CAST(floor(value) AS INTEGER) AS mins, value / 100 AS rating,
+  k / 10 AS share, value * 10 AS viewers_4plus, value * 25 AS reach_4plus, event_type = 'error' AS no_view, h,
   k / 100 AS comp_11, value / 200 AS comp_12, CASE WHEN event_type <> 'error' THEN k / 50 END AS comp_13,
   0.0 AS comp_14, d FROM {EV})"""
 _PM4 = ("((coalesce(comp_11, 0) + coalesce(comp_12, 0) + coalesce(comp_13, 0) + coalesce(comp_14, 0)) / "
@@ -254,13 +264,17 @@ _HF = "CAST(floor((CAST(split_part(start_time, ':', 1) AS DOUBLE) * 60 + CAST(sp
 
 def _raw_ingest_sql():
     from ratecast.functions.scalars import STATUS_DEFAULT_HE, STATUS_RULES_HE
+    from ratecast.functions.scalars import WEEKDAYS_HE
     from ratecast.plans.q_aggregates import _DP_SQL
+    _WD = "CASE dayofweek(d) " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WEEKDAYS_HE)) + " END"
     status = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(program, '{n}')" for n in needles) + f" THEN '{lab}'"
                                 for needles, lab in STATUS_RULES_HE) + f" ELSE '{STATUS_DEFAULT_HE}' END"
     sec = ("coalesce((SELECT string_agg(i.name, ' + ' ORDER BY i.ord) FROM " + IV + " i WHERE i.category IN "
            "('security', 'political') AND i.end_date IS NOT NULL AND r.d BETWEEN i.start_date AND i.end_date), '—')")
     return f"""SELECT program, CAST(air_date AS DATE) AS air_date, start_time,
-  ((mins // 60) * 60 + mins % 60) AS duration_min, hf AS start_hour,
+  printf('%02d:%02d:30', CAST(h + 1 AS INTEGER), mins % 60) AS end_time, share, viewers_4plus, reach_4plus,
+  CASE WHEN NOT no_view THEN mins % 60 + 0.25 END AS view_dur_min,
+  CAST({_WD} AS VARCHAR) AS weekday, ((mins // 60) * 60 + mins % 60) AS duration_min, hf AS start_hour,
   {_DP_SQL.replace('h ', 'hf ').replace('h>', 'hf>')} AS daypart,
   coalesce(regexp_matches(program, 'ש\\.ח|לקט'), false) AS is_rerun,
   trim(regexp_replace(program, '\\s*ש\\.ח\\s*$', '')) AS program_source,
@@ -273,8 +287,8 @@ FROM (SELECT *, {_HF} AS hf FROM {_RAW_SQL_SRC}) r"""
 @query("raw_ingest", _raw_ingest_sql())
 def q_raw_ingest(spark, sf):
     """Raw CSV (every event as a broadcast row, text times) -> required-column
-    check -> derived features (F1-F9) -> interval tags.  The banner-line path
-    of the reader is covered by the unit tests."""
+    check over all 15 columns -> derived features (F1-F9) -> interval tags.
+    The banner-line path of the reader is covered by the unit tests."""
     from ratecast.functions import scalars as S
     from ratecast.plans.tables import intervals
     path = IO.write_artifact(_raw_from_events(spark, sf), IO.scratch_path(spark, "raw_broadcasts"), "csv")
@@ -284,6 +298,7 @@ def q_raw_ingest(spark, sf):
     rec = S.reception("air_date", "monthly_clamped")
     out = df.select(
         "program", F.to_date("air_date").alias("air_date"), "start_time",
+        "end_time", "share", "viewers_4plus", "reach_4plus", S.hms_to_minutes("view_duration").alias("view_dur_min"), "weekday",
         S.hms_to_minutes("duration").alias("duration_min"), hf.alias("start_hour"), S.daypart(hf).alias("daypart"),
         S.is_rerun("program").alias("is_rerun"), S.source_name("program").alias("program_source"),
         S.peer_mean(comps).alias("competitors_avg"), S.advantage("rating", comps).alias("advantage"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratecast.operators import joins as J
 from ratecast.operators import stats as ST
-from ratecast.operators.topk import mix_hash_sql
+from ratecast.operators.topk import hash_words_sql
 from ratecast.plans.predictions import PRED_CTE, predictions, split_events
 from ratecast.plans.q_aggregates import _r
 from ratecast.plans.registry import query
@@ -73,14 +73,29 @@ def q_spearman(spark, sf):
 
 
 _B = 1000
-_U = f"(CAST({mix_hash_sql(f'(event_id * {_B} + rep)', 42)} AS DOUBLE) / 4294967296.0)"
+_U = "(CAST(xor(h, h >> 16) AS DOUBLE) / 4294967296.0)"
 _W = "CASE " + " ".join(f"WHEN {_U} < {t!r} THEN {k}" for k, t in enumerate(ST.poisson1_thresholds())) + \
      f" ELSE {len(ST.poisson1_thresholds())} END"
+_M32 = 1 << 32
+
+
+def _rounds_sql(name, start, seed):
+    """CTEs ``name``0 to 2: the rounds of the hash over ``start`` (an expression of a, b and rep, or of h)."""
+    m0, m1, m2 = ST.HASH_MULTIPLIERS
+    return f"""{name}0 AS (SELECT rep, e, b, (({start[1]}) * {m0} + {seed}) % {_M32} AS h FROM {start[0]}),
+{name}1 AS (SELECT rep, e, b, (xor(h, h >> 15) * {m1}) % {_M32} AS h FROM {name}0),
+{name}2 AS (SELECT rep, e, b, (xor(h, h >> 13) * {m2}) % {_M32} AS h FROM {name}1)"""
+
+
+_A, _BW = hash_words_sql("event_id", 42)
 
 
 @query("bootstrap_mae", f"""WITH {PRED_CTE},
-x AS (SELECT event_id, abs(pred_slot - actual) AS e, rep FROM pred, range(1, {_B + 1}) t(rep)),
-xw AS (SELECT rep, e, {_W} AS w FROM x),
+words AS (SELECT {_A} AS a, {_BW} AS b, abs(pred_slot - actual) AS e FROM pred),
+x AS (SELECT words.*, rep FROM words, range(1, {_B + 1}) t(rep)),
+{_rounds_sql('f', ('x', f'(a + rep * {ST.COUNTER_STEP}) % {_M32}'), 42)},
+{_rounds_sql('g', ('f2', 'xor(xor(h, h >> 16), b)'), 43)},
+xw AS (SELECT rep, e, {_W} AS w FROM g2),
 r AS (SELECT rep, sum(w * e) / sum(w) AS mae FROM xw GROUP BY rep)
 SELECT (avg(mae)) AS boot_mean, (quantile_cont(mae, 0.025)) AS ci_low,
   (quantile_cont(mae, 0.975)) AS ci_high, (stddev_pop(mae)) AS std,
@@ -149,8 +164,13 @@ def q_naive_daily(spark, sf):
     return _r(a.unionByName(b).select("model", "mae"))
 
 
-@query("calibration")
+@query("calibration", f"""WITH {PRED_CTE}, p AS (SELECT round(pred_slot, 6) AS pr, actual FROM pred),
+e AS (SELECT list_sort(list_distinct(quantile_cont(pr, [{', '.join(repr(i / 15) for i in range(16))}]))) AS edges FROM p),
+b AS (SELECT CAST(greatest(len(list_filter(edges, lambda z: z < pr)), 1) AS INTEGER) AS bin, pr, actual FROM p, e),
+g AS (SELECT bin, CAST(count(*) AS BIGINT) AS n, avg(pr) AS mean_pred, avg(actual) AS mean_actual, avg(actual) - avg(pr) AS gap FROM b GROUP BY bin)
+SELECT *, bin = (SELECT arg_max(bin, abs(gap)) FROM g) AS is_max_gap FROM g""")
 def q_calibration(spark, sf):
-    """Tolerance check only -- bins sit on interpolated quantile edges,
-    where last-ulp differences between engines move single rows (T25)."""
-    return _r(ST.calibration(predictions(spark, sf), "actual", "pred_slot", 15))
+    """A36.  Predictions are rounded to six digits, so that equal ones are
+    equal in every engine and each edge is one of them or clearly between."""
+    p = predictions(spark, sf).withColumn("pred_slot", F.round("pred_slot", 6))
+    return _r(ST.calibration(p, "actual", "pred_slot", 15))

@@ -21,7 +21,7 @@ def _em_sql(value: str, part: str, name: str) -> str:
 @query("expanding_mean", f"SELECT event_id, user_id, {_em_sql('value', 'user_id', 'lag')} FROM {EV}")
 def q_expanding_mean(spark, sf):
     ev = events(spark, sf)
-    r = W.expanding_mean(ev, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n", chunk=F.col("d"))
+    r = W.expanding_mean(ev, ["user_id"], "value", EV_ORDER, out="lag_mean", out_n="lag_n")
     return r.select("event_id", "user_id", F.col("lag_n").cast("bigint"), measure("lag_mean").alias("lag_mean"))
 
 
@@ -33,7 +33,7 @@ _KEYSETS = {"user": ["user_id"], "slot": ["dow", "h"], "status_hour": ["event_ty
     + f" FROM {EV}")
 def q_lag_features(spark, sf):
     ev = events(spark, sf)
-    r = W.lag_features(ev, ["value", "k"], _KEYSETS, EV_ORDER, chunk=F.col("d"))
+    r = W.lag_features(ev, ["value", "k"], _KEYSETS, EV_ORDER)
     cols = ["event_id"]
     for t in ("value", "k"):
         for n in _KEYSETS:
@@ -66,8 +66,7 @@ def _li_em_sql(value, name):
     + " FROM lineitem)")
 def q_peer_lags(spark, sf):
     li = table(spark, sf, "lineitem")
-    r = W.lag_features(li, [], {"slot": ["l_returnflag", "l_linestatus"]}, _LI_ORDER, peers=_PEERS,
-                       chunk=F.to_date("l_shipdate"))
+    r = W.lag_features(li, [], {"slot": ["l_returnflag", "l_linestatus"]}, _LI_ORDER, peers=_PEERS)
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[measure(f"lag_peer_{p}_mean").alias(f"lag_peer_{p}_mean")
                                                     for p in _PEERS], measure("lag_peers_avg").alias("lag_peers_avg"))
 
@@ -77,7 +76,7 @@ _WU = "(PARTITION BY user_id ORDER BY ts, event_id)"
 
 @query("lags", f"SELECT event_id, lag(value, 1) OVER {_WU} AS lag_1, lag(value, 2) OVER {_WU} AS lag_2 FROM {EV}")
 def q_lags(spark, sf):
-    r = W.lags(events(spark, sf), ["user_id"], "value", EV_ORDER, ks=(1, 2), chunk=F.col("d"))
+    r = W.lags(events(spark, sf), ["user_id"], "value", EV_ORDER, ks=(1, 2))
     return r.select("event_id", "lag_1", "lag_2")
 
 
@@ -87,14 +86,14 @@ _WP = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECED
 @query("ema", f"SELECT event_id, (CASE WHEN count(*) OVER {_WP} > 0 THEN "
               f"list_reduce(list(value) OVER {_WP}, lambda a, x: a * 0.6 + x * 0.4) END) AS ema FROM {EV}")
 def q_ema(spark, sf):
-    r = W.ema(events(spark, sf), ["user_id"], "value", EV_ORDER, span=4, chunk=F.col("d"))
+    r = W.ema(events(spark, sf), ["user_id"], "value", EV_ORDER, span=4)
     return r.select("event_id", measure("ema").alias("ema"))
 
 
 @query("rolling_prev", "SELECT event_id, (avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id "
                        f"ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS rolling_mean FROM {EV}")
 def q_rolling_prev(spark, sf):
-    r = W.rolling_prev(events(spark, sf), ["user_id"], "value", EV_ORDER, n=4, chunk=F.col("d"))
+    r = W.rolling_prev(events(spark, sf), ["user_id"], "value", EV_ORDER, n=4)
     return r.select("event_id", measure("rolling_mean").alias("rolling_mean"))
 
 

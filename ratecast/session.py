@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SCRATCH: list[str] = []
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, computed once: it cuts
+    the lineage, survives lost executors, and later steps read only the
+    columns they use.  ``clear_scratch`` deletes these tables."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` has made in this process, once no
+    result that reads them is wanted any more; returns their number."""
+    jvm, n = spark._jvm, len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

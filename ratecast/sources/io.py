@@ -1,22 +1,22 @@
 """Sources and sinks (survey S1-S19).
 
-Readers stay distributed: a raw CSV is read as text lines (so a banner
-line above the header can be dropped) and parsed per line with
-``from_csv``; only the first two lines are looked at on the driver, to
-find the header.  Scratch output goes under the shared
+Readers stay distributed: only the first two lines of a raw CSV are looked
+at on the driver, to find its header.  Scratch output goes under the shared
 ``spark.checkpoint.dir``, never a machine-local folder.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratecast.operators.aggregates import catalog
 from ratecast.operators.windows import dedupe
 from ratecast.session import ensure_checkpoint_dir
 
@@ -30,29 +30,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # S1, S2 --------------------------------------------------------------------------
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str],
                  header_key: str) -> DataFrame:
-    """Read a raw CSV that may carry one banner line above its header.
-
-    The header is the first line containing ``header_key``; a line before
-    it is a banner and dropped.  Missing required columns raise.  Data
-    lines are parsed with ``from_csv`` against ``schema`` (columns by
-    header position, renamed to the schema)."""
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(2).collect()]
+    """Read raw CSV files that may carry one banner line above their header.
+
+    Records are read, not lines, so a quoted cell may hold line breaks; a
+    file is then one task's work, and a folder of files is read in parallel.
+    The header is the first line whose cells contain ``header_key``; a line
+    before it is a banner.  Both are dropped by their place at the top of
+    each file (all files of a folder have the first one's layout), so data
+    that happen to equal them stay.  Missing required columns raise.  Cells
+    are cast to ``schema`` by column name; one that does not parse is null,
+    and columns that the schema does not name are left out."""
+    head = [next(csv.reader([r.value]), []) for r in spark.read.text(path).limit(2).collect()]
     if not head:
         return spark.createDataFrame([], schema)
-    banner = None if header_key in head[0] else head[0]
-    header_line = head[0] if banner is None else (head[1] if len(head) > 1 else "")
-    cols = [c.strip().strip('"') for c in header_line.split(",")]
+    has_banner = header_key not in [c.strip() for c in head[0]]
+    cells = head[1] if has_banner and len(head) > 1 else head[0]
+    cols = [c.strip().lstrip("\ufeff") for c in cells]
     missing = [c for c in required if c not in cols]
     if missing:
         raise ValueError(f"input is missing required column(s): {missing}")
+    names = [f"_c{i}" for i in range(len(cols))]
+    # header=True drops the first record of each file, whatever it holds
+    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=True, multiLine=True, enforceSchema=True, escape='"', mode="PERMISSIVE")
+    if has_banner:
+        raw = _without_headers(raw, names, cells)
     by_name = {f.name: f for f in schema.fields}
-    parse = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in cols])
-    drop = [header_line] + ([banner] if banner is not None else [])
-    data = lines.where(~F.col("value").isin(drop) & (F.length(F.trim("value")) > 0))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parse.fields)
-    parsed = data.select(F.from_csv("value", ddl, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]"}).alias("r"))
-    return parsed.select(*[F.col(f"r.`{c}`").alias(c) for c in cols if c in by_name])
+    return raw.select(*[F.col(n).try_cast(by_name[c].dataType).alias(c) for n, c in zip(names, cols) if c in by_name])
+
+
+def _without_headers(raw: DataFrame, names: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """Rows without the first of each file that equals the header.  Only rows
+    that equal it are numbered by file; a file's rows lie in order in one
+    partition, so their running ids rise."""
+    like = F.lit(True)
+    for n, c in zip(names, cells):
+        like = like & F.col(n).eqNullSafe(F.lit(c if c != "" else None))
+    rows = raw.select(*names, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"), like.alias("_like"))
+    first = F.row_number().over(Window.partitionBy("_file").orderBy("_id")) > 1
+    again = rows.where("_like").withColumn("_again", first).where("_again").drop("_again")
+    return rows.where("NOT _like").unionByName(again).select(*names)
 
 
 def read_joined(fact: DataFrame, dim: DataFrame, on: Sequence[str], project: dict[str, str],
@@ -93,7 +109,7 @@ def write_artifact(df: DataFrame, path: str, fmt: str = "csv", mode: str = "erro
     """One artifact; ``errorifexists`` refuses to overwrite."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
+        w.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
     else:
         w.format(fmt).save(path)
     return path
@@ -116,10 +132,9 @@ def load_star(df: DataFrame, name: str, source: str, date: str, time: str, arriv
     count, first values) and a fact table keyed by it, deduplicated keep
     first on (date, time-of-day mod 24, program)."""
     from ratecast.functions.scalars import time_of_day
-    progs = (df.groupBy(name).agg(F.min(F.to_date(date)).alias("first_aired"), F.max(F.to_date(date)).alias("last_aired"),
-                                  F.count("*").alias("n_broadcasts"),
-                                  F.min_by(source, F.struct(*[F.col(c) for c in arrival])).alias("source_name"))
-             .withColumn("id", F.md5(F.col(name).cast("string"))))
+    progs = catalog(df, name, date, [source], arrival).withColumnsRenamed(
+        {"first_date": "first_aired", "last_date": "last_aired", "n": "n_broadcasts", f"first_{source}": "source_name"})
+    progs = progs.withColumn("id", F.md5(F.col(name).cast("string")))
     facts = df.withColumn("program_id", F.md5(F.col(name).cast("string"))).withColumn("tod", time_of_day(time))
     facts = dedupe(facts.withColumn("_d", F.to_date(date)), ["_d", "tod", "program_id"], arrival, keep="first")
     return progs, facts.drop("_d")

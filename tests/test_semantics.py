@@ -29,9 +29,9 @@ def _ts(day, hour=12):
 def test_t1_expanding_mean_counts_nulls(spark):
     rows = [(1, "a", _ts(1), 1.0), (2, "a", _ts(2), None), (3, "a", _ts(3), 3.0), (4, "a", _ts(4), 5.0)]
     df = _ev(spark, rows)
-    for chunk in (None, F.to_date("ts")):
+    for rows_per_piece in (W.KEY_ROWS, 1):
         r = {x.id: (x.lag_n, x.lag_mean) for x in
-             W.expanding_mean(df, ["k"], "v", ["ts", "id"], chunk=chunk).collect()}
+             W.expanding_mean(df, ["k"], "v", ["ts", "id"], rows_per_piece=rows_per_piece).collect()}
         # pandas: (cumsum - v) / cumcount with nulls counted, null current -> null
         assert r[1] == (0, None)
         assert r[2][1] is None
@@ -39,7 +39,7 @@ def test_t1_expanding_mean_counts_nulls(spark):
         assert abs(r[4][1] - 4.0 / 3.0) < 1e-12
 
 
-def test_running_totals_chunked_equals_plain_for_hot_key(spark):
+def test_running_totals_in_pieces_equal_plain_for_hot_key(spark):
     rng = np.random.default_rng(1)
     n = 3000
     keys = np.where(rng.random(n) < 0.6, "hot", rng.choice(["b", "c", "d"], n))
@@ -48,7 +48,7 @@ def test_running_totals_chunked_equals_plain_for_hot_key(spark):
                         "v": rng.normal(size=n)})
     df = spark.createDataFrame(pdf)
     a = W.expanding_mean(df, ["k"], "v", ["ts", "id"]).select("id", "lag_mean", "lag_n")
-    b = W.expanding_mean(df, ["k"], "v", ["ts", "id"], chunk=F.to_date("ts")).select("id", "lag_mean", "lag_n")
+    b = W.expanding_mean(df, ["k"], "v", ["ts", "id"], rows_per_piece=200).select("id", "lag_mean", "lag_n")
     pa = a.toPandas().sort_values("id").reset_index(drop=True)
     pb = b.toPandas().sort_values("id").reset_index(drop=True)
     assert (pa["lag_n"] == pb["lag_n"]).all()
@@ -248,6 +248,79 @@ def test_read_raw_csv_banner_and_required(spark, tmp_path):
         assert "share" in str(e)
 
 
+def test_raw_csv_records_may_hold_line_breaks_and_equal_the_header(spark, tmp_path):
+    from ratecast.sources import io as IO
+    banner, header = 'Report, made "today"', "program,air_date,rating"
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text(f'{banner}\n{header}\n"News\nat ""nine"", late",2026-02-28,0.44\n\n{header}\n')
+    (folder / "b.csv").write_text(f"{banner}\n{header}\nLate,not a date,x\n{banner}\n")
+    schema = T.StructType([T.StructField("program", T.StringType()), T.StructField("air_date", T.DateType()), T.StructField("rating", T.DoubleType())])
+    got = sorted(tuple(r) for r in IO.read_raw_csv(spark, str(folder), schema, ["program", "rating"], "program").collect())
+    # the second header of a.csv and the second banner of b.csv are data
+    want = [("Late", None, None), ('News\nat "nine", late', dt.date(2026, 2, 28), 0.44), ("Report", None, None), ("program", None, None)]
+    assert [r[0] for r in got] == [r[0] for r in want] and got[0] == want[0] and got[1] == want[1] and got[3] == want[3]
+    plain = tmp_path / "plain.csv"
+    plain.write_text(f"{header}\nNews,2026-02-28,0.5\n{header}\n")
+    assert sorted(tuple(r) for r in IO.read_raw_csv(spark, str(plain), schema, ["program"], "program").collect()) == [
+        ("News", dt.date(2026, 2, 28), 0.5), ("program", None, None)]
+
+
+def test_feed_items_of_rss_rdf_and_broken_text(spark):
+    today = dt.date(2026, 3, 1)
+    item = "<item><title> {} </title><pubDate>{}</pubDate></item>"
+    feeds = [
+        "<rss><channel><title>feed</title>" + item.format("A &amp; B", "Tue, 05 Mar 2024 23:30:00 +0200") + "<item><title>   </title></item>"
+        + "<item><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate></item>" + "<item><title><![CDATA[x <y>]]></title></item>" + item.format("C", "soon") + "</channel></rss>",
+        "<rdf><channel><title>t</title></channel>" + item.format("D", "7 Apr 2024 01:00:00") + item.format("E", "") + "</rdf>",
+        "<rss><channel>" + item.format("F", "") + "<item>", "", None, "no xml", "<rss><channel></channel></rss>"]
+    df = spark.createDataFrame(list(enumerate(feeds)), "i int, x string")
+    got = {r.i: [tuple(x) for x in r.f or []] for r in df.select("i", X.feed_items("x", "2026-03-01").alias("f")).collect()}
+    assert got == {0: [("A & B", dt.date(2024, 3, 5)), ("x <y>", today), ("C", today)], 1: [("D", dt.date(2024, 4, 7)), ("E", today)],
+                   2: [], 3: [], 4: [], 5: [], 6: []}
+    two = df.select(X.feed_items("x", "2026-03-01", limit=2).alias("f")).where("f is not null").first().f
+    assert [x.title for x in two] == ["A & B", "x <y>"]
+
+
+def test_hash_tells_keys_apart_that_differ_in_high_bits(spark):
+    ids = sorted({5 + j * 2 ** 29 for j in range(50)} | {5 + j * 2 ** 32 for j in range(50)} | {-1, -(2 ** 40)})
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    h = [r.h for r in df.select(K.mix_hash(F.col("id"), 42).alias("h")).collect()]
+    assert len(set(h)) == len(ids) and min(h) >= 0
+    from ratecast.operators import stats as ST
+    words = df.select(*[w.alias(n) for w, n in zip(ST.hash_words(F.col("id"), 42), "ab")]).toPandas().to_numpy().astype(np.uint64)
+    w = ST.replicate_weights(words[:, 0], words[:, 1], 4000, 42)
+    assert len({tuple(r) for r in w}) == len(ids) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03
+
+
+def test_dedupe_has_no_sort_aggregate(spark):
+    df = spark.createDataFrame([(1, "a", None, 2), (1, "b", 5, 1), (1, "c", 5, 3), (None, "d", 1, 1), (None, "e", None, 9)], "k int, s string, a int, i int")
+    for keep, want in (("last", {(1, "c"), (None, "d")}), ("first", {(1, "a"), (None, "e")})):
+        r = W.dedupe(df, ["k"], ["a", "i"], keep)
+        assert {(x.k, x.s) for x in r.collect()} == want
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
+def test_column_profile_edge_columns(spark):
+    rows = [(1.0, "x", True, None), (-0.0, "y", None, None), (0.0, "y", False, None), (None, None, True, None)]
+    got = {r.column: r for r in A.column_profile(spark.createDataFrame(rows, "v double, s string, b boolean, n int")).collect()}
+    v, s, b, n = (got[c] for c in "vsbn")
+    assert (v.n_unique, v.n_missing, v.min, v.median, v.max) == (2, 1, 0.0, 0.0, 1.0) and abs(v.std - np.std([1, 0, 0], ddof=1)) < 1e-12
+    assert (s.n_unique, s.n_missing, s.top_values, s.mean) == (2, 1, "y (2), x (1)", None)
+    assert (b.n_unique, round(b.true_share, 6)) == (2, round(2 / 3, 6)) and (n.n_unique, n.n_missing, n.median) == (0, 4, None)
+
+
+def test_isolation_forest_draws_bounded_samples(spark):
+    from ratecast.operators import anomaly as AN
+    rows = spark.range(40_000).select(F.col("id").alias("_id"))
+    drawn = AN.draw_trees(rows, 40_000, "_id", 50, 64, 42).groupBy("_tree").agg(F.count("*").alias("n"), F.countDistinct("_id").alias("u")).collect()
+    assert sorted(r._tree for r in drawn) == list(range(50))
+    assert all(r.n == r.u and 100 < r.n < 300 for r in drawn) and abs(np.mean([r.n for r in drawn]) - 192) < 10
+    few = AN.draw_trees(rows.limit(20), 20, "_id", 5, 64, 42)
+    assert few.count() == 100
+
+
 def test_constraint_report_counts(spark):
     from ratecast.sources import io as IO
     parent = spark.createDataFrame([(1,), (2,)], "pk long")
@@ -281,11 +354,10 @@ def test_halo_windows_equal_plain_windows_on_hot_key(spark):
                         "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(days * 86400 + rng.integers(0, 86400, n), unit="s"),
                         "v": rng.normal(size=n)})
     df = spark.createDataFrame(pdf)
-    ch = F.to_date("ts")
     order = ["ts", "id"]
     plain = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5)), ["k"], "v", order), ["k"], "v", order)
-    halo = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5), chunk=ch), ["k"], "v", order, chunk=ch),
-                          ["k"], "v", order, chunk=ch)
+    halo = W.rolling_prev(W.ema(W.lags(df, ["k"], "v", order, (1, 2, 5), rows_per_piece=60), ["k"], "v", order, rows_per_piece=60),
+                          ["k"], "v", order, rows_per_piece=60)
     a = plain.toPandas().sort_values("id").reset_index(drop=True)
     b = halo.toPandas().sort_values("id").reset_index(drop=True)
     assert len(a) == len(b) == n
@@ -293,7 +365,7 @@ def test_halo_windows_equal_plain_windows_on_hot_key(spark):
         assert np.allclose(a[c].fillna(-999), b[c].fillna(-999)), c
 
 
-def test_salted_asof_equals_unsalted(spark):
+def test_asof_totals_equal_brute_force(spark):
     from ratecast.operators import pointintime as PT
     rng = np.random.default_rng(3)
     hist = pd.DataFrame({"k": rng.choice(["hot", "x"], 500, p=[0.9, 0.1]),
@@ -302,24 +374,48 @@ def test_salted_asof_equals_unsalted(spark):
     req = pd.DataFrame({"request_id": np.arange(300), "k": rng.choice(["hot", "x", "new"], 300),
                         "target": pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, 45, 300), unit="D")})
     h, r = spark.createDataFrame(hist), spark.createDataFrame(req)
-    tot = PT.daily_totals(h, ["k"], "d", "v")
-    at = F.date_sub(F.to_date("target"), 1)
-    a = PT.asof(r, tot, ["k"], at, "p_", salt=1).toPandas().sort_values("request_id").reset_index(drop=True)
-    b = PT.asof(r, tot, ["k"], at, "p_", salt=4).toPandas().sort_values("request_id").reset_index(drop=True)
-    assert (a["p_cn"] == b["p_cn"]).all() and np.allclose(a["p_cs"], b["p_cs"])
-    # brute force: count of history rows of the key dated before the target
-    exp = [int(((hist.k == k) & (hist.d < t)).sum()) for k, t in zip(req.k, req.target)]
-    assert list(a["p_cn"]) == exp
+    asks = r.select("k", F.to_date("target").alias("_t")).distinct()
+    got = {(x.k, x._t): x for x in PT.asof_totals(asks, PT.daily_totals(h, ["k"], "d", "v"), ["k"], 7).collect()}
+    for k, t in zip(req.k, req.target):
+        x, past = got[k, t.date()], hist[(hist.k == k) & (hist.d < t)]
+        near = past[past.d >= t - pd.Timedelta(days=7)]
+        assert (x.all_n, x.rec_n) == (len(past), len(near))
+        assert abs(x.all_s - past.v.sum()) < 1e-9 and abs(x.rec_q - (near.v ** 2).sum()) < 1e-9
+
+
+def test_point_in_time_falls_back_to_all_history(spark):
+    """Fewer than ``min_rows`` rows in the look-back: the whole past counts; an empty key takes its mean."""
+    from ratecast.operators import pointintime as PT
+    hist = [("a", dt.date(2024, 1, 1), 1.0), ("a", dt.date(2024, 3, 1), 5.0), (None, dt.date(2024, 3, 2), 9.0), ("b", dt.date(2024, 3, 3), None)]
+    req = [(1, "a", dt.date(2024, 3, 5)), (2, "b", dt.date(2024, 3, 5)), (3, None, dt.date(2024, 3, 5)), (4, "a", dt.date(2023, 1, 1)), (5, "a", None)]
+    h = spark.createDataFrame(hist, "k string, d date, v double")
+    r = spark.createDataFrame(req, "request_id long, k string, target date")
+    for min_rows, want in ((2, {1: (1, 5.0), 2: (0, 7.0), 3: (1, 9.0), 4: (0, None), 5: (0, None)}),
+                           (3, {1: (2, 3.0), 2: (0, 5.0), 3: (1, 9.0), 4: (0, None), 5: (0, None)})):
+        got = PT.point_in_time(r, h, {"k": (["k"], ["k"])}, "target", "d", "v", days=10, min_rows=min_rows).collect()
+        assert {x.request_id: (x.lag_k_n, x.lag_k_mean) for x in got} == want
+
+
+def test_count_since_start_equals_brute_force(spark):
+    from ratecast.operators import intervals as I
+    rng = np.random.default_rng(8)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=int(i))
+    rows = [(i, "ab"[i % 2], day(rng.integers(0, 30)), None if i % 5 == 0 else day(rng.integers(-5, 32))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, d date, event_start date")
+    got = I.count_since_start(df, ["k"], "d")
+    assert "BroadcastNestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        assert r.n_since_start == (0 if r.event_start is None else sum(k == r.k and r.event_start <= d <= r.d for _, k, d, _ in rows))
 
 
 def test_null_keys_keep_their_history_across_chunks(spark):
     rows = [(None, day, i, float(10 * day + i)) for day in (1, 2, 3) for i in range(2)]
     df = spark.createDataFrame(rows, "k string, d int, i int, v double")
-    for chunk in (None, F.col("d")):
-        r = W.expanding_mean(df, ["k"], "v", ["d", "i"], chunk=chunk).orderBy("d", "i").collect()
+    for rows_per_piece in (W.KEY_ROWS, 2):
+        r = W.expanding_mean(df, ["k"], "v", ["d", "i"], rows_per_piece=rows_per_piece).orderBy("d", "i").collect()
         assert [x.lag_n for x in r] == [0, 1, 2, 3, 4, 5]
         assert r[2].lag_mean == 10.5
-        lag = W.lags(df, ["k"], "v", ["d", "i"], (1,), chunk=chunk).orderBy("d", "i").collect()
+        lag = W.lags(df, ["k"], "v", ["d", "i"], (1,), rows_per_piece=rows_per_piece).orderBy("d", "i").collect()
         assert [x.lag_1 for x in lag] == [None, 10.0, 11.0, 20.0, 21.0, 30.0]
 
 
@@ -330,8 +426,48 @@ def test_ema_of_a_long_span_is_the_full_recursion(spark):
     for x in v[1:]:
         want.append(e)
         e = e * (1 - 2 / 201) + x * 2 / 201
-    got = [r.ema for r in W.ema(df, ["k"], "v", ["i"], span=200, chunk=F.col("c")).orderBy("i").collect()]
-    assert got[0] is None and all(abs(a - b) < 1e-9 for a, b in zip(got[1:], want[1:]))
+    for rows_per_piece in (W.KEY_ROWS, 70):
+        got = [r.ema for r in W.ema(df, ["k"], "v", ["i"], span=200, rows_per_piece=rows_per_piece).orderBy("i").collect()]
+        assert got[0] is None and all(abs(a - b) < 1e-9 for a, b in zip(got[1:], want[1:]))
+
+
+def test_ema_scan_with_nulls_and_any_span(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[int(rng.random() < 0.2)], None if rng.random() < 0.3 else float(rng.normal(50, 20))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, k string, v double")
+    for span in (1, 1.5, 3, 30):
+        a, state, want = 2 / (span + 1), {}, {}
+        for i, k, v in rows:
+            before = state.get(k)
+            if v is not None:
+                state[k] = v if before is None else before * (1 - a) + v * a
+            want[i] = (before, state.get(k))
+        for rows_per_piece in (W.KEY_ROWS, 100):
+            x = W.ema(df, ["k"], "v", ["i"], span=span, rows_per_piece=rows_per_piece)
+            x = W.ema(x, ["k"], "v", ["i"], span=span, out="own", inclusive=True, rows_per_piece=rows_per_piece)
+            for r in x.collect():
+                for got, true in zip((r.ema, r.own), want[r.i]):
+                    assert (got is None) == (true is None) and (true is None or abs(got - true) < 1e-9 * abs(true) + 1e-12)
+
+
+def test_a_hot_key_and_day_is_cut(spark):
+    """All rows in one key and one instant: no window task holds more than a piece."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("id"), (F.col("id") % 7).cast("double").alias("v"))
+    r = W.expanding_mean(df, ["k"], "v", ["ts", "id"], rows_per_piece=1000)
+    lag = W.lags(df, ["k"], "v", ["ts", "id"], (1,), rows_per_piece=1000)
+    ema = W.ema(df, ["k"], "v", ["ts", "id"], rows_per_piece=1000)
+    light, heavy = W.split_heavy(df, ["k"], 1000)
+    assert light.count() == 0
+    pieces = W.key_pieces(heavy, ["k"], ["ts", "id"], 1000).groupBy("_piece").count().collect()
+    assert sum(p["count"] for p in pieces) == 20_000 and max(p["count"] for p in pieces) <= 2000
+    want, total, e = {}, 0.0, None
+    for i in range(20_000):
+        want[i] = (total / i if i else None, float((i - 1) % 7) if i else None, e)
+        total += i % 7
+        e = float(i % 7) if e is None else e * 0.6 + (i % 7) * 0.4
+    near = lambda a, b: (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    assert all(near(x.lag_mean, want[x.id][0]) and x.lag_n == x.id for x in r.collect())
+    assert all(x.lag_1 == want[x.id][1] for x in lag.collect()) and all(near(x.ema, want[x.id][2]) for x in ema.collect())
 
 
 def test_weekdays_sunday_first_and_confidence(spark):
