@@ -14,7 +14,10 @@ star is the smallest fingerprint that near; its edges are again all links.
 The variant space is cut into rounds by a linear syndrome (a parity of the
 variant's bits, which tells from a fingerprint's and a mask's own syndrome),
 so each round generates only its own variants and the disk holds one
-round's shuffle.  Variants travel in packed blocks, one per target bucket.
+round's shuffle: at most ``ROUND_VARIANTS``, or on large tables
+``ROUND_SHARE`` per fingerprint.  Variants travel in packed blocks, one per
+target bucket; emitting and meeting tasks are both sized by variants, and
+their number grows with them.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any
 other; a null id is never a representative unless a whole component has
@@ -32,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecast.llm.common import Scratch, components, partitions, row_key, slices, text_bytes
+from ratecast.llm.common import Scratch, components, mix, partitions, row_key, slices, text_bytes
 
 SEED = 42
-ROUND_VARIANTS = 64_000_000    # variants shuffled at once, until MAX_ROUNDS is reached
-MAX_ROUNDS = 16
-TASK_VARIANTS = 3_000_000
-_SYNDROME = [0x9D3C5A7E1B4F8263, 0x6A95D4C3B2E1F087, 0x35C6E9178DA2F4B1, 0xF1078E3D5C9B2A64]
+ROUND_VARIANTS = 64_000_000    # variants shuffled at once,
+ROUND_SHARE = 64               # or as many per fingerprint, if that is more
+TASK_VARIANTS = 1_000_000      # that meet in one task, about
+SLICE_VARIANTS = 500_000       # generated at a time
+_SYNDROME = mix(np.arange(1, 17, dtype=np.uint64))  # masks of the parities: any linearly independent ones
 
 
 def _prints(words_per_text: list[list[bytes]], k: int) -> np.ndarray:
@@ -96,7 +100,7 @@ def masks(radius: int) -> np.ndarray:
 def _parity(x: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(len(x), np.int64)
     for i in range(bits):
-        out |= (np.bitwise_count(x & np.uint64(_SYNDROME[i])) & 1).astype(np.int64) << i
+        out |= (np.bitwise_count(x & _SYNDROME[i]) & 1).astype(np.int64) << i
     return out
 
 
@@ -109,7 +113,7 @@ def _emit(fps: np.ndarray, ball: np.ndarray, bits: int, turn: int, shift: int):
         f.append(np.repeat(some, len(which)))
         m.append(np.tile(which, len(some)))
     f, m = np.concatenate(f), np.concatenate(m)
-    bucket = (((f ^ ball[m]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.uint16)
+    bucket = (((f ^ ball[m]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     bucket, f, m = bucket[order], f[order], m[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
@@ -138,19 +142,21 @@ def ball_edges(prints: DataFrame, distance: int, store: Scratch) -> DataFrame:
     spark = prints.sparkSession
     ball = masks(-(-distance // 2))
     near = len(masks(distance // 2))
-    total = prints.count() * len(ball)
-    bits = 0
-    while total >> bits > ROUND_VARIANTS and 1 << bits < MAX_ROUNDS:
+    n = prints.count()
+    total, bits = n * len(ball), 0
+    while total >> bits > max(ROUND_VARIANTS, ROUND_SHARE * n):
         bits += 1
     tasks = partitions(spark, total >> bits, TASK_VARIANTS)
-    width = max(8, min(16, (4 * tasks - 1).bit_length()))
+    width = min(31, max(8, (4 * tasks - 1).bit_length()))
+    some = max(1, SLICE_VARIANTS // max(1, len(ball) >> bits))
+    dealt = prints.select("fp").repartition(tasks, "fp")
 
     def emit(turn):
         def run(batches):
             for batch in batches:
                 fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for i in range(0, len(fps), 4096):
-                    rows = list(_emit(fps[i:i + 4096], ball, bits, turn, 64 - width))
+                for i in range(0, len(fps), some):
+                    rows = list(_emit(fps[i:i + some], ball, bits, turn, 64 - width))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
                                                           pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "f", "m"])
@@ -169,7 +175,7 @@ def ball_edges(prints: DataFrame, distance: int, store: Scratch) -> DataFrame:
 
     found = None
     for turn in range(1 << bits):
-        packed = prints.select("fp").mapInArrow(emit(turn), "bucket int, f binary, m binary")
+        packed = dealt.mapInArrow(emit(turn), "bucket int, f binary, m binary")
         edges = store.write(packed.repartition(tasks, "bucket").mapInArrow(meet, "a long, b long"), f"edges{turn}")
         found = edges if found is None else found.unionByName(edges)
     return found
