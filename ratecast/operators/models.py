@@ -84,13 +84,10 @@ def fit_vectors(est, vectors: DataFrame):
 
 
 def side_by_side(job: Callable, items: Sequence, at_once: int) -> list:
-    """``job`` of each item, ``at_once`` Spark jobs at a time, in order of the
-    items; the threads carry the session's job settings."""
+    """``job`` of each item, ``at_once`` at a time, in order of the items."""
     from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
     with ThreadPoolExecutor(max(1, at_once)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job), x) for x in items]]
+        return [f.result() for f in [pool.submit(job, x) for x in items]]
 
 
 # M4-M6 ---------------------------------------------------------------------------
