@@ -3,7 +3,8 @@
 The byte-level vocabularies split a text before merging, and no split token
 reaches over the point before a single blank between two other characters
 that are no white space.  A text is cut at these points, each distinct unit
-is encoded once by the library, and a worker remembers units it has seen.
+is encoded once by the library, and a worker remembers units it has seen in
+a bounded memory; of a full one the newer half and the units at hand stay.
 A text that holds a special token's own string is encoded as a whole.
 """
 
@@ -12,12 +13,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-MEMO_MAX = 500_000  # units a worker remembers; a full memory keeps those of the texts at hand
+MEMO_MAX = 300_000      # entries of each of a worker's two memories, some 260 bytes each
+RUN_BYTES = 2_000_000   # of texts encoded together
 _ENCODERS: dict = {}
 
 # The split of the byte-level vocabularies, and the characters
@@ -43,6 +47,15 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def thinned(memory: dict[str, bytes], wanted) -> dict[str, bytes]:
+    """The memory, or of a full one the newer half and what is ``wanted``."""
+    if len(memory) <= MEMO_MAX:
+        return memory
+    newer = dict(islice(memory.items(), len(memory) // 2, None))
+    newer.update((u, memory[u]) for u in wanted if u in memory)
+    return newer
+
+
 class Encoder:
     """Ids as little-endian bytes of the narrower of 16 and 32 bits that holds the vocabulary."""
 
@@ -79,8 +92,7 @@ class Encoder:
 
     def _merge(self, pieces: list[str]) -> dict[str, bytes]:
         """A table that holds the ids of these pieces of the split."""
-        if len(self.pieces) > MEMO_MAX:
-            self.pieces.clear()
+        self.pieces = thinned(self.pieces, ())
         known, merge, code = self.pieces, self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         for p in set(pieces).difference(known):
             known[p] = array(code, [t.id for t in merge(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
@@ -117,9 +129,7 @@ class Encoder:
         units: set[str] = set()
         for p in parts:
             units.update(p[1:])
-        known = self.after_blank
-        if len(known) > MEMO_MAX:
-            known = self.after_blank = {u: known[u] for u in units if u in known}
+        known = self.after_blank = thinned(self.after_blank, units)
         new = units.difference(known)
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
         self._learn(list(new - odd))
@@ -143,15 +153,14 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def batches_of_texts(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
-    """(first row, texts) of a batch in runs of at most ``most`` characters; null is empty."""
-    run, first, held = [], 0, 0
-    for i, t in enumerate(batch.column(column).to_pylist()):
-        t = t or ""
-        if run and held + len(t) > most:
-            yield first, run
-            run, first, held = [], i, 0
-        run.append(t)
-        held += len(t)
-    if run:
-        yield first, run
+def batches_of_texts(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES):
+    """(first row, texts) of a batch in runs of at most ``most`` bytes (a longer
+    text stands alone); null is empty.  Only one run is held as strings."""
+    texts = batch.column(column)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate([*size.tolist(), most + 1]):
+        if i > first and held + n > most:
+            yield first, [t or "" for t in texts.slice(first, i - first).to_pylist()]
+            first, held = i, 0
+        held += n

@@ -11,6 +11,8 @@ last, which makes a pattern with a number of bins.  Spark then places the
 pieces: the n-th piece of a length takes the n-th slot of that length.
 Ranks of a length are kept per input partition while encoding and offset
 by sums over partitions, so no length, however hot, is sorted in one task.
+Only a piece's length and rank go to the function that places it; its ids
+are written once, while encoding.
 
 Defined cases: a null or empty text is one piece with the end id alone;
 repeated rows are packed each; ties between pairs go to the pair with the
@@ -21,6 +23,7 @@ longest piece; an empty table gives an empty result.  Only ``doc_id`` and
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ from ratecast.llm.tokens import batches_of_texts, encoder
 
 CAPACITY = 2048
 END = 0
-BROADCAST_ROWS = 1_000_000  # counts per part and length (three numbers each) up to which they are broadcast
+BROADCAST_ROWS = 200_000  # counts per part and length (three numbers each, some 10 MB) up to which they are broadcast
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -153,28 +156,25 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for size, a, b, s, o in table:
         by_length.setdefault(size, []).append((a, b, s, o))
 
-    names = [c for c in cut.columns if c not in ("part", "nth")]
-    schema = ", ".join([*(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in names), "sequence_id long", "offset long"])
     ready = {size: tuple(np.array(x, dtype=np.int64) for x in zip(*rows)) for size, rows in by_length.items()}
     shared = spark.sparkContext.broadcast(ready)  # at most a slot per pattern and place: bounded by the lengths
 
-    def run(batches):
-        by = shared.value
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("__rank")).to_numpy()
-            seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            for size in np.unique(length):
-                here = np.flatnonzero(length == size)
-                first, _, sequence, offset = by[int(size)]
-                i = np.searchsorted(first, rank[here], side="right") - 1
-                seq[here] = sequence[i] + rank[here] - first[i]
-                off[here] = offset[i]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        by, length, rank = shared.value, length.to_numpy(), rank.to_numpy()
+        seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for size in np.unique(length):
+            here = np.flatnonzero(length == size)
+            first, _, sequence, offset = by[int(size)]
+            i = np.searchsorted(first, rank[here], side="right") - 1
+            seq[here] = sequence[i] + rank[here] - first[i]
+            off[here] = offset[i]
+        return pd.DataFrame({"sequence_id": seq, "offset": off})
 
+    names = [c for c in cut.columns if c not in ("part", "nth")]
     ranked = cut.join(before, (F.col("length") == F.col("__l")) & (F.col("part") == F.col("__p")))
-    return ranked.withColumn("__rank", F.col("nth") + F.col("__before")).select(*names, "__rank").mapInArrow(run, schema)
+    found = ranked.select(*names, placed("length", F.col("nth") + F.col("__before")).alias("__at"))
+    return found.select(*names, "__at.sequence_id", "__at.offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
