@@ -1,8 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
 Features of every whole text feed a logistic score that is fitted on a
-bounded sample of the labelled documents.  The rest of the labelled
-documents is the holdout: in each stratum (language) the score cutoff
+bounded sample of the labelled documents.  Copies are no independent draws,
+so the labelled documents are first grouped by SimHash near-duplicate
+components: a component lies on one side of the split as a whole, and each
+side takes one document of it.  One half is fitted on, the other half is
+the holdout: in each stratum (language) the score cutoff
 rises along a fixed grid for as long as the exact (Clopper-Pearson) upper
 bound on the share of good documents falling below it stays within
 ``max_false_rejection``.  The level ``delta`` is divided by the number of
@@ -25,8 +28,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ratecast.llm import simhash_ball
 from ratecast.llm.common import Scratch, gram_hashes, row_key, slices, text_bytes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -159,6 +164,21 @@ def choose_cutoff(bins: np.ndarray, good: np.ndarray, max_rate: float, delta: fl
     return last
 
 
+def grouped(docs: DataFrame, known: DataFrame, truth: DataFrame) -> DataFrame:
+    """The labelled rows with ``unit``, their near-duplicate component, and
+    ``half``, its side of the split."""
+    some = docs.join(truth.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    units = simhash_ball.near_duplicates(some).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("root").alias("unit")).distinct()
+    rows = known.join(units, (known.doc_id == F.col("__id")) & (known.key == F.col("__key"))).drop("__id", "__key")
+    return rows.withColumn("half", F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(2)))
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row per unit and stratum, drawn by hash (limited before the shuffle, so a large unit never meets whole)."""
+    w = W.partitionBy("unit", "stratum").orderBy(F.xxhash64("doc_id", "key", F.lit(5)), "doc_id", "key")
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = 0.01,
                   delta: float = 0.05, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document with its counts, ``base_failed``, ``score_bin``,
@@ -168,10 +188,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
     table = store.write(features(docs, stratum), "features")
     truth = (labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
              .where("doc_id is not null"))
-    known = store.write(table.join(truth, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))),
-                        "known")
+    known = store.write(grouped(docs, table.join(truth, "doc_id"), truth), "known")
     draw = F.xxhash64("doc_id", F.lit(11))
-    first = known.where("half = 0")
+    first = one_of_each(known.where("half = 0"))
     n = first.count()
     if n > 2 * train_rows:  # thinned before it is ordered, so that few rows beyond the bound reach the driver
         first = first.where(F.pmod(draw, F.lit(1 << 31)) < int((1 << 31) * 2 * train_rows / n))
@@ -184,7 +203,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
     bin_ = F.least(F.greatest(F.floor((logit + 10) * (BINS / 20)), F.lit(0)), F.lit(BINS)).cast("int")
 
     strata = table.select("stratum").distinct().count()
-    hold = (known.where("half = 1 and good = 1").groupBy("stratum", bin_.alias("bin")).agg(F.count("*").alias("n")))
+    hold = (one_of_each(known.where("half = 1 and good = 1")).groupBy("stratum", bin_.alias("bin")).agg(F.count("*").alias("n")))
     level = delta / max(strata, 1)
 
     def cut(pdf):
