@@ -14,13 +14,16 @@ place is a full diagonal.  Of the longer templates a span names the label
 with its coverage as score; a phrase's score is 1.
 
 Defined cases: null and empty texts have no words, no label and score 0;
-repeated rows get equal results; of overlapping spans of one template the
-longer counts; an empty table gives an empty result; only ``doc_id`` and
+repeated rows get equal results; of the longer templates' spans that overlap
+by more than half the one with the most words in common counts; a phrase or
+template of fewer than ``k`` words is refused; an empty table gives an empty result; only ``doc_id`` and
 ``text`` are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,21 +39,69 @@ BROADCAST_ROWS = 500_000  # candidate diagonals up to which they are broadcast t
 
 # The phrases that must stand word for word, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Longer templates, from the public licences' own words.
+# Longer templates, the words of public licences and of the notices that name them.
 TEMPLATES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the rights "
+            "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+            "the software is furnished to do so subject to the following conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
             "documentation files the software to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
+            "of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders "
+            "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or "
+            "in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+            "that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+            "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or "
+            "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+            "negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+            "disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but "
+            "not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event "
+            "shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential "
+            "damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+            "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence "
+            "or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+              "derived from this software without specific prior written permission"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+                 "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+                 "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+                 "conditions of any kind either express or implied see the license for the specific language governing permissions and "
+                 "limitations under the license"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+            "published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
             "free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-            "following conditions are met"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+            "merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+             "license as published by the free software foundation"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free "
+             "software foundation"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+              "with this file you can obtain one at http mozilla org mpl 2 0"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile "
+                  "sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non "
+                  "commercial and by any means"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
 )
 
 # lower case, and a blank for all that is no digit, letter or beyond ASCII
@@ -132,7 +183,7 @@ def verify(words: list[bytes], found: list[tuple[int, int, int, int]], known, k:
     by: dict[int, list] = {}
     for t, *rest in found:
         by.setdefault(t, []).append(tuple(rest))
-    out = []
+    out, longer = [], []
     for t, diagonals in sorted(by.items()):
         _, template, exact = known[t]
         size = len(template)
@@ -142,13 +193,25 @@ def verify(words: list[bytes], found: list[tuple[int, int, int, int]], known, k:
                 if d >= 0 and words[d:d + size] == template:
                     out.append((t, d, d + size - 1, 1.0))
             continue
+        need, bag = COVERAGE * size, Counter(template)
         for low, high in merge_diagonals(diagonals, size):
             while low <= high:
                 stop = min(high + k, low + 2 * size)  # a long run of hits holds several copies
-                score = _common(template, words[low:stop]) / size
-                if score >= COVERAGE:
-                    out.append((t, low, min(stop, low + size) - 1, score))
+                part = words[low:stop]
+                # words in common, in any order, bound the subsequence
+                if (bag & Counter(part)).total() >= need and (common := _common(template, part)) >= need:
+                    longer.append((common, t, low, min(stop, low + size) - 1, common / size))
                 low += size
+    return out + sorted((t, a, b, score) for _, t, a, b, score in strongest(longer))
+
+
+def strongest(spans: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Of (common words, template, first, last, score) that overlap by more
+    than half of the shorter, the one with the most words in common."""
+    out: list[tuple[int, int, int, int, float]] = []
+    for x in sorted(spans, key=lambda x: (-x[0], -x[4], x[1], x[2])):
+        if all(2 * (min(x[3], y[3]) - max(x[2], y[2]) + 1) <= min(x[3] - x[2], y[3] - y[2]) + 1 for y in out):
+            out.append(x)
     return out
 
 
@@ -157,6 +220,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = GRAM) -
     base_labels, labels, score, spans); spans are label:first:last:score."""
     store = Scratch(docs.sparkSession, "licenses")
     known = _templates(phrases, templates)
+    if short := [" ".join(map(bytes.decode, words)) for _, words, _ in known if len(words) < k]:
+        raise ValueError(f"of fewer than {k} words: {short}")
     found = store.write(votes(docs, known, k), "votes")
     per_doc = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
         F.collect_list(F.struct("template", "diagonal", "low", "high")).alias("found"))

@@ -192,7 +192,7 @@ def test_graph_recall_without_audit():
     """A graph of 4,096 vectors, narrow beam: the pruned edges carry the search."""
     rng = np.random.default_rng(5)
     v = rng.normal(0, 1, (64, 24))[rng.integers(0, 64, 4096)] + rng.normal(0, 0.4, (4096, 24))
-    g = robust_graph.Graph(v).build()
+    g = robust_graph.Graph(v).build(robust_graph.DEGREE, robust_graph.ALPHA, robust_graph.BUILD_BEAM)
     assert (g.near >= 0).sum(axis=1).max() <= robust_graph.DEGREE
     q = g.x[:200]
     found, true = g.search(q, 64)[0][:, :10], g.exact(q, 10)
