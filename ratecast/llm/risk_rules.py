@@ -2,9 +2,9 @@
 
 Features of every whole text feed a logistic score that is fitted on a
 bounded sample of the labelled documents.  Copies are no independent draws,
-so the labelled documents are first grouped by SimHash near-duplicate
-components: a component lies on one side of the split as a whole, and each
-side takes one document of it.  One half is fitted on, the other half is
+so labelled documents of one text (but for case, blanks and punctuation) lie
+on one side of the split together, and each side takes one document of them
+(copies with changed words still count as two).  One half is fitted on, the other half is
 the holdout: in each stratum (language) the score cutoff
 rises along a fixed grid for as long as the exact (Clopper-Pearson) upper
 bound on the share of good documents falling below it stays within
@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratecast.llm import simhash_ball
 from ratecast.llm.common import Scratch, gram_hashes, row_key, slices, text_bytes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -165,10 +164,12 @@ def choose_cutoff(bins: np.ndarray, good: np.ndarray, max_rate: float, delta: fl
 
 
 def grouped(docs: DataFrame, known: DataFrame, truth: DataFrame) -> DataFrame:
-    """The labelled rows with ``unit``, their near-duplicate component, and
-    ``half``, its side of the split."""
-    some = docs.join(truth.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    units = simhash_ball.near_duplicates(some).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("root").alias("unit")).distinct()
+    """The labelled rows with ``unit``, their text but for case, blanks and
+    punctuation (hashed), and ``half``, its side of the split."""
+    unit = F.xxhash64(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " ")))
+    # hashed before the join, so that no text is shuffled
+    units = docs.select(F.col("doc_id").alias("__id"), row_key().alias("__key"), unit.alias("unit"))
+    units = units.join(truth.select(F.col("doc_id").alias("__id")), "__id", "left_semi").distinct()
     rows = known.join(units, (known.doc_id == F.col("__id")) & (known.key == F.col("__key"))).drop("__id", "__key")
     return rows.withColumn("half", F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(2)))
 
