@@ -156,7 +156,7 @@ def q_series_model_scores(spark, sf):
     x = W.lags(x, ["user_id"], "value", EV_ORDER, ks=(1,), prefix="lag")
     x = W.ema(x, ["user_id"], "value", EV_ORDER, span=4, out="ema_4").where(F.col("seen") >= 2)
     tr, te = x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
-    _, preds, _ = M.compare_models(tr, te, LABEL, "event_id", ["lag_1", "ema_4", "seen", "dow", "h"], [], CATS, ["ridge", "gbt"],
+    _, preds, _ = M.compare_models(tr, te, "value", "event_id", ["lag_1", "ema_4", "seen", "dow", "h"], [], CATS, ["ridge", "gbt"],
                                    {"ridge": {"reg": 1.0}, "gbt": {"depth": 3, "step": 0.05, "leaf": 5}})
     base = A.to_long(_series(spark, sf), ["event_id", "value"], {m: f"pred_{m}" for m in ("mean", "last", "ema")})
     both = preds.select("event_id", "value", "model", "pred").unionByName(base.select("event_id", "value", "model", "pred"))
