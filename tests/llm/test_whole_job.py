@@ -180,21 +180,3 @@ def test_unsettled_texts_keep_their_base_spans(monkeypatch):
     model.node[pii_crf._bucket("s:93-94"), 1:3] = 3
     (base, spans), = pii_crf.all_spans(["mail a@b.cd 555-7713 555-7713 555-7714 555-7713 555-7714 " * 20], model)
     assert base and spans == base
-
-
-def test_graphs_are_built_once(spark, tmp_path, monkeypatch):
-    """Every shard's graph is built by one task, however many pairs of blocks it meets."""
-    x, _ = planted(400, 8, 2)
-    data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    log = str(tmp_path)
-
-    def counted(key, table):
-        import uuid
-        open(f"{log}/{key[1].as_py()}-{uuid.uuid4().hex}", "w").close()
-        return hnsw_build(key, table)
-
-    hnsw_build = hnsw.build
-    monkeypatch.setattr(hnsw, "build", counted)
-    hnsw.links(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), shard=50, queries=100).count()
-    built = [p.name.split("-")[0] for p in tmp_path.iterdir()]
-    assert len(built) == len(set(built)) >= 6
