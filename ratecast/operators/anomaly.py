@@ -8,8 +8,9 @@
   numpy task per tree) and come back as node rows: at most
   trees x (2*sample - 1) of them, a proven bound, so they are broadcast.
   A leaf holds its path value, its depth plus the mean path of its rows.
-* Scoring is ``mapInPandas`` over the rows to score: vectorised numpy
-  traversal of every tree per Arrow batch.  The cut-off is the exact
+* Scoring is ``mapInArrow`` over the rows to score: vectorised numpy
+  traversal of every tree per Arrow batch, a fixed number of steps a tree;
+  the other columns pass as they are.  The cut-off is the exact
   quantile of the train scores.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,12 +117,18 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, cols: Sequence[st
     packed = []
     for t in trees:
         nd = nodes[nodes["tree"] == t].sort_values("node")
-        size = int(nd["node"].max()) + 1
-        arr = {}
-        for k in ("feature", "threshold", "left", "right", "path"):
-            arr[k] = np.zeros(size, dtype=float if k in ("threshold", "path") else np.int64)
-            arr[k][nd["node"].to_numpy()] = nd[k].to_numpy()
-        packed.append(arr)
+        at, size = nd["node"].to_numpy(), int(nd["node"].max()) + 1
+        leaf = nd["feature"].to_numpy() < 0
+        feature, child = np.zeros(size, dtype=np.int64), np.zeros(2 * size, dtype=np.int64)
+        threshold, path = np.zeros(size), np.zeros(size)
+        # a leaf leads to itself, so all rows of a batch take the same number of steps
+        feature[at] = np.where(leaf, 0, nd["feature"])
+        child[2 * at], child[2 * at + 1] = np.where(leaf, at, nd["right"]), np.where(leaf, at, nd["left"])
+        threshold[at], path[at] = nd["threshold"], nd["path"]
+        depth = dict.fromkeys([0], 0)
+        for n in sorted(at.tolist()):  # children come after their parent
+            depth.update({c: depth[n] + 1 for c in child[2 * n:2 * n + 2].tolist() if c != n})
+        packed.append((feature, threshold, child, path, max(depth.values())))
     bc = df.sparkSession.sparkContext.broadcast(packed)
     c_norm = _c(sample)
     cols = list(cols)
@@ -128,22 +136,20 @@ def score_isolation_forest(df: DataFrame, nodes: pd.DataFrame, cols: Sequence[st
 
     def score(batches):
         forest = bc.value
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype="float64")
-            total = np.zeros(len(pdf))
-            for tr in forest:
-                node = np.zeros(len(pdf), dtype=np.int64)
-                active = tr["feature"][node] >= 0
-                while active.any():
-                    f = tr["feature"][node[active]]
-                    go_left = x[np.flatnonzero(active), f] < tr["threshold"][node[active]]
-                    node[active] = np.where(go_left, tr["left"][node[active]], tr["right"][node[active]])
-                    active = tr["feature"][node] >= 0
-                total += tr["path"][node]
-            pdf[out] = np.power(2.0, -(total / len(forest)) / c_norm)
-            yield pdf
-
-    return df.mapInPandas(score, schema)
+        for b in batches:
+            n = b.num_rows
+            x = np.concatenate([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols])  # one column after another
+            rows, total = np.arange(n), np.zeros(n)
+            for feature, threshold, child, path, depth in forest:
+                node = np.zeros(n, dtype=np.int64)
+                for _ in range(depth):
+                    left = x.take(feature.take(node) * n + rows) < threshold.take(node)
+                    node = child.take(2 * node + left)
+                total += path.take(node)
+            found = np.power(2.0, -(total / len(forest)) / c_norm)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, out])
+
+    return df.mapInArrow(score, schema)
 
 
 def isolation_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], id_col: str, trees: int = 200,
