@@ -4,12 +4,16 @@ A text's words give k-word shingles; bit i of its fingerprint is 1 when
 more than half of the shingle hashes have it set.  Two fingerprints within
 d bits have a common value within ceil(d / 2) bits of both, so every
 distinct fingerprint emits all such variants, variants are shuffled, and
-fingerprints that meet on a variant are candidates.  All that meet on one
-variant lie pairwise within d bits (for even d), so a star to the smallest
-of them loses no connection; every star edge is verified by its bit count.
-For odd d one of the two
-lies within floor(d / 2) of their common variant, so there the centre of the
-star is the smallest fingerprint that near; its edges are again all links.
+fingerprints that meet on a variant are candidates.  One of the two lies
+within floor(d / 2) of it; the smallest fingerprint that near is the centre
+of a star, and it lies within d bits of all that meet there.  A pair has one
+home among its common variants: from the larger one, as many of the highest
+differing bits are turned as exceed floor(d / 2).  A star keeps the edges
+that are at home on its variant.  This loses no connection: of a link (a, b)
+with a < b, the centre at its home is a itself, or a smaller c linked to
+both, and (c, a) and (c, b) are connected by the same rule, as their smaller
+end decreases.  So an edge is made once, however many variants its ends
+share, and every edge is verified by its bit count.
 
 The variant space is cut into rounds by a linear syndrome (a parity of the
 variant's bits, which tells from a fingerprint's and a mask's own syndrome),
@@ -122,18 +126,24 @@ def _emit(fps: np.ndarray, ball: np.ndarray, bits: int, turn: int, shift: int):
 
 
 def _meet(f: np.ndarray, m: np.ndarray, ball: np.ndarray, near: int, distance: int) -> np.ndarray:
-    """Verified star edges (centre, other) among fingerprints that share a
-    variant; masks numbered below ``near`` reach floor(distance / 2) bits."""
+    """Verified star edges (centre, other), centre the smaller, that are at
+    home on the variant their ends share here; masks numbered below ``near``
+    reach floor(distance / 2) bits."""
     v = f ^ ball[m]
     order = np.argsort(v)
     v, f, m = v[order], f[order], m[order]
     at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     size = np.diff(np.append(at, len(v)))
     centre = np.minimum.reduceat(np.where(m < near, f, np.uint64(2**64 - 1)), at)
-    many = np.repeat(size > 1, size)
-    edges = np.column_stack([np.repeat(centre, size)[many], f[many]])
-    edges = edges[(edges[:, 0] != edges[:, 1]) & (np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= distance)]
-    return np.unique(edges, axis=0) if len(edges) else edges
+    centre = np.repeat(centre, size)
+    linked = centre < f
+    centre, f, turned = centre[linked], f[linked], ball[m[linked]]
+    differ = centre ^ f
+    apart = np.bitwise_count(differ)
+    rest = differ & ~turned  # at home: the turned bits differ, are the fewest that will do and lie above the rest
+    home = (turned & ~differ == 0) & (np.bitwise_count(turned) == np.maximum(apart, distance // 2) - distance // 2)
+    home &= (turned == 0) | (rest < (turned & (~turned + np.uint64(1))))
+    return np.column_stack([centre, f])[home & (apart <= distance)]
 
 
 def ball_edges(prints: DataFrame, distance: int, store: Scratch) -> DataFrame:

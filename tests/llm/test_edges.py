@@ -117,6 +117,21 @@ def test_ball_hashing_finds_all_links(spark, distance):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+@pytest.mark.parametrize("distance", [3, 4])
+def test_a_large_group_of_near_copies_makes_few_edges(spark, distance):
+    rng = np.random.default_rng(5)
+    volatile = rng.choice(64, 14, replace=False)
+    base = int(rng.integers(0, 2**63))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(volatile, rng.integers(0, 6), replace=False)) for _ in range(900)})
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    store = Scratch(spark, "t")
+    edges = simhash_ball.ball_edges(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(8), distance, store)
+    assert edges.count() == edges.distinct().count() <= 12 * len(fps)
+    root = {r.node: r.root for r in components(edges, store).collect()}
+    got, want = [root.get(f, f) for f in signed], brute.near(list(range(len(fps))), fps, distance)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()}
