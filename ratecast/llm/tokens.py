@@ -4,7 +4,7 @@ The byte-level vocabularies split a text before merging, and no split token
 reaches over the point before a single blank between two other characters
 that are no white space.  A text is cut at these points, each distinct unit
 is encoded once by the library, and a worker remembers units it has seen in
-a bounded memory; of a full one the newer half and the units at hand stay.
+a bounded memory, from which those fall that were not met for long.
 A text that holds a special token's own string is encoded as a whole.
 """
 
@@ -13,14 +13,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-MEMO_MAX = 300_000      # entries of each of a worker's two memories, some 260 bytes each
+MEMO_MAX = 540_000      # units a worker remembers, some 260 bytes each,
+INNER_MAX = 60_000      # and pieces from within units
 RUN_BYTES = 2_000_000   # of texts encoded together
 _ENCODERS: dict = {}
 
@@ -28,6 +28,7 @@ _ENCODERS: dict = {}
 # on whose classes all regular expression engines agree.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile(r"[^\n!-~\u00a1-\u024f]")
+UNEVEN = re.compile(r"[^\n -~\u00a1-\u024f]|[ \n] | \n")  # in blanks around units: one is empty, unusual or has white space
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,13 +48,24 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def thinned(memory: dict[str, bytes], wanted) -> dict[str, bytes]:
-    """The memory, or of a full one the newer half and what is ``wanted``."""
-    if len(memory) <= MEMO_MAX:
-        return memory
-    newer = dict(islice(memory.items(), len(memory) // 2, None))
-    newer.update((u, memory[u]) for u in wanted if u in memory)
-    return newer
+class Memory:
+    """A bounded memory in two halves.  What is asked for moves to the newer
+    one; when that is full, the older one is dropped and takes its place."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.newer.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.newer[key] = found
+        return found
+
+    def make_room(self) -> None:
+        if len(self.newer) > self.most // 2:
+            self.newer, self.older = {}, self.newer
 
 
 class Encoder:
@@ -68,8 +80,8 @@ class Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         pre = str(self.lib.pre_tokenizer)
         self.cuts = "ByteLevel" in pre and "add_prefix_space=False" in pre and self.lib.normalizer is None
-        self.pieces: dict[str, bytes] = {}       # piece of the split: ids
-        self.after_blank: dict[str, bytes] = {}  # unit that a blank precedes, without it: ids with the blank
+        self.inner = Memory(INNER_MAX)       # piece of the split that begins without a blank: ids
+        self.after_blank = Memory(MEMO_MAX)  # unit that a blank precedes, without it: ids with the blank
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -79,24 +91,35 @@ class Encoder:
         The split runs over many units at once (a unit begins where a piece
         begins with a blank), and the library's model merges each distinct
         piece; units with unusual characters go through the whole library."""
-        unusual = set(filter(UNUSUAL.search, units))
-        self.after_blank.update((u, self._ids(" " + u).tobytes()) for u in unusual)
-        usual = [u for u in units if u not in unusual]
+        unusual = set(filter(UNUSUAL.search, units)) if UNEVEN.search(" ".join(units)) else set()
+        known = self.after_blank.newer
+        known.update((u, self._ids(" " + u).tobytes()) for u in unusual)
+        usual = [u for u in units if u not in unusual] if unusual else units
         for i in range(0, len(usual), 20_000):
             some = usual[i:i + 20_000]
             pieces = SPLIT.findall(" " + " ".join(some))
             ids = self._merge(pieces)
             at = [j for j, p in enumerate(pieces) if p[0] == " "]
             parts = [ids[p] for p in pieces]
-            self.after_blank.update(zip(some, [b"".join(parts[a:b]) for a, b in zip(at, [*at[1:], len(parts)])]))
+            known.update(zip(some, [b"".join(parts[a:b]) if b - a > 1 else parts[a] for a, b in zip(at, [*at[1:], len(parts)])]))
 
     def _merge(self, pieces: list[str]) -> dict[str, bytes]:
-        """A table that holds the ids of these pieces of the split."""
-        self.pieces = thinned(self.pieces, ())
-        known, merge, code = self.pieces, self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for p in set(pieces).difference(known):
-            known[p] = array(code, [t.id for t in merge(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-        return known
+        """The ids of these pieces of the split.  A piece that begins with a
+        blank is itself a unit and is remembered as such."""
+        merge, code, out = self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", {}
+        units, older, inner = self.after_blank.newer, self.after_blank.older, self.inner
+        for p in set(pieces):
+            if p[0] == " ":
+                memory, key = units, p[1:]
+                found = units.get(key) or older.get(key)
+            else:
+                memory, key = inner.newer, p
+                found = inner.get(p)
+            if found is None:
+                letters = "\u0120" + key if memory is units and key.isascii() and "\n" not in key else p.encode().decode("latin-1").translate(_LETTERS)
+                found = memory[key] = array(code, [t.id for t in merge(letters)]).tobytes()
+            out[p] = found
+        return out
 
     def _first(self, unit: str) -> bytes:
         """Ids of a text's beginning, up to its first blank."""
@@ -116,34 +139,34 @@ class Encoder:
             else:
                 runs[-1] += " " + b
         for i, r in enumerate(runs):
-            if i and r in self.after_blank:
-                out.append(self.after_blank[r])
-            else:
-                out.append(self._ids(" " + r if i else r).tobytes())
+            known = self.after_blank.get(r) if i else None
+            out.append(self._ids(" " + r if i else r).tobytes() if known is None else known)
         return b"".join(out)
 
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text, unit by unit."""
+        self.after_blank.make_room()
+        self.inner.make_room()
+        first, *parts = text.split(" ")
+        known = self.after_blank.newer
+        ids = list(map(known.get, parts))
+        uneven = not first or first[-1].isspace()
+        if None in ids:
+            missing = {x for x, i in zip(parts, ids) if i is None}
+            older = self.after_blank.older
+            known.update([(x, older[x]) for x in missing if x in older])
+            new = [x for x in missing if x not in known]
+            if new and UNEVEN.search(f" {' '.join(new)} "):
+                odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
+                uneven = uneven or bool(odd)
+                new = [x for x in new if x not in odd]
+            self._learn(new)
+            ids = [] if uneven else [known[x] if i is None else i for x, i in zip(parts, ids)]
+        return self._uneven([first, *parts]) if uneven else self._first(first) + b"".join(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        whole = {i for i, t in enumerate(texts) if not self.cuts or any(s in t for s in self.special)}
-        parts = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
-        units: set[str] = set()
-        for p in parts:
-            units.update(p[1:])
-        known = self.after_blank = thinned(self.after_blank, units)
-        new = units.difference(known)
-        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        self._learn(list(new - odd))
-        out = []
-        for i, (t, p) in enumerate(zip(texts, parts)):
-            if not t:
-                out.append(b"")
-            elif i in whole:
-                out.append(self._ids(t).tobytes())
-            elif not p[0] or p[0][-1].isspace() or (odd and not odd.isdisjoint(p)):
-                out.append(self._uneven(p))
-            else:
-                out.append(self._first(p[0]) + b"".join([known[x] for x in p[1:]]))
-        return out
+        return [b"" if not t else self._cut(t) if self.cuts and not any(s in t for s in self.special) else self._ids(t).tobytes() for t in texts]
 
 
 def encoder(name: str) -> Encoder:

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from ratecast.llm import (bitplanes, diagonals, extendible, hnsw, mixing, pii_crf, risk_rules, seed_extend, simhash_ball,
-                          two_fit)
+                          tokens, two_fit)
 from ratecast.llm.common import Scratch, components
 from ratecast.llm.tokens import Encoder
 from tests.llm import brute
@@ -132,6 +132,33 @@ def test_a_large_group_of_near_copies_makes_few_edges(spark, distance):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_a_worker_merges_a_piece_once_and_remembers_it_in_bounds(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_MAX", 400, raising=False)
+    rng, enc = np.random.default_rng(3), Encoder("byte_bpe_50k.json")
+    words = ["".join(rng.choice(list("etaoins"), 7)) for _ in range(3000)]
+    ends = ["", ",", ".\n\n", "\u00a0", "'s", "  ", " \u2028", "1", "\u00e9", "\t", "\u4e2d"]
+    texts = [" ".join(w + ends[i % len(ends)] for i, w in zip(rng.integers(0, 60, 40).tolist() if n % 2 else [0] * 40, rng.choice(words, 40))) if n else "" for n in range(300)]
+    assert enc.encode(texts) == [np.array(enc.lib.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    held = len(enc.after_blank.newer) + len(enc.after_blank.older)
+    assert 0 < held <= 400 + 2 * 40 * 2
+
+    enc, merged = Encoder("byte_bpe_50k.json"), []
+    model = enc.lib.model
+
+    class Counted:
+        model = enc.lib.model
+        encode = enc.lib.encode
+
+    class Model:
+        def tokenize(self, piece):
+            merged.append(piece)
+            return model.tokenize(piece)
+    Counted.model, enc.lib = Model(), Counted
+    enc.encode(["so " + " ".join(words[:100]), "so " + " ".join(w + "," for w in words[:100])])
+    assert len(merged) == len(set(merged)) and sum(p[1:] in words for p in merged) == len(set(words[:100]))
+    assert len(enc.after_blank.newer) == 2 * len(set(words[:100])) and list(enc.inner.newer) == ["so", ","]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()}
