@@ -597,3 +597,19 @@ def test_except_keys_query_looks_at_every_order(spark, tmp_path):
     spark.createDataFrame([(1, "urgent"), (2, "ordinary"), (3, "none")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, "1-URGENT"), (2, "5-LOW"), (None, "1-URGENT")], "o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert [(r.c_custkey, r.c_name) for r in q_except_keys(spark, str(tmp_path)).collect()] == [(3, "none")]
+
+
+def test_training_rows_are_dealt_in_whole_waves(spark):
+    from ratecast.operators import models as M
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1000)
+    assert [M.sized(df, r).rdd.getNumPartitions() for r in (1000, 250, 999 // cores, 1000 // (cores + 1))] == [cores, cores, 2 * cores, 2 * cores]
+
+
+def test_learning_curve_sorts_only_what_it_uses(spark, monkeypatch):
+    from ratecast.operators import models as M
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), "not used") for i in range(40)], "i long, a double, y double, tag string")
+    seen, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda t, name: seen.append((name, t.columns)) or write(t, name))
+    rows = M.learning_curve(df, df, "y", ["i"], ["a"], [], [], fracs=(1.0,), model="ridge", min_rows=1).collect()
+    assert seen == [("indexed", ["i", "y", "a", "_rn"])] and rows[0]["n_train"] == 40
