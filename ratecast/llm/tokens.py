@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_LETTERS = byte_letters()
+_LETTERS = "".join(letter for _, letter in sorted(byte_letters().items()))
+
+
+def _letters(piece: str) -> str:
+    """A piece of the split in the byte-level alphabet."""
+    return charmap_decode(piece.encode(), "strict", _LETTERS)[0]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +83,7 @@ class Encoder:
         self.lib = Tokenizer.from_file(name if os.sep in name else vocabulary(name))
         self.size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         pre = str(self.lib.pre_tokenizer)
         self.cuts = "ByteLevel" in pre and "add_prefix_space=False" in pre and self.lib.normalizer is None
@@ -88,15 +95,24 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         """Encode units that have no blank and no white space at their ends.
-        The split runs over many units at once (a unit begins where a piece
-        begins with a blank), and the library's model merges each distinct
-        piece; units with unusual characters go through the whole library."""
+        Letters alone are one piece of the split.  Over other units it runs
+        many at once (a unit begins where a piece begins with a blank), and
+        the library's model merges each distinct piece; units with unusual
+        characters go through the whole library."""
         unusual = set(filter(UNUSUAL.search, units)) if UNEVEN.search(" ".join(units)) else set()
         known = self.after_blank.newer
         known.update((u, self._ids(" " + u).tobytes()) for u in unusual)
         usual = [u for u in units if u not in unusual] if unusual else units
-        for i in range(0, len(usual), 20_000):
-            some = usual[i:i + 20_000]
+        merge, code = self.lib.model.tokenize, self.code
+        mixed = []
+        for u in usual:
+            if not u.isalpha():
+                mixed.append(u)
+            elif u not in known:  # else a piece of another unit
+                letters = "\u0120" + u if u.isascii() else _letters(" " + u)
+                known[u] = array(code, [t.id for t in merge(letters)]).tobytes()
+        for i in range(0, len(mixed), 20_000):
+            some = mixed[i:i + 20_000]
             pieces = SPLIT.findall(" " + " ".join(some))
             ids = self._merge(pieces)
             at = [j for j, p in enumerate(pieces) if p[0] == " "]
@@ -106,7 +122,7 @@ class Encoder:
     def _merge(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of these pieces of the split.  A piece that begins with a
         blank is itself a unit and is remembered as such."""
-        merge, code, out = self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", {}
+        merge, code, out = self.lib.model.tokenize, self.code, {}
         units, older, inner = self.after_blank.newer, self.after_blank.older, self.inner
         for p in set(pieces):
             if p[0] == " ":
@@ -116,7 +132,7 @@ class Encoder:
                 memory, key = inner.newer, p
                 found = inner.get(p)
             if found is None:
-                letters = "\u0120" + key if memory is units and key.isascii() and "\n" not in key else p.encode().decode("latin-1").translate(_LETTERS)
+                letters = "\u0120" + key if memory is units and key.isascii() and "\n" not in key else _letters(p)
                 found = memory[key] = array(code, [t.id for t in merge(letters)]).tobytes()
             out[p] = found
         return out
@@ -149,10 +165,9 @@ class Encoder:
         self.inner.make_room()
         first, *parts = text.split(" ")
         known = self.after_blank.newer
-        ids = list(map(known.get, parts))
         uneven = not first or first[-1].isspace()
-        if None in ids:
-            missing = {x for x, i in zip(parts, ids) if i is None}
+        missing = set(parts).difference(known)
+        if missing:
             older = self.after_blank.older
             known.update([(x, older[x]) for x in missing if x in older])
             new = [x for x in missing if x not in known]
@@ -161,18 +176,18 @@ class Encoder:
                 uneven = uneven or bool(odd)
                 new = [x for x in new if x not in odd]
             self._learn(new)
-            ids = [] if uneven else [known[x] if i is None else i for x, i in zip(parts, ids)]
-        return self._uneven([first, *parts]) if uneven else self._first(first) + b"".join(ids)
+        return self._uneven([first, *parts]) if uneven else self._first(first) + b"".join(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
         return [b"" if not t else self._cut(t) if self.cuts and not any(s in t for s in self.special) else self._ids(t).tobytes() for t in texts]
 
 
-def encoder(name: str) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
+def encoder(name: str, remembered: int | None = None) -> Encoder:
+    """This worker's encoder of a vocabulary file, which remembers as many units (``MEMO_MAX``)."""
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
+    _ENCODERS[name].after_blank.most = remembered or MEMO_MAX
     return _ENCODERS[name]
 
 

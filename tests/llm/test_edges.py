@@ -265,3 +265,18 @@ def test_vectors_that_link_with_nothing(spark):
     assert {i: one[i]["component_id"] for i in (0, 1, 2)} == {0: 0, 1: 0, 2: 0} and one[0]["n_links"] == 3
     assert all(one[i]["n_links"] == 0 and one[i]["component_id"] == i and one[i]["kept"] for i in range(3, 12))
     assert hnsw.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_letters_alone_are_learned_without_the_split(monkeypatch):
+    split, seen = tokens.SPLIT, []
+
+    class Split:
+        def findall(self, text):
+            seen.append(text)
+            return split.findall(text)
+    monkeypatch.setattr(tokens, "SPLIT", Split())
+    enc = Encoder("byte_bpe_50k.json")
+    texts = ["so it was, über café ª don't ab1 中文 x\ny ŉo ƻz", "so it's, was 12 été"]
+    assert enc.encode(texts) == [np.array(enc.lib.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    split_units = {u for t in seen for u in t.split(" ")}
+    assert "was," in split_units and not split_units & {"it", "was", "über", "café", "ª", "ŉo", "ƻz", "été"}
