@@ -30,9 +30,11 @@ def mix(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of token ids with their place in the training sequences."""
-    return two_fit.pack(docs)
+    return two_fit.pack(docs, remembered=UNITS)
 
 
+UNITS = 200_000  # remembered by a worker, which also holds what the other stages left in it
+
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("PII", pii), ("mixing", mix), ("best-fit packing", pack)]
 
 # trained models, a fingerprint function and a tokenizer that SQL lacks

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratecast.llm.common import Scratch, gram_hashes, row_key, slices, text_bytes, word_hashes
+from ratecast.llm.common import Scratch, byte_runs, forget_words, gram_hashes, row_key, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -80,9 +80,7 @@ _PUNCT = b".,;:!?\"'()[]{}=@+/\\~^_`-"
 
 def _features(batches):
     for batch in batches:
-        texts = text_bytes(batch.column(3))
-        for a, b in slices(batch, texts):
-            part = texts[a:b]
+        for a, b, part in byte_runs(batch.column(3)):
             words = [t.split() for t in part]
             n = np.array([len(w) for w in words], dtype=np.int64)
             chars = np.array([len(t.translate(None, _SPACE + _CONT)) for t in part], dtype=np.int64)
@@ -98,6 +96,7 @@ def _features(batches):
                     *map(pa.array, (np.log1p(n) / 5, chars / d / 5, np.minimum(sym / d, 3), dup / lines, rep / d,
                                     np.minimum(10 * upper / c, 5), np.minimum(10 * punct / c, 5)))]
             yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+    forget_words()
 
 
 _NAMES = ["doc_id", "key", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecast.llm.common import Scratch, components, mix, partitions, row_key, slices, text_bytes
+from ratecast.llm.common import Scratch, byte_runs, components, mix, partitions, row_key
 
 SEED = 42
 ROUND_VARIANTS = 64_000_000    # variants shuffled at once,
@@ -85,9 +85,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = text_bytes(batch.column(2))
-            for a, b in slices(batch, texts, 2_000_000):
-                fp = _prints([t.lower().split() for t in texts[a:b]], shingle)
+            for a, b, texts in byte_runs(batch.column(2), 1_000_000):
+                fp = _prints([t.lower().split() for t in texts], shingle)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(fp.view(np.int64))],
                     names=["doc_id", "key", "fp"])

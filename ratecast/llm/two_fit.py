@@ -45,12 +45,12 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(a, capacity) for a in range(first, length, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, vocabulary: str = VOCABULARY, remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, nth) per piece: ids are
     little-endian 32-bit, nth counts the pieces of its length in ``part``."""
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remembered)
         tail = np.array([end_id], dtype=enc.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -177,12 +177,13 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return found.select(*names, "__at.sequence_id", "__at.offset")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, vocabulary: str = VOCABULARY, with_ids: bool = True,
+         remembered: int | None = None) -> DataFrame:
     """Pieces with their place: (doc_id, piece, start, length, ids or
     ids_crc32, sequence_id, offset).  The ids of a sequence are those of its
-    pieces by offset, without gaps."""
+    pieces by offset, without gaps.  A worker remembers ``remembered`` units of text."""
     store = Scratch(docs.sparkSession, "pack")
-    cut = pieces(docs, capacity, end_id, vocabulary)
+    cut = pieces(docs, capacity, end_id, vocabulary, remembered)
     if not with_ids:
         cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return place(store.write(cut, "pieces"), capacity)

@@ -280,3 +280,21 @@ def test_letters_alone_are_learned_without_the_split(monkeypatch):
     assert enc.encode(texts) == [np.array(enc.lib.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
     split_units = {u for t in seen for u in t.split(" ")}
     assert "was," in split_units and not split_units & {"it", "was", "über", "café", "ª", "ŉo", "ƻz", "été"}
+
+
+def test_quality_holds_little_beside_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ratecast.llm import common
+    rng = np.random.default_rng(5)
+    words = np.array(["w%x" % i for i in range(30_000)])
+    texts = pa.array([" ".join(rng.choice(words, 400)) for _ in range(3_000)] + [None, ""])
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(["en"] * len(texts)), texts], names=["doc_id", "key", "stratum", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in risk_rules._features([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 80e6 and not common._MEMO
