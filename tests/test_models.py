@@ -275,3 +275,11 @@ def test_forest_scores_leave_other_columns_alone(spark, monkeypatch):
                 n = of[t, n.left if v < n.threshold else n.right]
             total += n.path
         assert abs(got[i].anomaly_score - 2.0 ** (-total / 8 / AN._c(32))) < 1e-12 and got[i].day == day
+
+
+def test_a_frame_of_the_used_columns_has_the_same_rows(spark):
+    from ratecast.plans import q_models as Q
+    used = [Q.LABEL, *Q.NUM, *Q.BOOLS, *Q.CATS]
+    few, whole = Q._parts(spark, "/root/testdata/sf0.001", used)[0], Q._parts(spark, "/root/testdata/sf0.001")[0]
+    assert few.columns == ["split", *used]
+    assert sorted(map(str, few.select(*used).collect())) == sorted(map(str, whole.select(*used).collect()))
