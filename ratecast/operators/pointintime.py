@@ -52,23 +52,35 @@ def asof_totals(asks: DataFrame, totals: DataFrame, keys: Sequence[str], days: i
 
 
 def point_in_time(requests: DataFrame, history: DataFrame, keysets: dict[str, tuple[Sequence[str], Sequence[str]]],
-                  target: str, date: str, value: str, days: int = 90, min_rows: int = 200) -> DataFrame:
+                  target: str, date: str, value: str, days: int = 90, min_rows: int = 200,
+                  values: dict[str, str] | None = None) -> DataFrame:
     """Per request and keyset, the mean and count of history in the
     last ``days`` days before the target (all earlier history when that
     window holds fewer than ``min_rows`` rows overall); an empty key falls
-    back to the overall mean of the chosen window."""
+    back to the overall mean of the chosen window.  ``values`` names the
+    keysets that take another column than ``value``.  Keysets on the same
+    request columns join the requests as one table."""
     r = requests.withColumn("_t", F.to_date(target))
     recent = F.col("rec_n") >= min_rows
     pick = lambda c: F.when(F.col("_recent"), F.col(f"rec_{c}")).otherwise(F.col(f"all_{c}"))
-    base = asof_totals(r.select("_t").distinct(), daily_totals(history, [], date, value), [], days).withColumn("_recent", recent)
-    base = base.select("_t", "_recent", div0(pick("s"), pick("n")).alias("_mean"))  # one row per target date
+
+    def overall(v):  # one row per target date
+        b = asof_totals(r.select("_t").distinct(), daily_totals(history, [], date, v), [], days).withColumn("_recent", recent)
+        return b.select("_t", "_recent", div0(pick("s"), pick("n")).alias("_mean"))
+    of = {name: (values or {}).get(name, value) for name in keysets}
+    base = {v: overall(v) for v in dict.fromkeys(of.values())}
+    tables = {}
     for name, (rk, hk) in keysets.items():
-        totals = daily_totals(history, hk, date, value).withColumnsRenamed({h: k for h, k in zip(hk, rk) if h != k})
-        found = _match(asof_totals(r.select(*rk, "_t").distinct(), totals, rk, days), base, ["_t"])
+        totals = daily_totals(history, hk, date, of[name]).withColumnsRenamed({h: k for h, k in zip(hk, rk) if h != k})
+        found = _match(asof_totals(r.select(*rk, "_t").distinct(), totals, rk, days), base[of[name]], ["_t"])
         n = pick("n").cast("bigint")
         found = found.select(*rk, "_t", n.alias(f"lag_{name}_n"), F.when(n > 0, div0(pick("s"), n)).otherwise(F.col("_mean")).alias(f"lag_{name}_mean"))
-        r = _match(r.drop(f"lag_{name}_n", f"lag_{name}_mean"), found, [*rk, "_t"])
-    return r.drop("_t")
+        at = tuple(rk)
+        tables[at] = _match(tables[at], found, [*rk, "_t"]) if at in tables else found
+    out = r.drop(*[f"lag_{name}_{c}" for name in keysets for c in ("n", "mean")])
+    for rk, found in tables.items():
+        out = _match(out, found, [*rk, "_t"])
+    return out.drop("_t")
 
 
 def series_state(history: DataFrame, key: Sequence[str], date: str, value: str, order: Sequence[str],

@@ -107,7 +107,7 @@ def column_slots(model: PipelineModel, cols) -> dict[str, set[int]] | None:
     parts = prep.stages[-1].getInputCols()
     num = imputers[0].getInputCols() if imputers else []
     slots, n = {c: {i} for i, c in enumerate(num)}, len(num)
-    for p in parts[1 if num else 0:]:
+    for p in parts[len(num):]:
         if p.startswith("_b_"):
             size, c = 1, p.removeprefix("_b_")
         elif encoders and p.startswith("_oh_"):
